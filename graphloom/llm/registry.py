@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import mixing, quality_rules
+from graphloom.llm import fingerprints, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
 
