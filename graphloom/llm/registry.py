@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, mixing, quality_rules
+from graphloom.llm import fingerprints, mixing, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op10_mixing": mixing.op10_mixing,
 }
 
