@@ -105,10 +105,11 @@ def search(queries: DataFrame, index: DataFrame, key: str = "doc_id", radius: in
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, next_key, next_text): the document that follows in descending order of the key; after the last, the first.
+    """(range, key, text, next_key, next_text): the document that follows in descending order of the key; after the last, the first.
 
     The keys are cut into ranges of like size; a range's last row takes the head of the next range that has rows.
     There is one head for each range, and their number is set by the number of partitions, so heads are broadcast.
+    Rows stay partitioned by range: grouping by it and more needs no other shuffle.
     """
     spark = docs.sparkSession
     n = partitions_for(spark, 2)
@@ -125,17 +126,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     largest = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = firsts.select("range", F.coalesce(F.lead("head").over(ranges), largest).alias("head"))
     full = led.join(F.broadcast(heads), "range").withColumn("next", F.coalesce(F.col("next"), F.col("head")))
-    return full.select(F.col("key").alias(key), "text", F.col("next.key").alias("next_key"), F.col("next.text").alias("next_text"))
+    return full.select("range", F.col("key").alias(key), "text", F.col("next.key").alias("next_key"), F.col("next.text").alias("next_text"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.floor(F.length("text") / 3).cast("int")
     docs = with_next(read(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - m), F.substring(F.col("next_text"), F.lit(1), m)))
-    both = docs.select("doc_id", "next_key", "n_chars", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
+    both = docs.select("range", "doc_id", "next_key", "n_chars", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
     both = both.withColumn("sha", F.sha2(F.encode("t", "UTF-8"), 256))
-    made = fingerprints(both, ["doc_id", "next_key", "n_chars", "which", "sha"], "t")
-    pairs = made.groupBy("doc_id", "next_key", "n_chars").agg(
+    made = fingerprints(both, ["range", "doc_id", "next_key", "n_chars", "which", "sha"], "t")  # the window has dealt the rows by range
+    pairs = made.groupBy("range", "doc_id", "next_key", "n_chars").agg(
         *[F.max(F.when(F.col("which") == w, F.struct("f0", "f1", "sha"))).alias(name) for w, name in ((0, "a"), (1, "e"))]
     )
     after = pairs.select(F.col("doc_id").alias("_id"), F.col("a.f0").alias("n0"), F.col("a.f1").alias("n1"))
