@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than these (space, tab, line feed, vertical tab, form feed, carriage return).
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,3 +63,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def partitions_for(spark: SparkSession, factor: int = 1) -> int:
     """As many partitions as the session shuffles into, times factor."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor
+
+
+#: A key held by more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE of them, whatever the data.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has one row for each key and in ``count`` how many of ``total`` rows hold it.
+
+    Keys that hold more than HOT_SHARE of the rows (less than 1 / HOT_SHARE of them) are joined by broadcast, so that
+    their rows stay where they are; the others are joined by a shuffle in which no key is large.
+    """
+    hot = small.where(F.col(count) > HOT_SHARE * total).drop(count)
+    cold = small.where(F.col(count) <= HOT_SHARE * total).drop(count)
+    keys = F.broadcast(hot.select(key))
+    there = rows.join(F.broadcast(hot), key)
+    return there.unionByName(rows.join(keys, key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+
+
+def numbered(rows: DataFrame, group: str, name: str, label: str) -> DataFrame:
+    """rows with a number, gapless from 0 within each value of an integer column: two passes, no shuffle of the rows.
+
+    Each task numbers its own rows; then what the tasks before it have of a group is added. Tasks times groups totals move.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def count(batches):
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            value = batch.column(batch.schema.get_field_index(group)).to_numpy(zero_copy_only=False)
+            at = np.zeros(len(value), np.int64)
+            for v in np.unique(value):
+                here = np.flatnonzero(value == v)
+                at[here] = np.arange(len(here)) + seen.get(v, 0)
+                seen[v] = seen.get(v, 0) + len(here)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), part), pa.int32()), pa.array(at)], [*batch.schema.names, "_part", "_at"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+    held = written(rows.mapInArrow(count, schema), label)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy("_part", group).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return held.join(F.broadcast(totals), ["_part", group]).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
