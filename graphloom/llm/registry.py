@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, mixing, packing, quality_classifier, quality_rules, sharding
+from graphloom.llm import fingerprints, html_extraction, mixing, packing, quality_classifier, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op5_sharding": sharding.op5_sharding,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_warc": warc.op7_warc,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
