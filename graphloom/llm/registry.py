@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, html_extraction, jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, warc
+from graphloom.llm import fingerprints, html_extraction, jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_warc": warc.op7_warc,
