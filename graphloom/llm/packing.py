@@ -8,7 +8,7 @@ and the second pass cuts it where windows end. Nothing is shuffled: one total
 for each task moves. Only the very last window can need padding.
 
 A text is tokenised word by word: the tokenizer never joins what white space
-parts, so each different word of a batch is encoded once.
+parts, nor a letter and a mark, so each different word is encoded once.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is
 carried along; repeated rows are packed each; an empty table gives an empty
@@ -31,10 +31,17 @@ from graphloom.llm import bytetext
 from graphloom.llm.common import read, written
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII marks that the tokenizer always parts from ASCII letters. Left out: the apostrophe, which begins contractions, and < | >, which are in its special tokens.
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = True
+
+
 class WordEncoder:
     """Token ids of batches of texts, by a table of the words met so far that is emptied when it grows large."""
 
-    def __init__(self, tokenizer: str, most_words: int = 500_000) -> None:
+    def __init__(self, tokenizer: str, most_words: int = 1_000_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,30 +49,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        self.most, self.known = most_words, {}
+        self.most = most_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids: list[int] = []
+        size = []
+        for i in range(0, len(words), 5_000):
+            for e in self.tokenizer.encode_batch_fast(words[i : i + 5_000], add_special_tokens=False):
+                one = e.ids
+                ids += one
+                size.append(len(one))
+        n = np.array(size, np.int64)
+        begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        keys, size = np.concatenate([self.keys, keys]), np.concatenate([self.size, n])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         starts, ends, first = bytetext.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        raw = data.tobytes()
+        if b"<|" not in raw:  # the tokenizer makes all letters small, but not before it looks for its special tokens
+            data = bytetext.LOWER[data]
+            raw = data.tobytes()
+        letter, mark = _LETTER[data], _MARK[data]
+        cuts = np.flatnonzero(letter[:-1] & mark[1:] | mark[:-1] & letter[1:]) + 1
+        begins, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+        for edge, own in ((begins, starts), (stops, ends)):
+            edge[own] = True
+            edge[cuts] = True  # where two texts meet at a cut, a word ends and a word begins there anyway
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
+        first = np.searchsorted(starts, offsets)
         h = bytetext.span_hash(bytetext.prefix_hash(data), starts, ends)
         different, at, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.known = {}
-        keys = different.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        raw = data.tobytes()
-        texts = [raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(e.ids, np.uint32)
-        ids = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in ids], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        flat = np.concatenate(ids)
-        n = size[which]
+        if len(self.keys) > self.most:
+            self._forget()
+        new = np.flatnonzero(~np.isin(different, self.keys, assume_unique=True))
+        if len(new):
+            self._learn(different[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        row = np.searchsorted(self.keys, different)[which]
+        n = self.size[row]
         upto = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        out = self.flat[np.repeat(self.begin[row] - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[first])
 
 
