@@ -11,7 +11,7 @@ threshold. Equal sets form a class, and classes are joined:
 2. Candidates. Classes that have such a shingle in common are joined into
    candidate groups. Groups are cut into chunks of a bounded number of shingles
    and each pair of chunks goes to one task, so no task holds a large group.
-3. Trees. A task puts its sets, ordered by frequency, into a prefix tree and
+3. Trees. A task puts its sets, rarest shingles first, into a prefix tree and
    walks it with each set that it must look up, sharing the overlap of common
    paths and leaving subtrees whose remaining lengths cannot reach the overlap
    that is needed. Only links that join two parts of a group are returned, so
@@ -66,7 +66,7 @@ def shingled(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), 2_000_000):
+            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1))):
                 sets = bytetext.shingle_sets(data, offsets, words)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -89,14 +89,26 @@ def shingled(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     return docs.select(key, text).mapInArrow(build, f"row long, key {kind}, n long, sig binary, p int, need int, tokens array<long>")
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each slice, one slice after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class PrefixTree:
-    """Sets in a path-compressed prefix tree, most frequent shingles first."""
+    """Sets in a path-compressed prefix tree, rarest shingles first.
+
+    No edge is longer than ``_EDGE``, so a walk soon knows whether a path is worth following. The nodes of a level are
+    looked at together: of each, what its edge adds to the overlap, and whether the rest can still reach what is needed.
+    """
+
+    _EDGE = 32
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         flat = np.concatenate(sets)
         _, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
         rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
         bounds = np.cumsum([0, *map(len, sets)])
         ranked = rank[which]
         self.sets = [np.sort(ranked[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -105,9 +117,16 @@ class PrefixTree:
         self._build()
 
     def _build(self) -> None:
-        """Nodes as lists: edge (the shingles on the way to the node), depth, children, ends (sets that end there), least and most size below."""
         order = sorted(range(len(self.sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
-        self.edge, self.depth, self.children, self.ends = [np.zeros(0, np.int64)], [0], [[]], [[]]
+        edges, depth, parent, ends = [np.zeros(0, np.int64)], [0], [-1], [[]]
+
+        def node(edge: np.ndarray, at: int, above: int) -> int:
+            edges.append(edge)
+            depth.append(at)
+            parent.append(above)
+            ends.append([])
+            return len(edges) - 1
+
         path = [0]
         before = np.zeros(0, np.int64)
         for i in order:
@@ -116,63 +135,62 @@ class PrefixTree:
             differ = np.flatnonzero(s[:k] != before[:k])
             common = int(differ[0]) if len(differ) else k
             last = None
-            while self.depth[path[-1]] > common:
+            while depth[path[-1]] > common:
                 last = path.pop()
-            top = path[-1]
-            if self.depth[top] < common:  # the path to `last` is split where the two part
-                cut = common - self.depth[top]
-                middle = self._node(self.edge[last][:cut], common)
-                self.edge[last] = self.edge[last][cut:]
-                self.children[top][-1] = middle
-                self.children[middle].append(last)
+            if depth[path[-1]] < common:  # the edge to `last` is split where the two part
+                cut = common - depth[path[-1]]
+                middle = node(edges[last][:cut], common, path[-1])
+                edges[last], parent[last] = edges[last][cut:], middle
                 path.append(middle)
-            if len(s) > common:
-                new = self._node(s[common:], len(s))
-                self.children[path[-1]].append(new)
-                path.append(new)
-            self.ends[path[-1]].append(i)
+            while depth[path[-1]] < len(s):
+                at = depth[path[-1]]
+                to = min(len(s), at + self._EDGE)
+                path.append(node(s[at:to], to, path[-1]))
+            ends[path[-1]].append(i)
             before = s
-        self.least, self.most = [0] * len(self.edge), [0] * len(self.edge)
-        todo = [(0, False)]
-        while todo:
-            node, ready = todo.pop()
-            if not ready:
-                todo.append((node, True))
-                todo.extend((c, False) for c in self.children[node])
-            else:
-                own = [self.depth[node]] if self.ends[node] else []
-                self.least[node] = min(own + [self.least[c] for c in self.children[node]])
-                self.most[node] = max(own + [self.most[c] for c in self.children[node]])
-
-    def _node(self, edge: np.ndarray, depth: int) -> int:
-        self.edge.append(edge)
-        self.depth.append(depth)
-        self.children.append([])
-        self.ends.append([])
-        return len(self.edge) - 1
+        n = len(edges)
+        self.depth = np.array(depth)
+        self.flat = np.concatenate(edges)
+        self.size = np.array([len(e) for e in edges])
+        self.begin = np.cumsum(self.size) - self.size
+        self.ends = ends
+        self.has_end = np.array([bool(e) for e in ends])
+        above = np.array(parent)
+        self.child = np.argsort(above, kind="stable")[1:]  # without the root
+        self.children = np.searchsorted(above[self.child], np.arange(n + 1))
+        self.least = np.where(self.has_end, self.depth, np.iinfo(np.int64).max)
+        self.most = np.where(self.has_end, self.depth, 0)
+        for x in np.argsort(-self.depth, kind="stable").tolist():  # from the leaves to the root
+            if (up := parent[x]) >= 0:
+                self.least[up] = min(self.least[up], self.least[x])
+                self.most[up] = max(self.most[up], self.most[x])
 
     def linked(self, i: int, percent: int) -> list[int]:
-        """The sets that link with set i."""
+        """The sets that link with set i, itself included."""
         x = self.sets[i]
         n = len(x)
         small, large = _at_least(n, percent), n * 100 // percent
         self.mark[x] = True
-        found = []
-        todo = [(0, 0)]
-        while todo:
-            node, overlap = todo.pop()
-            if self.most[node] < small or self.least[node] > large:
-                continue
-            edge = self.edge[node]
-            if len(edge):
-                overlap += int(np.count_nonzero(self.mark[edge]))
-                left = n - int(np.searchsorted(x, edge[-1], "right"))
-                bound = overlap + min(left, self.most[node] - self.depth[node])
-                if (100 + percent) * bound < percent * (n + max(small, self.least[node])):
-                    continue
-            if self.ends[node] and (100 + percent) * overlap >= percent * (n + self.depth[node]):
+        found: list[int] = []
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            size = self.children[nodes + 1] - self.children[nodes]
+            nodes, overlap = self.child[_spread(self.children[nodes], size)], np.repeat(overlap, size)
+            fits = (self.most[nodes] >= small) & (self.least[nodes] <= large)
+            nodes, overlap = nodes[fits], overlap[fits]
+            if not len(nodes):
+                break
+            size = self.size[nodes]
+            shared = np.concatenate([[0], np.cumsum(self.mark[self.flat[_spread(self.begin[nodes], size)]])])
+            upto = np.cumsum(size)
+            overlap = overlap + shared[upto] - shared[upto - size]
+            left = n - np.searchsorted(x, self.flat[self.begin[nodes] + size - 1], "right")
+            bound = overlap + np.minimum(left, self.most[nodes] - self.depth[nodes])
+            fits = (100 + percent) * bound >= percent * (n + np.maximum(small, self.least[nodes]))
+            nodes, overlap = nodes[fits], overlap[fits]
+            hit = self.has_end[nodes] & ((100 + percent) * overlap >= percent * (n + self.depth[nodes]))
+            for node in nodes[hit].tolist():
                 found.extend(self.ends[node])
-            todo.extend((c, overlap) for c in self.children[node])
         self.mark[x] = False
         return found
 
