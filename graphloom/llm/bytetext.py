@@ -50,7 +50,7 @@ def of_arrow(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1_000_000):
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 400_000):
     """Runs of whole texts of about so many bytes: (first text, end text, bytes, offsets)."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -43,12 +43,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import bytetext
 from graphloom.llm.common import read, written
 
 #: Bits of a position within a piece; the rest of a 64-bit number is for the hash that is smallest.
 _POSITION = 21
+#: Bytes of text that a task works on at once.
+_BATCH = 2_000_000
 _NO_KEY = np.iinfo(np.int64).max
 BLOCKS = "bucket int, payload binary"
 
@@ -74,7 +77,7 @@ class Runs:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> None:
         parts = []
-        for i, _, piece, at in bytetext.pieces(data, offsets, 1_900_000):
+        for i, _, piece, at in bytetext.pieces(data, offsets):
             if len(piece) < 1 << _POSITION:
                 parts.append(self._of(piece, at, i, 0, length, gram))
             else:  # one long text: its windows in turn
@@ -129,33 +132,39 @@ def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bytetext.of_arrow(batch.column(1))
-            keys, marks = _keys(batch.column(0)), _marks(data, offsets)
-            runs = Runs(data, offsets, length, gram)
-            kind = bytetext.mixed(runs.whole ^ bytetext.mixed(runs.sample))
-            key = keys[runs.text]
-            order = np.lexsort((key, kind))
-            first = np.ones(len(order), bool)
-            first[1:] = kind[order][1:] != kind[order][:-1]
-            lead = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
-            gone = order[key[order] > key[lead]]
-            rows = []
-            asked = runs.number * 2
-            for bucket, at in _grouped(gone, _bucket_of(keys, doc_buckets)[runs.text[gone]] if len(gone) else gone):
-                rows.append((-1 - bucket, _packed(key[at], marks[runs.text[at]], asked[at])))
-            rest = order[first]
-            rest = rest[np.argsort(runs.sample[rest], kind="stable")]
-            for bucket, at in _grouped(rest, (runs.sample[rest] % np.uint64(buckets)).astype(np.int64)):
-                texts, which = np.unique(runs.text[at], return_inverse=True)
-                rows.append((bucket, _packed(runs.sample[at], (runs.whole[at] >> np.uint64(32)).astype(np.uint32), which.astype(np.uint16 if len(texts) < 65536 else np.uint32), runs.number[at].astype(np.uint32), keys[texts], marks[texts])))
-            if rows:
-                yield _blocks(rows)
+            every = _keys(batch.column(0))
+            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), _BATCH):
+                if rows := dealt(every[i:j], data, offsets):
+                    yield _blocks(rows)
+
+    def dealt(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
+        marks = _marks(data, offsets)
+        runs = Runs(data, offsets, length, gram)
+        kind = bytetext.mixed(runs.whole ^ bytetext.mixed(runs.sample))
+        key = keys[runs.text]
+        order = np.lexsort((key, kind))
+        first = np.ones(len(order), bool)
+        first[1:] = kind[order][1:] != kind[order][:-1]
+        lead = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
+        gone = order[key[order] > key[lead]]
+        rows = []
+        for bucket, at in _grouped(gone, _bucket_of(keys, doc_buckets)[runs.text[gone]]):
+            rows.append((-1 - bucket, _packed(key[at], marks[runs.text[at]], runs.number[at] * 2)))
+        rest = order[first]
+        rest = rest[np.argsort(runs.sample[rest], kind="stable")]
+        for bucket, at in _grouped(rest, (runs.sample[rest] % np.uint64(buckets)).astype(np.int64)):
+            texts, which = np.unique(runs.text[at], return_inverse=True)
+            short = np.uint16 if len(texts) < 65536 else np.uint32
+            rows.append((bucket, _packed(runs.sample[at], (runs.whole[at] >> np.uint64(32)).astype(np.uint32), which.astype(short), runs.number[at].astype(np.uint32), keys[texts], marks[texts])))
+        return rows
 
     return docs.mapInArrow(deal, BLOCKS)
 
 
 def _grouped(items: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, its items in order) for each group."""
+    if not len(items):
+        return
     order = np.argsort(group, kind="stable")
     values, at = np.unique(group[order], return_index=True)
     for v, part in zip(values.tolist(), np.split(items[order], at[1:]), strict=True):
@@ -217,35 +226,36 @@ def _tasks(df: DataFrame) -> int:
 
 
 def deal_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
-    """Blocks (keys, offsets, bytes, whether the key is null) of documents by key."""
+    """Blocks (keys, offsets, bytes, whether the key is null, other columns) of documents by key."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bytetext.of_arrow(batch.column(1))
-            keys = _keys(batch.column(0))
-            rows = []
-            for bucket, at in _grouped(np.arange(len(keys)), _bucket_of(keys, doc_buckets)):
-                size = (offsets[1:] - offsets[:-1])[at]
-                text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in at])
-                rows.append((bucket, _packed(keys[at], np.concatenate([[0], np.cumsum(size)]), text.tobytes(), batch.column(0).take(pa.array(at)).is_null().to_numpy(zero_copy_only=False))))
-            if rows:
-                yield _blocks(rows)
+            every, null = _keys(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), 4 * _BATCH):
+                keys, rows = every[i:j], []
+                for bucket, at in _grouped(np.arange(len(keys)), _bucket_of(keys, doc_buckets)):
+                    size = (offsets[1:] - offsets[:-1])[at]
+                    text = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in at])
+                    carried = [batch.column(c).slice(i, j - i).take(pa.array(at)) for c in range(2, batch.num_columns)]
+                    rows.append((bucket, _packed(keys[at], np.concatenate([[0], np.cumsum(size)]), text.tobytes(), null[i:j][at], carried)))
+                if rows:
+                    yield _blocks(rows)
 
     return docs.mapInArrow(deal, BLOCKS)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], length: int, gram: int, count: int):
-    """For each block of documents of a bucket: keys, null keys, bytes, offsets, runs, and what the bucket was sent for its runs.
+    """For each block of documents of a bucket: null keys and other columns, keys, bytes, offsets, marks, runs, and what was sent for them.
 
-    What was sent are tuples of arrays: key, mark, number, and count more. It is joined on the documents' keys and marks.
-    Yields (..., text of each match, run of each match, the further arrays of each match).
+    What was sent are tuples of arrays: key, mark, number, and count more. They are joined on the documents' keys and marks,
+    and given as the text of each match and the arrays (number and further ones) of each match.
     """
     for bucket, payloads in _by_bucket(batches):
         sent = [p for p in payloads if type(p[2]) is not bytes]
         columns = [np.concatenate([p[k] for p in sent]) if sent else np.zeros(0, np.int64) for k in range(3 + count)]
         order = np.argsort(columns[0], kind="stable")
         columns = [c[order] for c in columns]
-        for keys, offsets, raw, null in (p for p in payloads if type(p[2]) is bytes):
+        for keys, offsets, raw, null, carried in (p for p in payloads if type(p[2]) is bytes):
             data = np.frombuffer(raw, np.uint8)
             marks = _marks(data, offsets)
             runs = Runs(data, offsets, length, gram)
@@ -255,7 +265,7 @@ def _meet(batches: Iterator[pa.RecordBatch], length: int, gram: int, count: int)
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             fits = columns[1][at] == marks[text]
             text, at = text[fits], at[fits]
-            yield bucket, keys, null, data, offsets, marks, runs, text, [c[at] for c in columns[2:]]
+            yield (null, carried), keys, data, offsets, marks, runs, text, [c[at] for c in columns[2:]]
 
 
 def _intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +296,7 @@ def give_runs(blocks: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, _, data, offsets, marks, runs, text, (number,) in _meet(batches, length, gram, 0):
+        for _, keys, data, offsets, marks, runs, text, (number,) in _meet(batches, length, gram, 0):
             ask = (number & 1).astype(bool)
             number = number >> 1
             run = runs.first[text[ask]] + number[ask]
@@ -414,11 +424,11 @@ def block_windows(found: DataFrame, doc_buckets: int) -> DataFrame:
     return found.mapInArrow(block, BLOCKS)
 
 
-def cut_docs(blocks: DataFrame, length: int, gram: int, key: str, texts: bool) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]): what is left of each document."""
+def cut_docs(blocks: DataFrame, length: int, gram: int, key: str, texts: bool, carry: list[T.StructField]) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept], columns carried): what is left of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, null, data, offsets, _, runs, text, (number, first, last) in _meet(batches, length, gram, 2):
+        for (null, carried), keys, data, offsets, _, runs, text, (number, first, last) in _meet(batches, length, gram, 2):
             plain = number < 0  # first and last are of the text already
             start, end = offsets[text[plain]] + first[plain], offsets[text[plain]] + last[plain] + length - 1
             match, run = _like(runs, text[~plain], number[~plain])
@@ -451,15 +461,19 @@ def cut_docs(blocks: DataFrame, length: int, gram: int, key: str, texts: bool) -
                     rows["kept"].append(left.decode("utf-8", "ignore"))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
             columns = {c: pa.array(v, k) for (c, v), k in zip(rows.items(), kinds, strict=True) if texts or c != "kept"}
-            yield pa.RecordBatch.from_pydict({key: pa.array(keys, pa.int64(), mask=np.asarray(null, bool)), **columns})
+            made = [pa.array(keys, pa.int64(), mask=np.asarray(null, bool)), *columns.values(), *carried]
+            yield pa.RecordBatch.from_arrays(made, [key, *columns, *(f.name for f in carry)])
 
     schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    return _dealt(blocks).mapInArrow(cut, schema + (", kept string" if texts else ""))
+    made = T.StructType.fromDDL(schema + (", kept string" if texts else ""))
+    return _dealt(blocks).mapInArrow(cut, T.StructType([*made.fields, *carry]))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 16, runs_per_bucket: int = 500_000, bytes_per_bucket: int = 16_000_000, hot: int = 50_000, texts: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes[, kept: the text that is left]) of each document."""
-    docs = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 16, runs_per_bucket: int = 250_000, bytes_per_bucket: int = 8_000_000, hot: int = 50_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes[, kept: the text that is left][, columns to carry]) of each document."""
+    others = [docs.schema[c] for c in carry]
+    whole = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text), *carry)
+    docs = whole.select(key, text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // ((length - gram + 2) // 2 * runs_per_bucket)))
     doc_buckets = max(1, -(-size // bytes_per_bucket))
@@ -472,7 +486,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     if many.limit(1).count():
         found = found.unionByName(compare_hot(asked.join(F.broadcast(many), "sample", "left_semi"), length))
     known = given.where("sample is null").select("key", "mark", F.lit(-1).cast("long").alias("number"), F.col("number").alias("first"), F.col("windows").alias("last"))
-    return cut_docs(block_windows(found.unionByName(known), doc_buckets).unionByName(deal_docs(docs, doc_buckets)), length, gram, key, texts)
+    return cut_docs(block_windows(found.unionByName(known), doc_buckets).unionByName(deal_docs(whole, doc_buckets)), length, gram, key, texts, others)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
