@@ -1,15 +1,79 @@
-"""A corpus pipeline of the operators in graphloom.llm."""
+"""A corpus pipeline of operators in graphloom.llm: classify, join near-duplicates, remove repeated passages, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs. All but the last return the
+columns of documents. Between stages, docs are read where the last stage left them.
+
+Defined results: an empty text passes every stage (the classifier judges it by
+its bias) and is packed as its end id; rows repeated under one id count as
+copies, one of them stays; a document without an id always stays; an empty table
+gives an empty result; columns besides those of documents are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import jaccard_join, mixing, packing, quality_classifier, suffix_dedup
+from graphloom.llm.common import read, written
+
+#: Tables of ids that go are broadcast up to so many rows and joined by a shuffle beyond.
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality_classifier.fitted_on(spark, read(spark, sf_dir, "documents"), sf_dir)
+    return docs.where(model.score(F.col("text")) >= quality_classifier.THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    found = jaccard_join.near_duplicates(docs)
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(_small(gone), "doc_id", "left_anti")
+    again = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-again")
+    few = _small(again)
+    return kept.join(few, "doc_id", "left_anti").unionByName(kept.join(few, "doc_id").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand in a document with a smaller id as well."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = suffix_dedup.dedup(docs, texts=True, carry=carry)
+    left = left.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *carry)
+    return left.select(*[c for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
