@@ -51,7 +51,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
     First, votes of up to 127 terms are summed in bytes, eight to a long; then these sums in 32-bit counts, two to a long.
     """
     terms = rows.select(*keys, F.posexplode_outer(term_hashes(F.col(text))).alias("pos", "h0"))
-    terms = terms.select(*keys, F.floor(F.coalesce(F.col("pos"), F.lit(0)) / _CHUNK).cast("int").alias("chunk"), "h0", F.xxhash64("h0").alias("h1"))
+    terms = terms.select(*keys, F.floor(F.coalesce(F.col("pos"), F.lit(0)) / _CHUNK).cast("int").alias("chunk"), "h0", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")).alias("h1"))
     bytes_of = lambda h, i: F.sum(F.shiftrightunsigned(F.col(h), i).bitwiseAND(F.lit(_BYTES)))
     small = terms.groupBy(*keys, "chunk").agg(F.count("h0").alias("n"), *[bytes_of(h, i).alias(f"{h}_{i}") for h in ("h0", "h1") for i in range(8)])
     pair_of = lambda h, i, j: F.sum(F.shiftrightunsigned(F.col(f"{h}_{i}"), 8 * j).bitwiseAND(F.lit(_BYTE_PAIR)))
