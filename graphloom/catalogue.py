@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
-from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, trace
-from graphloom.sources.adapter import Graph, sql
+from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, syntax, trace
+from graphloom.sources import python_ast
+from graphloom.sources.adapter import Graph, python_sources, sql
+from graphloom.streaming import session as session_stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -458,7 +460,11 @@ def upserted_files(g: Graph) -> DataFrame:
 
 
 def _events(g: Graph) -> DataFrame:
-    return g.table("events").select("event_id", F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("state"), "value")
+    return _as_events(g.table("events"))
+
+
+def _as_events(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("state"), "value")
 
 
 _EV = "SELECT event_id, user_id AS session, epoch_us(ts) AS t_at, event_type AS state, value FROM events"
@@ -522,3 +528,49 @@ def trial_arms(g: Graph) -> DataFrame:
 @query("paired_trials", f"WITH m AS (SELECT task, arm, avg(reward) AS reward FROM ({_TRIALS}) GROUP BY 1, 2), a AS (SELECT task, reward AS a, true AS in_a FROM m WHERE arm = 'user'), b AS (SELECT task, reward AS b, true AS in_b FROM m WHERE arm = 'assistant'), j AS (SELECT *, b - a AS d FROM a FULL JOIN b USING (task)) SELECT count(*) FILTER (in_a AND in_b) AS matched, count(*) FILTER (in_a AND in_b AND d IS NOT NULL) AS scored, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, round(avg(d), 6) AS mean_delta, count(*) FILTER (in_b IS NULL) AS control_only, count(*) FILTER (in_a IS NULL) AS treatment_only FROM j")
 def paired_trials(g: Graph) -> DataFrame:
     return evaluation.paired(_trials(g), "user", "assistant")
+
+
+# --- syntax ---------------------------------------------------------------------------------------------------------
+
+_STATEMENTS = "SELECT l_partkey AS file_id, CASE WHEN l_returnflag = 'R' THEN 'handler' WHEN l_returnflag = 'N' THEN 'branch' WHEN l_linestatus = 'F' THEN 'nested' ELSE 'loop' END AS s FROM lineitem"
+
+
+def _nodes(g: Graph) -> DataFrame:
+    return python_ast.nodes(python_sources(g))
+
+
+@query("complexity", f"SELECT file_id, 'order_report_' || file_id AS name, 1 + sum(CASE s WHEN 'nested' THEN 2 ELSE 1 END) AS complexity FROM ({_STATEMENTS}) GROUP BY 1")
+def complexity(g: Graph) -> DataFrame:
+    return syntax.complexity(_nodes(g)).select("file_id", "name", "complexity")
+
+
+@query("nested_loops", f"SELECT file_id, count(*) AS loops FROM ({_STATEMENTS}) WHERE s = 'nested' GROUP BY 1")
+def nested_loops(g: Graph) -> DataFrame:
+    return syntax.nested_loops(_nodes(g)).groupBy("file_id").agg(F.count(F.lit(1)).alias("loops"))
+
+
+@query("lookups_in_loops", f"SELECT file_id, 'total.index' AS name, count(*) AS calls FROM ({_STATEMENTS}) WHERE s = 'nested' GROUP BY 1")
+def lookups_in_loops(g: Graph) -> DataFrame:
+    return syntax.calls_in_loops(_nodes(g), syntax.LOOKUPS).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("swallowed_errors", f"SELECT file_id, count(*) AS handlers FROM ({_STATEMENTS}) WHERE s = 'handler' GROUP BY 1")
+def swallowed_errors(g: Graph) -> DataFrame:
+    return syntax.swallowed(_nodes(g)).groupBy("file_id").agg(F.count(F.lit(1)).alias("handlers"))
+
+
+@query("behavioural_duplicates", "WITH b AS (SELECT l_partkey AS id, string_agg(CASE WHEN l_returnflag = 'R' THEN 'h' WHEN l_returnflag = 'N' THEN 'b' WHEN l_linestatus = 'F' THEN 'n' ELSE 'l' END, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'q' WHEN l_returnflag = 'N' THEN 'p' WHEN l_linestatus = 'F' THEN 'o2' ELSE 'o1' END) AS form FROM lineitem GROUP BY 1), k AS (SELECT id, form, array_to_string(list_sort(list_distinct(list_transform(string_split(form, ''), lambda c: CASE c WHEN 'h' THEN 'load_order' WHEN 'b' THEN 'sort' WHEN 'n' THEN 'index' ELSE 'append' END))), ',') AS calls, len(list_distinct(string_split(form, ''))) AS n FROM b), w AS (SELECT k.*, unnest(['order', 'report']) AS domain FROM k WHERE n >= 3), f AS (SELECT domain, calls, arg_min(form, id) AS form, min(id) AS first_file FROM w GROUP BY 1, 2 HAVING count(DISTINCT form) > 1) SELECT first_file, 'order_report_' || first_file AS first_name, w.id AS file_id, 'order_report_' || w.id AS name, domain FROM w JOIN f USING (domain, calls) WHERE w.form <> f.form")
+def behavioural_duplicates(g: Graph) -> DataFrame:
+    return syntax.behavioural_duplicates(python_ast.functions(python_sources(g)))
+
+
+@query("call_closure", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#1'), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT name FROM r", "symbols", "calls")
+def call_closure(g: Graph) -> DataFrame:
+    pairs = g.calls.where("receiver = 'Brand#1'").join(g.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("caller")), "symbol_id").select("caller", "callee")
+    return syntax.reaching(pairs, g.symbols.where("name = 'small ring'").select("name").unionByName(pairs.where("callee = 'small ring'").select(F.col("callee").alias("name"))))
+
+
+@query("session_decisions", f"WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY session, state ORDER BY t_at, event_id) AS k FROM ({_EV})), f AS (SELECT event_id, session, state, t_at, k, t_at AS anchor FROM e WHERE k = 1 UNION ALL SELECT e.event_id, e.session, e.state, e.t_at, e.k, CASE WHEN e.t_at - f.anchor >= {_DAY} THEN e.t_at ELSE f.anchor END FROM f JOIN e ON e.session = f.session AND e.state = f.state AND e.k = f.k + 1), n AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY session ORDER BY t_at, event_id) IS DISTINCT FROM state THEN 1 ELSE 0 END AS new FROM e), r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t_at, event_id ROWS UNBOUNDED PRECEDING) AS run FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY session, run ORDER BY t_at, event_id) AS attempts FROM r) SELECT event_id, p.session, p.state, attempts, attempts - 1 AS stalled, attempts > 3 OR attempts - 1 >= 2 AS exhausted, anchor <> f.t_at AS replayed FROM p JOIN f USING (event_id)")
+def session_decisions(g: Graph) -> DataFrame:
+    stream = g.spark.readStream.schema(g.table("events").schema).parquet(f"{g.dir}/events.parquet*")
+    return session_stream.worked_off(session_stream.decisions(_as_events(stream), _DAY))

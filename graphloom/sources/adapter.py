@@ -127,5 +127,22 @@ def sql(query: str, *tables: str) -> str:
                 order.append(x)
     if not order:
         return query
+    if query.startswith("WITH RECURSIVE "):
+        return sql("WITH " + query[15:], *tables).replace("WITH ", "WITH RECURSIVE ", 1)
     head = ", ".join(f'"{t}" AS ({SQL[t]})' for t in order)
     return f"WITH {head} {query}" if not query.startswith("WITH ") else f"WITH {head}, {query[5:]}"
+
+
+def python_sources(graph: Graph):
+    """(file_id, text): a Python function for each part, with a statement for each of its line items in order.
+
+    Returned goods are a handler, others a nested loop (status F), a loop, or a branch with a sort.
+    """
+    loop, nested = "    for x in xs:\n        total.append(x)\n", "    for x in xs:\n        for y in x:\n            total.index(y)\n"
+    branch, handler = "    if xs:\n        xs.sort()\n", "    try:\n        load_order(xs)\n    except ValueError:\n        pass\n"
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    text = F.when(flag == "R", handler).when(flag == "N", branch).when(status == "F", nested).otherwise(loop)
+    lines = graph.table("lineitem").select("l_partkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey", text.alias("text")).alias("s"))
+    bodies = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "").alias("body"))
+    head = F.concat(F.lit("def order_report_"), F.col("l_partkey").cast("string"), F.lit("(xs):\n    total = []\n"))
+    return bodies.select(F.col("l_partkey").alias("file_id"), F.concat(head, F.col("body"), F.lit("    return total\n")).alias("text"))
