@@ -367,8 +367,8 @@ def windows_that_go(samples: np.ndarray, keys: np.ndarray, place: np.ndarray, wi
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def compare_runs(asked: DataFrame, length: int, most_rows: int = 100_000) -> DataFrame:
-    """(key, mark, number, first, last): windows that go, of runs that ask, a bucket of whole samples at a time."""
+def compare_runs(asked: DataFrame, length: int, doc_buckets: int, most_rows: int = 50_000) -> DataFrame:
+    """Blocks (key, mark, number, first, last) by document: windows that go, of runs that ask, a bucket of whole samples at a time."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -385,7 +385,7 @@ def compare_runs(asked: DataFrame, length: int, most_rows: int = 100_000) -> Dat
                 first = np.flatnonzero(new)
                 last = np.append(first[1:] - 1, len(row) - 1)
                 r = row[first]
-                yield pa.RecordBatch.from_pydict({"key": keys[r], "mark": marks[r], "number": numbers[r], "first": window[first], "last": window[last]})
+                yield _window_blocks([keys[r], marks[r], numbers[r], window[first], window[last]], doc_buckets)
 
         for batch in batches:
             held.append(batch)
@@ -400,7 +400,11 @@ def compare_runs(asked: DataFrame, length: int, most_rows: int = 100_000) -> Dat
             yield from found(pa.Table.from_batches(held).combine_chunks())
 
     dealt = asked.repartition(_tasks(asked), "sample").sortWithinPartitions("sample")
-    return dealt.mapInArrow(compare, "key long, mark long, number long, first long, last long")
+    return dealt.mapInArrow(compare, BLOCKS)
+
+
+def _window_blocks(columns: list[np.ndarray], doc_buckets: int) -> pa.RecordBatch:
+    return _blocks([(b, _packed(*[c[i] for c in columns])) for b, i in _grouped(np.arange(len(columns[0])), _bucket_of(columns[0], doc_buckets))])
 
 
 def compare_hot(asked: DataFrame, length: int) -> DataFrame:
@@ -416,10 +420,8 @@ def block_windows(found: DataFrame, doc_buckets: int) -> DataFrame:
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(5)]
-            rows = [(b, _packed(*[c[i] for c in columns])) for b, i in _grouped(np.arange(len(batch)), _bucket_of(columns[0], doc_buckets))]
-            if rows:
-                yield _blocks(rows)
+            if len(batch):
+                yield _window_blocks([batch.column(k).to_numpy() for k in range(5)], doc_buckets)
 
     return found.mapInArrow(block, BLOCKS)
 
@@ -482,11 +484,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     asked = given.where("sample is not null")
     many = asked.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("sample")  # fewer than all runs / hot
     many = written(many, "suffix-hot")
-    found = compare_runs(asked.join(F.broadcast(many), "sample", "left_anti"), length)
+    found = compare_runs(asked.join(F.broadcast(many), "sample", "left_anti"), length, doc_buckets)
     if many.limit(1).count():
-        found = found.unionByName(compare_hot(asked.join(F.broadcast(many), "sample", "left_semi"), length))
+        hot_rows = compare_hot(asked.join(F.broadcast(many), "sample", "left_semi"), length)
+        found = found.unionByName(block_windows(hot_rows, doc_buckets))
     known = given.where("sample is null").select("key", "mark", F.lit(-1).cast("long").alias("number"), F.col("number").alias("first"), F.col("windows").alias("last"))
-    return cut_docs(block_windows(found.unionByName(known), doc_buckets).unionByName(deal_docs(whole, doc_buckets)), length, gram, key, texts, others)
+    return cut_docs(found.unionByName(block_windows(known, doc_buckets)).unionByName(deal_docs(whole, doc_buckets)), length, gram, key, texts, others)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
