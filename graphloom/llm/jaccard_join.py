@@ -12,7 +12,7 @@ threshold. Equal sets form a class, and classes are joined:
    candidate groups. Groups are cut into chunks of a bounded number of shingles
    and each pair of chunks goes to one task, so no task holds a large group.
 3. Trees. A task puts its sets, rarest shingles first, into a prefix tree and
-   walks it with each set that it must look up, sharing the overlap of common
+   walks it with the sets that it must look up, sharing the overlap of common
    paths and leaving subtrees whose remaining lengths cannot reach the overlap
    that is needed. Only links that join two parts of a group are returned, so
    no task returns more links than it has sets.
@@ -218,6 +218,33 @@ def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return links
 
 
+def counted_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that join the sets as all of them do, for each set the weight of the sets that it links with).
+
+    With sets of two sides, only links between the sides are looked up: those within a side are another task's.
+    """
+    n = np.zeros(len(sets), np.int64)
+    links: list[tuple[int, int]] = []
+    if len(sets) < 2:
+        return links, n
+    tree = PrefixTree(sets)
+    part = np.arange(len(sets))
+    two = len(np.unique(side)) > 1
+    for i in range(len(sets)):
+        if two and side[i] != side[0]:
+            continue
+        found = np.array(tree.linked(i, percent))
+        found = found[side[found] != side[i]] if two else found[found != i]
+        n[i] += weights[found].sum()
+        if two:
+            n[found] += weights[i]
+        for j in found[part[found] != part[i]].tolist():
+            if part[i] != part[j]:
+                links.append((i, j))
+                part[part == part[j]] = part[i]
+    return links, n
+
+
 def _join(tree: PrefixTree, i: int, percent: int, part: list, members: dict, links: list, largest: int) -> int:
     for j in tree.linked(i, percent):
         a, b = part[i], part[j]
@@ -246,45 +273,60 @@ def candidates(sets: DataFrame) -> DataFrame:
     return components(edges, "jaccard-candidates").select(F.col("id").alias("row"), F.col("root").alias("part"))
 
 
-def links(sets: DataFrame, parts: DataFrame, percent: int, chunk_tokens: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links between rows of sets that join all that link."""
+def links(sets: DataFrame, parts: DataFrame, percent: int, chunk_tokens: int, broadcast_rows: int, count: bool) -> DataFrame:
+    """(a, b, n): links between rows of sets that join all that link, and, if they are to be counted, rows (a, null, n): a links with n documents.
+
+    parts has row, part and copies, the number of documents of the row's class.
+    """
     few = parts.count() <= broadcast_rows
     members = sets.select("row", "n", "tokens").join(F.broadcast(parts) if few else parts, "row")
-    sizes = written(members.groupBy("part").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("rows")), "jaccard-parts")
-    sizes = sizes.select("part", "rows", F.ceil(F.col("sum") / chunk_tokens).cast("int").alias("chunks"))
+    sizes = written(members.groupBy("part").agg(F.sum("n").alias("sum")), "jaccard-parts")
+    sizes = sizes.select("part", F.ceil(F.col("sum") / chunk_tokens).cast("int").alias("chunks"))
     split = sizes.where("chunks > 1")  # fewer than all tokens / chunk_tokens
-    one = members.join(F.broadcast(split.select("part")), "part", "left_anti").select("part", F.lit(0).alias("i"), F.lit(0).alias("j"), "row", "tokens")
+    zero = F.lit(0)
+    one = members.join(F.broadcast(split.select("part")), "part", "left_anti").select("part", zero.alias("i"), zero.alias("j"), "row", "tokens", zero.alias("own"), "copies")
     own = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    many = members.join(F.broadcast(split.select("part", "chunks")), "part").select("part", "row", "tokens", own.alias("own"), other.alias("other"))
-    many = many.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "tokens")
+    many = members.join(F.broadcast(split), "part").select("part", "row", "tokens", "copies", own.alias("own"), other.alias("other"))
+    many = many.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "tokens", "own", "copies")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, sets = None, [], []
+        group, rows, sets, side, copies = None, [], [], [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            if out := joining_links(sets, percent):
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k] for k, _ in out], pa.int64()), pa.array([rows[k] for _, k in out], pa.int64())], ["a", "b"])
+            if count:
+                out, n = counted_links(sets, np.array(copies, np.int64), np.array(side), percent)
+            else:
+                out, n = joining_links(sets, percent), np.zeros(0, np.int64)
+            some = np.flatnonzero(n).tolist()
+            if out or some:
+                a = [rows[k] for k, _ in out] + [rows[k] for k in some]
+                b = [rows[k] for _, k in out] + [None] * len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(out) + n[some].tolist(), pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
             tokens = batch.column(4)
             flat, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
-            for k, (g, row) in enumerate(zip(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True), batch.column(3).to_pylist(), strict=True)):
-                if g != group:
+            plain = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6)]
+            for k, (p, i, j, row, mine, many) in enumerate(zip(*plain, strict=True)):
+                if (p, i, j) != group:
                     yield from found()
-                    group, rows, sets = g, [], []
+                    group, rows, sets, side, copies = (p, i, j), [], [], [], []
                 rows.append(row)
+                side.append(mine)
+                copies.append(many)
                 sets.append(flat[at[k] : at[k + 1]].copy())
         yield from found()
 
     dealt = one.unionByName(many).repartition(partitions_for(sets.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j")
-    return dealt.mapInArrow(walk, "a long, b long")
+    return dealt.mapInArrow(walk, "a long, b long, n long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, chunk_tokens: int = 2_000_000, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(key, n_shingles, component_id, class_id): documents that links join share a component; equal sets share a class.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, chunk_tokens: int = 2_000_000, broadcast_rows: int = 2_000_000, count: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id, class_id[, n_links]): documents that links join share a component; equal sets share a class.
 
-    Both are named by their smallest key; a document with an empty set is a component of its own.
+    Both are named by their smallest key; a document with an empty set is a component of its own. With count, n_links says
+    with how many other documents one links: each candidate is then looked up, where components alone need only some.
     Tables of copies and of candidates are broadcast if they have at most broadcast_rows rows, otherwise joined by a shuffle.
     """
     sets = written(shingled(docs, key, text, words, percent), "jaccard-sets")
@@ -296,16 +338,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     copies = named.where("own <> row").select(F.col("own").alias("row"))
     few = copies.count() <= broadcast_rows
     single = full.join(F.broadcast(copies) if few else copies, "row", "left_anti")
-    parts = candidates(single)
-    joined = components(written(links(single, parts, percent, chunk_tokens, broadcast_rows), "jaccard-links"), "jaccard-components")
+    parts = written(candidates(single).join(classes.select("row", F.col("rows").alias("copies")), "row"), "jaccard-members")
+    made = written(links(single, parts, percent, chunk_tokens, broadcast_rows, count), "jaccard-links")
+    joined = components(made.where("b IS NOT NULL"), "jaccard-components")
     grouped = classes.select("row", "least").join(joined.withColumnRenamed("id", "row"), "row")
     roots = written(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("held")), "jaccard-roots")
     member = join_hot(grouped.select("row", "root"), roots, "root", "held", grouped.count()).select("row", "component_id")
-    held = classes.select("row", "rows").join(member, "row")
+    linked = made.where("b IS NULL").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("links"))
+    held = classes.join(member, "row", "left").join(linked, "row", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")
+    held = held.select("row", "rows", F.coalesce("component_id", "least").alias("component_id"), n_links)
     out = join_hot(named, held, "row", "rows", named.count(), "left")
-    out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "least").alias("component_id"), F.col("least").alias("class_id"))
-    return out.unionByName(sets.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.col("key").alias("class_id")))
+    out = out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("least").alias("class_id"), "n_links")
+    alone = sets.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone) if count else out.unionByName(alone).drop("n_links")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), count=True)

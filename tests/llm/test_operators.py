@@ -127,8 +127,13 @@ def brute_components(texts):
 def test_jaccard_matches_brute_force(docs, options):
     from graphloom.llm.jaccard_join import near_duplicates
 
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, **options).collect()), key=key)
-    assert got == brute_components(TEXTS)
+    made = near_duplicates(docs, count=True, **options).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in made), key=key) == brute_components(TEXTS)
+    sets = [shingles(t) for _, t in TEXTS]
+    n = [sum(180 * len(a & b) >= 80 * (len(a) + len(b)) for j, b in enumerate(sets) if j != i and a and b) for i, a in enumerate(sets)]
+    assert sorted((r.doc_id or -1, r.n_links) for r in made) == sorted((k or -1, x) for (k, _), x in zip(TEXTS, n, strict=True))
+    plain = near_duplicates(docs, **options)
+    assert "n_links" not in plain.columns and sorted(((r.doc_id, r.n_shingles, r.component_id) for r in plain.collect()), key=key) == brute_components(TEXTS)
 
 
 def test_jaccard_empty(spark):
