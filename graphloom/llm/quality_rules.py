@@ -43,8 +43,11 @@ class LineRules:
     max_doubled_share: float = 0.2
     #: A line of at least so many words fails if it has capitals and no small letter.
     min_shout_words: int = 4
-    #: A line fails if it holds a word so many times in a row.
+    #: A line fails if more of it than this share is one word repeated so many times in a row or more.
     max_run: int = 5
+    max_run_share: float = 0.2
+    #: A line of at most so many words fails if it begins as boilerplate does.
+    max_boilerplate_words: int = 25
     #: A document goes if lines with more of its word characters than this share fail.
     max_lost_share: float = 0.5
 
@@ -57,13 +60,13 @@ def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, rules:
     symbol_words = F.regexp_count(line, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*"))
     marked = line.contains("!!") | line.contains("??") | line.contains("!?")
     doubled = F.regexp_count(line, F.lit(r"(?:!!|\?\?|!\?)(?=[\x20\x09-\x0D]|$)"))
-    run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d}" % (rules.max_run - 1)
+    run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d,}" % (rules.max_run - 1)
     return (
         ((symbols > 0) & (symbol_words > rules.max_symbol_share * n))
         | (marked & (doubled > rules.max_doubled_share * n))
         | ((n >= rules.min_shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
-        | ((repeats > 0) & line.rlike(run))
-        | F.lower(F.substring(line, 1, 40)).rlike(r"^\W{0,3}(?:" + "|".join(BOILERPLATE) + ")")
+        | ((repeats > 0) & (F.length(F.regexp_replace(line, run, "")) < (1 - rules.max_run_share) * F.length(line)))
+        | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 40)).rlike(r"^\W{0,3}(?:" + "|".join(BOILERPLATE) + ")"))
     )
 
 
