@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
 from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, syntax, trace
-from graphloom.sources import python_ast
+from graphloom.sources import python_ast, store
 from graphloom.sources.adapter import Graph, python_sources, sql
 from graphloom.streaming import session as session_stream
 
@@ -574,3 +574,64 @@ def call_closure(g: Graph) -> DataFrame:
 def session_decisions(g: Graph) -> DataFrame:
     stream = g.spark.readStream.schema(g.table("events").schema).parquet(f"{g.dir}/events.parquet*")
     return session_stream.worked_off(session_stream.decisions(_as_events(stream), _DAY))
+
+
+# --- extraction and records -----------------------------------------------------------------------------------------
+
+
+@query("extracted_symbols", "SELECT l_partkey AS file_id, 'order_report_' || l_partkey AS qualified, 'function' AS kind, 1 AS start_line, 3 + sum(CASE WHEN l_returnflag = 'R' THEN 4 WHEN l_returnflag = 'N' THEN 2 WHEN l_linestatus = 'F' THEN 3 ELSE 2 END) AS end_line, true AS exported FROM lineitem GROUP BY 1")
+def extracted_symbols(g: Graph) -> DataFrame:
+    return python_ast.tables(python_ast.facts(python_sources(g)))["symbols"].select("file_id", "qualified", "kind", "start_line", "end_line", "exported")
+
+
+@query("extracted_calls", f"SELECT file_id, CASE s WHEN 'handler' THEN 'load_order' WHEN 'branch' THEN 'sort' WHEN 'nested' THEN 'index' ELSE 'append' END AS callee, CASE s WHEN 'handler' THEN NULL WHEN 'branch' THEN 'xs' ELSE 'total' END AS qualifier, count(*) AS n FROM ({_STATEMENTS}) GROUP BY ALL")
+def extracted_calls(g: Graph) -> DataFrame:
+    made = python_ast.tables(python_ast.facts(python_sources(g)))
+    held = made["calls"].join(made["symbols"].select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id")
+    return held.groupBy("file_id", "callee", "qualifier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("symbol_hashes", "SELECT file_id, md5(string_agg(lpad(CAST(start_line AS VARCHAR), 12, '0') || '|' || lpad(CAST(id AS VARCHAR), 20, '0') || '|' || qualified || '|' || kind, chr(10) ORDER BY start_line, id)) AS symbols_hash FROM symbols GROUP BY 1", "symbols")
+def symbol_hashes(g: Graph) -> DataFrame:
+    return findings.fingerprints(g.symbols)
+
+
+@query("session_keys", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS session FROM events")
+def session_keys(g: Graph) -> DataFrame:
+    return findings.session_keys(g.table("events").select("event_id", F.col("props").alias("payload")))
+
+
+@query("climbability", "SELECT o_orderkey AS id, 20 * (CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_custkey % 3 = 0 AS INT) + CAST(o_orderstatus = 'F' AS INT) + CAST(o_totalprice > 100000 AS INT) + CAST(o_orderpriority = '1-URGENT' AS INT)) AS score FROM orders")
+def climbability(g: Graph) -> DataFrame:
+    c = F.col
+    has = {"has_metric": c("o_orderkey") % 2 == 0, "has_baseline": c("o_custkey") % 3 == 0, "has_target": c("o_orderstatus") == "F", "has_command": c("o_totalprice") > 100000, "has_scope": c("o_orderpriority") == "1-URGENT"}
+    return findings.climbability(g.table("orders").withColumns(has)).select(c("o_orderkey").alias("id"), "score")
+
+
+@query("added_placeholders", "WITH n AS (SELECT 'p' || l_suppkey AS path, l_orderkey * 8 + l_linenumber AS line, 'todo!(\"' || l_returnflag || '\")' AS evidence, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey * 8 + l_linenumber) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_returnflag FROM lineitem)), k AS (SELECT path, evidence, count(*) AS k FROM n WHERE line % 5 = 0 GROUP BY 1, 2) SELECT path, line, evidence FROM n LEFT JOIN k USING (path, evidence) WHERE n > coalesce(k, 0)")
+def added_placeholders(g: Graph) -> DataFrame:
+    rows = g.table("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    now = rows.select(F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("ln"), F.concat(F.lit('  todo!("'), "l_returnflag", F.lit('")')).alias("line"))
+    return findings.added_placeholders(now, now.where("ln % 5 = 0"))
+
+
+@query("reconciled_commands", "WITH c AS (SELECT DISTINCT p_brand AS name, min(p_partkey) OVER (PARTITION BY p_brand) AS place FROM part WHERE p_size < 3), d AS (SELECT s_name AS name, s_suppkey AS place FROM supplier UNION ALL SELECT p_brand, min(p_partkey) FROM part GROUP BY 1) SELECT name, place FROM c UNION ALL SELECT name, min(d.place) + (SELECT coalesce(max(place) + 1, 0) FROM c) FROM d WHERE name NOT IN (SELECT name FROM c) GROUP BY name")
+def reconciled_commands(g: Graph) -> DataFrame:
+    by_brand = lambda df: df.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("place")).withColumn("command", F.col("name"))
+    detected = g.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("place"), F.col("s_name").alias("command")).unionByName(by_brand(g.table("part")))
+    return findings.reconciled(by_brand(g.table("part").where("p_size < 3")), detected).select("name", "place")
+
+
+@query("registry", "SELECT o_custkey AS root, max(o_orderdate) AS indexed_at, count(*) AS updates FROM orders GROUP BY 1")
+def registry(g: Graph) -> DataFrame:
+    rows = g.table("orders").select(F.col("o_custkey").alias("root"), F.col("o_orderdate").alias("indexed_at"))
+    return store.latest(rows, "root", "indexed_at").join(rows.groupBy("root").agg(F.count(F.lit(1)).alias("updates")), "root")
+
+
+@query("nested_entries", "SELECT f.id AS file_id, (SELECT count(*) FROM symbols s WHERE s.file_id = f.id) AS symbols, (SELECT count(*) FROM symbols s JOIN calls c ON c.symbol_id = s.id WHERE s.file_id = f.id) AS calls, (SELECT count(*) FROM imports i WHERE i.file_id = f.id) AS imports FROM files f", "files", "symbols", "calls", "imports")
+def nested_entries(g: Graph) -> DataFrame:
+    held = index.nested_entries(g.files, g.symbols, g.calls, g.imports)
+    inner = F.aggregate("symbols", F.lit(0), lambda a, s: a + F.coalesce(F.size(s["calls"]), F.lit(0)))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    return held.select("file_id", n(size("symbols")).alias("symbols"), n(inner).alias("calls"), n(size("imports")).alias("imports"))

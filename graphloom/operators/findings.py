@@ -147,3 +147,42 @@ def hunk_ranges(diff: DataFrame) -> DataFrame:
     start, count = F.regexp_extract("line", hunk, 1), F.regexp_extract("line", hunk, 2)
     held = held.where(start != "").select("path", start.cast("long").alias("start"), F.coalesce(F.nullif(count, F.lit("")).cast("long"), F.lit(1)).alias("count"))
     return held.where("path IS NOT NULL AND count > 0").select("path", "start", (F.col("start") + F.col("count") - 1).alias("end"))
+
+
+#: Marks of unfinished code (fixed values).
+PLACEHOLDERS = r"(?:todo!|unimplemented!|NotImplementedError|NotImplementedException|raise NotImplemented\b|throw new Error\([\"']not implemented)"
+
+
+def added_placeholders(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, line, evidence) of unfinished code in now (path, ln, line) beyond as many of the same text as before has in the path."""
+    mark = lambda df: df.where(F.col("line").rlike(PLACEHOLDERS)).withColumn("evidence", F.trim("line"))
+    rank = Window.partitionBy("path", "evidence").orderBy("ln")
+    known = mark(before).groupBy("path", "evidence").agg(F.count(F.lit(1)).alias("k"))
+    held = mark(now).withColumn("n", F.row_number().over(rank)).join(known, ["path", "evidence"], "left")
+    return held.where(F.col("n") > F.coalesce("k", F.lit(0))).select("path", F.col("ln").alias("line"), "evidence")
+
+
+def fingerprints(symbols: DataFrame) -> DataFrame:
+    """(file_id, symbols_hash): a digest of the symbols of each file in the order of their lines."""
+    one = F.concat_ws("|", F.lpad(F.col("start_line").cast("string"), 12, "0"), F.lpad(F.col("id").cast("string"), 20, "0"), "qualified", "kind")
+    return symbols.groupBy("file_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list(one)), "\n").cast("binary")).alias("symbols_hash"))
+
+
+def reconciled(commands: DataFrame, detected: DataFrame) -> DataFrame:
+    """(name, command, place): commands in their order, then detected ones (name, command, place) of new names, the first of each."""
+    first = Window.partitionBy("name").orderBy("place")
+    new = detected.join(commands.select("name"), "name", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    most = commands.agg(F.coalesce(F.max("place") + 1, F.lit(0)).alias("_most"))
+    return commands.select("name", "command", "place").unionByName(new.crossJoin(F.broadcast(most)).select("name", "command", (F.col("place") + F.col("_most")).alias("place")))
+
+
+def climbability(tasks: DataFrame) -> DataFrame:
+    """tasks with score: twenty points for each of five things that a task has."""
+    points = [F.col(c).cast("int") * 20 for c in ("has_metric", "has_baseline", "has_target", "has_command", "has_scope")]
+    return tasks.withColumn("score", sum(points[1:], points[0]).cast("long"))
+
+
+def session_keys(payloads: DataFrame) -> DataFrame:
+    """(event_id, session): the first key that a JSON payload has, in the order of precedence."""
+    names = ("session_id", "sessionId", "conversation_id", "conversationId", "thread_id", "k")
+    return payloads.select("event_id", F.coalesce(*[F.get_json_object("payload", f"$.{n}") for n in names]).alias("session"))

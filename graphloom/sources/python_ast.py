@@ -116,3 +116,114 @@ def functions(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
 
     return sources.select("file_id", "text").mapInPandas(extract, FUNCTIONS)
+
+
+FACTS = (
+    "file_id long, imports array<string>, exports array<string>, symbols array<struct<name: string, container: string, qualified: string, kind: string, start_line: long, end_line: long, signature: string, "
+    "exported: boolean, route_method: string, route_path: string, extends array<string>, calls array<struct<callee: string, receiver: string, qualifier: string, line: long, character: long>>, "
+    "links array<struct<method: string, url: string>>>>"
+).replace("extends array", "extends: array").replace("calls array", "calls: array").replace("links array", "links: array")
+_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+
+
+def _called(node: ast.Call) -> tuple[str, str | None]:
+    """(name, what stands before it)."""
+    if isinstance(node.func, ast.Attribute):
+        return node.func.attr, ast.unparse(node.func.value)
+    return ast.unparse(node.func), None
+
+
+def _route(decorators: list[ast.expr]) -> tuple[str | None, str | None]:
+    """Verb and path of a decorator such as @app.get("/x") or @app.route("/x", methods=["POST"])."""
+    for d in decorators:
+        if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
+            verb = d.func.attr.lower()
+            if verb in _VERBS:
+                return verb.upper(), d.args[0].value
+            if verb == "route":
+                stated = [ast.literal_eval(k.value) for k in d.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))]
+                return (str(stated[0][0]).upper() if stated and stated[0] else "GET"), d.args[0].value
+    return None, None
+
+
+def _calls_of(body: ast.FunctionDef | ast.AsyncFunctionDef, container: str | None, types: set[str]) -> tuple[list[dict], list[dict]]:
+    """(calls, outbound links) of a function. A receiver is the own class, or the one type that a local name is made from."""
+    inside = [n for statement in body.body for n in ast.walk(statement)]  # not the decorators
+    made: dict[str, set[str]] = {}
+    for node in inside:
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            made.setdefault(node.targets[0].id, set()).add(_called(node.value)[0])
+    calls, links = [], []
+    for node in (n for n in inside if isinstance(n, ast.Call)):
+        name, before = _called(node)
+        receiver = None
+        if before in ("self", "cls"):
+            receiver = container
+        elif before in made and len(made[before]) == 1 and (only := next(iter(made[before]))) and (only in types or only[:1].isupper()):
+            receiver = only
+        elif before is not None and (before in types or before[:1].isupper() and before.isidentifier()):
+            receiver = before
+        calls.append({"callee": name, "receiver": receiver, "qualifier": before, "line": node.lineno, "character": node.col_offset})
+        if name.lower() in (*_VERBS, "request") and node.args:
+            urls = [a.value for a in node.args if isinstance(a, ast.Constant) and isinstance(a.value, str) and ("://" in a.value or a.value.startswith("/"))]
+            links += [{"method": None if name.lower() == "request" else name.upper(), "url": u} for u in urls[:1]]
+    return calls, links
+
+
+def file_facts(text: str) -> tuple[list[str], list[str], list[dict]]:
+    """(imports, exports, symbols) of a source; nothing of one that cannot be parsed."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [], [], []
+    types = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
+    imports = {a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names} | {n.module for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module}
+    lines = text.splitlines()
+    symbols: list[dict] = []
+    todo: list[tuple[ast.AST, str | None]] = [(n, None) for n in reversed(tree.body)]
+    while todo:
+        node, container = todo.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            is_type = isinstance(node, ast.ClassDef)
+            verb, path = (None, None) if is_type else _route(node.decorator_list)
+            calls, links = ([], []) if is_type else _calls_of(node, container, types)
+            symbols.append(
+                {
+                    "name": node.name, "container": container, "qualified": f"{container}.{node.name}" if container else node.name,
+                    "kind": "type" if is_type else "route" if path else "method" if container else "function", "start_line": node.lineno, "end_line": node.end_lineno,
+                    "signature": lines[node.lineno - 1].strip()[:200], "exported": not node.name.startswith("_"), "route_method": verb, "route_path": path,
+                    "extends": [ast.unparse(b).rpartition(".")[2] for b in node.bases] if is_type else [], "calls": calls, "links": links,
+                }
+            )
+            todo += [(n, node.name if is_type else container) for n in reversed(node.body)]
+    return sorted(imports), sorted({s["name"] for s in symbols if s["exported"] and not s["container"]}), symbols
+
+
+def facts(sources: DataFrame) -> DataFrame:
+    """A nested document for each source (file_id, text): imports, exports and symbols with their calls, bases, routes and links."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(int(file_id), *file_facts(text or "")) for file_id, text in zip(batch["file_id"], batch["text"], strict=True)]
+            yield pd.DataFrame(rows, columns=["file_id", "imports", "exports", "symbols"])
+
+    return sources.select("file_id", "text").mapInPandas(extract, FACTS)
+
+
+def tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """The graph tables of nested documents; a symbol's id is a hash of its file, name and line."""
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.text import module_stem
+
+    one = documents.select("file_id", F.explode("symbols").alias("s")).withColumn("id", F.xxhash64("file_id", "s.qualified", "s.start_line"))
+    plain = [c for c in ("name", "container", "qualified", "kind", "start_line", "end_line", "signature", "exported", "route_method", "route_path")]
+    of = lambda c: one.select(F.col("id").alias("symbol_id"), F.explode(f"s.{c}").alias("x"))
+    return {
+        "symbols": one.select("id", "file_id", *[F.col(f"s.{c}").alias(c) for c in plain]),
+        "calls": of("calls").select("symbol_id", "x.*"),
+        "extends": of("extends").select("symbol_id", F.col("x").alias("name")),
+        "service_links": of("links").select("symbol_id", "x.*"),
+        "imports": documents.select("file_id", F.explode("imports").alias("module")).withColumn("stem", module_stem(F.col("module"))),
+        "exports": documents.select("file_id", F.explode("exports").alias("name")),
+    }

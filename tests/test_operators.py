@@ -240,3 +240,14 @@ def test_evaluation(spark):
     got = evaluation.paired(trials, "c", "t").first()
     assert (got.matched, got.scored, got.wins, got.mean_delta, got.control_only) == (2, 1, 1, 1.0, 1)
     assert evaluation.precision_recall(spark.createDataFrame([], "expected boolean, found boolean")).first().precision == 1.0
+
+
+def test_extraction(spark):
+    text = 'import os\nfrom a.b import c\nclass Base:\n    pass\nclass Api(Base):\n    @app.post("/users/<id>")\n    def create(self):\n        self.save()\n        x = Store()\n        x.put(1)\n        requests.get("https://h/users/7")\n    def _hide(self):\n        os.getcwd()\n'
+    made = python_ast.tables(python_ast.facts(spark.createDataFrame([(1, text), (2, "def ("), (3, None)], "file_id long, text string")))
+    assert rows(made["symbols"].select("qualified", "kind", "exported", "route_method", "route_path")) == [
+        ("Api", "type", True, None, None), ("Api._hide", "method", False, None, None), ("Api.create", "route", True, "POST", "/users/<id>"), ("Base", "type", True, None, None)
+    ]
+    assert rows(made["calls"].select("callee", "receiver", "qualifier")) == [("Store", None, None), ("get", None, "requests"), ("getcwd", None, "os"), ("put", "Store", "x"), ("save", "Api", "self")]
+    assert rows(made["extends"].select("name")) == [("Base",)] and rows(made["imports"].select("module", "stem")) == [("a.b", "b"), ("os", "os")]
+    assert rows(made["exports"].select("name")) == [("Api",), ("Base",)] and rows(made["service_links"].select("method", "url")) == [("GET", "https://h/users/7")]
