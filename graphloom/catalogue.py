@@ -635,3 +635,20 @@ def nested_entries(g: Graph) -> DataFrame:
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return held.select("file_id", n(size("symbols")).alias("symbols"), n(inner).alias("calls"), n(size("imports")).alias("imports"))
+
+
+@query("operations_in_loops", f"SELECT file_id, 'total.index' AS name, 'DB-001' AS rule_id, 'error' AS severity, count(*) AS n FROM ({_STATEMENTS}) WHERE s = 'nested' AND file_id % 2 = 0 GROUP BY 1 UNION ALL SELECT file_id, 'total.index', 'DB-002', 'info', count(*) FROM ({_STATEMENTS}) WHERE s = 'nested' AND file_id % 2 = 1 GROUP BY 1")
+def operations_in_loops(g: Graph) -> DataFrame:
+    ids = g.table("part").select(F.col("p_partkey").alias("file_id"))
+    imports = ids.where("file_id % 2 = 0").withColumn("module", F.lit("sqlite3.dbapi2"))
+    origin = syntax.provenance(imports, syntax.DATABASE_MODULES, ids.select("file_id", F.lit("total").alias("name"), F.lit("sqlite3").alias("source")))
+    found = syntax.operations_in_loops(_nodes(g), ("index",), origin, "DB")
+    return found.groupBy("file_id", "name", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("open_routes", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#3' AND c.line = 1), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT id, qualified, 'POST' AS route_method FROM symbols WHERE route_path IS NOT NULL AND name NOT IN (SELECT name FROM r)", "symbols", "calls")
+def open_routes(g: Graph) -> DataFrame:
+    auth = lambda c: F.when(F.col(c) == "small ring", F.lit("auth ring")).otherwise(F.col(c))
+    symbols = g.symbols.withColumn("route_method", F.when(F.col("route_path").isNotNull(), F.lit("POST"))).withColumn("name", auth("name"))
+    calls = g.calls.where("receiver = 'Brand#3' AND line = 1").withColumn("callee", auth("callee"))
+    return syntax.open_routes(symbols, calls)

@@ -144,7 +144,7 @@ def service_edges(links: DataFrame, routes: DataFrame) -> DataFrame:
 
     Routes and links meet by number of segments. Routes are far fewer than links.
     """
-    link = links.withColumn("_n", F.monotonically_increasing_id()).withColumn("segments", tx.url_segments(F.col("url"))).withColumn("k", F.size("segments"))
+    link = links.distinct().withColumn("segments", tx.url_segments(F.col("url"))).withColumn("k", F.size("segments"))
     to = routes.select("qualified", "path", "route_method", "route_path", tx.route_segments(F.col("route_path")).alias("own")).withColumn("k", F.size("own"))
     method = F.col("method").isNull() | F.col("route_method").isNull() | (F.lower("method") == F.lower("route_method"))
     fits = link.join(to, "k").where(method & tx.segments_match(F.col("own"), F.col("segments")))

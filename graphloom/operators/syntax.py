@@ -125,3 +125,73 @@ def tainted_sinks(statements: DataFrame, sources: tuple[str, ...], sinks: tuple[
         return pd.DataFrame(found, columns=["file_id", "function", "line", "sink", "variable"])
 
     return statements.groupBy("file_id", "function").applyInPandas(fold, TAINTED)
+
+
+#: Names that open a database or a network operation (fixed values).
+DATABASE_CALLS = ("execute", "executemany", "fetchone", "fetchall", "query", "find_one", "aggregate")
+NETWORK_CALLS = ("get", "post", "put", "patch", "delete", "request", "urlopen")
+DATABASE_MODULES = ("sqlite3", "psycopg2", "pymongo", "sqlalchemy", "mysql", "asyncpg")
+NETWORK_MODULES = ("requests", "httpx", "urllib", "aiohttp")
+
+
+def provenance(imports: DataFrame, modules: tuple[str, ...], bindings: DataFrame, rounds: int = 4) -> DataFrame:
+    """(file_id, name): names of a file that come from one of the modules: the imports, and what is assigned from such names.
+
+    bindings are (file_id, name, source) of assignments; a name is followed through at most so many of them.
+    """
+    from graphloom.operators.trace import _cut
+
+    known = imports.where(F.substring_index("module", ".", 1).isin(*modules)).select("file_id", F.substring_index("module", ".", 1).alias("name")).distinct()
+    for _ in range(rounds):
+        more = bindings.join(known.withColumnRenamed("name", "source"), ["file_id", "source"]).select("file_id", "name")
+        known = _cut(known.unionByName(more).distinct())
+    return known
+
+
+def operations_in_loops(nodes: DataFrame, names: tuple[str, ...], origin: DataFrame, rule: str) -> DataFrame:
+    """(file_id, start_line, name, rule_id, severity): calls of these names in loops.
+
+    A call whose first name comes from a module of the kind is sure; others only have the name, and are information.
+    """
+    found = calls_in_loops(nodes, names)
+    sure = origin.select("file_id", F.col("name").alias("_first"), F.lit(True).alias("_sure"))
+    held = found.withColumn("_first", F.substring_index("name", ".", 1)).join(sure, ["file_id", "_first"], "left")
+    strong = F.coalesce("_sure", F.lit(False))
+    number = F.when(strong, F.lit(f"{rule}-001")).otherwise(F.lit(f"{rule}-002"))
+    severity = F.when(strong, F.lit("error" if rule == "DB" else "warning")).otherwise(F.lit("info"))
+    return held.select("file_id", "start_line", "name", number.alias("rule_id"), severity.alias("severity"))
+
+
+def dynamic_execution(nodes: DataFrame) -> DataFrame:
+    """(file_id, start_line, name): code run from anything but a literal."""
+    calls = nodes.where("kind = 'call' AND name IN ('eval', 'exec', 'compile')")
+    return calls.where(~F.col("text").rlike(r"^\w+\(\s*[rbuf]?[\"']")).select("file_id", "start_line", "name")
+
+
+def unsafe_deserialization(nodes: DataFrame) -> DataFrame:
+    """(file_id, start_line, name): loads that can build any object; yaml.load unless it says which safe loader it takes."""
+    always = F.col("name").isin("pickle.load", "pickle.loads", "marshal.load", "marshal.loads", "dill.load", "dill.loads", "shelve.open")
+    yaml = (F.col("name") == "yaml.load") & ~F.lower("text").contains("safeloader")
+    return nodes.where((F.col("kind") == "call") & (always | yaml)).select("file_id", "start_line", "name")
+
+
+def unbounded_parallel(nodes: DataFrame) -> DataFrame:
+    """(file_id, start_line, name): everything of a collection started at once, without a bound."""
+    calls = nodes.where((F.col("kind") == "call") & F.substring_index("name", ".", -1).isin("gather", "wait", "as_completed", "join_all"))
+    loops = nodes.where("kind = 'loop'").select("file_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"))
+    held = calls.join(loops, (calls["file_id"] == loops["file_id"]) & (loops["_pre"] > calls["pre"]) & (loops["_post"] < calls["post"]), "left_semi")
+    return held.select("file_id", "start_line", "name")
+
+
+#: Words that say that a route checks who asks (fixed values).
+ACCESS_WORDS = ("auth", "login_required", "permission", "require_user", "current_user", "token")
+
+
+def open_routes(symbols: DataFrame, calls: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, qualified, route_method): routes that change something and neither check access nor call what does."""
+    named = calls.join(symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("caller")), "symbol_id").select("caller", "callee")
+    checks = lambda c: F.lower(c).rlike("|".join(ACCESS_WORDS))
+    marked = named.where(checks("callee")).select(F.col("callee").alias("name")).unionByName(symbols.where(checks("name")).select("name"))
+    safe = reaching(named, marked, rounds)
+    routes = symbols.where(F.col("route_path").isNotNull() & F.upper("route_method").isin("POST", "PUT", "PATCH", "DELETE"))
+    return routes.join(safe, "name", "left_anti").select("id", "qualified", "route_method")

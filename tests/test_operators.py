@@ -251,3 +251,17 @@ def test_extraction(spark):
     assert rows(made["calls"].select("callee", "receiver", "qualifier")) == [("Store", None, None), ("get", None, "requests"), ("getcwd", None, "os"), ("put", "Store", "x"), ("save", "Api", "self")]
     assert rows(made["extends"].select("name")) == [("Base",)] and rows(made["imports"].select("module", "stem")) == [("a.b", "b"), ("os", "os")]
     assert rows(made["exports"].select("name")) == [("Api",), ("Base",)] and rows(made["service_links"].select("method", "url")) == [("GET", "https://h/users/7")]
+
+
+def test_security_rules(spark):
+    text = "import yaml\ndef f(x):\n    eval(x)\n    eval('1')\n    yaml.load(x)\n    yaml.load(x, Loader=yaml.SafeLoader)\n    pickle.loads(x)\n    asyncio.gather(*[g(i) for i in x])\n    asyncio.gather(a(), b())\n"
+    nodes = python_ast.nodes(spark.createDataFrame([(1, text)], "file_id long, text string")).cache()
+    assert rows(syntax.dynamic_execution(nodes).select("start_line")) == [(3,)]
+    assert rows(syntax.unsafe_deserialization(nodes).select("start_line")) == [(5,), (7,)]
+    assert rows(syntax.unbounded_parallel(nodes).select("start_line")) == [(8,)]
+
+
+def test_open_routes(spark):
+    symbols = spark.createDataFrame([(1, "save", "save", "/a", "POST"), (2, "drop", "drop", "/b", "delete"), (3, "show", "show", "/c", "GET"), (4, "guard", "guard", None, None)], "id long, name string, qualified string, route_path string, route_method string")
+    calls = spark.createDataFrame([(1, "guard"), (4, "check_permission")], "symbol_id long, callee string")
+    assert rows(syntax.open_routes(symbols, calls)) == [(2, "drop", "delete")]
