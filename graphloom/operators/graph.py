@@ -153,24 +153,31 @@ def service_edges(links: DataFrame, routes: DataFrame) -> DataFrame:
     return links.alias("l").join(first.alias("f"), keys, "left").select("l.symbol_id", "l.method", "l.url", F.col("f.r.qualified").alias("route"))
 
 
-def edges(graph, relation: str) -> DataFrame:
-    """(a, b): the ids that a relation joins, of a graph with files, symbols, symbol_rows, calls, extends, imports, service_links and routes."""
+def edges(graph, relation: str, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """(a, b): the ids that a relation joins, of a graph with files, symbols, symbol_rows, calls, extends, imports, service_links and routes.
+
+    left and right, tables with the ids of interest, thin what is joined before names meet and rows multiply.
+    """
     if relation not in RELATIONS:
         raise ValueError(f"no such relation: {relation}; there are {', '.join(sorted(RELATIONS))}")
+
+    def only(table: DataFrame, ids: DataFrame | None, column: str = "id") -> DataFrame:
+        return table if ids is None else table.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
     if relation == "CALLS":
-        return callees(graph.calls, graph.symbols).toDF("a", "b")
+        return callees(only(graph.calls, left, "symbol_id"), only(graph.symbols, right)).toDF("a", "b")
     if relation == "CALLED_BY":
-        return callers(graph.calls, graph.symbols).select("id", "caller_id").toDF("a", "b")
+        return callers(only(graph.calls, right, "symbol_id"), only(graph.symbols, left)).select("id", "caller_id").toDF("a", "b")
     if relation == "EXTENDS":
-        return supertypes(graph.extends, graph.symbol_rows).toDF("a", "b")
+        return supertypes(only(graph.extends, left, "symbol_id"), graph.symbol_rows).toDF("a", "b")
     if relation == "IMPLEMENTED_BY":
-        return implementors(graph.extends, graph.symbols).toDF("a", "b")
+        return implementors(only(graph.extends, right, "symbol_id"), only(graph.symbols, left)).toDF("a", "b")
     if relation == "CONTAINS":
-        return graph.symbols.select("file_id", "id").toDF("a", "b")
+        return only(graph.symbols, right).select("file_id", "id").toDF("a", "b")
     if relation == "ROUTES_TO":
-        found = service_edges(graph.service_links, graph.symbols.where("route_path IS NOT NULL").join(graph.files.select(F.col("id").alias("file_id"), "path"), "file_id"))
+        found = service_edges(only(graph.service_links, left, "symbol_id"), graph.symbols.where("route_path IS NOT NULL").join(graph.files.select(F.col("id").alias("file_id"), "path"), "file_id"))
         return found.join(graph.symbols.select("id", F.col("qualified").alias("route")), "route").select("symbol_id", "id").toDF("a", "b")
-    return imported_files(graph.imports, graph.files).toDF("a", "b")
+    return imported_files(only(graph.imports, left, "file_id"), graph.files).toDF("a", "b")
 
 
 def match_edges(graph, left: str, relation: str, right: str, where: tuple[dict[str, str], dict[str, str]] = ({}, {}), returns: tuple[str, ...] = ("a.name", "b.name"), limit: int | None = None) -> DataFrame:
@@ -179,8 +186,9 @@ def match_edges(graph, left: str, relation: str, right: str, where: tuple[dict[s
     for want, got in zip(file_like.get(relation, (None, None)), (left, right), strict=True):
         if (want == "File") != (got == "File"):
             raise ValueError(f"{relation} does not join {left} and {right}")
-    ends = [filtered(nodes(graph.symbol_rows, graph.files, label), f).alias(x) for label, f, x in ((left, where[0], "a"), (right, where[1], "b"))]
-    found = edges(graph, relation).alias("e").join(ends[0], F.col("e.a") == F.col("a.id")).join(ends[1], F.col("e.b") == F.col("b.id"))
+    a, b = (filtered(nodes(graph.symbol_rows, graph.files, label), f) for label, f in ((left, where[0]), (right, where[1])))
+    found = edges(graph, relation, a if where[0] else None, b if where[1] else None).alias("e")
+    found = found.join(a.alias("a"), F.col("e.a") == F.col("a.id")).join(b.alias("b"), F.col("e.b") == F.col("b.id"))
     if limit is not None:
         found = found.orderBy("a._path", "a._line", "a.id", "b._path", "b._line", "b.id").limit(limit)
     return found.select(*[F.col(r).alias(r.replace(".", "_")) for r in returns])

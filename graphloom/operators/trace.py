@@ -35,16 +35,21 @@ def trace(calls: DataFrame, symbol_rows: DataFrame, query: str, direction: str =
     origin = find_symbols(symbol_rows, query).orderBy("path", "start_line", "id").limit(1)
     level = _cut(origin.select("id", "qualified", F.lit(direction).alias("direction"), F.lit(0).cast("long").alias("seq")))
     reached = level.select("id")
-    edges = []
-    if direction in ("inbound", "both"):
-        edges.append(callers(calls, symbol_rows).select("id", F.col("caller_id").alias("to")).withColumn("way", F.lit("inbound")))
-    if direction in ("outbound", "both"):
-        edges.append(callees(calls, symbol_rows).select(F.col("symbol_id").alias("id"), F.col("id").alias("to")).withColumn("way", F.lit("outbound")))
-    every = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
+
+    def edges_of(ids: DataFrame) -> DataFrame:
+        """(id, to, way) from the symbols of a level alone: names meet only theirs."""
+        ways = []
+        if direction in ("inbound", "both"):
+            ways.append(callers(calls, symbol_rows.join(ids, "id", "left_semi")).select("id", F.col("caller_id").alias("to"), F.lit("inbound").alias("way")))
+        if direction in ("outbound", "both"):
+            made = calls.join(ids.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
+            ways.append(callees(made, symbol_rows).select(F.col("symbol_id").alias("id"), F.col("id").alias("to"), F.lit("outbound").alias("way")))
+        return ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+
     found: DataFrame | None = None
     for step in range(1, depth + 1):
         onward = level.select("id", F.col("qualified").alias("via"), "direction", F.col("seq").alias("from_seq"))
-        next_ = onward.join(every, "id").where((F.col("direction") == "both") | (F.col("direction") == F.col("way")))
+        next_ = onward.join(edges_of(level.select("id")), "id").where((F.col("direction") == "both") | (F.col("direction") == F.col("way")))
         next_ = next_.select(F.col("to").alias("id"), "via", "way", "from_seq").join(reached, "id", "left_anti").join(at, "id")
         first = Window.partitionBy("id").orderBy("from_seq", "way", "via")
         next_ = next_.withColumn("rn", F.row_number().over(first)).where("rn = 1")
