@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import jaccard_join, mixing, packing, quality_classifier, suffix_dedup
+from graphloom.llm import common, jaccard_join, mixing, packing, quality_classifier, suffix_dedup
 from graphloom.llm.common import read, written
 
 #: Tables of ids that go are broadcast up to so many rows and joined by a shuffle beyond.
@@ -42,17 +42,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(few, "doc_id", "left_anti").unionByName(kept.join(few, "doc_id").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[str], list]:
+    """docs with columns besides those of documents under names that clash with nothing, these names, and how to get all back."""
+    own = ("doc_id", "text", "lang", "source", "n_chars")
+    names = {c: c if c in own else f"_extra_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select([F.col(c).alias(n) for c, n in names.items()]), list(names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in a document with a smaller id as well."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = suffix_dedup.dedup(docs, texts=True, carry=carry)
-    left = left.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *carry)
-    return left.select(*[c for c in docs.columns])
+    plain, names, back = _aside(docs)
+    carry = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
+    left = suffix_dedup.dedup(plain, texts=True, carry=carry)
+    return left.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *carry).select(back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    plain, names, back = _aside(docs)
+    return mixing.emit(mixing.mix(plain)).select(names).select(back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +68,30 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+#: Intermediate tables of the stage before: they go when the next stage begins, as its docs are written by then.
+_before: list[str] = []
+
+
+def _in_turn(stage, first: bool = False):
+    """The stage, with the tables that the stage before it made along its way deleted first."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            common.drop_folders(spark, _before)
+        since = len(common.made)
+        out = stage(spark, docs, sf_dir)
+        _before[:] = common.made[since:]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", quality),
-    ("jaccard_join", near_duplicates),
-    ("suffix_dedup", repeated_passages),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("quality_classifier", _in_turn(quality, True)),
+    ("jaccard_join", _in_turn(near_duplicates)),
+    ("suffix_dedup", _in_turn(repeated_passages)),
+    ("mixing", _in_turn(mixed)),
+    ("packing", _in_turn(packed)),
 ]
 
 #: SQL cannot express the stages; tests hold them against brute force.

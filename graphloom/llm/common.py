@@ -52,14 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that written() has made, in order, for those who know when a step is over.
+made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions_for(spark: SparkSession, factor: int = 1) -> int:
     """As many partitions as the session shuffles into, times factor."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * factor

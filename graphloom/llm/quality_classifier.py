@@ -152,6 +152,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
     made = rows.repartition(1).mapInArrow(train, "weights binary, bias double").first()
+    if made is None:  # Spark runs no task over what it knows to be empty
+        return Model(np.zeros(1 << bits), 0.0, bits)
     return Model(np.frombuffer(made["weights"], np.float32).astype(np.float64), made["bias"], bits)
 
 

@@ -8,7 +8,8 @@ is one projection of built-in functions: no shuffle and no Python.
 Defined results: a null or empty text has no words, fails the base rules and is
 rejected; a null doc_id is carried along; repeated rows are judged one by one;
 other columns pass through ``clean`` unless their name is one of OUTPUT, which
-is then replaced; an empty table gives an empty result. Ties do not arise.
+is then replaced (so are _lines, _good and _repeats); an empty table gives an
+empty result. Ties do not arise.
 """
 
 from __future__ import annotations
