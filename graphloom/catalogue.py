@@ -652,3 +652,14 @@ def open_routes(g: Graph) -> DataFrame:
     symbols = g.symbols.withColumn("route_method", F.when(F.col("route_path").isNotNull(), F.lit("POST"))).withColumn("name", auth("name"))
     calls = g.calls.where("receiver = 'Brand#3' AND line = 1").withColumn("callee", auth("callee"))
     return syntax.open_routes(symbols, calls)
+
+
+@query("task_states")
+def task_states(g: Graph) -> DataFrame:
+    """Sessions of events as tasks: sign-ups start them, clicks finish todos, views report them ready, purchases pass the gate, errors urge them on."""
+    stream = g.spark.readStream.schema(g.table("events").schema).parquet(f"{g.dir}/events.parquet*")
+    kinds = F.create_map(*[F.lit(x) for kv in (("signup", "start"), ("click", "done"), ("view", "ready"), ("purchase", "gate"), ("error", "poke")) for x in kv])
+    e = _as_events(stream).withColumn("kind", F.element_at(kinds, F.col("state")))
+    text = F.when(F.col("kind") == "gate", F.lit("passed")).otherwise(F.concat(F.lit("objective "), (F.floor("value") % 3).cast("string")))
+    n = F.when(F.col("kind") == "start", F.floor("value") % 3).when(F.col("kind") == "done", F.floor("value") % 3 + 1).otherwise(F.floor("value") % 101)
+    return session_stream.worked_off(session_stream.task_states(e.select("event_id", "session", "at", "kind", text.alias("text"), n.cast("long").alias("n"))))

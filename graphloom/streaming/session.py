@@ -53,3 +53,64 @@ def worked_off(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+#: A task of a session: what was started, its todos, and how often it was urged on.
+TASK = "objective string, todos array<boolean>, status string, pokes long, confidences array<long>"
+TASK_OUTPUT = "event_id long, session long, kind string, accepted boolean, status string, pending long, pokes long"
+MAX_POKES = 5
+MAX_CONFIDENCES = 16
+
+
+def advance(task: dict | None, kind: str, text: str, n: int, most_pokes: int = MAX_POKES) -> tuple[dict | None, bool]:
+    """(task, accepted) after an event; a rejected event changes nothing.
+
+    start: text is the objective, n the number of todos. Pokes are carried over, so that a new frame for the same work
+    does not renew them, unless the last task was completed, or was blocked and had another objective.
+    todo: n more todos. done: todo n is done. Both make the task active again.
+    ready: with evidence (text) and no open todo; n is the confidence. gate: a ready task is completed if text is passed,
+    and active again if it isn't. poke: an active task is urged on, and blocked when the budget is used up.
+    """
+    if kind == "start":
+        if not text.strip() or n < 0:
+            return task, False
+        carry = task is not None and task["status"] != "completed" and not (task["status"] == "blocked" and task["objective"] != text)
+        return {"objective": text, "todos": [False] * n, "status": "active", "pokes": task["pokes"] if carry else 0, "confidences": task["confidences"] if carry else []}, True
+    if task is None:
+        return None, False
+    task = {**task, "todos": list(task["todos"]), "confidences": list(task["confidences"])}
+    open_ = task["todos"].count(False)
+    if kind == "todo" and n > 0:
+        return {**task, "todos": task["todos"] + [False] * n, "status": "active"}, True
+    if kind == "done" and 1 <= n <= len(task["todos"]):
+        task["todos"][n - 1] = True
+        return {**task, "status": "active"}, True
+    if kind == "ready" and text.strip() and not open_ and 0 <= n <= 100:
+        return {**task, "status": "ready", "confidences": (task["confidences"] + [n])[-MAX_CONFIDENCES:]}, True
+    if kind == "gate" and task["status"] == "ready":
+        return {**task, "status": "completed" if text == "passed" else "active"}, True
+    if kind == "poke" and task["status"] == "active":
+        if task["pokes"] >= min(most_pokes, MAX_POKES):
+            return {**task, "status": "blocked"}, True
+        return {**task, "pokes": task["pokes"] + 1}, True
+    return task, False
+
+
+def task_states(events: DataFrame, most_pokes: int = MAX_POKES) -> DataFrame:
+    """The state of each session's task after each event (event_id, session, at, kind, text, n) of a stream."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in TASK.split(", ")]
+        task = None
+        if kept.exists:
+            task = dict(zip(names, kept.get, strict=True))
+            task["todos"], task["confidences"] = list(task["todos"]), list(task["confidences"])
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples():
+            task, accepted = advance(task, r.kind, r.text or "", int(r.n), most_pokes)
+            out.append((r.event_id, key[0], r.kind, accepted, task and task["status"], task["todos"].count(False) if task else 0, task["pokes"] if task else 0))
+        if task:
+            kept.update(tuple(task[n] for n in names))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TASK_OUTPUT.split(", ")])
+
+    return events.groupBy("session").applyInPandasWithState(step, TASK_OUTPUT, TASK, "append", GroupStateTimeout.NoTimeout)

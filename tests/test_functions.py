@@ -48,3 +48,22 @@ def test_file_predicates(spark):
     assert column(spark, ["docs/a.md", "tests/a.md", "a.rs"], fx.is_documentation) == [True, False, False]
     assert column(spark, [".env.local", "Dockerfile", "a.conf", "a.rs"], fx.is_secret_text) == [True, True, True, False]
     assert column(spark, ["src/auth/guard.rs", "x/middlewarestack.rs", "src/routes/a.rs"], lambda c: fx.layer(tx.path_words(c))) == ["middleware", None, "routes"]
+
+
+def test_brace_paths(spark):
+    from graphloom.functions.sources import brace_paths, import_modules
+
+    assert brace_paths("std::{fs::File, self, io::{Read, Write as W}, path}") == ["std::fs", "std", "std::io", "std::io", "std::path"]
+    assert brace_paths("crate::util") == ["crate::util"] and brace_paths("a::*") == ["a"] and brace_paths("") == []
+    got = spark.createDataFrame([("a::{b, c::D}",), (None,)], "x string").select(import_modules(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [["a::b", "a::c"], []]
+
+
+def test_masked_scripts(spark):
+    from graphloom.functions.sources import masked_scripts, script_only
+
+    text = "<p>x</p>\n<script lang=\"ts\">\nlet a = 1\n</script>\n<i>"
+    got = masked_scripts(text)
+    assert len(got) == len(text) and got.split("\n")[2] == "let a = 1" and not got.replace("let a = 1", "").strip()
+    assert masked_scripts("---\nconst b = 2\n---\n<p>", front=True).split("\n")[1] == "const b = 2"
+    assert spark.createDataFrame([(text,), (None,)], "x string").select(script_only(F.col("x")).alias("y")).first().y == got

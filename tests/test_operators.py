@@ -265,3 +265,15 @@ def test_open_routes(spark):
     symbols = spark.createDataFrame([(1, "save", "save", "/a", "POST"), (2, "drop", "drop", "/b", "delete"), (3, "show", "show", "/c", "GET"), (4, "guard", "guard", None, None)], "id long, name string, qualified string, route_path string, route_method string")
     calls = spark.createDataFrame([(1, "guard"), (4, "check_permission")], "symbol_id long, callee string")
     assert rows(syntax.open_routes(symbols, calls)) == [(2, "drop", "delete")]
+
+
+def test_task_life_cycle():
+    task = None
+    seen = []
+    for kind, text, n in [("ready", "e", 1), ("start", "x", 2), ("ready", "e", 1), ("done", "", 1), ("done", "", 3), ("poke", "", 0), ("done", "", 2), ("ready", "", 1), ("ready", "e", 90), ("gate", "failed", 0), ("poke", "", 0), ("poke", "", 0), ("start", "y", 0), ("ready", "e", 1), ("gate", "passed", 0), ("start", "z", 1)]:
+        task, ok = session_stream.advance(task, kind, text, n, 2)
+        seen.append((ok, task and task["status"], task and task["pokes"]))
+    assert seen == [
+        (False, None, None), (True, "active", 0), (False, "active", 0), (True, "active", 0), (False, "active", 0), (True, "active", 1), (True, "active", 1), (False, "active", 1), (True, "ready", 1),
+        (True, "active", 1), (True, "active", 2), (True, "blocked", 2), (True, "active", 0), (True, "ready", 0), (True, "completed", 0), (True, "active", 0),
+    ]
