@@ -142,23 +142,28 @@ def hashed(root: Node) -> list[Node]:
 def furniture(node: Node, in_article: bool) -> bool:
     """Whether an element is page furniture by its kind, its role or its names."""
     tag = node.tag
-    if tag in FURNITURE or tag == "header" and not (in_article and has_heading(node)):
+    if tag in FURNITURE or tag == "header" and not (in_article and holds(node, ("h1", "h2"))):
         return True
     for k, v in node.attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in _ROLES:
             return True
-        if v and tag not in ("body", "main", "html") and k in ("class", "id") and _NAMES.search(v.lower()):
-            return not (tag == "article" and "comment" not in v.lower() or tag == "header" and has_heading(node))
+        if v and tag not in ("body", "main", "html") and k in ("class", "id") and (named := _NAMES.search(v.lower())):
+            if tag == "article" and "comment" not in v.lower() or holds(node, ("article", "main")):
+                continue  # a wrapper named for what stands beside the article, or the article itself
+            if "header" in named[0] and in_article and holds(node, ("h1", "h2")):
+                continue
+            return True
         if v and k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v.lower()):
             return True
     return False
 
 
-def has_heading(node: Node) -> bool:
-    stack = [node]
+def holds(node: Node, tags: tuple[str, ...]) -> bool:
+    """Whether an element of these kinds is within a node."""
+    stack = [c for c in node.children if type(c) is Node]
     while stack:
         n = stack.pop()
-        if n.tag in ("h1", "h2"):
+        if n.tag in tags:
             return True
         stack.extend(c for c in n.children if type(c) is Node)
     return False

@@ -87,6 +87,8 @@ def test_html_deep_and_broken():
     from graphloom.llm.html_extraction import main_text, tree
 
     assert main_text(tree("<div>" * 5000 + "deep" + "</div>" * 10)) == "deep"
+    wrapped = "<div class='has-sidebar'><article><div class='post-header'><h1>T</h1></div><p>a<div class='share-bar'>x</div></article><div class=sidebar>y</div></div><div class='site-header'>z</div>"
+    assert main_text(tree(wrapped)) == "T\na"
     assert main_text(tree("<script>var x='<p>no</p>'</script><p>yes</div></p><ul><li>a<li>b</ul>")) == "yes\na\nb"
 
 
