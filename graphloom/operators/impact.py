@@ -27,17 +27,34 @@ def risk(callers: Column, has_route: Column, exported: Column, is_test: Column,
     return score, F.when(score <= 1, "low").when(score <= 3, "medium").otherwise("high")
 
 
+def caller_counts(graph, symbols: DataFrame) -> DataFrame:
+    """(id, callers, caller_files, tests) of symbols: call sites, files that call it, test files among these.
+
+    Sites are summed by name, receiver and file before symbols meet them. A symbol with a container is called by the
+    sites of its name without a receiver, and by those with its container: files of these count where the first have none.
+    """
+    place = graph.symbol_rows.select(F.col("id").alias("symbol_id"), "path", "is_test")
+    sites = graph.calls.join(place, "symbol_id").groupBy("callee", "receiver", "path", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    counts = lambda files, n, t: (F.count(F.lit(1)).alias(files), F.sum("n").alias(n), F.count_if("is_test").alias(t))
+    free = sites.where("receiver IS NULL").drop("receiver")
+    bound = sites.where("receiver IS NOT NULL")
+    a = free.groupBy("callee").agg(*counts("f_files", "f_n", "f_tests"))
+    b_n = bound.groupBy("callee", "receiver").agg(F.sum("n").alias("b_n"))
+    b = bound.join(free.select("callee", "path"), ["callee", "path"], "left_anti").groupBy("callee", "receiver").agg(F.count(F.lit(1)).alias("b_files"), F.count_if("is_test").alias("b_tests"))
+    every = sites.groupBy("callee", "path", "is_test").agg(F.sum("n").alias("n")).groupBy("callee").agg(*counts("e_files", "e_n", "e_tests"))
+    at = symbols.select("id", F.col("name").alias("callee"), F.col("container").alias("receiver"))
+    held = at.join(a, "callee", "left").join(b_n, ["callee", "receiver"], "left").join(b, ["callee", "receiver"], "left").join(every, "callee", "left").fillna(0)
+    pick = lambda e, f, b: F.when(F.col("receiver").isNull(), F.col(e)).otherwise(F.col(f) + F.col(b))
+    return held.select("id", pick("e_n", "f_n", "b_n").alias("callers"), pick("e_files", "f_files", "b_files").alias("caller_files"), pick("e_tests", "f_tests", "b_tests").alias("tests"))
+
+
 def impact(graph, changed: DataFrame) -> DataFrame:
     """(id, qualified, path, callers, caller_files, tests, score, level): each changed symbol with what it bears on.
 
     Callers are call sites; tests are the test files among the files that call it.
     """
-    rows = graph.symbol_rows
-    hit = touching(rows, changed)
-    sites = g.callers(graph.calls, hit.select("id", "name", "container"))
-    from_ = rows.select(F.col("id").alias("caller_id"), F.col("path").alias("caller_path"), F.col("is_test").alias("caller_test"))
-    counts = sites.join(from_, "caller_id").groupBy("id").agg(F.sum("n").alias("callers"), F.countDistinct("caller_path").alias("caller_files"), F.countDistinct(F.when(F.col("caller_test"), F.col("caller_path"))).alias("tests"))
-    held = hit.join(counts, "id", "left").fillna(0, ["callers", "caller_files", "tests"])
+    hit = touching(graph.symbol_rows, changed)
+    held = hit.join(caller_counts(graph, hit), "id")
     score, level = risk(F.col("callers"), F.col("route_path").isNotNull(), F.col("exported"), F.col("is_test"), F.col("tests"))
     return held.select("id", "qualified", "path", "callers", "caller_files", "tests", score.cast("long").alias("score"), level.alias("level"))
 

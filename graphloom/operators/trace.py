@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import callees, callers, find_symbols
+from graphloom.operators.graph import find_symbols
 
 MAX_DEPTH = 5
 
@@ -23,40 +23,47 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _steps(calls: DataFrame, symbols: DataFrame, level: DataFrame, way: str) -> DataFrame:
+    """(id, k) with k the first (seq, way, via) by which a symbol is reached from a level (id, name, container, via, seq).
+
+    Each name, or name and container, carries its first predecessor before it meets calls or symbols: rows don't multiply.
+    """
+    first = F.min(F.struct("seq", F.lit(way).alias("way"), "via")).alias("k")
+    free, bound = calls.where("receiver IS NULL"), calls.where("receiver IS NOT NULL")
+    if way == "inbound":
+        by_name = level.groupBy(F.col("name").alias("callee")).agg(first)
+        by_pair = level.where("container IS NOT NULL").groupBy(F.col("name").alias("callee"), F.col("container").alias("receiver")).agg(first)
+        plain = level.where("container IS NULL").groupBy(F.col("name").alias("callee")).agg(first)
+        met = free.join(by_name, "callee").select("symbol_id", "k").unionByName(bound.join(by_pair, ["callee", "receiver"]).select("symbol_id", "k")).unionByName(bound.join(plain, "callee").select("symbol_id", "k"))
+        return met.groupBy(F.col("symbol_id").alias("id")).agg(F.min("k").alias("k"))
+    made = calls.join(level.select(F.col("id").alias("symbol_id"), "seq", "via"), "symbol_id").groupBy("callee", "receiver").agg(first)
+    at = symbols.select("id", F.col("name").alias("callee"), F.col("container").alias("receiver"))
+    met = made.where("receiver IS NULL").select("callee", "k").join(at, "callee").select("id", "k").unionByName(made.where("receiver IS NOT NULL").join(at, ["callee", "receiver"]).select("id", "k"))
+    return met.groupBy("id").agg(F.min("k").alias("k"))
+
+
 def trace(calls: DataFrame, symbol_rows: DataFrame, query: str, direction: str = "both", depth: int = 3) -> DataFrame:
     """(id, qualified, depth, direction, via): the symbols reached from the first one that the query finds.
 
     Depth is kept within 1 to 5. After the first step a branch keeps its direction. A symbol is reached once, by the
     first of its level in the order of the walk: the predecessor's place, callers before callees, path, line, id.
-    Each level meets the edges by joins and leaves out what was reached before.
+    Each level meets the calls by joins and leaves out what was reached before.
     """
     depth = min(max(depth, 1), MAX_DEPTH)
-    at = symbol_rows.select("id", "qualified", "path", "start_line")
+    at = symbol_rows.select("id", "qualified", "name", "container", "path", "start_line")
     origin = find_symbols(symbol_rows, query).orderBy("path", "start_line", "id").limit(1)
-    level = _cut(origin.select("id", "qualified", F.lit(direction).alias("direction"), F.lit(0).cast("long").alias("seq")))
+    level = _cut(origin.select("id", "name", "container", F.col("qualified").alias("via"), F.lit(direction).alias("direction"), F.lit(0).cast("long").alias("seq")))
     reached = level.select("id")
-
-    def edges_of(ids: DataFrame) -> DataFrame:
-        """(id, to, way) from the symbols of a level alone: names meet only theirs."""
-        ways = []
-        if direction in ("inbound", "both"):
-            ways.append(callers(calls, symbol_rows.join(ids, "id", "left_semi")).select("id", F.col("caller_id").alias("to"), F.lit("inbound").alias("way")))
-        if direction in ("outbound", "both"):
-            made = calls.join(ids.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi")
-            ways.append(callees(made, symbol_rows).select(F.col("symbol_id").alias("id"), F.col("id").alias("to"), F.lit("outbound").alias("way")))
-        return ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
-
     found: DataFrame | None = None
     for step in range(1, depth + 1):
-        onward = level.select("id", F.col("qualified").alias("via"), "direction", F.col("seq").alias("from_seq"))
-        next_ = onward.join(edges_of(level.select("id")), "id").where((F.col("direction") == "both") | (F.col("direction") == F.col("way")))
-        next_ = next_.select(F.col("to").alias("id"), "via", "way", "from_seq").join(reached, "id", "left_anti").join(at, "id")
-        first = Window.partitionBy("id").orderBy("from_seq", "way", "via")
-        next_ = next_.withColumn("rn", F.row_number().over(first)).where("rn = 1")
+        ways = [_steps(calls, symbol_rows, level.where(F.col("direction").isin("both", w)), w) for w in ("inbound", "outbound") if direction in ("both", w)]
+        met = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1]).groupBy("id").agg(F.min("k").alias("k"))
+        new = met.join(reached, "id", "left_anti").join(at, "id")
         # places within a level: one row for each symbol newly reached
-        order = Window.orderBy("from_seq", "way", "path", "start_line", "id")
-        next_ = _cut(next_.select("id", "qualified", F.lit(step).cast("long").alias("depth"), F.col("way").alias("direction"), "via", (F.row_number().over(order) - 1).cast("long").alias("seq")))
-        found = next_ if found is None else found.unionByName(next_)
-        level = next_.select("id", "qualified", "direction", "seq")
-        reached = reached.unionByName(next_.select("id"))
+        order = Window.orderBy("k.seq", "k.way", "path", "start_line", "id")
+        new = new.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+        new = _cut(new.select("id", "name", "container", "qualified", F.lit(step).cast("long").alias("depth"), F.col("k.way").alias("direction"), F.col("k.via").alias("via"), F.col("place").alias("seq")))
+        found = new if found is None else found.unionByName(new)
+        level = new.select("id", "name", "container", F.col("qualified").alias("via"), "direction", "seq")
+        reached = reached.unionByName(new.select("id"))
     return found.select("id", "qualified", "depth", "direction", "via")
