@@ -31,6 +31,8 @@ from graphloom.llm import bytetext
 from graphloom.llm.common import read, written
 
 
+#: Bytes of text that are tokenised at once: the more, the fewer words are looked up twice.
+_PIECE = 2_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: ASCII marks that the tokenizer always parts from ASCII letters. Left out: the apostrophe, which begins contractions, and < | >, which are in its special tokens.
@@ -64,11 +66,10 @@ class WordEncoder:
                 ids += one
                 size.append(len(one))
         n = np.array(size, np.int64)
-        begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
+        at = np.searchsorted(self.keys, keys)  # both are sorted, so the table is when they are put in
+        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(n) - n)
+        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, n)
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-        keys, size = np.concatenate([self.keys, keys]), np.concatenate([self.size, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -107,7 +108,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1))):
+            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), _PIECE):
                 ids, n = encoder.encode(data, offsets)
                 last = np.cumsum(n + 1) - 1
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
