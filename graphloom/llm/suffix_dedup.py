@@ -155,7 +155,7 @@ def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets
         for bucket, at in _grouped(rest, (runs.sample[rest] % np.uint64(buckets)).astype(np.int64)):
             texts, which = np.unique(runs.text[at], return_inverse=True)
             short = np.uint16 if len(texts) < 65536 else np.uint32
-            rows.append((bucket, _packed(runs.sample[at], (runs.whole[at] >> np.uint64(32)).astype(np.uint32), which.astype(short), runs.number[at].astype(np.uint32), keys[texts], marks[texts])))
+            rows.append((bucket, _packed(runs.sample[at], runs.whole[at], which.astype(short), runs.number[at].astype(np.uint32), keys[texts], marks[texts])))
         return rows
 
     return docs.mapInArrow(deal, BLOCKS)

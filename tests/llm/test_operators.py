@@ -207,6 +207,17 @@ def test_suffix_dedup_long_text_and_carry(spark):
     assert dedup(corpus.empty(spark)).count() == 0
 
 
+def test_suffix_dedup_tells_runs_apart_by_the_whole_hash(spark):
+    """Two texts of one run each, with one sample, whose runs' hashes have their upper 32 bits in common."""
+    from graphloom.llm.suffix_dedup import Runs, dedup
+
+    texts = ["vcmvqwmefdnoyjgdpcmcgxomyhdhhbgawwdazjjdutkjcltukc", "ubxvgcldfzeanlaldxihvoinukdhvwnxnydazjjdutkjcltukc"]
+    runs = Runs(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 50, 100]), 50, 16)
+    assert runs.sample[0] == runs.sample[1] and runs.whole[0] != runs.whole[1] and runs.whole[0] >> np.uint64(32) == runs.whole[1] >> np.uint64(32)
+    got = {r.doc_id: r.n_removed for r in dedup(spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[1])], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
 # --- 5 sharding ---------------------------------------------------------------------------------------------------
 
 
