@@ -1,20 +1,23 @@
 """Operator 2, HTML extraction: site template removal.
 
-Every element subtree of a page is hashed; Spark counts the hashes per host and
-keeps those that recur in a share of the host's pages. These subtrees are deleted
+Every element subtree of a page is hashed; Spark counts in how many different main
+texts of a host a hash stands, so copies of a page count once, and keeps those that
+recur in a share of them or in many_pages of them. These subtrees are deleted
 wherever they recur on the host, along with elements that are page furniture by
 their kind or name, and the text blocks of what is left are the main text.
 
 Deleting by recurrence spares what an article is made of: inside an article (or
 main) element, paragraphs, headings, lists' items, quotations and table cells are
-never a template, however many pages quote them.
+never a template, however many pages quote them, nor is a block whose text is
+mostly in these and outside of links.
 
-A host has at most nodes-per-page / min_share templates, so its row of the
+A host has at most nodes-per-page / min_share templates by share, so its row of the
 template table is bounded; the table is broadcast if it is small and joined by a
-shuffle with hot hosts apart if it isn't.
+shuffle with hot hosts apart if it isn't. Templates by many_pages alone are at most
+one in many_pages of all subtrees, and are sent to the tasks once.
 
 Defined results: a null or empty page has an empty text; a null or unreadable
-url is a host of its own; repeated pages count once for each row; broken markup
+url is a host of its own; repeated pages count once; broken markup
 is read as browsers do as far as the text needs it (open elements end with
 their parents, paragraphs end where a block begins); an empty table gives an
 empty result; other columns are dropped, whatever their names. Ties do not arise.
@@ -169,6 +172,22 @@ def holds(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def holds_prose(node: Node) -> bool:
+    """Whether most of a node's text is in prose below it and outside of links."""
+    prose = every = 0
+    stack = [(c, False) for c in node.children]
+    while stack:
+        n, inside = stack.pop()
+        if type(n) is Node:
+            inside = n.tag != "a" and (inside or n.tag in PROSE)
+            stack.extend((c, inside) for c in n.children)
+        else:
+            size = len("".join(n.split()))
+            every += size
+            prose += size * inside
+    return 2 * prose > every
+
+
 def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in node.attrs)
 
@@ -201,7 +220,7 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
             parts.append(" ")
         else:
             inside = article or main
-            if furniture(node, inside) or templates and node.hash in templates and not (inside and node.tag in PROSE):
+            if furniture(node, inside) or templates and node.hash in templates and not (inside and (node.tag in PROSE or holds_prose(node))):
                 parts.append(" ")
                 continue
             own = (article or node.tag == "article", main or _is_main(node))
@@ -222,31 +241,39 @@ def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), F.lit("")))
 
 
-def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5) -> DataFrame:
-    """(host, pages, hashes): the subtrees that recur in min_share of a host's pages, and in min_pages at least."""
+def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5, many_pages: int = 1000) -> DataFrame:
+    """(host, pages, hashes, more): the subtrees that stand in min_share of a host's main texts, and in min_pages at least; more has those that only stand in many_pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                host = host.as_py()
-                seen[host, None] += 1
+                host, body = host.as_py(), 0
                 if page.is_valid:
-                    seen.update({(host, n.hash) for n in hashed(tree(page.as_py()))})
+                    root = tree(page.as_py())
+                    body = xxhash.xxh64_intdigest(main_text(root)) - (1 << 63)
+                    seen.update({(host, n.hash, body) for n in hashed(root)})
+                seen[host, None, body] += 1
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "n"])
+                columns = [pa.array([k[i] for k in seen], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], ["host", "hash", "body", "n"])
 
-    counts = pages.select("host", html).mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    counts = written(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "html-subtrees")
-    hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash is not null").join(hosts, "host").where((F.col("n") >= min_share * F.col("pages")) & (F.col("n") > 1))
-    return often.groupBy("host").agg(F.any_value("pages").alias("pages"), F.collect_list("hash").alias("hashes"))
+    counts = pages.select("host", html).mapInArrow(count, "host string, hash long, body long, n long").groupBy("host", "hash", "body").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("n"))
+    counts = written(counts.where((F.col("bodies") >= min_pages) | F.col("hash").isNull()), "html-subtrees")
+    hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"), F.col("bodies").alias("_of"))
+    shared = F.col("bodies") >= min_share * F.col("_of")
+    often = counts.where("hash is not null").join(hosts, "host").where((shared | (F.col("bodies") >= many_pages)) & (F.col("bodies") > 1))
+    lists = [F.collect_list(F.when(c, F.col("hash"))).alias(name) for c, name in ((shared, "hashes"), (~shared, "more"))]
+    return often.groupBy("host").agg(F.any_value("pages").alias("pages"), *lists)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_share: float = 0.2, min_pages: int = 5, broadcast_hosts: int = 10_000) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_share: float = 0.2, min_pages: int = 5, broadcast_hosts: int = 10_000, many_pages: int = 1000) -> DataFrame:
     """(key, url, text): the main text of each page."""
     rows = with_host(pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")))
-    found = written(templates(rows, "html", min_share, min_pages), "html-templates")
+    found = written(templates(rows, "html", min_share, min_pages, many_pages), "html-templates")
+    more = pages.sparkSession.sparkContext.broadcast({r.host: r.more for r in found.where(F.size("more") > 0).select("host", "more").collect()})
+    found = found.drop("more")
     if found.count() <= broadcast_hosts:
         joined = rows.join(F.broadcast(found.select("host", "hashes")), "host", "left")
     else:
@@ -262,7 +289,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 root, host = tree(page.as_py()), host.as_py()
                 if known.is_valid:
                     if host not in sets:
-                        sets[host] = frozenset(known.as_py())
+                        sets[host] = frozenset(known.as_py()).union(more.value.get(host, ()))
                     hashed(root)
                 out.append(main_text(root, sets.get(host, frozenset())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [key, "url", "text"])

@@ -83,6 +83,26 @@ def test_html_template_by_recurrence(spark):
     assert extract(made.limit(0)).count() == 0
 
 
+def test_html_copies_and_sections(spark):
+    """A page copied on a fifth of its host keeps its text; a template of many pages goes whatever its share."""
+    from graphloom.llm.html_extraction import extract
+
+    own = "<body><h1>Site</h1><article><div class=body><p>Own words of page {i}, long enough.</p></div></article>{x}</body>"
+    copy = "<body><article><div class=body><p>Words that are copied.</p><p>And more of them.</p></div></article></body>"
+    bare = "<body><div><p>Bare words that are copied.</p></div></body>"
+    pages = [(i, "http://h.example/", own.format(i=i, x="")) for i in range(15)] + [(i, "http://h.example/", copy) for i in range(15, 22)] + [(i, "http://h.example/", bare) for i in range(22, 30)]
+    quoted = "<body><article><div class=body><p>Shared by several pages.</p></div><div class=x><span>Site news</span></div><p>Own {i}</p></article></body>"
+    pages += [(100 + i, "http://q.example/", quoted.format(i=i)) for i in range(12)]
+    section = "<body><div><p>Text of {i}</p></div>{x}</body>"
+    pages += [(1000 + i, "http://s.example/", section.format(i=i, x="<div><span>From our section</span></div>" if i < 12 else "")) for i in range(100)]
+    by = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string"), many_pages=10).collect()}
+    assert by[3] == "Own words of page 3, long enough."
+    assert by[16] == "Words that are copied.\nAnd more of them."
+    assert by[25] == "Bare words that are copied."
+    assert by[104] == "Shared by several pages.\nOwn 4"
+    assert by[1005] == "Text of 5" and by[1050] == "Text of 50"
+
+
 def test_html_deep_and_broken():
     from graphloom.llm.html_extraction import main_text, tree
 
