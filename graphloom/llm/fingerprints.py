@@ -105,7 +105,9 @@ def search(queries: DataFrame, index: DataFrame, key: str = "doc_id", radius: in
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(range, key, text, next_key, next_text): the document that follows in descending order of the key; after the last, the first.
+    """(range, row, key, text, next_range, next_row, next_text): the document that follows in descending order of the key; after the last, the first.
+
+    range and row name one row each, whatever keys are null or repeated: rows are numbered within their range from 1.
 
     The keys are cut into ranges of like size; a range's last row takes the head of the next range that has rows.
     There is one head for each range, and their number is set by the number of partitions, so heads are broadcast.
@@ -119,28 +121,30 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(number))
     order = [F.col("key").desc_nulls_last(), F.col("text").desc()]
     here = Window.partitionBy("range").orderBy(*order)
-    led = rows.withColumns({"next": F.lead(F.struct("key", "text")).over(here)})
-    # heads: (range, key, text) of the first row of each range, kept by the range before it
-    firsts = rows.groupBy("range").agg(F.max_by(F.struct("key", "text"), F.struct("key", "text")).alias("head"))
+    led = rows.withColumns({"row": F.row_number().over(here).cast("long"), "next": F.lead(F.struct("range", "text")).over(here)})
+    # heads: (range, text) of the first row of each range, kept by the range before it
+    firsts = rows.groupBy("range").agg(F.max_by(F.struct("range", "text"), F.struct("key", "text")).alias("head"))
     ranges = Window.orderBy(F.col("range").desc())
     largest = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = firsts.select("range", F.coalesce(F.lead("head").over(ranges), largest).alias("head"))
-    full = led.join(F.broadcast(heads), "range").withColumn("next", F.coalesce(F.col("next"), F.col("head")))
-    return full.select("range", F.col("key").alias(key), "text", F.col("next.key").alias("next_key"), F.col("next.text").alias("next_text"))
+    full = led.join(F.broadcast(heads), "range").withColumn("next_row", F.when(F.col("next").isNull(), F.lit(1)).otherwise(F.col("row") + 1).cast("long"))
+    full = full.withColumn("next", F.coalesce(F.col("next"), F.col("head")))
+    return full.select("range", "row", F.col("key").alias(key), "text", F.col("next.range").alias("next_range"), "next_row", F.col("next.text").alias("next_text"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.floor(F.length("text") / 3).cast("int")
     docs = with_next(read(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - m), F.substring(F.col("next_text"), F.lit(1), m)))
-    both = docs.select("range", "doc_id", "next_key", "n_chars", F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
+    own = ["range", "row", "doc_id", "next_range", "next_row", "n_chars"]
+    both = docs.select(*own, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
     both = both.withColumn("sha", F.sha2(F.encode("t", "UTF-8"), 256))
-    made = fingerprints(both, ["range", "doc_id", "next_key", "n_chars", "which", "sha"], "t")  # the window has dealt the rows by range
-    pairs = made.groupBy("range", "doc_id", "next_key", "n_chars").agg(
+    made = fingerprints(both, [*own, "which", "sha"], "t")  # the window has dealt the rows by range
+    pairs = made.groupBy(*own).agg(
         *[F.max(F.when(F.col("which") == w, F.struct("f0", "f1", "sha"))).alias(name) for w, name in ((0, "a"), (1, "e"))]
     )
-    after = pairs.select(F.col("doc_id").alias("_id"), F.col("a.f0").alias("n0"), F.col("a.f1").alias("n1"))
-    out = pairs.join(after, F.col("next_key").eqNullSafe(F.col("_id")), "left")
+    after = pairs.select(F.col("range").alias("next_range"), F.col("row").alias("next_row"), F.col("a.f0").alias("n0"), F.col("a.f1").alias("n1"))
+    out = pairs.join(after, ["next_range", "next_row"])
     like = lambda *x: 1 - distance(*x) / F.lit(float(BITS))
     a0, a1, e0, e1 = (F.col(x) for x in ("a.f0", "a.f1", "e.f0", "e.f1"))
     return out.select(

@@ -314,6 +314,29 @@ def test_op6_edits(spark, tmp_path):
         assert got[i].near_next == pytest.approx(1 - (int(got[i].fingerprint, 16) ^ int(got[ids[(a + 1) % len(ids)]].fingerprint, 16)).bit_count() / 128)
 
 
+def test_op6_repeated_and_null_ids(spark, tmp_path):
+    """Each row gives one row, whatever ids are repeated or null."""
+    from graphloom.llm.fingerprints import op6_fingerprints
+
+    rows = [(1, "one two three")] * 4 + [(2, "a b c d"), (2, "d c b a"), (2, "b b b b")] + [(None, "x y z"), (None, "z y x"), (None, "x y z")] + [(i, f"text {i} of more words") for i in range(5, 25)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = sorted((r for r in rows if r[0] is not None), reverse=True) + sorted((r for r in rows if r[0] is None), key=lambda r: r[1], reverse=True)
+    got = op6_fingerprints(spark, str(tmp_path)).collect()
+    of = {}
+    want = []
+    for (i, t), (_, nxt) in zip(known, known[1:] + known[:1], strict=True):
+        m = len(t) // 3
+        want.append((i or -1, hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest(), t, nxt))
+    assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(w[:2] for w in want)
+    by = {w[:2]: w for w in want}
+    for r in got:
+        of[by[r.doc_id or -1, r.edited_sha256][2]] = int(r.fingerprint, 16)
+    assert of["a b c d"] != of["d c b a"] and len(set(of.values())) == len(of)
+    for r in got:
+        _, _, t, nxt = by[r.doc_id or -1, r.edited_sha256]
+        assert int(r.fingerprint, 16) == of[t] and r.near_next == pytest.approx(1 - (of[t] ^ of[nxt]).bit_count() / 128)
+
+
 # --- 7 WARC -------------------------------------------------------------------------------------------------------
 
 
