@@ -83,18 +83,25 @@ def behavioural_duplicates(functions: DataFrame, least_calls: int = 3) -> DataFr
     return found.select(F.col("f.file_id").alias("first_file"), F.col("f.name").alias("first_name"), "file_id", "name", "domain")
 
 
-def reaching(calls: DataFrame, marked: DataFrame, rounds: int = 50) -> DataFrame:
-    """(name): functions that call a marked one, directly or by others, for calls (caller, callee). Joined until nothing is new."""
+def reaching(calls: DataFrame, marked: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(name): functions that call a marked one, directly or by others, for calls (caller, callee). Joined until nothing is new.
+
+    Each round finds a name at least, so it ends; rounds, if given, is the longest way that counts.
+    """
+    from itertools import count
+
     from graphloom.operators.trace import _cut
 
     found = _cut(marked.select("name").distinct())
     front = found
     pairs = _cut(calls.select("caller", "callee").distinct())
-    for _ in range(rounds):
+    for n in count() if rounds is None else range(rounds):
         front = _cut(pairs.join(front.withColumnRenamed("name", "callee"), "callee").select(F.col("caller").alias("name")).distinct().join(found, "name", "left_anti"))
         if not front.limit(1).count():
             break
         found = found.unionByName(front)
+        if n % 16 == 15:  # the plan stays short
+            found = _cut(found)
     return found
 
 
@@ -187,7 +194,7 @@ def unbounded_parallel(nodes: DataFrame) -> DataFrame:
 ACCESS_WORDS = ("auth", "login_required", "permission", "require_user", "current_user", "token")
 
 
-def open_routes(symbols: DataFrame, calls: DataFrame, rounds: int = 50) -> DataFrame:
+def open_routes(symbols: DataFrame, calls: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, qualified, route_method): routes that change something and neither check access nor call what does."""
     named = calls.join(symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("caller")), "symbol_id").select("caller", "callee")
     checks = lambda c: F.lower(c).rlike("|".join(ACCESS_WORDS))

@@ -204,6 +204,11 @@ def test_dataflow(spark):
     assert rows(syntax.tainted_sinks(st, ("request",), ("execute",), ("escape",)).select("line", "variable")) == [(3, "s")]
 
 
+def test_reaching_by_long_ways(spark):
+    pairs = spark.createDataFrame([(f"f{i:02}", f"f{i + 1:02}") for i in range(54)], "caller string, callee string").coalesce(1)
+    assert rows(syntax.reaching(pairs, spark.createDataFrame([("f54",)], "name string"))) == [(f"f{i:02}",) for i in range(55)]
+
+
 EVENTS = "event_id long, session long, at long, state string"
 
 
