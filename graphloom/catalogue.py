@@ -286,6 +286,12 @@ def affected_files(g: Graph) -> DataFrame:
     return impact.affected_files(g, g.changed_lines.where(F.col("path").endswith("1")))
 
 
+@query("affected_files_all")
+def affected_files_all(g: Graph) -> DataFrame:
+    """affected_files of all changed paths."""
+    return impact.affected_files(g, g.changed_lines)
+
+
 # --- findings -------------------------------------------------------------------------------------------------------
 
 _TOKEN_SQL = "(?i)\\b(?:token|secret|password|api_?key)\\s*[:=]\\s*[\"''][0-9a-f]{32,}[\"'']"
@@ -566,7 +572,17 @@ def behavioural_duplicates(g: Graph) -> DataFrame:
 
 @query("call_closure", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#1'), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT name FROM r", "symbols", "calls")
 def call_closure(g: Graph) -> DataFrame:
-    pairs = g.calls.where("receiver = 'Brand#1'").join(g.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("caller")), "symbol_id").select("caller", "callee")
+    return _call_closure(g, g.calls.where("receiver = 'Brand#1'"))
+
+
+@query("call_closure_all")
+def call_closure_all(g: Graph) -> DataFrame:
+    """call_closure over all calls."""
+    return _call_closure(g, g.calls)
+
+
+def _call_closure(g: Graph, calls: DataFrame) -> DataFrame:
+    pairs = calls.join(g.symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("caller")), "symbol_id").select("caller", "callee")
     return syntax.reaching(pairs, g.symbols.where("name = 'small ring'").select("name").unionByName(pairs.where("callee = 'small ring'").select(F.col("callee").alias("name"))))
 
 
@@ -648,10 +664,19 @@ def operations_in_loops(g: Graph) -> DataFrame:
 
 @query("open_routes", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#3' AND c.line = 1), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT id, qualified, 'POST' AS route_method FROM symbols WHERE route_path IS NOT NULL AND name NOT IN (SELECT name FROM r)", "symbols", "calls")
 def open_routes(g: Graph) -> DataFrame:
+    return _open_routes(g, g.calls.where("receiver = 'Brand#3' AND line = 1"))
+
+
+@query("open_routes_all")
+def open_routes_all(g: Graph) -> DataFrame:
+    """open_routes over all calls."""
+    return _open_routes(g, g.calls)
+
+
+def _open_routes(g: Graph, calls: DataFrame) -> DataFrame:
     auth = lambda c: F.when(F.col(c) == "small ring", F.lit("auth ring")).otherwise(F.col(c))
     symbols = g.symbols.withColumn("route_method", F.when(F.col("route_path").isNotNull(), F.lit("POST"))).withColumn("name", auth("name"))
-    calls = g.calls.where("receiver = 'Brand#3' AND line = 1").withColumn("callee", auth("callee"))
-    return syntax.open_routes(symbols, calls)
+    return syntax.open_routes(symbols, calls.withColumn("callee", auth("callee")))
 
 
 @query("task_states")

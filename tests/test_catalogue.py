@@ -58,3 +58,33 @@ def test_task_states_match_a_fold(spark):
         want[r.event_id] = (ok, tasks[r.user_id] and tasks[r.user_id]["status"])
     got = {r.event_id: (r.accepted, r.status) for r in catalogue.queries()["task_states"](spark, SF).collect()}
     assert got == want and {s for _, s in want.values()} >= {"active", "ready", "completed"}
+
+
+def test_whole_tables_match_brute_force(spark):
+    """The queries of all calls and all changed paths against a walk in Python."""
+    from graphloom.sources.adapter import Graph
+
+    g = Graph(spark, SF)
+    symbols = g.symbols.select("id", "name", "route_path").collect()
+    name = {r.id: r.name for r in symbols}
+    callers = {}
+    for r in g.calls.select("symbol_id", "callee").distinct().collect():
+        if r.symbol_id in name:
+            callers.setdefault(r.callee, set()).add(name[r.symbol_id])
+
+    found = {"small ring"} if "small ring" in name.values() or "small ring" in callers else set()
+    front = set(found)
+    while front:
+        front = {c for f in front for c in callers.get(f, ())} - found
+        found |= front
+    assert found and {r.name for r in catalogue.queries()["call_closure_all"](spark, SF).collect()} == found
+    routes = sorted(r.id for r in symbols if r.route_path is not None and r.name not in found)
+    assert sorted(r.id for r in catalogue.queries()["open_routes_all"](spark, SF).collect()) == routes
+
+    changed = {r.path for r in g.changed_lines.select("path").collect()}
+    files = g.files.select("id", "path", "stem").collect()
+    users = {}
+    for r in g.imports.select("file_id", "stem").collect():
+        users.setdefault(r.stem, set()).add(r.file_id)
+    hit = {u for f in files if f.path in changed for u in users.get(f.stem, ()) if u != f.id}
+    assert sorted(r.path for r in catalogue.queries()["affected_files_all"](spark, SF).collect()) == sorted(f.path for f in files if f.id in hit and f.path not in changed)
