@@ -55,7 +55,7 @@ def node_rows(file_id: int, text: str) -> list[tuple]:
             end = getattr(node, "end_lineno", None) or start
             size = len(list(ast.iter_child_nodes(node)))
             code = ast.unparse(node) if kind in ("call", "assign", "return") else ""
-            rows.append([file_id, inner, parent, kind, _name(node), clock, 0, start, end, size, code[:500]])
+            rows.append([file_id, inner, parent, kind, _name(node), clock, 0, start, end, size, code])
             clock += 1
             stack.append((node, inner, True))
         stack.extend((child, inner, False) for child in reversed(list(ast.iter_child_nodes(node))))

@@ -266,6 +266,14 @@ def test_security_rules(spark):
     assert rows(syntax.unbounded_parallel(nodes).select("start_line")) == [(8,)]
 
 
+def test_node_text_is_whole(spark):
+    text = f"import yaml\nyaml.load('{'x' * 600}', Loader=yaml.SafeLoader)\nyaml.load('{'x' * 600}')\n"
+    (_, safe, unsafe) = text.splitlines()
+    nodes = python_ast.nodes(spark.createDataFrame([(1, text)], "file_id long, text string"))
+    assert [r[0] for r in rows(nodes.where("name = 'yaml.load'").select("text"))] == sorted([safe, unsafe])
+    assert rows(syntax.unsafe_deserialization(nodes).select("start_line")) == [(3,)]
+
+
 def test_open_routes(spark):
     symbols = spark.createDataFrame([(1, "save", "save", "/a", "POST"), (2, "drop", "drop", "/b", "delete"), (3, "show", "show", "/c", "GET"), (4, "guard", "guard", None, None)], "id long, name string, qualified string, route_path string, route_method string")
     calls = spark.createDataFrame([(1, "guard"), (4, "check_permission")], "symbol_id long, callee string")
