@@ -8,7 +8,8 @@ shuffled for this: the sums are made where the text is read and only they move.
 
 ``search`` finds all fingerprints within a Hamming radius of a set of queries:
 the bits are cut into blocks, and there is a table for each choice of blocks
-that must agree when no more bits differ than the radius.
+that must agree when no more bits differ than the radius. ``counted`` does the
+same and counts the rows found for each query.
 
 Defined results: a null or empty text has the fingerprint of no votes, all
 zeros; equal texts have equal fingerprints, so repeated rows do as well; a tied
@@ -24,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let, partitions_for, read, words_of
+from graphloom.llm.common import let, partitions_for, read, words_of, written
 
 BITS = 128
 #: So many votes fit in a byte, and in the top byte of a signed long.
@@ -76,17 +77,36 @@ def distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
 
 
+def _bits(f0: Column, f1: Column, start: int, end: int) -> list[Column]:
+    """The bits from start to end of the 128, as one number for each half that they lie in."""
+    parts = []
+    for half, base in ((f0, 0), (f1, 64)):
+        low, high = max(start, base) - base, min(end, base + 64) - base
+        if low < high:
+            part = F.shiftrightunsigned(half, low)
+            parts.append(part if high - low == 64 else part.bitwiseAND(F.lit((1 << (high - low)) - 1)))
+    return parts
+
+
 def block_keys(f0: Column, f1: Column, radius: int, blocks: int) -> Column:
-    """An array of (table, key): two fingerprints within the radius share one at least.
+    """An array of one key for each table: two fingerprints within the radius share one at least.
 
     At most radius blocks hold a differing bit, so blocks - radius agree; each choice of so many is a table.
     """
     if not radius < blocks <= BITS:
         raise ValueError("blocks must be more than the radius and at most 128")
-    bits = F.concat(F.lpad(F.bin(f0), 64, "0"), F.lpad(F.bin(f1), 64, "0"))
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    part = [F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-    return F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(*[part[i] for i in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+    part = [_bits(f0, f1, BITS * i // blocks, BITS * (i + 1) // blocks) for i in range(blocks)]
+    return F.array(*[F.xxhash64(F.lit(t), *[bits for i in chosen for bits in part[i]]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+
+
+def _near(queries: DataFrame, index: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(q0, q1, f0, f1, distance): each fingerprint of index within the radius of one of queries, once."""
+    once = index.select("f0", "f1").distinct()
+    asked = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
+    left = asked.withColumn("b", F.explode(block_keys(F.col("q0"), F.col("q1"), radius, blocks)))
+    right = once.withColumn("b", F.explode(block_keys(F.col("f0"), F.col("f1"), radius, blocks)))
+    apart = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
+    return left.join(right, "b").where(apart <= radius).select("q0", "q1", "f0", "f1", apart.alias("distance")).distinct()
 
 
 def search(queries: DataFrame, index: DataFrame, key: str = "doc_id", radius: int = 6, blocks: int = 8) -> DataFrame:
@@ -94,14 +114,28 @@ def search(queries: DataFrame, index: DataFrame, key: str = "doc_id", radius: in
 
     The index is first brought to one row for each fingerprint, so copies meet a query once and are joined on at the end.
     """
-    once = index.select("f0", "f1").distinct()
-    asked = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
-    left = asked.withColumn("b", F.explode(block_keys(F.col("q0"), F.col("q1"), radius, blocks)))
-    right = once.withColumn("b", F.explode(block_keys(F.col("f0"), F.col("f1"), radius, blocks)))
-    near = left.join(right, "b").withColumn("distance", distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))).where(F.col("distance") <= radius)
-    near = near.select("q0", "q1", "f0", "f1", "distance").distinct()
     named = queries.select(F.col(key).alias("query"), F.col("f0").alias("q0"), F.col("f1").alias("q1"))
-    return near.join(named, ["q0", "q1"]).join(index.select(F.col(key).alias("found"), "f0", "f1"), ["f0", "f1"]).select("query", "found", "distance")
+    found = index.select(F.col(key).alias("found"), "f0", "f1")
+    return _near(queries, index, radius, blocks).join(named, ["q0", "q1"]).join(found, ["f0", "f1"]).select("query", "found", "distance")
+
+
+def counted(queries: DataFrame, index: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
+    """(f0, f1, n): for each fingerprint of queries, how many rows of index are within the radius; copies are counted, not listed."""
+    rows = index.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("rows"))
+    near = _near(queries, index, radius, blocks).join(rows, ["f0", "f1"])
+    return near.groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg(F.sum("rows").alias("n"))
+
+
+def _range_of(key: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are below a key, by about two comparisons for each root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    some = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    number = lambda values: F.array(*[F.lit(c) for c in values])
+    coarse = F.size(F.filter(number([c[-1] for c in some[:-1]]), lambda c: c < key)) if len(some) > 1 else F.lit(0)
+    fine = F.array(*[number(c) for c in some])
+    return let(coarse, lambda c: c * step + F.size(F.filter(F.get(fine, c), lambda x: x < key)))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,44 +144,44 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     range and row name one row each, whatever keys are null or repeated: rows are numbered within their range from 1.
 
     The keys are cut into ranges of like size; a range's last row takes the head of the next range that has rows.
-    There is one head for each range, and their number is set by the number of partitions, so heads are broadcast.
-    Rows stay partitioned by range: grouping by it and more needs no other shuffle.
+    Rows stay partitioned and sorted by range: the join with the heads and grouping by range and more shuffle no text again.
     """
     spark = docs.sparkSession
     n = partitions_for(spark, 2)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = sorted(set(rows.where("key is not null").select(F.col("key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)))
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(number))
+    rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(_range_of(F.col("key"), cuts)))
     order = [F.col("key").desc_nulls_last(), F.col("text").desc()]
     here = Window.partitionBy("range").orderBy(*order)
     led = rows.withColumns({"row": F.row_number().over(here).cast("long"), "next": F.lead(F.struct("range", "text")).over(here)})
-    # heads: (range, text) of the first row of each range, kept by the range before it
+    # heads: (range, text) of the first row of each range, kept by the range before it; ranges are as many as partitions are
     firsts = rows.groupBy("range").agg(F.max_by(F.struct("range", "text"), F.struct("key", "text")).alias("head"))
-    ranges = Window.orderBy(F.col("range").desc())
-    largest = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = firsts.select("range", F.coalesce(F.lead("head").over(ranges), largest).alias("head"))
-    full = led.join(F.broadcast(heads), "range").withColumn("next_row", F.when(F.col("next").isNull(), F.lit(1)).otherwise(F.col("row") + 1).cast("long"))
+    ranges = sorted((r.range for r in rows.select("range").distinct().collect()), reverse=True)
+    follows = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1], strict=True)), "before int, range int")
+    heads = firsts.join(F.broadcast(follows), "range").select(F.col("before").alias("range"), "head")
+    full = led.join(heads, "range").withColumn("next_row", F.when(F.col("next").isNull(), F.lit(1)).otherwise(F.col("row") + 1).cast("long"))
     full = full.withColumn("next", F.coalesce(F.col("next"), F.col("head")))
     return full.select("range", "row", F.col("key").alias(key), "text", F.col("next.range").alias("next_range"), "next_row", F.col("next.text").alias("next_text"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and likenesses of all documents; n_near counts the other rows within 6 bits of those whose id is divisible by 100."""
     m = F.floor(F.length("text") / 3).cast("int")
     docs = with_next(read(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
     docs = docs.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - m), F.substring(F.col("next_text"), F.lit(1), m)))
     own = ["range", "row", "doc_id", "next_range", "next_row", "n_chars"]
     both = docs.select(*own, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
-    both = both.withColumn("sha", F.sha2(F.encode("t", "UTF-8"), 256))
+    both = both.withColumn("sha", F.when(F.col("which") == 1, F.unhex(F.sha2(F.encode("t", "UTF-8"), 256))))
     made = fingerprints(both, [*own, "which", "sha"], "t")  # the window has dealt the rows by range
-    pairs = made.groupBy(*own).agg(
-        *[F.max(F.when(F.col("which") == w, F.struct("f0", "f1", "sha"))).alias(name) for w, name in ((0, "a"), (1, "e"))]
-    )
-    after = pairs.select(F.col("range").alias("next_range"), F.col("row").alias("next_row"), F.col("a.f0").alias("n0"), F.col("a.f1").alias("n1"))
-    out = pairs.join(after, ["next_range", "next_row"])
+    pairs = made.groupBy(*own).agg(*[F.max(F.when(F.col("which") == w, F.struct("f0", "f1", "sha"))).alias(name) for w, name in ((0, "a"), (1, "e"))])
+    pairs = pairs.select(*own, "a.f0", "a.f1", F.col("e.f0").alias("e0"), F.col("e.f1").alias("e1"), F.col("e.sha").alias("sha"))
+    pairs = written(pairs, "fingerprints")  # votes are summed once; what follows reads narrow rows
+    after = pairs.select(F.col("range").alias("next_range"), F.col("row").alias("next_row"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
+    asks = F.col("doc_id") % 100 == 0
+    near = counted(pairs.where(asks), pairs)
     like = lambda *x: 1 - distance(*x) / F.lit(float(BITS))
-    a0, a1, e0, e1 = (F.col(x) for x in ("a.f0", "a.f1", "e.f0", "e.f1"))
-    return out.select(
-        "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), as_hex(a0, a1).alias("fingerprint"), as_hex(e0, e1).alias("edited_fingerprint"),
-        like(a0, a1, e0, e1).alias("near_edited"), like(a0, a1, F.col("n0"), F.col("n1")).alias("near_next"),
+    f0, f1, e0, e1 = (F.col(x) for x in ("f0", "f1", "e0", "e1"))
+    return pairs.join(after, ["next_range", "next_row"]).join(near, ["f0", "f1"], "left").select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_hex(f0, f1).alias("fingerprint"), as_hex(e0, e1).alias("edited_fingerprint"),
+        like(f0, f1, e0, e1).alias("near_edited"), like(f0, f1, F.col("n0"), F.col("n1")).alias("near_next"), F.when(asks, F.col("n") - 1).alias("n_near"),
     )

@@ -335,6 +335,24 @@ def test_op6_repeated_and_null_ids(spark, tmp_path):
     for r in got:
         _, _, t, nxt = by[r.doc_id or -1, r.edited_sha256]
         assert int(r.fingerprint, 16) == of[t] and r.near_next == pytest.approx(1 - (of[t] ^ of[nxt]).bit_count() / 128)
+        assert r.n_near is None
+
+
+def test_op6_counts_near_rows(spark, tmp_path):
+    """Queries are the rows whose id is divisible by 100, copies of them too; other rows within 6 bits are counted, with copies."""
+    from graphloom.llm.fingerprints import block_keys, op6_fingerprints
+
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, base if i % 3 else base.replace(f"word{i % 290}", "other", 1)) for i in range(0, 330, 5)] + [(100, base), (100, "alone"), (None, base), (200, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, int(r.fingerprint, 16), r.n_near) for r in op6_fingerprints(spark, str(tmp_path)).collect()]
+    assert len(got) == len(rows)
+    for k, f, n in got:
+        want = sum((f ^ g).bit_count() <= 6 for _, g, _ in got) - 1
+        assert n == (want if k is not None and k % 100 == 0 else None)
+    assert any(n and n > 10 for _, _, n in got)
+    one = spark.range(1).select(block_keys(F.lit(-1).cast("long"), F.lit(5).cast("long"), 3, 7).alias("b")).first().b
+    assert len(one) == len(set(one)) == 35
 
 
 # --- 7 WARC -------------------------------------------------------------------------------------------------------
