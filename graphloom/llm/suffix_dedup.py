@@ -1,34 +1,34 @@
-"""Operator 4, suffix-array deduplication: blockwise construction over a cover sample.
+"""Operator 4, suffix-array deduplication: difference-cover blockwise construction.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a
-document with a smaller key. Suffixes are not all sorted: a cover sample of
-positions is chosen by content (the smallest hash of ``gram`` bytes in each
-window of ``length``), so that equal windows hold their sample position at the
-same place, as residues do in a difference cover. Windows that share a sample
-position are a run. Then, one bucket of sample positions at a time:
-
-1. Runs are dealt to buckets by their sample's hash. Runs equal in whole are
-   settled there: all but those of the smallest key go. Where a sample stands in
-   different runs, the smallest key's run of each kind asks to be compared.
-2. Documents are dealt to buckets by key, meet what was found, and give the
-   bytes of the runs that ask.
-3. A bucket of such runs sorts the suffixes at its sample positions, and the
-   reversed prefixes. Every window is the pair of a prefix rank and a suffix
-   rank, cut to the window: ties of any length are resolved by these ranks, no
-   window is sorted by its bytes, and windows of equal pairs are equal.
-4. Documents meet the windows that go, and lose their bytes.
-
-A bucket has a bounded number of runs or bytes: the number of buckets follows
-the size of the input. Blocks move compressed. Copies within a batch are settled
-before anything moves, so a large group of copies sends one of each batch. A
-sample that stands in more than ``hot`` different runs is compared by rows, a
-row for each window, summed before the shuffle: it never meets in one task.
+document with a smaller key. The suffixes are sorted one bucket at a time:
+
+1. Buckets. The least of the ``gram``-byte strings within a suffix's first
+   ``length`` bytes, by hash, names its bucket, so suffixes that agree so far are
+   in one bucket. Neighbouring suffixes mostly share it: such a run moves as one
+   piece of text. Equal runs of a batch are brought to those of the smallest key
+   before they move; the others go at once.
+2. Sorting. A bucket leaves out strings that stand in one document alone, and
+   takes the rest in blocks of bounded bytes. In a block, the suffixes at a
+   difference cover modulo 7 are ranked first, by doubling. Then every suffix is
+   compared by the fewer than 7 bytes up to a cover position and the rank there,
+   cut to what is left of ``length``: any two suffixes have a cover position at
+   the same distance, so ties of any length are resolved by the ranks.
+3. Documents meet the suffixes that go, and lose their bytes.
+
+Hashes only deal out work; bytes decide what is equal. Buckets and blocks have
+bounded bytes, their number follows the size of the input. A bucket's rows are
+folded as they come: equal runs are merged, and a gram that stands in more than
+``hot`` different runs leaves the bucket and is compared by rows, a row for each
+suffix, summed before the shuffle.
 
 Defined results: a null or empty text, or one under ``length`` bytes, loses
 nothing; documents of one key do not remove each other's bytes; a null key
 counts as larger than all others; repeated rows have equal results; an empty
 table gives an empty result; texts of any length are cut into pieces with
-overlap; columns other than key and text are not read, whatever their names.
+overlap; keys are whole numbers, others are refused; columns other than key and
+text are not read, whatever their names; a character that is cut in part is left
+out of the text that is kept (not of the digest, which is of bytes).
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -46,14 +47,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytetext
-from graphloom.llm.common import read, written
+from graphloom.llm.common import partitions_for, read, written
 
 #: Bits of a position within a piece; the rest of a 64-bit number is for the hash that is smallest.
 _POSITION = 21
 #: Bytes of text that a task works on at once.
 _BATCH = 2_000_000
 _NO_KEY = np.iinfo(np.int64).max
+#: A difference cover: every difference modulo PERIOD is one of two of these residues.
+PERIOD, COVER = 7, (0, 1, 3)
 BLOCKS = "bucket int, payload binary"
+#: What leaves a bucket: blocks of (key, mark, start, end) for documents, or, without a bucket, runs of hot grams.
+FOUND = "bucket int, payload binary, key long, mark long, start long, windows long, bytes binary"
 
 
 def _packed(*arrays) -> bytes:
@@ -72,23 +77,72 @@ def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return (bytetext.mixed(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each slice, one slice after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def _grouped(items: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, its items in order) for each group."""
+    if not len(items):
+        return
+    order = np.argsort(group, kind="stable")
+    values, at = np.unique(group[order], return_index=True)
+    for v, part in zip(values.tolist(), np.split(items[order], at[1:]), strict=True):
+        yield v, part
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator]]:
+    """(bucket, its payloads one by one) of rows sorted by bucket."""
+    rows = ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+    for bucket, group in groupby(rows, key=lambda r: r[0]):
+        yield bucket, (_unpacked(p.as_py()) for _, p in group)
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks with those of a bucket together; each bucket is worked off by itself."""
+    return blocks.repartition(partitions_for(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(_NO_KEY).to_numpy(zero_copy_only=False)
+
+
+def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each text, to tell apart texts of one key."""
+    return bytetext.span_hash(bytetext.prefix_hash(data), offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def _intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unions of intervals that meet or overlap, from any."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
+# --- runs -----------------------------------------------------------------------------------------------------------
+
+
 class Runs:
-    """The runs of a batch of texts, in order: text, number in the text, start, windows, place of the sample, its hash, a hash of the bytes."""
+    """The runs of a batch of texts, in order: text, start in the text, suffixes, place of the gram, its hash, a hash of the bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> None:
         parts = []
         for i, _, piece, at in bytetext.pieces(data, offsets):
             if len(piece) < 1 << _POSITION:
                 parts.append(self._of(piece, at, i, 0, length, gram))
-            else:  # one long text: its windows in turn
+            else:  # one long text: its suffixes in turn
                 step = (1 << _POSITION) - 2 * length
                 parts += [self._of(piece[c : c + step + length - 1], np.array([0, min(step + length - 1, len(piece) - c)]), i, c, length, gram) for c in range(0, len(piece) - length + 1, step)]
         kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
         self.text, self.start, self.windows, self.place, self.sample, self.whole = (
             np.concatenate([p[k] for p in parts]).astype(kind) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)
         )
-        self.first = np.searchsorted(self.text, np.arange(len(offsets)))
-        self.number = np.arange(len(self.text)) - self.first[self.text]
 
     @staticmethod
     def _of(data: np.ndarray, offsets: np.ndarray, text: int, shift: int, length: int, gram: int) -> tuple:
@@ -117,18 +171,66 @@ class Runs:
         return of[start] + text, start - offsets[of[start]] + shift, end - start, sample[start] - start, h[sample[start]], whole
 
 
-def _keys(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_NO_KEY).to_numpy(zero_copy_only=False)
-
+def leads(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each run the run of equal bytes that has the smallest key; kind is a hash of the bytes."""
+    order = np.lexsort((key, kind))
+    first = np.ones(len(order), bool)
+    first[1:] = kind[order][1:] != kind[order][:-1]
+    lead = np.arange(len(order))
+    if len(order):
+        lead[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+    other = np.flatnonzero((lead != np.arange(len(lead))) & (size == size[lead]))
+    lead[(lead != np.arange(len(lead))) & (size != size[lead])] = -1
+    if len(other):
+        n = size[other]
+        at = _spread(begin[other], n)
+        equal = np.logical_and.reduceat(data[at] == data[at + np.repeat(begin[lead[other]] - begin[other], n)], np.cumsum(n) - n)
+        lead[other[~equal]] = -1
+    return np.where(lead < 0, np.arange(len(lead)), lead)
+
+
+@dataclass
+class Pieces:
+    """Different runs of texts (their bytes, gram, suffixes, key), and where each stands: run, mark and start. All places of a run are of its key."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    sample: np.ndarray
+    key: np.ndarray
+    of: np.ndarray
+    mark: np.ndarray
+    start: np.ndarray
 
-def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """16 bits of each text, to tell apart texts of one key."""
-    p = bytetext.prefix_hash(data)
-    return (bytetext.span_hash(p, offsets[:-1], offsets[1:]) >> np.uint64(48)).astype(np.int64)
+    @staticmethod
+    def joined(parts: list[Pieces]) -> Pieces:
+        runs, data = np.cumsum([0, *[len(p.size) for p in parts]]), np.cumsum([0, *[len(p.data) for p in parts]])
+        cat = lambda f: np.concatenate([f(k, p) for k, p in enumerate(parts)])
+        plain = {c: cat(lambda _, p, c=c: getattr(p, c)) for c in ("data", "size", "sample", "key", "mark", "start")}
+        return Pieces(begin=cat(lambda k, p: p.begin + data[k]), of=cat(lambda k, p: p.of + runs[k]), **plain)
+
+    def take(self, runs: np.ndarray) -> Pieces:
+        """These runs alone, with their bytes one after the other."""
+        to = np.full(len(self.size), -1)
+        to[runs] = np.arange(len(runs))
+        held = np.flatnonzero(to[self.of] >= 0)
+        size = self.size[runs]
+        return Pieces(self.data[_spread(self.begin[runs], size)], np.cumsum(size) - size, size, self.sample[runs], self.key[runs], to[self.of[held]], self.mark[held], self.start[held])
+
+    def merged(self) -> tuple[Pieces, list[np.ndarray]]:
+        """Runs of different bytes, and (key, mark, start, end) of those that go, as a run of a smaller key has their bytes."""
+        kind = bytetext.span_hash(bytetext.prefix_hash(self.data), self.begin, self.begin + self.size)
+        lead = leads(self.data, self.begin, self.size, kind, self.key)
+        less = self.key[self.of] > self.key[lead[self.of]]
+        at = np.flatnonzero(less)
+        gone = [self.key[self.of[at]], self.mark[at], self.start[at], self.start[at] + self.size[self.of[at]]]
+        stay = np.flatnonzero(~less)
+        held = Pieces(self.data, self.begin, self.size, self.sample, self.key, lead[self.of[stay]], self.mark[stay], self.start[stay])
+        return held.take(np.flatnonzero(lead == np.arange(len(lead)))), gone
 
 
 def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int) -> DataFrame:
-    """Blocks of runs by sample, and of runs already known to go by document (their bucket is -1 - the document's)."""
+    """Blocks of runs by gram, and of runs already known to go by document (their bucket is -1 - the document's)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,356 +242,345 @@ def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets
     def dealt(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
         marks = _marks(data, offsets)
         runs = Runs(data, offsets, length, gram)
-        kind = bytetext.mixed(runs.whole ^ bytetext.mixed(runs.sample))
-        key = keys[runs.text]
-        order = np.lexsort((key, kind))
-        first = np.ones(len(order), bool)
-        first[1:] = kind[order][1:] != kind[order][:-1]
-        lead = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
-        gone = order[key[order] > key[lead]]
-        rows = []
-        for bucket, at in _grouped(gone, _bucket_of(keys, doc_buckets)[runs.text[gone]]):
-            rows.append((-1 - bucket, _packed(key[at], marks[runs.text[at]], runs.number[at] * 2)))
-        rest = order[first]
-        rest = rest[np.argsort(runs.sample[rest], kind="stable")]
-        for bucket, at in _grouped(rest, (runs.sample[rest] % np.uint64(buckets)).astype(np.int64)):
-            texts, which = np.unique(runs.text[at], return_inverse=True)
-            short = np.uint16 if len(texts) < 65536 else np.uint32
-            rows.append((bucket, _packed(runs.sample[at], runs.whole[at], which.astype(short), runs.number[at].astype(np.uint32), keys[texts], marks[texts])))
+        key, begin, size = keys[runs.text], offsets[runs.text] + runs.start, runs.windows + length - 1
+        lead = leads(data, begin, size, runs.whole, key)
+        gone = np.flatnonzero(key > key[lead])
+        start, end = _intervals(begin[gone], begin[gone] + size[gone])
+        text = np.searchsorted(offsets, start, "right") - 1
+        # intervals are cut where texts end
+        ends = np.searchsorted(offsets, end, "left") - 1
+        n = ends - text + 1
+        of = _spread(text, n)
+        start, end = np.maximum(np.repeat(start, n), offsets[of]) - offsets[of], np.minimum(np.repeat(end, n), offsets[of + 1]) - offsets[of]
+        rows = _gone_blocks([keys[of], marks[of], start, end], doc_buckets, -1)
+        held = np.flatnonzero(key == key[lead])  # the places of a run that are of its smallest key
+        run = np.flatnonzero((lead == np.arange(len(lead))))
+        number = np.full(len(lead), -1)
+        for bucket, own in _grouped(run, (runs.sample[run] % np.uint64(buckets)).astype(np.int64)):
+            number[own] = np.arange(len(own))
+            flat = data[_spread(begin[own], size[own])].tobytes()
+            rows.append((bucket, [own, flat]))
+        place_bucket = (runs.sample[held] % np.uint64(buckets)).astype(np.int64)
+        places = dict(_grouped(held, place_bucket))
+        for k, (bucket, made) in enumerate(rows):
+            if type(made) is list:
+                own, flat = made
+                at = places[bucket]
+                texts, which = np.unique(runs.text[at], return_inverse=True)
+                short = np.uint16 if max(len(texts), len(own)) < 65536 else np.uint32
+                numbers = number[lead[at]].astype(short)
+                rows[k] = (bucket, _packed(flat, runs.windows[own].astype(np.uint16), runs.place[own].astype(np.uint16), numbers, which.astype(short), runs.start[at].astype(np.uint32), keys[texts], marks[texts]))
         return rows
 
     return docs.mapInArrow(deal, BLOCKS)
 
 
-def _grouped(items: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, its items in order) for each group."""
-    if not len(items):
-        return
-    order = np.argsort(group, kind="stable")
-    values, at = np.unique(group[order], return_index=True)
-    for v, part in zip(values.tolist(), np.split(items[order], at[1:]), strict=True):
-        yield v, part
+def _gone_blocks(columns: list[np.ndarray], doc_buckets: int, sign: int = 1) -> list[tuple[int, bytes]]:
+    """Blocks of (key, mark, start, end) by document; with sign -1, a bucket is -1 - the document's."""
+    bucket = _bucket_of(columns[0] ^ columns[1], doc_buckets)
+    return [(b if sign > 0 else -1 - b, _packed(*[c[i] for c in columns])) for b, i in _grouped(np.arange(len(columns[0])), bucket)]
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """(bucket, its payloads) of rows sorted by bucket."""
-    rows = ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
-    for bucket, group in groupby(rows, key=lambda r: r[0]):
-        yield bucket, [_unpacked(p.as_py()) for _, p in group]
+def _pieces_of(payload: tuple, length: int, gram: int) -> Pieces:
+    flat, windows, place, numbers, which, start, keys, marks = payload
+    data = np.frombuffer(flat, np.uint8)
+    size = windows.astype(np.int64) + length - 1
+    begin = np.cumsum(size) - size
+    at = begin + place.astype(np.int64)
+    sample = bytetext.span_hash(bytetext.prefix_hash(data), at, at + gram)
+    of, which = numbers.astype(np.int64), which.astype(np.int64)
+    key = np.zeros(len(size), np.int64)
+    key[of] = keys[which]
+    return Pieces(data, begin, size, sample, key, of, marks[which], start.astype(np.int64))
 
 
-def settle_runs(blocks: DataFrame, doc_buckets: int) -> DataFrame:
-    """Blocks (key, mark, number * 2 + asks) by document: runs that go, and runs that ask to be compared."""
+# --- the suffixes of a block ----------------------------------------------------------------------------------------
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cover_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, order, common) of the suffixes at the difference cover: sorted by their first depth bytes, and how many bytes, depth at most, each shares with the one before.
+
+    data ends with depth + 8 bytes that are no text. Ranks are doubled: a cover position and the one a multiple of PERIOD on are in one residue.
+    """
+    n = len(data) - depth - 8
+    per = len(COVER)
+    p = (np.arange(-(-n // PERIOD))[:, None] * PERIOD + np.array(COVER)).ravel()
+    p = p[p < n]
+    view = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    name = key = view[p].astype(np.uint64)
+    order = np.argsort(key)
+    reach = 8
+    while True:
+        ranked = key[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        if reach >= depth:
+            break
+        name = np.empty(len(order), np.uint64)
+        name[order] = np.cumsum(new)
+        step = reach // PERIOD
+        after = np.zeros(len(name), np.uint64)
+        after[: max(0, len(name) - per * step)] = name[per * step :]
+        key = (name << np.uint64(32)) | after
+        order = np.argsort(key)
+        reach += PERIOD * step
+    common = np.full(len(order), -1)
+    alive = np.arange(1, len(order))
+    for k in range(0, depth, 8):
+        differ = view[p[order[alive]] + k].astype(np.uint64) ^ view[p[order[alive - 1]] + k].astype(np.uint64)
+        same = sum((differ < np.uint64(1 << 8 * (8 - b))).astype(np.int64) for b in range(1, 8)) + (differ == 0)
+        common[alive] = k + same
+        alive = alive[same == 8]
+    return p, order, np.minimum(common, depth)
+
+
+def suffixes_that_go(block: Pieces, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, suffix of the run) for the suffixes whose first length bytes also start in a run of a smaller key."""
+    data = np.concatenate([block.data, np.zeros(length + 8, np.uint8)])
+    windows = block.size - length + 1
+    at = _spread(block.begin, windows)
+    run = np.repeat(np.arange(len(windows)), windows)
+    _, rank = np.unique(block.key, return_inverse=True)
+    rank = rank.astype(np.int32)[run]
+    _, order, common = cover_order(data, length)
+    view = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    gone = np.zeros(len(at), bool)
+    residue = at % PERIOD
+    index = np.full(PERIOD, -1)
+    index[list(COVER)] = np.arange(len(COVER))
+    for ahead in range(PERIOD):  # a cover position is so many bytes on
+        name = np.empty(len(order), np.uint64)
+        name[order] = np.cumsum(common < length - ahead)
+        meets = np.zeros(PERIOD, bool)
+        meets[[(c - ahead) % PERIOD for c in COVER]] = True
+        some = np.flatnonzero(meets[residue] & ~gone)
+        if len(some) < 2:
+            continue
+        p = at[some] + ahead
+        names = name[p // PERIOD * len(COVER) + index[p % PERIOD]]
+        if not ahead:
+            by = np.argsort(names)
+            new = names[by][1:] != names[by][:-1]
+        else:
+            head = view[at[some]].astype(np.uint64) >> np.uint64(64 - 8 * ahead)
+            if len(order).bit_length() + 8 * ahead <= 64:
+                names = (names << np.uint64(8 * ahead)) | head
+                by = np.argsort(names)
+                new = names[by][1:] != names[by][:-1]
+            else:
+                by = np.lexsort((head, names))
+                new = (names[by][1:] != names[by][:-1]) | (head[by][1:] != head[by][:-1])
+        first = np.concatenate([[0], np.flatnonzero(new) + 1])
+        own = rank[some[by]]
+        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(by))))
+        gone[some[by[own > least]]] = True
+    found = np.flatnonzero(gone)
+    return run[found], at[found] - block.begin[run[found]]
+
+
+def places_that_go(block: Pieces, length: int) -> list[np.ndarray]:
+    """(key, mark, start, end) for the bytes of a block that go."""
+    run, suffix = suffixes_that_go(block, length)
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (suffix[1:] != suffix[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:] - 1, len(run) - 1)[: len(first)]
+    run, start, end = run[first], suffix[first], suffix[last] + length
+    n = np.bincount(run, minlength=len(block.size))
+    low = np.cumsum(n) - n
+    place = np.repeat(np.arange(len(block.of)), n[block.of])
+    at = _spread(low[block.of], n[block.of])
+    return [block.key[block.of[place]], block.mark[place], block.start[place] + start[at], block.start[place] + end[at]]
+
+
+def sort_buckets(blocks: DataFrame, length: int, gram: int, doc_buckets: int, block_bytes: int, hot: int) -> DataFrame:
+    """FOUND: what goes, by document, and the runs of hot grams."""
+    schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), *[(c, pa.int64()) for c in ("key", "mark", "start", "windows")], ("bytes", pa.binary())])
+
+    def rows_of(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        made = _blocks(blocks)
+        return pa.RecordBatch.from_arrays([*made.columns, *[pa.nulls(len(made), f.type) for f in list(schema)[2:]]], schema=schema)
+
+    def hot_rows(p: Pieces) -> pa.RecordBatch:
+        n = len(p.of)
+        size = p.size[p.of]
+        flat = p.data[_spread(p.begin[p.of], size)]
+        strings = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)])
+        plain = [pa.array(x) for x in (p.key[p.of], p.mark, p.start, size - length + 1)]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *plain, strings], schema=schema)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, payloads in _by_bucket(batches):
             if bucket < 0:
-                yield _blocks([(-1 - bucket, _packed(*p)) for p in payloads])
+                yield rows_of([(-1 - bucket, _packed(*p)) for p in payloads])
                 continue
-            sample = np.concatenate([p[0] for p in payloads])
-            whole = np.concatenate([p[1] for p in payloads])
-            key = np.concatenate([p[4][p[2]] for p in payloads])
-            mark = np.concatenate([p[5][p[2]] for p in payloads])
-            number = np.concatenate([p[3] for p in payloads]).astype(np.int64)
-            order = np.lexsort((key, whole, sample))
-            sample, whole, key, mark, number = sample[order], whole[order], key[order], mark[order], number[order]
-            new_sample = np.ones(len(sample), bool)
-            new_sample[1:] = sample[1:] != sample[:-1]
-            new_kind = new_sample.copy()
-            new_kind[1:] |= whole[1:] != whole[:-1]
-            kind = np.cumsum(new_kind) - 1
-            lead = np.flatnonzero(new_kind)
-            gone = key > key[lead[kind]]
-            # a sample in two kinds of runs, of two keys: the kinds' smallest keys ask
-            of = (np.cumsum(new_sample) - 1)[lead]
-            n = int(of[-1]) + 1
-            low, high = np.full(n, _NO_KEY), np.full(n, np.iinfo(np.int64).min)
-            np.minimum.at(low, of, key[lead])
-            np.maximum.at(high, of, key[lead])
-            asks = lead[(low < high)[of]]
-            at = np.concatenate([np.flatnonzero(gone), asks])
-            out = number[at] * 2 + np.repeat([0, 1], [len(at) - len(asks), len(asks)])
-            rows = [(b, _packed(key[at[i]], mark[at[i]], out[i])) for b, i in _grouped(np.arange(len(at)), _bucket_of(key[at], doc_buckets))]
-            if rows:
-                yield _blocks(rows)
-
-    return _dealt(blocks).mapInArrow(settle, BLOCKS)
+            held: list[Pieces] = []
+            size, limit = 0, 4 * block_bytes
+            very = np.zeros(0, np.uint64)
+            for payload in payloads:
+                made = _pieces_of(payload, length, gram)
+                held.append(made)
+                size += len(made.data)
+                if size > limit:  # fold what has come so far
+                    all_, very, out = folded(held, very)
+                    yield from out
+                    held, size = [all_], len(all_.data)
+                    limit = max(limit, 2 * size)
+            if held:
+                all_, very, out = folded(held, very)
+                yield from out
+                yield from sorted_blocks(all_)
+
+    def folded(held: list[Pieces], very: np.ndarray) -> tuple[Pieces, np.ndarray, list[pa.RecordBatch]]:
+        """Runs that stay in the bucket, its hot grams, and what leaves it."""
+        all_, gone = Pieces.joined(held).merged()
+        out = [rows_of(_gone_blocks(gone, doc_buckets))] if len(gone[0]) else []
+        grams, n = np.unique(all_.sample, return_counts=True)
+        very = np.union1d(very, grams[n > hot])
+        if len(very):
+            there = np.isin(all_.sample, very)
+            if there.any():
+                out.append(hot_rows(all_.take(np.flatnonzero(there))))
+                all_ = all_.take(np.flatnonzero(~there))
+        return all_, very, out
+
+    def sorted_blocks(all_: Pieces) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(all_.sample, kind="stable")
+        if not len(order):
+            return
+        sample, key = all_.sample[order], all_.key[order]
+        first = np.concatenate([[0], np.flatnonzero(sample[1:] != sample[:-1]) + 1])
+        n = np.diff(np.append(first, len(order)))
+        several = np.minimum.reduceat(key, first) < np.maximum.reduceat(key, first)
+        order, n = order[np.repeat(several, n)], n[several]
+        if not len(n):
+            return
+        upto = np.cumsum(all_.size[order])
+        # blocks of whole grams
+        number = upto[np.cumsum(n) - 1] // block_bytes
+        for _, part in _grouped(np.arange(len(n)), number):
+            low = int(n[: part[0]].sum())
+            columns = places_that_go(all_.take(order[low : low + int(n[part].sum())]), length)
+            if len(columns[0]):
+                yield rows_of(_gone_blocks(columns, doc_buckets))
+
+    return _dealt(blocks).mapInArrow(sort, FOUND)
+
+
+def compare_hot(runs: DataFrame, length: int) -> DataFrame:
+    """(key, mark, start, end) of suffixes that go, of grams in very many runs: by rows, the smallest key of each string found before rows meet."""
+    string = F.substring(F.col("bytes"), F.col("w").cast("int") + 1, F.lit(length))
+    rows = runs.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).select("key", "mark", (F.col("start") + F.col("w")).alias("start"), string.alias("string"))
+    least = rows.groupBy("string").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
+    return rows.join(least, "string").where("key > least").select("key", "mark", "start", (F.col("start") + length).alias("end"))
 
 
-def _dealt(blocks: DataFrame) -> DataFrame:
-    """Blocks with those of a bucket together; each bucket is worked off by itself."""
-    return blocks.repartition(_tasks(blocks), "bucket").sortWithinPartitions("bucket")
+def block_places(found: DataFrame, doc_buckets: int) -> DataFrame:
+    """Blocks of (key, mark, start, end) by document."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield _blocks(_gone_blocks([batch.column(k).to_numpy() for k in range(4)], doc_buckets))
+
+    return found.mapInArrow(block, BLOCKS)
 
 
-def _tasks(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+# --- documents ------------------------------------------------------------------------------------------------------
 
 
 def deal_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
-    """Blocks (keys, offsets, bytes, whether the key is null, other columns) of documents by key."""
+    """Blocks (keys, marks, offsets, bytes, whether the key is null, other columns) of documents by key and text."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, null = _keys(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), 4 * _BATCH):
-                keys, rows = every[i:j], []
-                for bucket, at in _grouped(np.arange(len(keys)), _bucket_of(keys, doc_buckets)):
+                keys, marks, rows = every[i:j], _marks(data, offsets), []
+                for bucket, at in _grouped(np.arange(len(keys)), _bucket_of(keys ^ marks, doc_buckets)):
                     size = (offsets[1:] - offsets[:-1])[at]
-                    text = np.concatenate([data[offsets[k] : offsets[k + 1]] for k in at])
+                    text = data[_spread(offsets[at], size)]
                     carried = [batch.column(c).slice(i, j - i).take(pa.array(at)) for c in range(2, batch.num_columns)]
-                    rows.append((bucket, _packed(keys[at], np.concatenate([[0], np.cumsum(size)]), text.tobytes(), null[i:j][at], carried)))
+                    rows.append((bucket, _packed(keys[at], marks[at], np.concatenate([[0], np.cumsum(size)]), text.tobytes(), null[i:j][at], carried)))
                 if rows:
                     yield _blocks(rows)
 
     return docs.mapInArrow(deal, BLOCKS)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], length: int, gram: int, count: int):
-    """For each block of documents of a bucket: null keys and other columns, keys, bytes, offsets, marks, runs, and what was sent for them.
-
-    What was sent are tuples of arrays: key, mark, number, and count more. They are joined on the documents' keys and marks,
-    and given as the text of each match and the arrays (number and further ones) of each match.
-    """
-    for bucket, payloads in _by_bucket(batches):
-        sent = [p for p in payloads if type(p[2]) is not bytes]
-        columns = [np.concatenate([p[k] for p in sent]) if sent else np.zeros(0, np.int64) for k in range(3 + count)]
-        order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
-        for keys, offsets, raw, null, carried in (p for p in payloads if type(p[2]) is bytes):
-            data = np.frombuffer(raw, np.uint8)
-            marks = _marks(data, offsets)
-            runs = Runs(data, offsets, length, gram)
-            low, high = np.searchsorted(columns[0], keys, "left"), np.searchsorted(columns[0], keys, "right")
-            n = high - low
-            text = np.repeat(np.arange(len(keys)), n)
-            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            fits = columns[1][at] == marks[text]
-            text, at = text[fits], at[fits]
-            yield (null, carried), keys, data, offsets, marks, runs, text, [c[at] for c in columns[2:]]
-
-
-def _intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unions of intervals that meet or overlap, from any."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > end[:-1]
-    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)] if len(end) else end
-
-
-def _like(runs: Runs, text: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(match, run) for the runs of the same text that are equal to the run that a match names."""
-    named = runs.first[text] + number
-    kind = lambda i: bytetext.mixed(runs.whole[i] ^ bytetext.mixed(runs.sample[i] + runs.text[i].astype(np.uint64)))
-    own = kind(np.arange(len(runs.text)))
-    order = np.argsort(own, kind="stable")
-    wanted = kind(named)
-    low, high = np.searchsorted(own[order], wanted, "left"), np.searchsorted(own[order], wanted, "right")
-    n = high - low
-    return np.repeat(np.arange(len(named)), n), order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-
-
-def give_runs(blocks: DataFrame, length: int, gram: int) -> DataFrame:
-    """(sample, key, mark, number, place, windows, bytes) of runs that ask; sample is null in rows of windows that go:
-
-    key, mark, and first and last window as number and windows, in bytes of the text.
-    """
-
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, data, offsets, marks, runs, text, (number,) in _meet(batches, length, gram, 0):
-            ask = (number & 1).astype(bool)
-            number = number >> 1
-            run = runs.first[text[ask]] + number[ask]
-            begin = offsets[runs.text[run]] + runs.start[run]
-            size = runs.windows[run] + length - 1
-            flat = data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            _, gone = _like(runs, text[~ask], number[~ask])
-            base = offsets[runs.text[gone]] + runs.start[gone]
-            start, end = _intervals(base, base + runs.windows[gone])
-            of = np.searchsorted(offsets, start, "right") - 1
-            none = np.zeros(len(start), np.int64)
-            columns = {
-                "sample": pa.concat_arrays([pa.array(runs.sample[run].view(np.int64)), pa.nulls(len(start), pa.int64())]),
-                "key": pa.array(np.concatenate([keys[runs.text[run]], keys[of]])),
-                "mark": pa.array(np.concatenate([marks[runs.text[run]], marks[of]])),
-                "number": pa.array(np.concatenate([runs.number[run], start - offsets[of]])),
-                "place": pa.array(np.concatenate([runs.place[run], none])),
-                "windows": pa.array(np.concatenate([runs.windows[run], end - offsets[of]])),
-                "bytes": pa.Array.from_buffers(pa.binary(), len(run) + len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size), np.full(len(start), size.sum())]).astype(np.int32)), pa.py_buffer(flat)]),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return _dealt(blocks).mapInArrow(give, "sample long, key long, mark long, number long, place long, windows long, bytes binary")
-
-
-def _suffix_order(samples: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common): rows of bytes sorted within their samples, and the bytes each has in common with the one before."""
-    words = rows.view(">u8")
-    order = np.lexsort((*[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], samples))
-    differ = rows[order][1:] != rows[order][:-1]
-    common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-    common[samples[order][1:] != samples[order][:-1]] = -1
-    return order, np.concatenate([[-1], common])
-
-
-def windows_that_go(samples: np.ndarray, keys: np.ndarray, place: np.ndarray, windows: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, window of the row) for windows that also stand in a row with a smaller key."""
-    n, width = len(samples), -(-length // 8) * 8
-    padded = np.concatenate([np.zeros(width, np.uint8), data, np.zeros(width, np.uint8)])
-    at = offsets[:-1] + place + width
-    right = padded[at[:, None] + np.arange(width)]
-    left = padded[at[:, None] - 1 - np.arange(width)]
-    right[np.arange(width) >= (offsets[1:] + width - at)[:, None]] = 0
-    left[np.arange(width) >= place[:, None]] = 0
-    ranks = []
-    for rows in (left, right):
-        order, common = _suffix_order(samples, np.ascontiguousarray(rows))
-        ranks.append((order, common))
-    found = []
-    for d in range(int(place.max(initial=-1)) + 1):  # windows whose sample stands at place d
-        here = np.flatnonzero((place >= d) & (place - windows < d))
-        if len(here) < 2:
-            continue
-        pair = []
-        for (order, common), reach in zip(ranks, (d, length - d), strict=True):
-            name = np.empty(n, np.int64)
-            name[order] = np.cumsum(common < reach)
-            pair.append(name[here])
-        name = pair[0] * (n + 1) + pair[1]
-        order = np.lexsort((keys[here], name))
-        name, key = name[order], keys[here][order]
-        new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        gone = here[order[key > key[np.flatnonzero(new)[np.cumsum(new) - 1]]]]
-        found.append((gone, place[gone] - d))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def compare_runs(asked: DataFrame, length: int, doc_buckets: int, most_rows: int = 50_000) -> DataFrame:
-    """Blocks (key, mark, number, first, last) by document: windows that go, of runs that ask, a bucket of whole samples at a time."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            samples, keys, marks, numbers, place, windows = (table[c].to_numpy() for c in ("sample", "key", "mark", "number", "place", "windows"))
-            data, offsets = bytetext.of_arrow(table["bytes"])
-            row, window = windows_that_go(samples, keys, place, windows, data, offsets, length)
-            if len(row):
-                order = np.lexsort((window, row))
-                row, window = row[order], window[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:] - 1, len(row) - 1)
-                r = row[first]
-                yield _window_blocks([keys[r], marks[r], numbers[r], window[first], window[last]], doc_buckets)
-
-        for batch in batches:
-            held.append(batch)
-            if sum(len(b) for b in held) >= most_rows:
-                table = pa.Table.from_batches(held).combine_chunks()
-                samples = table["sample"].to_numpy()
-                cut = len(samples) - int(np.argmax(samples[::-1] != samples[-1])) if samples[0] != samples[-1] else 0
-                if cut:
-                    yield from found(table.slice(0, cut))
-                    held = table.slice(cut).to_batches()
-        if held:
-            yield from found(pa.Table.from_batches(held).combine_chunks())
-
-    dealt = asked.repartition(_tasks(asked), "sample").sortWithinPartitions("sample")
-    return dealt.mapInArrow(compare, BLOCKS)
-
-
-def _window_blocks(columns: list[np.ndarray], doc_buckets: int) -> pa.RecordBatch:
-    return _blocks([(b, _packed(*[c[i] for c in columns])) for b, i in _grouped(np.arange(len(columns[0])), _bucket_of(columns[0], doc_buckets))])
-
-
-def compare_hot(asked: DataFrame, length: int) -> DataFrame:
-    """The same for samples in very many runs, by rows: the smallest key of each window is found before rows meet."""
-    window = F.substring(F.col("bytes"), F.col("w").cast("int") + 1, F.lit(length))
-    rows = asked.withColumn("w", F.explode(F.sequence(F.lit(0), F.col("windows") - 1))).select("key", "mark", "number", "w", F.sha2(window, 256).alias("string"))
-    least = rows.groupBy("string").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
-    return rows.join(least, "string").where("key > least").select("key", "mark", "number", F.col("w").alias("first"), F.col("w").alias("last"))
-
-
-def block_windows(found: DataFrame, doc_buckets: int) -> DataFrame:
-    """Blocks of (key, mark, number or -1, first, last) by document."""
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                yield _window_blocks([batch.column(k).to_numpy() for k in range(5)], doc_buckets)
-
-    return found.mapInArrow(block, BLOCKS)
-
-
-def cut_docs(blocks: DataFrame, length: int, gram: int, key: str, texts: bool, carry: list[T.StructField]) -> DataFrame:
+def cut_docs(blocks: DataFrame, key: str, texts: bool, carry: list[T.StructField]) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept], columns carried): what is left of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (null, carried), keys, data, offsets, _, runs, text, (number, first, last) in _meet(batches, length, gram, 2):
-            plain = number < 0  # first and last are of the text already
-            start, end = offsets[text[plain]] + first[plain], offsets[text[plain]] + last[plain] + length - 1
-            match, run = _like(runs, text[~plain], number[~plain])
-            base = offsets[runs.text[run]] + runs.start[run]
-            start = np.concatenate([start, base + first[~plain][match]])
-            end = np.concatenate([end, base + last[~plain][match] + length])
-            gone = np.zeros(len(data) + 1, np.int64)
-            np.add.at(gone, start, 1)
-            np.add.at(gone, end, -1)
-            keep = np.cumsum(gone[:-1]) == 0
-            edge = np.ones(len(data) + 1, bool)
-            edge[1:-1] = keep[1:] != keep[:-1]
-            edge[offsets] = True
-            rows: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-            for t in range(len(keys)):
-                a, b = int(offsets[t]), int(offsets[t + 1])
-                own = keep[a:b]
-                if own.all():
-                    spans, left = [], data[a:b].tobytes()
-                else:
-                    at = np.flatnonzero(edge[a : b + 1])
-                    spans = [(int(x), int(y)) for x, y in zip(at[:-1], at[1:], strict=True) if not own[x]]
-                    left = data[a:b][own].tobytes()
-                rows["n_bytes"].append(b - a)
-                rows["n_removed"].append(b - a - len(left))
-                rows["n_spans"].append(len(spans))
-                rows["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                rows["spans"].append([{"start": x, "end": y} for x, y in spans])
-                if texts:
-                    rows["kept"].append(left.decode("utf-8", "ignore"))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-            columns = {c: pa.array(v, k) for (c, v), k in zip(rows.items(), kinds, strict=True) if texts or c != "kept"}
-            made = [pa.array(keys, pa.int64(), mask=np.asarray(null, bool)), *columns.values(), *carried]
-            yield pa.RecordBatch.from_arrays(made, [key, *columns, *(f.name for f in carry)])
+        for _, payloads in _by_bucket(batches):
+            sent, docs = [], []
+            for p in payloads:
+                (sent if len(p) == 4 else docs).append(p)
+            columns = [np.concatenate([p[k] for p in sent]) if sent else np.zeros(0, np.int64) for k in range(4)]
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            while docs:
+                yield cut_block(columns, *docs.pop())
+
+    def cut_block(columns: list[np.ndarray], keys: np.ndarray, marks: np.ndarray, offsets: np.ndarray, raw: bytes, null: np.ndarray, carried: list[pa.Array]) -> pa.RecordBatch:
+        data = np.frombuffer(raw, np.uint8)
+        low, high = np.searchsorted(columns[0], keys, "left"), np.searchsorted(columns[0], keys, "right")
+        n = high - low
+        text = np.repeat(np.arange(len(keys)), n)
+        at = _spread(low, n)
+        fits = columns[1][at] == marks[text]
+        text, at = text[fits], at[fits]
+        gone = np.bincount(offsets[text] + columns[2][at], minlength=len(data) + 1) - np.bincount(offsets[text] + columns[3][at], minlength=len(data) + 1)
+        keep = np.cumsum(gone[:-1]) == 0
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = keep[1:] != keep[:-1]
+        edge[offsets] = True
+        rows: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
+        for t in range(len(keys)):
+            a, b = int(offsets[t]), int(offsets[t + 1])
+            own = keep[a:b]
+            if own.all():
+                spans, left = [], data[a:b].tobytes()
+            else:
+                cuts = np.flatnonzero(edge[a : b + 1])
+                spans = [(int(x), int(y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if not own[x]]
+                left = data[a:b][own].tobytes()
+            rows["n_bytes"].append(b - a)
+            rows["n_removed"].append(b - a - len(left))
+            rows["n_spans"].append(len(spans))
+            rows["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+            rows["spans"].append([{"start": x, "end": y} for x, y in spans])
+            if texts:
+                rows["kept"].append(left.decode("utf-8", "ignore"))
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+        made = {c: pa.array(v, k) for (c, v), k in zip(rows.items(), kinds, strict=True) if texts or c != "kept"}
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=np.asarray(null, bool)), *made.values(), *carried], [key, *made, *(f.name for f in carry)])
 
     schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     made = T.StructType.fromDDL(schema + (", kept string" if texts else ""))
     return _dealt(blocks).mapInArrow(cut, T.StructType([*made.fields, *carry]))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 16, runs_per_bucket: int = 250_000, bytes_per_bucket: int = 8_000_000, hot: int = 50_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes[, kept: the text that is left][, columns to carry]) of each document."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 16, block_bytes: int = 5_000_000, doc_bytes: int = 8_000_000, hot: int = 50_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes[, kept: the text that is left][, columns to carry]) of each document.
+
+    About block_bytes of text are sorted, and doc_bytes of documents cut, at once.
+    """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of a whole-number type")
     others = [docs.schema[c] for c in carry]
     whole = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text), *carry)
     docs = whole.select(key, text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // ((length - gram + 2) // 2 * runs_per_bucket)))
-    doc_buckets = max(1, -(-size // bytes_per_bucket))
-    settled = settle_runs(deal_runs(docs, length, gram, buckets, doc_buckets), doc_buckets)
-    given = written(give_runs(settled.unionByName(deal_docs(docs, doc_buckets)), length, gram), "suffix-runs")
-    asked = given.where("sample is not null")
-    many = asked.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("sample")  # fewer than all runs / hot
-    many = written(many, "suffix-hot")
-    found = compare_runs(asked.join(F.broadcast(many), "sample", "left_anti"), length, doc_buckets)
-    if many.limit(1).count():
-        hot_rows = compare_hot(asked.join(F.broadcast(many), "sample", "left_semi"), length)
-        found = found.unionByName(block_windows(hot_rows, doc_buckets))
-    known = given.where("sample is null").select("key", "mark", F.lit(-1).cast("long").alias("number"), F.col("number").alias("first"), F.col("windows").alias("last"))
-    return cut_docs(found.unionByName(block_windows(known, doc_buckets)).unionByName(deal_docs(whole, doc_buckets)), length, gram, key, texts, others)
+    per_run = (length - gram + 2) // 2  # suffixes of a run, on average
+    buckets = max(1, -(-size * (per_run + length - 1) // (per_run * block_bytes)))
+    doc_buckets = max(1, -(-size // doc_bytes))
+    found = written(sort_buckets(deal_runs(docs, length, gram, buckets, doc_buckets), length, gram, doc_buckets, block_bytes, hot), "suffix-found")
+    gone = found.where("bucket is not null").select("bucket", "payload")
+    very = found.where("bucket is null")
+    if very.limit(1).count():
+        gone = gone.unionByName(block_places(compare_hot(very, length), doc_buckets))
+    return cut_docs(gone.unionByName(deal_docs(whole, doc_buckets)), key, texts, others)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

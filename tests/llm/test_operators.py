@@ -206,7 +206,7 @@ def brute_cut(texts, length=50):
     return sorted(out.values(), key=key)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"runs_per_bucket": 50, "bytes_per_bucket": 4000}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot": 3, "block_bytes": 300, "doc_bytes": 4000}, {"block_bytes": 3000, "doc_bytes": 4000}])
 def test_suffix_dedup_matches_brute_force(docs, options):
     from graphloom.llm.suffix_dedup import dedup
 
@@ -227,15 +227,50 @@ def test_suffix_dedup_long_text_and_carry(spark):
     assert dedup(corpus.empty(spark)).count() == 0
 
 
-def test_suffix_dedup_tells_runs_apart_by_the_whole_hash(spark):
-    """Two texts of one run each, with one sample, whose runs' hashes have their upper 32 bits in common."""
-    from graphloom.llm.suffix_dedup import Runs, dedup
+def test_suffix_dedup_compares_bytes(spark):
+    """Two texts of one run each, with one gram, whose runs' hashes have their upper 32 bits in common; runs with equal hashes and other bytes."""
+    from graphloom.llm.suffix_dedup import Runs, dedup, leads
 
     texts = ["vcmvqwmefdnoyjgdpcmcgxomyhdhhbgawwdazjjdutkjcltukc", "ubxvgcldfzeanlaldxihvoinukdhvwnxnydazjjdutkjcltukc"]
     runs = Runs(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 50, 100]), 50, 16)
     assert runs.sample[0] == runs.sample[1] and runs.whole[0] != runs.whole[1] and runs.whole[0] >> np.uint64(32) == runs.whole[1] >> np.uint64(32)
     got = {r.doc_id: r.n_removed for r in dedup(spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[1])], "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 50}
+    data = np.frombuffer(b"abcabdabcab", np.uint8)
+    assert leads(data, np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2]), np.zeros(4, np.uint64), np.array([2, 3, 1, 1])).tolist() == [2, 1, 2, 3]
+
+
+def test_difference_cover():
+    """Cover suffixes are in order, and every suffix that repeats is found, however long the tie."""
+    from graphloom.llm.suffix_dedup import COVER, PERIOD, Pieces, cover_order, suffixes_that_go
+
+    assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(97, 99, 700), np.full(300, 120), rng.integers(97, 101, 500)]).astype(np.uint8)
+    p, order, common = cover_order(np.concatenate([text, np.zeros(58, np.uint8)]), 50)
+    padded = text.tobytes() + bytes(58)
+    strings = [padded[x : x + 50] for x in p[order].tolist()]
+    assert strings == sorted(strings)
+    for a, b, n in zip(strings, strings[1:], common[1:].tolist(), strict=False):
+        assert a[:n] == b[:n] and (n == 50 or a[n] != b[n])
+    size = np.array([90, 90, 60, 300, 300])
+    begin = np.array([0, 3, 30, 650, 720])
+    data = np.concatenate([text[b : b + s] for b, s in zip(begin, size, strict=True)])
+    at = np.cumsum(size) - size
+    key = np.array([5, 4, 9, 7, 8])
+    run, suffix = suffixes_that_go(Pieces(data, at, size, np.zeros(5, np.uint64), key, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.int64)), 50)
+    least = {}
+    windows = [(k, w, data[at[k] + w : at[k] + w + 50].tobytes()) for k in range(5) for w in range(size[k] - 49)]
+    for k, _, b in windows:
+        least[b] = min(least.get(b, 99), key[k])
+    assert set(zip(run.tolist(), suffix.tolist(), strict=True)) == {(k, w) for k, w, b in windows if key[k] > least[b]}
+
+
+def test_suffix_dedup_refuses_other_keys(spark):
+    from graphloom.llm.suffix_dedup import dedup
+
+    with pytest.raises(TypeError):
+        dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # --- 5 sharding ---------------------------------------------------------------------------------------------------
