@@ -52,7 +52,7 @@ from graphloom.llm.common import partitions_for, read, written
 #: Bits of a position within a piece; the rest of a 64-bit number is for the hash that is smallest.
 _POSITION = 21
 #: Bytes of text that a task works on at once.
-_BATCH = 2_000_000
+_BATCH = 4_000_000
 _NO_KEY = np.iinfo(np.int64).max
 #: A difference cover: every difference modulo PERIOD is one of two of these residues.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -62,7 +62,7 @@ FOUND = "bucket int, payload binary, key long, mark long, start long, windows lo
 
 
 def _packed(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, 5))
 
 
 def _unpacked(payload: bytes):
@@ -100,17 +100,19 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
         yield bucket, (_unpacked(p.as_py()) for _, p in group)
 
 
-def _dealt(blocks: DataFrame) -> DataFrame:
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
     """Blocks with those of a bucket together; each bucket is worked off by itself."""
-    return blocks.repartition(partitions_for(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return blocks.repartition(max(buckets, partitions_for(blocks.sparkSession)), "bucket").sortWithinPartitions("bucket")
 
 
 def _keys(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(_NO_KEY).to_numpy(zero_copy_only=False)
 
 
-def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of each text, to tell apart texts of one key."""
+def _marks(data: np.ndarray, offsets: np.ndarray, marked: bool) -> np.ndarray:
+    """A hash of each text, to tell apart texts of one key; zeros if no key is repeated."""
+    if not marked:
+        return np.zeros(len(offsets) - 1, np.int64)
     return bytetext.span_hash(bytetext.prefix_hash(data), offsets[:-1], offsets[1:]).view(np.int64)
 
 
@@ -171,8 +173,8 @@ class Runs:
         return of[start] + text, start - offsets[of[start]] + shift, end - start, sample[start] - start, h[sample[start]], whole
 
 
-def leads(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each run the run of equal bytes that has the smallest key; kind is a hash of the bytes."""
+def leads(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarray, key: np.ndarray, step: int = 1_000_000) -> np.ndarray:
+    """For each run the run of equal bytes that has the smallest key; kind is a hash of the bytes. About step bytes are compared at once."""
     order = np.lexsort((key, kind))
     first = np.ones(len(order), bool)
     first[1:] = kind[order][1:] != kind[order][:-1]
@@ -181,21 +183,22 @@ def leads(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarra
         lead[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
     other = np.flatnonzero((lead != np.arange(len(lead))) & (size == size[lead]))
     lead[(lead != np.arange(len(lead))) & (size != size[lead])] = -1
-    if len(other):
-        n = size[other]
-        at = _spread(begin[other], n)
-        equal = np.logical_and.reduceat(data[at] == data[at + np.repeat(begin[lead[other]] - begin[other], n)], np.cumsum(n) - n)
-        lead[other[~equal]] = -1
+    for some in np.split(other, np.flatnonzero(np.diff(np.cumsum(size[other]) // step)) + 1) if len(other) else ():
+        n = size[some]
+        at = _spread(begin[some], n)
+        equal = np.logical_and.reduceat(data[at] == data[at + np.repeat(begin[lead[some]] - begin[some], n)], np.cumsum(n) - n)
+        lead[some[~equal]] = -1
     return np.where(lead < 0, np.arange(len(lead)), lead)
 
 
 @dataclass
 class Pieces:
-    """Different runs of texts (their bytes, gram, suffixes, key), and where each stands: run, mark and start. All places of a run are of its key."""
+    """Different runs of texts (their bytes, a hash of these, gram and key), and where each stands: run, mark and start. All places of a run are of its key."""
 
     data: np.ndarray
     begin: np.ndarray
     size: np.ndarray
+    kind: np.ndarray
     sample: np.ndarray
     key: np.ndarray
     of: np.ndarray
@@ -206,7 +209,7 @@ class Pieces:
     def joined(parts: list[Pieces]) -> Pieces:
         runs, data = np.cumsum([0, *[len(p.size) for p in parts]]), np.cumsum([0, *[len(p.data) for p in parts]])
         cat = lambda f: np.concatenate([f(k, p) for k, p in enumerate(parts)])
-        plain = {c: cat(lambda _, p, c=c: getattr(p, c)) for c in ("data", "size", "sample", "key", "mark", "start")}
+        plain = {c: cat(lambda _, p, c=c: getattr(p, c)) for c in ("data", "size", "kind", "sample", "key", "mark", "start")}
         return Pieces(begin=cat(lambda k, p: p.begin + data[k]), of=cat(lambda k, p: p.of + runs[k]), **plain)
 
     def take(self, runs: np.ndarray) -> Pieces:
@@ -215,21 +218,20 @@ class Pieces:
         to[runs] = np.arange(len(runs))
         held = np.flatnonzero(to[self.of] >= 0)
         size = self.size[runs]
-        return Pieces(self.data[_spread(self.begin[runs], size)], np.cumsum(size) - size, size, self.sample[runs], self.key[runs], to[self.of[held]], self.mark[held], self.start[held])
+        return Pieces(self.data[_spread(self.begin[runs], size)], np.cumsum(size) - size, size, self.kind[runs], self.sample[runs], self.key[runs], to[self.of[held]], self.mark[held], self.start[held])
 
     def merged(self) -> tuple[Pieces, list[np.ndarray]]:
         """Runs of different bytes, and (key, mark, start, end) of those that go, as a run of a smaller key has their bytes."""
-        kind = bytetext.span_hash(bytetext.prefix_hash(self.data), self.begin, self.begin + self.size)
-        lead = leads(self.data, self.begin, self.size, kind, self.key)
+        lead = leads(self.data, self.begin, self.size, self.kind, self.key)
         less = self.key[self.of] > self.key[lead[self.of]]
         at = np.flatnonzero(less)
         gone = [self.key[self.of[at]], self.mark[at], self.start[at], self.start[at] + self.size[self.of[at]]]
         stay = np.flatnonzero(~less)
-        held = Pieces(self.data, self.begin, self.size, self.sample, self.key, lead[self.of[stay]], self.mark[stay], self.start[stay])
+        held = Pieces(self.data, self.begin, self.size, self.kind, self.sample, self.key, lead[self.of[stay]], self.mark[stay], self.start[stay])
         return held.take(np.flatnonzero(lead == np.arange(len(lead)))), gone
 
 
-def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int) -> DataFrame:
+def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int, marked: bool) -> DataFrame:
     """Blocks of runs by gram, and of runs already known to go by document (their bucket is -1 - the document's)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +242,7 @@ def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets
                     yield _blocks(rows)
 
     def dealt(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
-        marks = _marks(data, offsets)
+        marks = _marks(data, offsets, marked)
         runs = Runs(data, offsets, length, gram)
         key, begin, size = keys[runs.text], offsets[runs.text] + runs.start, runs.windows + length - 1
         lead = leads(data, begin, size, runs.whole, key)
@@ -253,28 +255,30 @@ def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets
         of = _spread(text, n)
         start, end = np.maximum(np.repeat(start, n), offsets[of]) - offsets[of], np.minimum(np.repeat(end, n), offsets[of + 1]) - offsets[of]
         rows = _gone_blocks([keys[of], marks[of], start, end], doc_buckets, -1)
-        held = np.flatnonzero(key == key[lead])  # the places of a run that are of its smallest key
-        run = np.flatnonzero((lead == np.arange(len(lead))))
+        bucket = (runs.sample % np.uint64(buckets)).astype(np.int64)
+        places = dict(_grouped(np.flatnonzero(key == key[lead]), bucket[key == key[lead]]))  # of a run's smallest key
+        own = np.flatnonzero(lead == np.arange(len(lead)))
         number = np.full(len(lead), -1)
-        for bucket, own in _grouped(run, (runs.sample[run] % np.uint64(buckets)).astype(np.int64)):
-            number[own] = np.arange(len(own))
-            flat = data[_spread(begin[own], size[own])].tobytes()
-            rows.append((bucket, [own, flat]))
-        place_bucket = (runs.sample[held] % np.uint64(buckets)).astype(np.int64)
-        places = dict(_grouped(held, place_bucket))
-        for k, (bucket, made) in enumerate(rows):
-            if type(made) is list:
-                own, flat = made
-                at = places[bucket]
-                texts, which = np.unique(runs.text[at], return_inverse=True)
-                short = np.uint16 if max(len(texts), len(own)) < 65536 else np.uint32
-                numbers = number[lead[at]].astype(short)
-                rows[k] = (bucket, _packed(flat, runs.windows[own].astype(np.uint16), runs.place[own].astype(np.uint16), numbers, which.astype(short), runs.start[at].astype(np.uint32), keys[texts], marks[texts]))
+        for to, run in _grouped(own, bucket[own]):
+            number[run] = np.arange(len(run))
+            flat = data[_spread(begin[run], size[run])].tobytes()
+            at = places[to]
+            texts, which = np.unique(runs.text[at], return_inverse=True)
+            plain = [number[lead[at]], which, runs.start[at], runs.windows[run], runs.place[run], np.diff(keys[texts], prepend=0), marks[texts]]
+            rows.append((to, _packed(flat, *[_narrow(x) for x in plain])))
         return rows
 
     return docs.mapInArrow(deal, BLOCKS)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if not len(x) or x.min() >= 0 and x.max() <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
+
+
 def _gone_blocks(columns: list[np.ndarray], doc_buckets: int, sign: int = 1) -> list[tuple[int, bytes]]:
     """Blocks of (key, mark, start, end) by document; with sign -1, a bucket is -1 - the document's."""
     bucket = _bucket_of(columns[0] ^ columns[1], doc_buckets)
@@ -282,16 +286,15 @@ def _gone_blocks(columns: list[np.ndarray], doc_buckets: int, sign: int = 1) ->
 
 
 def _pieces_of(payload: tuple, length: int, gram: int) -> Pieces:
-    flat, windows, place, numbers, which, start, keys, marks = payload
-    data = np.frombuffer(flat, np.uint8)
-    size = windows.astype(np.int64) + length - 1
+    of, which, start, windows, place, steps, marks = (x.astype(np.int64) for x in payload[1:])
+    data = np.frombuffer(payload[0], np.uint8)
+    size = windows + length - 1
     begin = np.cumsum(size) - size
-    at = begin + place.astype(np.int64)
-    sample = bytetext.span_hash(bytetext.prefix_hash(data), at, at + gram)
-    of, which = numbers.astype(np.int64), which.astype(np.int64)
+    prefix = bytetext.prefix_hash(data)
+    sample = bytetext.span_hash(prefix, begin + place, begin + place + gram)
     key = np.zeros(len(size), np.int64)
-    key[of] = keys[which]
-    return Pieces(data, begin, size, sample, key, of, marks[which], start.astype(np.int64))
+    key[of] = np.cumsum(steps)[which]
+    return Pieces(data, begin, size, bytetext.span_hash(prefix, begin, begin + size), sample, key, of, marks[which], start)
 
 
 # --- the suffixes of a block ----------------------------------------------------------------------------------------
@@ -393,7 +396,7 @@ def places_that_go(block: Pieces, length: int) -> list[np.ndarray]:
     return [block.key[block.of[place]], block.mark[place], block.start[place] + start[at], block.start[place] + end[at]]
 
 
-def sort_buckets(blocks: DataFrame, length: int, gram: int, doc_buckets: int, block_bytes: int, hot: int) -> DataFrame:
+def sort_buckets(blocks: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int, bucket_bytes: int, block_bytes: int, hot: int) -> DataFrame:
     """FOUND: what goes, by document, and the runs of hot grams."""
     schema = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), *[(c, pa.int64()) for c in ("key", "mark", "start", "windows")], ("bytes", pa.binary())])
 
@@ -415,7 +418,7 @@ def sort_buckets(blocks: DataFrame, length: int, gram: int, doc_buckets: int, bl
                 yield rows_of([(-1 - bucket, _packed(*p)) for p in payloads])
                 continue
             held: list[Pieces] = []
-            size, limit = 0, 4 * block_bytes
+            size, limit = 0, 2 * bucket_bytes
             very = np.zeros(0, np.uint64)
             for payload in payloads:
                 made = _pieces_of(payload, length, gram)
@@ -464,7 +467,7 @@ def sort_buckets(blocks: DataFrame, length: int, gram: int, doc_buckets: int, bl
             if len(columns[0]):
                 yield rows_of(_gone_blocks(columns, doc_buckets))
 
-    return _dealt(blocks).mapInArrow(sort, FOUND)
+    return _dealt(blocks, buckets).mapInArrow(sort, FOUND)
 
 
 def compare_hot(runs: DataFrame, length: int) -> DataFrame:
@@ -489,14 +492,14 @@ def block_places(found: DataFrame, doc_buckets: int) -> DataFrame:
 # --- documents ------------------------------------------------------------------------------------------------------
 
 
-def deal_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
+def deal_docs(docs: DataFrame, doc_buckets: int, marked: bool) -> DataFrame:
     """Blocks (keys, marks, offsets, bytes, whether the key is null, other columns) of documents by key and text."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, null = _keys(batch.column(0)), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), 4 * _BATCH):
-                keys, marks, rows = every[i:j], _marks(data, offsets), []
+            for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(1)), 2 * _BATCH):
+                keys, marks, rows = every[i:j], _marks(data, offsets, marked), []
                 for bucket, at in _grouped(np.arange(len(keys)), _bucket_of(keys ^ marks, doc_buckets)):
                     size = (offsets[1:] - offsets[:-1])[at]
                     text = data[_spread(offsets[at], size)]
@@ -508,7 +511,7 @@ def deal_docs(docs: DataFrame, doc_buckets: int) -> DataFrame:
     return docs.mapInArrow(deal, BLOCKS)
 
 
-def cut_docs(blocks: DataFrame, key: str, texts: bool, carry: list[T.StructField]) -> DataFrame:
+def cut_docs(blocks: DataFrame, doc_buckets: int, key: str, texts: bool, carry: list[T.StructField]) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept], columns carried): what is left of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,13 +561,25 @@ def cut_docs(blocks: DataFrame, key: str, texts: bool, carry: list[T.StructField
 
     schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     made = T.StructType.fromDDL(schema + (", kept string" if texts else ""))
-    return _dealt(blocks).mapInArrow(cut, T.StructType([*made.fields, *carry]))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 16, block_bytes: int = 5_000_000, doc_bytes: int = 8_000_000, hot: int = 50_000, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    return _dealt(blocks, doc_buckets).mapInArrow(cut, T.StructType([*made.fields, *carry]))
+
+
+def dedup(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    length: int = 50,
+    gram: int = 12,
+    bucket_bytes: int = 40_000_000,
+    block_bytes: int = 4_000_000,
+    doc_bytes: int = 8_000_000,
+    hot: int = 50_000,
+    texts: bool = False,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans of removed bytes[, kept: the text that is left][, columns to carry]) of each document.
 
-    About block_bytes of text are sorted, and doc_bytes of documents cut, at once.
+    About bucket_bytes of runs are held, block_bytes of them sorted, and doc_bytes of documents cut, at once.
     """
     if not isinstance(docs.schema[key].dataType, T.IntegralType):
         raise TypeError(f"{key} must be of a whole-number type")
@@ -572,15 +587,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     whole = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text), *carry)
     docs = whole.select(key, text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    marked = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
     per_run = (length - gram + 2) // 2  # suffixes of a run, on average
-    buckets = max(1, -(-size * (per_run + length - 1) // (per_run * block_bytes)))
+    buckets = max(partitions_for(docs.sparkSession), -(-size * (per_run + length - 1) // (per_run * bucket_bytes)))
     doc_buckets = max(1, -(-size // doc_bytes))
-    found = written(sort_buckets(deal_runs(docs, length, gram, buckets, doc_buckets), length, gram, doc_buckets, block_bytes, hot), "suffix-found")
+    dealt = deal_runs(docs, length, gram, buckets, doc_buckets, marked)
+    found = written(sort_buckets(dealt, length, gram, buckets, doc_buckets, bucket_bytes, block_bytes, hot), "suffix-found")
     gone = found.where("bucket is not null").select("bucket", "payload")
     very = found.where("bucket is null")
     if very.limit(1).count():
         gone = gone.unionByName(block_places(compare_hot(very, length), doc_buckets))
-    return cut_docs(gone.unionByName(deal_docs(whole, doc_buckets)), key, texts, others)
+    return cut_docs(gone.unionByName(deal_docs(whole, doc_buckets, marked)), doc_buckets, key, texts, others)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
