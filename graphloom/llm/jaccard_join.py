@@ -5,18 +5,21 @@ threshold. Equal sets form a class, and classes are joined:
 
 1. Prefixes. In the order of the hashes, two sets that link share at least
    ``need`` shingles of their first ``p``. All classes' prefixes are counted by
-   shingle; a class with too few shingles that others have as well is out. Of
-   the others, the rarest shared shingles are kept, as many as it takes so that
-   two sets that link have one of them in common.
-2. Candidates. Classes that have such a shingle in common are joined into
-   candidate groups. Groups are cut into chunks of a bounded number of shingles
-   and each pair of chunks goes to one task, so no task holds a large group.
+   shingle; a class with too few shingles that others have as well is out.
+2. Groups. A shingle's bucket is named by its smallest class, and buckets of one
+   name are one group: classes that share a shingle meet in its group, and
+   near copies, which share most of theirs, in few. Groups are never closed over
+   candidates. Of each class, the groups that hold the fewest of its shingles are
+   left out, up to half of ``need``: two that link have another in common.
+   Groups are cut into chunks of a bounded number of shingles and each pair of
+   chunks goes to one task, so no task holds a large group.
 3. Trees. A task puts its sets, rarest shingles first, into a prefix tree and
    walks it with the sets that it must look up, sharing the overlap of common
    paths and leaving subtrees whose remaining lengths cannot reach the overlap
-   that is needed. Only links that join two parts of a group are returned, so
-   no task returns more links than it has sets.
-4. Links are joined into components.
+   that is needed. A pair that meets in several groups belongs to the first of
+   them. Only links that join two parts of a group are returned, so no task
+   returns more links than it has sets.
+4. Links, all of them verified, are joined into components.
 
 Counts are summed before they are shuffled; shingles, classes and roots held by
 many rows are joined by broadcast (see join_hot). Nothing is capped: each step
@@ -218,30 +221,68 @@ def joining_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return links
 
 
-def counted_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _shared_before(group: int, owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, members, groups before this one of each set): sets by each group before this one that they are in, and these groups as numbers, set after set."""
+    before = [o[o < group] for o in owners]
+    size = np.array([len(x) for x in before], np.int64)
+    flat = np.concatenate(before) if len(before) else np.zeros(0, np.int64)
+    _, number = np.unique(flat, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    bounds = np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
+    return bounds, np.repeat(np.arange(len(owners)), size)[order], np.split(number, np.cumsum(size)[:-1])
+
+
+def settled_before(group: int, owners: list[np.ndarray]) -> bool:
+    """Whether all sets of a group are together in one group before it."""
+    bounds, _, _ = _shared_before(group, owners)
+    return int(np.diff(bounds).max(initial=0)) == len(owners)
+
+
+def counted_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, percent: int, group: int = 0, owners: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(links that join the sets as all of them do, for each set the weight of the sets that it links with).
 
-    With sets of two sides, only links between the sides are looked up: those within a side are another task's.
+    With sets of two sides, only links between the sides are looked up: those within a side are another task's. Pairs
+    that are together in a group before this one (owners are the sets' groups) belong to that one.
     """
     n = np.zeros(len(sets), np.int64)
     links: list[tuple[int, int]] = []
     if len(sets) < 2:
         return links, n
+    owners = owners or [np.zeros(0, np.int64)] * len(sets)
+    bounds, members, before = _shared_before(group, owners)
+    two = len(np.unique(side)) > 1
+    most = np.diff(bounds)
+    asks = np.ones(len(sets), bool)
+    if len(most):  # sets of the largest group before this one: pairs of two of them are not looked up
+        top = int(most.argmax())
+        asks[members[bounds[top] : bounds[top + 1]]] = False
+    elif two:
+        asks = side == side[0]
+    if not asks.any():
+        return links, n
     tree = PrefixTree(sets)
     part = np.arange(len(sets))
-    two = len(np.unique(side)) > 1
-    for i in range(len(sets)):
-        if two and side[i] != side[0]:
+    held = {i: [i] for i in range(len(sets))}
+    other = np.empty(len(sets), bool)
+    for i in np.flatnonzero(asks).tolist():
+        other[:] = side != side[i] if two else True
+        other[i] = False
+        for g in before[i].tolist():
+            other[members[bounds[g] : bounds[g + 1]]] = False
+        if not other.any():
             continue
         found = np.array(tree.linked(i, percent))
-        found = found[side[found] != side[i]] if two else found[found != i]
+        found = found[other[found]]
         n[i] += weights[found].sum()
-        if two:
-            n[found] += weights[i]
+        n[found[~asks[found]]] += weights[i]
         for j in found[part[found] != part[i]].tolist():
-            if part[i] != part[j]:
+            a, b = int(part[i]), int(part[j])
+            if a != b:
                 links.append((i, j))
-                part[part == part[j]] = part[i]
+                if len(held[a]) < len(held[b]):
+                    a, b = b, a
+                part[held[b]] = a
+                held[a] += held.pop(b)
     return links, n
 
 
@@ -261,41 +302,57 @@ def _join(tree: PrefixTree, i: int, percent: int, part: list, members: dict, lin
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(row, part): classes that may link, each with its candidate group; classes that link with nothing are left out."""
-    tokens = sets.where("n > 0").select("row", "n", "need", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("t"))
-    shared = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("w", F.col("df")), "jaccard-shared")
+    """(row, groups): classes that may link, each with its groups in order; two that link have one of them in common.
+
+    Two classes that link share as many shingles of their prefixes as either needs, so each may leave out fewer than half.
+    """
+    tokens = sets.where("n > 0").select("row", "need", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("t"))
+    shared = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-shared")
     total = shared.agg(F.sum("df")).first()[0] or 0
     held = join_hot(tokens, shared, "t", "df", total)
-    kept = held.groupBy("row").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("w", "t"))).alias("ts")).where(F.size("ts") >= F.col("need"))
-    kept = written(kept.select("row", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.col("need") + 1)).alias("x")).select("row", F.col("x.t").alias("t")), "jaccard-prefix")
-    stars = kept.groupBy("t").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    edges = join_hot(kept, stars, "t", "df", kept.count()).select("a", F.col("row").alias("b")).where("a <> b").distinct()
-    return components(edges, "jaccard-candidates").select(F.col("id").alias("row"), F.col("root").alias("part"))
+    kept = held.groupBy("row").agg(F.max("need").alias("need"), F.collect_list("t").alias("ts")).where(F.size("ts") >= F.col("need"))
+    kept = written(kept, "jaccard-prefix").select("row", "need", F.explode("ts").alias("t"))
+    named = kept.groupBy("t").agg(F.min("row").alias("group"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = join_hot(kept, named, "t", "df", total).groupBy("row", "group").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need"))
+    groups = met.groupBy("row").agg(F.max("need").alias("need"), F.sort_array(F.collect_list(F.struct("k", "group"))).alias("gs"))
+    most = F.floor((F.col("need") - 1) / 2)
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("gone"), F.lit(True).alias("open"))
+
+    def leave(had, g):
+        fits = had["open"] & (had["sum"] + g["k"] <= most)
+        return F.struct((had["sum"] + F.when(fits, g["k"]).otherwise(F.lit(0))).alias("sum"), (had["gone"] + fits.cast("int")).alias("gone"), fits.alias("open"))
+
+    left = F.slice("gs", F.aggregate("gs", none, leave)["gone"] + 1, F.size("gs"))
+    return groups.select("row", F.sort_array(F.transform(left, lambda g: g["group"])).alias("groups")).where(F.size("groups") > 0)
 
 
 def links(sets: DataFrame, parts: DataFrame, percent: int, chunk_tokens: int, broadcast_rows: int, count: bool) -> DataFrame:
     """(a, b, n): links between rows of sets that join all that link, and, if they are to be counted, rows (a, null, n): a links with n documents.
 
-    parts has row, part and copies, the number of documents of the row's class.
+    parts has row, groups and copies, the number of documents of the row's class.
     """
     few = parts.count() <= broadcast_rows
-    members = sets.select("row", "n", "tokens").join(F.broadcast(parts) if few else parts, "row")
-    sizes = written(members.groupBy("part").agg(F.sum("n").alias("sum")), "jaccard-parts")
-    sizes = sizes.select("part", F.ceil(F.col("sum") / chunk_tokens).cast("int").alias("chunks"))
-    split = sizes.where("chunks > 1")  # fewer than all tokens / chunk_tokens
+    members = written(sets.select("row", "n", "tokens").join(F.broadcast(parts) if few else parts, "row"), "jaccard-candidates")
+    met = members.select("row", "n", "tokens", "copies", "groups", F.explode("groups").alias("part"))
+    sizes = members.select("n", F.explode("groups").alias("part")).groupBy("part").agg(F.sum("n").alias("sum"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    sizes = written(sizes.select("part", "held", F.ceil(F.col("sum") / chunk_tokens).cast("int").alias("chunks")), "jaccard-parts")
+    split = sizes.where("chunks > 1").select("part", "chunks")  # fewer than all tokens / chunk_tokens
     zero = F.lit(0)
-    one = members.join(F.broadcast(split.select("part")), "part", "left_anti").select("part", zero.alias("i"), zero.alias("j"), "row", "tokens", zero.alias("own"), "copies")
+    whole = join_hot(met, sizes.where("chunks = 1").select("part", "held"), "part", "held", met.count())
+    one = whole.select("part", zero.alias("i"), zero.alias("j"), "row", "tokens", zero.alias("own"), "copies", "groups")
     own = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    many = members.join(F.broadcast(split), "part").select("part", "row", "tokens", "copies", own.alias("own"), other.alias("other"))
-    many = many.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "tokens", "own", "copies")
+    many = met.join(F.broadcast(split), "part").select("part", "row", "tokens", "copies", "groups", own.alias("own"), other.alias("other"))
+    many = many.select("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "tokens", "own", "copies", "groups")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, sets, side, copies = None, [], [], [], []
+        task, rows, sets, side, copies, owners = None, [], [], [], [], []
 
         def found() -> Iterator[pa.RecordBatch]:
             if count:
-                out, n = counted_links(sets, np.array(copies, np.int64), np.array(side), percent)
+                out, n = counted_links(sets, np.array(copies, np.int64), np.array(side), percent, task[0] if task else 0, owners)
+            elif len(sets) < 2 or settled_before(task[0], owners):
+                return
             else:
                 out, n = joining_links(sets, percent), np.zeros(0, np.int64)
             some = np.flatnonzero(n).tolist()
@@ -305,24 +362,26 @@ def links(sets: DataFrame, parts: DataFrame, percent: int, chunk_tokens: int, br
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(out) + n[some].tolist(), pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            tokens = batch.column(4)
+            tokens, groups = batch.column(4), batch.column(7)
             flat, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+            names, begin = groups.values.to_numpy(), groups.offsets.to_numpy()
             plain = [batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5, 6)]
             for k, (p, i, j, row, mine, many) in enumerate(zip(*plain, strict=True)):
-                if (p, i, j) != group:
+                if (p, i, j) != task:
                     yield from found()
-                    group, rows, sets, side, copies = (p, i, j), [], [], [], []
+                    task, rows, sets, side, copies, owners = (p, i, j), [], [], [], [], []
                 rows.append(row)
                 side.append(mine)
                 copies.append(many)
                 sets.append(flat[at[k] : at[k + 1]].copy())
+                owners.append(names[begin[k] : begin[k + 1]].copy())
         yield from found()
 
     dealt = one.unionByName(many).repartition(partitions_for(sets.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j")
     return dealt.mapInArrow(walk, "a long, b long, n long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, chunk_tokens: int = 2_000_000, broadcast_rows: int = 2_000_000, count: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, chunk_tokens: int = 1_000_000, broadcast_rows: int = 2_000_000, count: bool = False) -> DataFrame:
     """(key, n_shingles, component_id, class_id[, n_links]): documents that links join share a component; equal sets share a class.
 
     Both are named by their smallest key; a document with an empty set is a component of its own. With count, n_links says

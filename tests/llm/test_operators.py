@@ -182,6 +182,31 @@ def test_prefix_tree_finds_all_links():
     assert len(joining_links(sets, 80)) < len(sets)
 
 
+def test_pairs_belong_to_their_first_group():
+    """Counts over groups add up to all links once, whatever groups sets share and however groups are cut."""
+    from graphloom.llm.jaccard_join import counted_links, settled_before
+
+    rng = np.random.default_rng(8)
+    base = rng.choice(500, 60, replace=False)
+    sets = []
+    for _ in range(40):
+        s = base.copy()
+        m = int(rng.integers(0, 12))
+        s[:m] = rng.integers(1000, 2000, m)
+        sets.append(np.unique(s).astype(np.uint64))
+    owners = [np.unique(np.append(rng.choice([3, 5, 7, 9], 2), 7)) for _ in sets]  # all are in group 7
+    weights = rng.integers(1, 4, len(sets))
+    want = np.array([sum(weights[j] for j, b in enumerate(sets) if j != i and 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b))) for i, a in enumerate(sets)])
+    for cut in (np.zeros(40, int), np.arange(40) % 2):
+        n = np.zeros(len(sets), np.int64)
+        for group in (3, 5, 7, 9):
+            for one, two in [(0, 0), (1, 1), (0, 1)] if cut.any() else [(0, 0)]:
+                at = [i for i, o in enumerate(owners) if group in o and cut[i] in (one, two)]
+                n[at] += counted_links([sets[i] for i in at], weights[at], cut[at], 80, group, [owners[i] for i in at])[1]
+        assert (n == want).all()
+    assert settled_before(9, [np.array([3, 9]), np.array([3, 5, 9])]) and not settled_before(9, [np.array([3, 9]), np.array([5, 9])])
+
+
 # --- 4 suffix dedup -----------------------------------------------------------------------------------------------
 
 
@@ -206,7 +231,7 @@ def brute_cut(texts, length=50):
     return sorted(out.values(), key=key)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot": 3, "block_bytes": 300, "doc_bytes": 4000}, {"block_bytes": 3000, "doc_bytes": 4000}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot": 3, "bucket_bytes": 900, "block_bytes": 300, "doc_bytes": 4000}, {"bucket_bytes": 6000, "block_bytes": 3000, "doc_bytes": 4000}])
 def test_suffix_dedup_matches_brute_force(docs, options):
     from graphloom.llm.suffix_dedup import dedup
 
@@ -258,7 +283,7 @@ def test_difference_cover():
     data = np.concatenate([text[b : b + s] for b, s in zip(begin, size, strict=True)])
     at = np.cumsum(size) - size
     key = np.array([5, 4, 9, 7, 8])
-    run, suffix = suffixes_that_go(Pieces(data, at, size, np.zeros(5, np.uint64), key, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.int64)), 50)
+    run, suffix = suffixes_that_go(Pieces(data, at, size, np.zeros(5, np.uint64), np.zeros(5, np.uint64), key, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.int64)), 50)
     least = {}
     windows = [(k, w, data[at[k] + w : at[k] + w + 50].tobytes()) for k in range(5) for w in range(size[k] - 49)]
     for k, _, b in windows:
