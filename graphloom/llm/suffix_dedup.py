@@ -8,8 +8,9 @@ document with a smaller key. The suffixes are sorted one bucket at a time:
    in one bucket. Neighbouring suffixes mostly share it: such a run moves as one
    piece of text. Equal runs of a batch are brought to those of the smallest key
    before they move; the others go at once.
-2. Sorting. A bucket leaves out strings that stand in one document alone, and
-   takes the rest in blocks of bounded bytes. In a block, the suffixes at a
+2. Sorting. A string around a gram has half of its other bytes, rounded up, on one
+   side: a bucket leaves out runs that share the gram with so many bytes on a side
+   with no other document, and takes the rest in blocks of bounded bytes. In a block, the suffixes at a
    difference cover modulo 7 are ranked first, by doubling. Then every suffix is
    compared by the fewer than 7 bytes up to a cover position and the rank there,
    cut to what is left of ``length``: any two suffixes have a cover position at
@@ -36,7 +37,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import numpy as np
@@ -83,6 +84,13 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray, step: int = 1_000_000) -> np.ndarray:
+    """The slices of data one after the other, about step bytes at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // step)) + 1
+    parts = [data[_spread(b, n)] for b, n in zip(np.split(begin, cuts), np.split(size, cuts), strict=True)]
+    return np.concatenate(parts)
+
+
 def _grouped(items: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(group, its items in order) for each group."""
     if not len(items):
@@ -193,13 +201,18 @@ def leads(data: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarra
 
 @dataclass
 class Pieces:
-    """Different runs of texts (their bytes, a hash of these, gram and key), and where each stands: run, mark and start. All places of a run are of its key."""
+    """Different runs of texts (their bytes, a hash of these, gram and key), and where each stands: run, mark and start. All places of a run are of its key.
+
+    left and right are hashes of the gram with the bytes on a side of it, 0 where the run has too few.
+    """
 
     data: np.ndarray
     begin: np.ndarray
     size: np.ndarray
     kind: np.ndarray
     sample: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
     key: np.ndarray
     of: np.ndarray
     mark: np.ndarray
@@ -209,16 +222,20 @@ class Pieces:
     def joined(parts: list[Pieces]) -> Pieces:
         runs, data = np.cumsum([0, *[len(p.size) for p in parts]]), np.cumsum([0, *[len(p.data) for p in parts]])
         cat = lambda f: np.concatenate([f(k, p) for k, p in enumerate(parts)])
-        plain = {c: cat(lambda _, p, c=c: getattr(p, c)) for c in ("data", "size", "kind", "sample", "key", "mark", "start")}
+        plain = {c: cat(lambda _, p, c=c: getattr(p, c)) for c in ("data", "size", "kind", "sample", "left", "right", "key", "mark", "start")}
         return Pieces(begin=cat(lambda k, p: p.begin + data[k]), of=cat(lambda k, p: p.of + runs[k]), **plain)
 
-    def take(self, runs: np.ndarray) -> Pieces:
-        """These runs alone, with their bytes one after the other."""
+    def some(self, runs: np.ndarray) -> Pieces:
+        """These runs alone."""
         to = np.full(len(self.size), -1)
         to[runs] = np.arange(len(runs))
         held = np.flatnonzero(to[self.of] >= 0)
-        size = self.size[runs]
-        return Pieces(self.data[_spread(self.begin[runs], size)], np.cumsum(size) - size, size, self.kind[runs], self.sample[runs], self.key[runs], to[self.of[held]], self.mark[held], self.start[held])
+        plain = [getattr(self, c)[runs] for c in ("begin", "size", "kind", "sample", "left", "right", "key")]
+        return Pieces(self.data, *plain, to[self.of[held]], self.mark[held], self.start[held])
+
+    def packed(self) -> Pieces:
+        """The runs with their bytes one after the other, and no others."""
+        return replace(self, data=_gather(self.data, self.begin, self.size), begin=np.cumsum(self.size) - self.size)
 
     def merged(self) -> tuple[Pieces, list[np.ndarray]]:
         """Runs of different bytes, and (key, mark, start, end) of those that go, as a run of a smaller key has their bytes."""
@@ -227,8 +244,21 @@ class Pieces:
         at = np.flatnonzero(less)
         gone = [self.key[self.of[at]], self.mark[at], self.start[at], self.start[at] + self.size[self.of[at]]]
         stay = np.flatnonzero(~less)
-        held = Pieces(self.data, self.begin, self.size, self.kind, self.sample, self.key, lead[self.of[stay]], self.mark[stay], self.start[stay])
-        return held.take(np.flatnonzero(lead == np.arange(len(lead)))), gone
+        held = replace(self, of=lead[self.of[stay]], mark=self.mark[stay], start=self.start[stay])
+        return held.some(np.flatnonzero(lead == np.arange(len(lead)))), gone
+
+    def may_repeat(self) -> np.ndarray:
+        """The runs that have a gram and the bytes on a side of it in common with a run of another key, gram by gram."""
+        shares = np.zeros(len(self.key), bool)
+        for side in (self.left, self.right):
+            order = np.argsort(side)
+            if len(order):
+                first = np.concatenate([[0], np.flatnonzero(side[order][1:] != side[order][:-1]) + 1])
+                key = self.key[order]
+                several = np.minimum.reduceat(key, first) < np.maximum.reduceat(key, first)
+                shares[order[np.repeat(several & (side[order[first]] != 0), np.diff(np.append(first, len(order))))]] = True
+        runs = np.flatnonzero(shares)
+        return runs[np.argsort(self.sample[runs], kind="stable")]
 
 
 def deal_runs(docs: DataFrame, length: int, gram: int, buckets: int, doc_buckets: int, marked: bool) -> DataFrame:
@@ -291,10 +321,17 @@ def _pieces_of(payload: tuple, length: int, gram: int) -> Pieces:
     size = windows + length - 1
     begin = np.cumsum(size) - size
     prefix = bytetext.prefix_hash(data)
-    sample = bytetext.span_hash(prefix, begin + place, begin + place + gram)
+    place += begin
+    end = begin + size
+    aside = (length - gram + 1) // 2  # of a string's bytes beside the gram so many stand on one side at least
+    sample, whole = (bytetext.span_hash(prefix, a, b) for a, b in ((place, place + gram), (begin, end)))
+    far = np.maximum(place - aside, 0)
+    left = np.where(place - aside >= begin, bytetext.span_hash(prefix, far, place + gram) | np.uint64(1), np.uint64(0))
+    far = np.minimum(place + gram + aside, len(data))
+    right = np.where(place + gram + aside <= end, bytetext.span_hash(prefix, place, far) | np.uint64(1), np.uint64(0))
     key = np.zeros(len(size), np.int64)
     key[of] = np.cumsum(steps)[which]
-    return Pieces(data, begin, size, bytetext.span_hash(prefix, begin, begin + size), sample, key, of, marks[which], start)
+    return Pieces(data, begin, size, whole, sample, left, right, key, of, marks[which], start)
 
 
 # --- the suffixes of a block ----------------------------------------------------------------------------------------
@@ -407,7 +444,7 @@ def sort_buckets(blocks: DataFrame, length: int, gram: int, buckets: int, doc_bu
     def hot_rows(p: Pieces) -> pa.RecordBatch:
         n = len(p.of)
         size = p.size[p.of]
-        flat = p.data[_spread(p.begin[p.of], size)]
+        flat = _gather(p.data, p.begin[p.of], size)
         strings = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(flat)])
         plain = [pa.array(x) for x in (p.key[p.of], p.mark, p.start, size - length + 1)]
         return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *plain, strings], schema=schema)
@@ -427,6 +464,7 @@ def sort_buckets(blocks: DataFrame, length: int, gram: int, buckets: int, doc_bu
                 if size > limit:  # fold what has come so far
                     all_, very, out = folded(held, very)
                     yield from out
+                    all_ = all_.packed()
                     held, size = [all_], len(all_.data)
                     limit = max(limit, 2 * size)
             if held:
@@ -443,27 +481,22 @@ def sort_buckets(blocks: DataFrame, length: int, gram: int, buckets: int, doc_bu
         if len(very):
             there = np.isin(all_.sample, very)
             if there.any():
-                out.append(hot_rows(all_.take(np.flatnonzero(there))))
-                all_ = all_.take(np.flatnonzero(~there))
+                out.append(hot_rows(all_.some(np.flatnonzero(there))))
+                all_ = all_.some(np.flatnonzero(~there))
         return all_, very, out
 
     def sorted_blocks(all_: Pieces) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(all_.sample, kind="stable")
+        order = all_.may_repeat()
         if not len(order):
             return
-        sample, key = all_.sample[order], all_.key[order]
+        sample = all_.sample[order]
         first = np.concatenate([[0], np.flatnonzero(sample[1:] != sample[:-1]) + 1])
         n = np.diff(np.append(first, len(order)))
-        several = np.minimum.reduceat(key, first) < np.maximum.reduceat(key, first)
-        order, n = order[np.repeat(several, n)], n[several]
-        if not len(n):
-            return
-        upto = np.cumsum(all_.size[order])
         # blocks of whole grams
-        number = upto[np.cumsum(n) - 1] // block_bytes
+        number = np.cumsum(all_.size[order])[np.cumsum(n) - 1] // block_bytes
         for _, part in _grouped(np.arange(len(n)), number):
-            low = int(n[: part[0]].sum())
-            columns = places_that_go(all_.take(order[low : low + int(n[part].sum())]), length)
+            low = int(first[part[0]])
+            columns = places_that_go(all_.some(order[low : low + int(n[part].sum())]).packed(), length)
             if len(columns[0]):
                 yield rows_of(_gone_blocks(columns, doc_buckets))
 
@@ -570,7 +603,7 @@ def dedup(
     text: str = "text",
     length: int = 50,
     gram: int = 12,
-    bucket_bytes: int = 40_000_000,
+    bucket_bytes: int = 24_000_000,
     block_bytes: int = 4_000_000,
     doc_bytes: int = 8_000_000,
     hot: int = 50_000,
