@@ -1,26 +1,34 @@
 """Operator 2, HTML extraction: site template removal.
 
 Every element subtree of a page is hashed; Spark counts in how many different main
-texts of a host a hash stands, so copies of a page count once, and keeps those that
-recur in a share of them or in many_pages of them. These subtrees are deleted
-wherever they recur on the host, along with elements that are page furniture by
-their kind or name, and the text blocks of what is left are the main text.
-
-Deleting by recurrence spares what an article is made of: inside an article (or
-main) element, paragraphs, headings, lists' items, quotations and table cells are
-never a template, however many pages quote them, nor is a block whose text is
-mostly in these and outside of links.
-
-A host has at most nodes-per-page / min_share templates by share, so its row of the
-template table is bounded; the table is broadcast if it is small and joined by a
-shuffle with hot hosts apart if it isn't. Templates by many_pages alone are at most
-one in many_pages of all subtrees, and are sent to the tasks once.
+texts of a host a hash stands, so copies of a page count once. Subtrees that recur
+in few_pages of them and in a small share of the host's, or in many_pages, are deleted
+wherever they stand on the host, unless they are prose: articles quote and copy each
+other. Prose goes as well if it recurs in a large share. What recurrence can't tell,
+as on hosts of few pages, is left to kinds and names of elements and to blocks that
+are mostly links.
+
+The text blocks of what is left are the main text: those of articles, or of main;
+on pages that mark neither, those of the block that holds most of the text beside
+what was deleted.
+
+Prose is what an article is made of: paragraphs, headings, lists' items, quotations
+and table cells, text alone beside these, and blocks whose text is mostly in these and
+outside of links. Inside an article (or main) element it is never a template, however
+many pages quote it.
+
+A host has at most nodes-per-page / few_share templates by share, so its row of the
+template table is bounded; the table is broadcast if it holds few hashes and joined
+by a shuffle with hot hosts apart if it doesn't. Templates by many_pages alone are at
+most one in many_pages of all subtrees, and are sent to the tasks once.
 
 Defined results: a null or empty page has an empty text; a null or unreadable
 url is a host of its own; repeated pages count once; broken markup
 is read as browsers do as far as the text needs it (open elements end with
-their parents, paragraphs end where a block begins); an empty table gives an
-empty result; other columns are dropped, whatever their names. Ties do not arise.
+their parents, paragraphs end where a block begins, declarations that are none
+are comments), and what the parser refuses is read as text; an empty table gives an
+empty result; other columns are dropped, whatever their names. Ties go to the
+block that stands first.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -63,14 +72,16 @@ _SCOPES = {"p": ("table", "td", "th", "li", "article", "section", "div"), "li":
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "tag")
+    """An element; size and linked are its characters other than white space, in all and in links, gone says that it is no main text."""
+
+    __slots__ = ("attrs", "children", "gone", "hash", "linked", "size", "tag")
 
     def __init__(self, tag: str, attrs: list) -> None:
-        self.tag, self.attrs, self.children, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.children, self.hash, self.size, self.linked, self.gone = tag, attrs, [], 0, 0, 0, False
 
 
 class _Tree(HTMLParser):
-    """A page as a tree of nodes and strings; it never fails."""
+    """A page as a tree of nodes and strings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -112,16 +123,23 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
 
 def tree(html: str) -> Node:
+    """The tree of a page; it never fails: from where the parser refuses the markup, the text between tags is taken."""
     parser = _Tree()
-    parser.feed(html)
-    parser.close()
+    try:
+        parser.feed(html)
+        parser.close()
+    except (AssertionError, ValueError):
+        parser.open[-1].children.extend(unescape(x) for x in re.split(r"<[^<>]*>", parser.rawdata))
     return parser.root
 
 
 def hashed(root: Node) -> list[Node]:
-    """All blocks below root, each with the hash of its subtree: its tag, class and id, texts and children in order."""
+    """All blocks below root, each with the hash of its subtree (its tag, class and id, texts and children in order) and its sizes."""
     found: list[Node] = []
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
@@ -134,9 +152,14 @@ def hashed(root: Node) -> list[Node]:
         for c in node.children:
             if type(c) is Node:
                 parts.append(f"\x01{c.hash}")
+                node.size += c.size
+                node.linked += c.linked
             elif text := " ".join(c.split()):
                 parts.append(text)
-        node.hash = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
+                node.size += len(text)
+        if node.tag == "a":
+            node.linked = node.size
+        node.hash = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "replace")) - (1 << 63)
         if node is not root and (node.tag in BLOCK or node.tag in FURNITURE) and node.children and node.tag not in ("body", "head", "article", "main"):
             found.append(node)
     return found
@@ -192,11 +215,73 @@ def _is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in node.attrs)
 
 
-def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
-    """The text blocks of a page without furniture and templates, in page order, one to a line.
+def _judge(root: Node, templates: frozenset | set, everywhere: frozenset | set) -> bool:
+    """Marks the elements that are no main text: templates, then furniture and blocks of links. Whether there is an article or main left."""
+    found = False
+    stack = [(root, False, False)]
+    while stack:
+        node, inside, beside = stack.pop()
+        template = node.hash in templates and (not inside and node.hash in everywhere or not (_is_prose(node, beside) or holds_prose(node)))
+        if template or furniture(node, inside) or not inside and _links(node):
+            node.gone = True
+            continue
+        main = _is_main(node)
+        found |= main and node.size > 0
+        children = [c for c in node.children if type(c) is Node]
+        beside = any(c.tag in PROSE for c in children)
+        stack.extend((c, inside or main, beside) for c in children)
+    return found
+
+
+def _is_prose(node: Node, beside: bool) -> bool:
+    """Whether a node is prose by its kind, or text alone beside such."""
+    return node.tag in PROSE or beside and not node.attrs and node.linked == 0 and not any(type(c) is Node and c.tag in BLOCK for c in node.children)
+
 
-    Where there are articles their blocks are the text; else those of main; else those of the body.
+def _links(node: Node) -> bool:
+    """Whether a block is a list of links."""
+    return node.tag in BLOCK and 10 * node.linked > 6 * node.size and not holds(node, ("article", "main")) and sum(c.tag == "a" for c in _below(node)) > 1
+
+
+def _below(node: Node) -> Iterator[Node]:
+    stack = [c for c in node.children if type(c) is Node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(c for c in n.children if type(c) is Node)
+
+
+def _container(root: Node) -> Node:
+    """The block that holds the main text of a page without article or main: from the root down, the child that holds half of
+    what is left or more, as long as something beside it is gone and it holds blocks of its own."""
+    stack, order = [root], []
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if type(c) is Node and not c.gone)
+    left = {}
+    for node in reversed(order):
+        left[id(node)] = sum(len("".join(c.split())) if type(c) is str else left.get(id(c), 0) for c in node.children)
+    at = root
+    while True:
+        children = [c for c in at.children if type(c) is Node]
+        blocks = [c for c in children if not c.gone and c.tag in BLOCK]
+        best = max(blocks, key=lambda c: left[id(c)], default=None)
+        if best is None or 2 * left[id(best)] < left[id(at)] or not any(type(c) is Node and c.tag in BLOCK for c in best.children):
+            return at
+        if at.tag not in ("html", "body") and not any(c.gone for c in children):
+            return at
+        if at.tag == "body" and not any(c.gone for c in children) and len(blocks) > 1:
+            return at
+        at = best
+
+
+def main_text(root: Node, templates: frozenset | set = frozenset(), everywhere: frozenset | set = frozenset()) -> str:
+    """The text blocks of a page without templates and furniture, in page order, one to a line. hashed() must have seen the page.
+
+    Templates that are everywhere go even if they are prose. Where there are articles their blocks are the text; else those of main; else those of the block that holds most.
     """
+    top = root if _judge(root, templates, everywhere) else _container(root)
     blocks: list[tuple[bool, bool, str]] = []
     parts: list[str] = []
     at = [False, False]
@@ -208,7 +293,7 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
         parts.clear()
 
     # a stack of entering nodes, strings and leaving marks: pages may be nested deeper than Python's own stack
-    stack: list = [(root, False, False)]
+    stack: list = [(top, False, False)]
     while stack:
         node, article, main = stack.pop()
         if node is None:
@@ -216,13 +301,9 @@ def main_text(root: Node, templates: frozenset | set = frozenset()) -> str:
             at[:] = [article, main]
         elif type(node) is str:
             parts.append(node)
-        elif node.tag == "br":
+        elif node.gone or node.tag == "br":
             parts.append(" ")
         else:
-            inside = article or main
-            if furniture(node, inside) or templates and node.hash in templates and not (inside and (node.tag in PROSE or holds_prose(node))):
-                parts.append(" ")
-                continue
             own = (article or node.tag == "article", main or _is_main(node))
             if node.tag in BLOCK:
                 flush()
@@ -241,8 +322,8 @@ def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), F.lit("")))
 
 
-def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5, many_pages: int = 1000) -> DataFrame:
-    """(host, pages, hashes, more): the subtrees that stand in min_share of a host's main texts, and in min_pages at least; more has those that only stand in many_pages."""
+def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5, few_share: float = 0.005, few_pages: int = 3, many_pages: int = 1000) -> DataFrame:
+    """(host, pages, everywhere, hashes, more): the subtrees that stand in min_share of a host's main texts, and in min_pages at least; in few_share and few_pages; in many_pages alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,8 +332,9 @@ def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_
                 host, body = host.as_py(), 0
                 if page.is_valid:
                     root = tree(page.as_py())
-                    body = xxhash.xxh64_intdigest(main_text(root)) - (1 << 63)
-                    seen.update({(host, n.hash, body) for n in hashed(root)})
+                    nodes = hashed(root)
+                    body = xxhash.xxh64_intdigest(main_text(root).encode("utf-8", "replace")) - (1 << 63)
+                    seen.update({(host, n.hash, body) for n in nodes})
                 seen[host, None, body] += 1
             if seen:
                 columns = [pa.array([k[i] for k in seen], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
@@ -260,24 +342,36 @@ def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_
 
     counts = pages.select("host", html).mapInArrow(count, "host string, hash long, body long, n long").groupBy("host", "hash", "body").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("bodies"), F.sum("n").alias("n"))
-    counts = written(counts.where((F.col("bodies") >= min_pages) | F.col("hash").isNull()), "html-subtrees")
+    counts = written(counts.where((F.col("bodies") >= few_pages) | F.col("hash").isNull()), "html-subtrees")
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"), F.col("bodies").alias("_of"))
-    shared = F.col("bodies") >= min_share * F.col("_of")
-    often = counts.where("hash is not null").join(hosts, "host").where((shared | (F.col("bodies") >= many_pages)) & (F.col("bodies") > 1))
-    lists = [F.collect_list(F.when(c, F.col("hash"))).alias(name) for c, name in ((shared, "hashes"), (~shared, "more"))]
+    most = (F.col("bodies") >= min_share * F.col("_of")) & (F.col("bodies") >= min_pages)
+    some = F.col("bodies") >= few_share * F.col("_of")
+    often = counts.where("hash is not null").join(hosts, "host").where((some | (F.col("bodies") >= many_pages)) & (F.col("bodies") > 1))
+    lists = [F.collect_list(F.when(c, F.col("hash"))).alias(name) for c, name in ((most, "everywhere"), (some, "hashes"), (~some, "more"))]
     return often.groupBy("host").agg(F.any_value("pages").alias("pages"), *lists)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_share: float = 0.2, min_pages: int = 5, broadcast_hosts: int = 10_000, many_pages: int = 1000) -> DataFrame:
+def extract(
+    pages: DataFrame,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    min_share: float = 0.2,
+    min_pages: int = 5,
+    few_share: float = 0.005,
+    few_pages: int = 3,
+    many_pages: int = 1000,
+    broadcast_hashes: int = 1_000_000,
+) -> DataFrame:
     """(key, url, text): the main text of each page."""
     rows = with_host(pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")))
-    found = written(templates(rows, "html", min_share, min_pages, many_pages), "html-templates")
+    found = written(templates(rows, "html", min_share, min_pages, few_share, few_pages, many_pages), "html-templates")
     more = pages.sparkSession.sparkContext.broadcast({r.host: r.more for r in found.where(F.size("more") > 0).select("host", "more").collect()})
-    found = found.drop("more")
-    if found.count() <= broadcast_hosts:
-        joined = rows.join(F.broadcast(found.select("host", "hashes")), "host", "left")
+    known = F.struct("everywhere", "hashes").alias("known")
+    if (found.agg(F.sum(F.size("hashes") + F.size("everywhere") + F.lit(8))).first()[0] or 0) <= broadcast_hashes:
+        joined = rows.join(F.broadcast(found.select("host", known)), "host", "left")
     else:
-        joined = join_hot(rows, found, "host", "pages", rows.count(), "left")
+        joined = join_hot(rows, found.select("host", "pages", known), "host", "pages", rows.count(), "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,15 +381,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     out.append("")
                     continue
                 root, host = tree(page.as_py()), host.as_py()
-                if known.is_valid:
-                    if host not in sets:
-                        sets[host] = frozenset(known.as_py()).union(more.value.get(host, ()))
-                    hashed(root)
-                out.append(main_text(root, sets.get(host, frozenset())))
+                hashed(root)
+                if known.is_valid and host not in sets:
+                    of = known.as_py()
+                    sets[host] = frozenset(of["hashes"]).union(more.value.get(host, ())), frozenset(of["everywhere"])
+                out.append(main_text(root, *sets.get(host, ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [key, "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return joined.select(key, "url", "host", "html", "hashes").mapInArrow(texts, f"{key} {kind}, url string, text string")
+    return joined.select(key, "url", "host", "html", "known").mapInArrow(texts, f"{key} {kind}, url string, text string")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

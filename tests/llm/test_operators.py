@@ -79,7 +79,7 @@ def test_html_template_by_recurrence(spark):
     by = {r.page_id: r.text for r in extract(made).collect()}
     assert by[4] == "Own words of page 4."
     assert by[50] == "Own words of page 50.\nBest deals of the week"
-    assert {r.page_id: r.text for r in extract(made, broadcast_hosts=0).collect()} == by
+    assert {r.page_id: r.text for r in extract(made, broadcast_hashes=0).collect()} == by
     assert extract(made.limit(0)).count() == 0
 
 
@@ -103,13 +103,40 @@ def test_html_copies_and_sections(spark):
     assert by[1005] == "Text of 5" and by[1050] == "Text of 50"
 
 
-def test_html_deep_and_broken():
-    from graphloom.llm.html_extraction import main_text, tree
+def text_of(html, templates=frozenset()):
+    from graphloom.llm.html_extraction import hashed, main_text, tree
+
+    root = tree(html)
+    hashed(root)
+    return main_text(root, templates)
+
 
-    assert main_text(tree("<div>" * 5000 + "deep" + "</div>" * 10)) == "deep"
+def test_html_deep_and_broken():
+    assert text_of("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
     wrapped = "<div class='has-sidebar'><article><div class='post-header'><h1>T</h1></div><p>a<div class='share-bar'>x</div></article><div class=sidebar>y</div></div><div class='site-header'>z</div>"
-    assert main_text(tree(wrapped)) == "T\na"
-    assert main_text(tree("<script>var x='<p>no</p>'</script><p>yes</div></p><ul><li>a<li>b</ul>")) == "yes\na\nb"
+    assert text_of(wrapped) == "T\na"
+    assert text_of("<script>var x='<p>no</p>'</script><p>yes</div></p><ul><li>a<li>b</ul>") == "yes\na\nb"
+    assert text_of("<![foo[ x ]]><p>a</p><![CDATA[b]]><!doctype [<!x>]><p>c") == "a\n]>\nc"
+
+
+def test_html_never_fails():
+    """Any mix of pieces of markup has a text."""
+    rng = np.random.default_rng(6)
+    parts = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "<?", "?>", "</", "/>", "<p", " a='", '"', "&", "&#", "&#x110000;", "&amp", "<script>", "</script ", "<style", "<article>", "x y", "<!DOCTYPE", "[", "CDATA[", "<a href=/>", "\ud800", "\x00", "<table><tr>", "if", "endif"]
+    for _ in range(3000):
+        assert isinstance(text_of("".join(rng.choice(parts, int(rng.integers(1, 12))))), str)
+
+
+def test_html_without_marks(spark):
+    """Where divs stand for the elements that say what they are, nearly all pages have the same text, and recurrence decides some of them."""
+    from graphloom.llm.html_extraction import extract
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(?:nav|ul|li|article|h1|footer|div)\b[^>]*>", "<$1div>"))
+    text = lambda made, **options: {r.page_id: " ".join(r.text.split()) for r in extract(made, **options).collect()}
+    want, got, off = text(pages), text(bare), text(bare, few_pages=10**9, min_pages=10**9, many_pages=10**9)
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+    assert sum(got[k] == want[k] for k in want) > sum(off[k] == want[k] for k in want)
 
 
 # --- 3 Jaccard join -----------------------------------------------------------------------------------------------
@@ -283,7 +310,7 @@ def test_difference_cover():
     data = np.concatenate([text[b : b + s] for b, s in zip(begin, size, strict=True)])
     at = np.cumsum(size) - size
     key = np.array([5, 4, 9, 7, 8])
-    run, suffix = suffixes_that_go(Pieces(data, at, size, np.zeros(5, np.uint64), np.zeros(5, np.uint64), key, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.int64)), 50)
+    run, suffix = suffixes_that_go(Pieces(data, at, size, *np.zeros((4, 5), np.uint64), key, np.arange(5), np.zeros(5, np.int64), np.zeros(5, np.int64)), 50)
     least = {}
     windows = [(k, w, data[at[k] + w : at[k] + w + 50].tobytes()) for k in range(5) for w in range(size[k] - 49)]
     for k, _, b in windows:
