@@ -1,6 +1,8 @@
 """Operator 1, quality rules: line-first cleaning.
 
-Every line of a text is judged by punctuation, navigation and boilerplate rules.
+Every line of a text is judged by punctuation rules (doubled marks, shouting, symbols
+in words), navigation rules (bars of separators, menus of short lines that end no
+sentence) and boilerplate rules (phrases of four languages, words that repeat in a row).
 Lines that fail are removed, then documents that lose too much of their text,
 or that fail the base rules on length and repetition, are rejected. Everything
 is one projection of built-in functions: no shuffle and no Python.
@@ -15,21 +17,32 @@ empty result. Ties do not arise.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let, read, solid_length, words_of
+from graphloom.llm.common import let, one_space, read, solid_length, words_of
 
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "kept", "clean_text")
 
-#: Lines that say nothing of their own, in the languages of the corpus; matched from the line's start, in any case.
+#: Whole phrases that say nothing of a text's own, in the languages of the corpus: a short line that begins with one is boilerplate.
 BOILERPLATE = (
-    "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados",
-    "copyright", "©", "licensed under", "this work is licensed", "cookie", "we use cookies", "accept cookies",
-    "privacy policy", "terms of use", "terms of service", "subscribe", "sign up", "log in", "sign in", "click here",
-    "read more", "share this", "javascript", "please enable javascript", "powered by",
+    "all rights reserved", "this work is licensed", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
+    "we use cookies", "this site uses cookies", "accept cookies", "accept all cookies", "please enable javascript", "javascript is disabled",
+    "subscribe to our newsletter", "sign up for our newsletter", "log in or sign up", "sign in to continue", "click here", "read more", "share this",
+    "skip to content", "back to top", "powered by", "alle rechte vorbehalten", "nutzungsbedingungen", "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung", "wir verwenden cookies", "diese website verwendet cookies", "cookies akzeptieren", "bitte aktivieren sie javascript",
+    "newsletter abonnieren", "hier klicken", "weiterlesen", "mehr lesen", "nach oben", "lizenziert unter", "tous droits réservés", "conditions d'utilisation",
+    "mentions légales", "politique de confidentialité", "nous utilisons des cookies", "ce site utilise des cookies", "accepter les cookies",
+    "veuillez activer javascript", "abonnez-vous", "cliquez ici", "lire la suite", "en savoir plus", "haut de page", "sous licence",
+    "todos los derechos reservados", "condiciones de uso", "términos de uso", "política de privacidad", "usamos cookies", "utilizamos cookies",
+    "este sitio utiliza cookies", "aceptar cookies", "active javascript", "suscríbete", "haga clic aquí", "haz clic aquí", "leer más", "volver arriba",
+    "bajo licencia",
 )
+#: Marks that end a sentence or a quotation, after which a line is not a fragment.
+ENDS = ".!?…:;,\"'”’»)]。！？"
 
 
 @dataclass(frozen=True)
@@ -47,8 +60,13 @@ class LineRules:
     #: A line fails if more of it than this share is one word repeated so many times in a row or more.
     max_run: int = 5
     max_run_share: float = 0.2
-    #: A line of at most so many words fails if it begins as boilerplate does.
-    max_boilerplate_words: int = 25
+    #: A line of at most so many words fails if it begins with a phrase of BOILERPLATE or a mark of copyright with a year or sign.
+    max_boilerplate_words: int = 15
+    #: Lines of at most so many words without a mark of ENDS fail if so many follow one another: menus and lists of links.
+    max_menu_words: int = 4
+    min_menu_lines: int = 4
+    #: A line fails if more of its words than this are nothing but a separator such as |, / or a bullet.
+    max_separator_share: float = 0.2
     #: A document goes if lines with more of its word characters than this share fail.
     max_lost_share: float = 0.5
 
@@ -62,15 +80,26 @@ def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, rules:
     marked = line.contains("!!") | line.contains("??") | line.contains("!?")
     doubled = F.regexp_count(line, F.lit(r"(?:!!|\?\?|!\?)(?=[\x20\x09-\x0D]|$)"))
     run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d,}" % (rules.max_run - 1)
+    separators = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])[|/\\•·›»~–—*+=<>-]{1,3}(?=[\x20\x09-\x0D]|$)"))
+    phrases = r"^[^\p{L}\p{N}©(]{0,3}(?:(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])|(?:copyright\s+)?(?:©|\(c\))|copyright\s+\d{4})"
     return (
         ((symbols > 0) & (symbol_words > rules.max_symbol_share * n))
         | (marked & (doubled > rules.max_doubled_share * n))
+        | (separators > rules.max_separator_share * n)
         | ((n >= rules.min_shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
         | ((repeats > 0) & (F.length(F.regexp_replace(line, run, "")) < (1 - rules.max_run_share) * F.length(line)))
-        | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 40)).rlike(r"^\W{0,3}(?:" + "|".join(BOILERPLATE) + ")"))
+        | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 80)).rlike(phrases))
     )
 
 
+def in_menu(lines: Column, i: Column, rules: LineRules) -> Column:
+    """Whether line i stands in a run of short lines that end no sentence."""
+    fragment = lambda j: F.coalesce(F.get(lines, j)["fragment"], F.lit(False))
+    k = rules.min_menu_lines
+    runs = [reduce(and_, [fragment(i + j) for j in range(first, first + k)]) for first in range(1 - k, 1)]
+    return F.get(lines, i)["fragment"] & reduce(or_, runs)
+
+
 def repeated_words(words: Column) -> Column:
     """How many words stand in a window of three words that is found twice or more (the first included)."""
     last = F.size(words) - 3
@@ -97,7 +126,12 @@ def repeated_words(words: Column) -> Column:
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """docs with the columns of OUTPUT: the counts, the verdict and the text without its failed lines."""
     value = F.coalesce(F.col(text), F.lit(""))
-    line = lambda x: F.struct(x.alias("line"), solid_length(x).alias("chars"), F.size(words_of(x)).alias("n"))
+
+    def line(x: Column) -> Column:
+        n = F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))
+        ended = F.translate(F.substring(F.rtrim(one_space(x)), -1, 1), ENDS, "") == ""
+        return F.struct(x.alias("line"), solid_length(x).alias("chars"), n.alias("n"), ((n <= rules.max_menu_words) & ~ended).alias("fragment"))
+
     base = docs.drop(*OUTPUT).withColumns(
         {
             "_repeats": let(words_of(value), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))),
@@ -112,7 +146,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
             "word_chars": chars(F.col("_lines")),
             "n_dup_lines": let(F.transform("_lines", lambda x: x["line"]), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
             "n_repeat_words": F.col("_repeats.r"),
-            "_good": F.filter("_lines", lambda x: ~line_fails(x["line"], x["n"], F.col("n_symbols"), F.col("_repeats.r"), rules)),
+            "_good": F.filter("_lines", lambda x, i: ~line_fails(x["line"], x["n"], F.col("n_symbols"), F.col("_repeats.r"), rules) & ~in_menu(F.col("_lines"), i, rules)),
         }
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     return judged.withColumns(

@@ -54,6 +54,68 @@ def test_quality_verdicts(spark):
     assert got[4][1] == good and got[5][1] == ""
 
 
+def brute_verdict(text):
+    """The rules, line by line, in Python: (lost share, kept, clean text)."""
+    import regex
+
+    from graphloom.llm.quality_rules import BOILERPLATE, ENDS
+
+    words = WORD.findall(text)
+    windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    fragment = [len(WORD.findall(x)) <= 4 and x.rstrip(" \t\v\f\r")[-1] not in ENDS for x in lines]
+    kept = []
+    for i, x in enumerate(lines):
+        w = WORD.findall(x)
+        n = len(w)
+        low = x[:80].lower()
+        rest = regex.sub(r"^[^\p{L}\p{N}©(]{0,3}", "", low) if regex.match(r"[^\p{L}\p{N}©(]{1,3}[\p{L}\p{N}©(]", low) else low
+        phrase = any(rest.startswith(p) and not (rest[len(p) : len(p) + 1].isalnum()) for p in BOILERPLATE) or regex.match(r"(?:copyright\s+)?(?:©|\(c\))|copyright\s+\d{4}", rest)
+        left = re.sub(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?=[\x20\x09-\x0D]|$)){4,}", "", x)
+        bad = (
+            sum(any(c in "#*$%&|<>" for c in v) for v in w) > 0.2 * n
+            or sum(v.endswith(("!!", "??", "!?")) for v in w) > 0.2 * n
+            or sum(bool(regex.fullmatch(r"[|/\\\\•·›»~–—*+=<>-]{1,3}", v)) for v in w) > 0.2 * n
+            or (n >= 4 and not regex.search(r"\p{Ll}", x) and bool(regex.search(r"\p{Lu}", x)))
+            or len(left) < 0.8 * len(x)
+            or (n <= 15 and bool(phrase))
+            or any(all(0 <= j < len(lines) and fragment[j] for j in range(i + f, i + f + 4)) for f in range(-3, 1))
+        )
+        if not bad:
+            kept.append(x)
+    size = lambda ls: sum(len(v) for x in ls for v in WORD.findall(x))
+    lost = 1 - size(kept) / size(lines) if size(lines) else 0.0
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return round(lost, 9), not failed and lost <= 0.5, "\n".join(kept)
+
+
+def test_quality_verdicts_match_brute_force(spark, docs):
+    from graphloom.llm.quality_rules import clean
+
+    prose = lambda i: " ".join(f"word{i}{j}" for j in range(12)) + "."
+    odd = [
+        "JavaScript is a language for the web.", "Cookies are baked in an oven.", "We use cookies to improve the site", "© 2020 Someone", "Copyright 2021 Someone", "Copyright law is old.",
+        "Home", "News", "Contact us", "About", "", "One • two • three", "a | b | c", "WHO SHOUTS LIKE THIS", "really!! now!! stop!!", "Lire la suite", "Weiterlesenswert ist es", "– Read more", "no no no no no no",
+        "x #a *b", "Short", "Line", "ends here.", "Not", "a", "menu",
+    ]
+    texts = [t for _, t in TEXTS if len(t) < 100_000] + ["\n".join([prose(i) for i in range(6)] + odd), "\n".join(odd * 4), "\n".join(x + "\n" + prose(i) for i, x in enumerate(odd))]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (round(r.lost_share, 9), r.kept, r.clean_text) for r in clean(made).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_verdict(t), t[:300]
+
+
+def test_quality_query_clashing_columns(spark, tmp_path):
+    """The registered query gives one row for each row, whatever its other columns are named."""
+    from graphloom.llm.quality_rules import op1_quality_rules
+
+    corpus.frame(spark).withColumns({"n_words": F.lit("x"), "kept": F.lit("y"), "_lines": F.lit(1), "line": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_quality_rules(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.kept) for r in got) == sorted((k is None, k or 0, len(WORD.findall(t)), brute_verdict(t)[1]) for k, t in TEXTS)
+
+
 # --- 2 HTML extraction --------------------------------------------------------------------------------------------
 
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=/a>Home</a></nav>{extra}<article><h1>Title {i}</h1><p>First &amp; <b>bold {i}<p>Second\n  line<br>end</article><div class='comments'>Nice</div><footer>&copy; me</footer>"
