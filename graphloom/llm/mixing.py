@@ -1,26 +1,33 @@
 """Operator 10, mixing sources to target weights.
 
 The sizes of each source are summed, targets follow from weights and caps, and
-each document is emitted floor(rate) times plus one more with a probability of
-the rate's fraction, drawn from a hash of its id and a seed. The target table
-has one row for each source; it is joined by broadcast when small enough.
+each document is emitted floor(rate) times plus one more by a draw: a number in
+[0, 1) that a hash of its id and a seed decide, the same for every run. The
+probability is the rate's fraction; the draw takes the documents of a source in
+the order of their numbers until its words come to the target, so what luck would
+add or leave out is evened within the source and each document is as likely.
+Numbers are rounded to 1 / STEPS for this, so the sums behind it are few.
+
+The target table has one row for each source; it is joined by broadcast when
+small enough, otherwise by a shuffle with hot sources apart.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null
 source is a source of its own, after all others; a null doc_id draws as the
 string "null"; repeated rows draw alike; an empty table gives an empty result;
 other columns pass through ``mix`` unless their name is one of OUTPUT, which is
-then replaced. Ties between sources do not arise: a source's name is its key.
+then replaced (so are _name, _step, _rows and _mix). Ties between sources do not arise: a
+source's name is its key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read, written
+from graphloom.llm.common import join_hot, numbered, partitions_for, read, written
 
+#: Draws are told apart by so many steps.
+STEPS = 4096
 OUTPUT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -34,15 +41,16 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """(source, source_size) with their target words. Sources in code-point order, null last, take the weights in turn.
+    """(source, rows, source_size, target). Sources in code-point order, null last, take the weights in turn.
 
     A target stops at cap times the source's size; what is over is shared anew by weight until none is above.
     One row for each source; each round is an aggregate over that table, and a round caps a source at least.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    rank = (F.row_number().over(order) - 1) % len(weights)
-    table = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    table = written(table, "mix-sources")
+    order = [F.col("source").isNull(), F.col("source")]
+    held = sizes.withColumn("_all", F.lit(0)).repartitionByRange(partitions_for(sizes.sparkSession), *order).sortWithinPartitions(*order)
+    rank = numbered(held, "_all", "rank", "mix-order").drop("_all")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = written(rank.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))), "mix-sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, capped = -1.0, F.lit(False)
     while True:
@@ -54,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
             break
         level = now
         capped = F.col("w") * F.lit(level) > F.col("most")
-    return table.select("source", "source_size", F.least(F.col("most"), F.col("w") * F.lit(max(level, 0.0))).alias("target"))
+    return table.select("source", "rows", "source_size", F.least(F.col("most"), F.col("w") * F.lit(max(level, 0.0))).alias("target"))
 
 
 def mix(
@@ -71,16 +79,27 @@ def mix(
 
     The targets are broadcast if there are at most broadcast_rows sources, otherwise they are joined by a shuffle.
     """
-    sized = docs.drop(*OUTPUT).withColumn("size", word_count(F.col(text)))
-    per = targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), weights, cap)
-    per = per.select(F.col("source").alias("_source"), "source_size", "target")
-    if per.count() <= broadcast_rows:
-        per = F.broadcast(per)
+    # sources by a name that is never null, in code-point order
+    name = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source)))
+    sized = docs.drop(*OUTPUT, "_name", "_step", "_rows", "_mix").withColumns({"size": word_count(F.col(text)), "_name": name, "_step": F.floor(draw(F.col(key), seed) * STEPS).cast("int")})
+    steps = written(sized.groupBy("_name", "_step").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.any_value(F.col(source)).alias("source")), "mix-steps")
+    per = targets(steps.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows")), weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    most = int(cap)
-    joined = sized.join(per, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
-    copies = F.least(F.lit(most), F.floor(rate) + (draw(F.col(key), seed) < rate - F.floor(rate)).cast("int"))
-    return joined.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    named = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
+    per = per.select(named.alias("_name"), "rows", "source_size", "target", F.floor(rate).cast("int").alias("whole"), (F.col("target") - F.floor(rate) * F.col("source_size")).alias("more"))
+    # the last step that is drawn: with it, the words drawn are nearer to those that are due than without it
+    upto = F.sum("words").over(Window.partitionBy("_name").orderBy("_step"))  # STEPS rows of a source at most
+    drawn = steps.withColumn("upto", upto).join(per.select("_name", "more"), "_name").where(F.col("upto") - F.col("words") / 2 < F.col("more"))
+    per = written(per.drop("more").join(drawn.groupBy("_name").agg(F.max("_step").alias("last")), "_name", "left"), "mix-targets")
+    small = per.select("_name", F.col("rows").alias("_rows"), F.struct("source_size", "target", "whole", "last").alias("_mix"))
+    if per.count() <= broadcast_rows:
+        joined = sized.join(F.broadcast(small.drop("_rows")), "_name")
+    else:
+        joined = join_hot(sized, small, "_name", "_rows", per.agg(F.sum("rows")).first()[0])
+    copies = F.least(F.lit(int(cap)), F.col("_mix.whole") + F.coalesce(F.col("_step") <= F.col("_mix.last"), F.lit(False)).cast("int"))
+    joined = joined.withColumns({"source_size": F.col("_mix.source_size"), "target": F.col("_mix.target")})
+    made = joined.withColumn("copies", copies.cast("int")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    return made.select(*[c for c in sized.columns if c not in ("size", "_name", "_step")], *OUTPUT)
 
 
 def emit(mixed: DataFrame) -> DataFrame:

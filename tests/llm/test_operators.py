@@ -606,6 +606,52 @@ def test_mixing_targets_and_copies(spark):
     assert mix(corpus.empty(spark)).count() == 0 and mix(corpus.frame(spark)).count() == len(TEXTS)
 
 
+def test_mixing_query_is_near_its_targets(spark):
+    """Each source of the whole table takes words within 3 in 100 of its target; draws are as likely for each document."""
+    from graphloom.llm.mixing import op10_mixing
+
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: (r.source, len(WORD.findall(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op10_mixing(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    size = collections.Counter()
+    for s, n in docs.values():
+        size[s] += n
+    names = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in size else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in capped)) / sum(weight[s] for s in names if s not in capped)
+        more = {s for s in names if s not in capped and weight[s] * level > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    taken, twice = collections.Counter(), collections.Counter()
+    for r in got:
+        s, n = docs[r.doc_id]
+        assert r.size == n and r.source_size == size[s] and r.target == pytest.approx(3 * size[s] if s in capped else weight[s] * level)
+        taken[s] += r.taken
+        assert r.taken == r.copies * n <= 3 * n
+        rate = r.target / r.source_size
+        assert r.copies in (math.floor(rate + 1e-9), math.floor(rate) + 1)
+        twice[n > 300] += r.copies - rate
+    for s in names:
+        assert abs(taken[s] - (3 * size[s] if s in capped else weight[s] * level)) < 0.03 * taken[s]
+    assert all(abs(x) < 0.05 * len(docs) for x in twice.values())
+
+
+def test_mixing_many_sources_and_clashes(spark):
+    """Sources joined by a shuffle, a hot one among them; columns that the operator uses itself are replaced or carried along."""
+    from graphloom.llm.mixing import mix
+
+    rows = [(i, "w " * (1 + i % 9), "hot" if i % 3 else f"s{i % 40}", 5, "c", "n") for i in range(900)] + [(None, "w", None, 5, "c", "n")] * 2
+    made = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copies string, target string").withColumns({"rows": F.lit("r"), "last": F.lit("l"), "whole": F.lit("w")})
+    few, many = mix(made), mix(made, broadcast_rows=0)
+    assert few.columns == many.columns == ["doc_id", "text", "source", "rows", "last", "whole", "size", "source_size", "target", "copies", "taken"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == len(rows)
+    assert {r["rows"] for r in few.select(few.columns[3]).collect()} == {"r"}
+
+
 def test_mixing_all_empty(spark):
     from graphloom.llm.mixing import mix
 
