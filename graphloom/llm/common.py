@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -52,15 +53,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders that written() has made, in order, for those who know when a step is over.
-made: list[str] = []
+class _Made(threading.local):
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+#: Folders that written() has made in this thread, in order, for those who know when a step is over.
+made = _Made()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    made.append(path)
+    made.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
