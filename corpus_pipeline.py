@@ -6,12 +6,15 @@ columns of documents. Between stages, docs are read where the last stage left th
 
 Defined results: an empty text passes every stage (the classifier judges it by
 its bias) and is packed as its end id; rows repeated under one id count as
-copies, one of them stays; a document without an id always stays; an empty table
+copies, one of them stays; a document without an id always stays; a character that
+the removal of passages cuts in part is left out; an empty table
 gives an empty result; columns besides those of documents are carried along.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +71,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-#: Intermediate tables of the stage before: they go when the next stage begins, as its docs are written by then.
-_before: list[str] = []
+class _Before(threading.local):
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+#: Intermediate tables of the stage before in this thread: they go when the next stage begins, as its docs are written by then.
+_before = _Before()
 
 
 def _in_turn(stage, first: bool = False):
@@ -77,10 +85,10 @@ def _in_turn(stage, first: bool = False):
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not first:
-            common.drop_folders(spark, _before)
-        since = len(common.made)
+            common.drop_folders(spark, _before.paths)
+        since = len(common.made.paths)
         out = stage(spark, docs, sf_dir)
-        _before[:] = common.made[since:]
+        _before.paths = common.made.paths[since:]
         return out
 
     return run_stage
