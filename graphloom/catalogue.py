@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import catalogue_rules
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
 from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, syntax, trace
 from graphloom.sources import python_ast, store
-from graphloom.sources.adapter import Graph, python_sources, sql
+from graphloom.registering import oracle_sql, queries, query
+from graphloom.sources.adapter import Graph, python_sources
 from graphloom.streaming import session as session_stream
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None, *tables: str):
-    """Registers a function of a Graph under a name, with SQL over the graph tables that it names."""
-
-    def register(f: Callable[[Graph], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
-        if oracle is not None:
-            _SQL[name] = sql(oracle, *tables)
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["catalogue_rules", "flagship", "oracle_sql", "queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,24 @@
-"""Rules on syntax nodes in interval order: a node holds another if it is entered before and left after it."""
+"""Rules on syntax nodes: a node says how many loops and which function hold it, so rules filter and sum, and nodes never meet each other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import domain_tokens
 
 
-def holders(nodes: DataFrame, inner: DataFrame, kind: str) -> DataFrame:
-    """inner with (holder_id, holder_pre, holder_name) for each node of a kind that holds it, in its file."""
-    outer = nodes.where(F.col("kind") == kind).select("file_id", F.col("node_id").alias("holder_id"), F.col("pre").alias("holder_pre"), F.col("post").alias("holder_post"), F.col("name").alias("holder_name"))
-    return inner.join(outer, "file_id").where((F.col("holder_pre") < F.col("pre")) & (F.col("holder_post") > F.col("post"))).drop("holder_post")
-
-
-def innermost(nodes: DataFrame, inner: DataFrame, kind: str) -> DataFrame:
-    """inner with its closest holder of a kind; nodes without one are left out."""
-    held = holders(nodes, inner, kind)
-    closest = Window.partitionBy("file_id", "node_id").orderBy(F.col("holder_pre").desc())
-    return held.withColumn("_n", F.row_number().over(closest)).where("_n = 1").drop("_n")
-
-
-def loop_depth(nodes: DataFrame, inner: DataFrame) -> DataFrame:
-    """(file_id, node_id, depth): how many loops hold each node that a loop holds."""
-    return holders(nodes, inner, "loop").groupBy("file_id", "node_id").agg(F.count(F.lit(1)).alias("depth"))
-
-
 def complexity(nodes: DataFrame) -> DataFrame:
-    """(file_id, name, start_line, complexity): 1 and the branches, loops and handlers of a function, not those of functions in it."""
-    made = innermost(nodes, nodes.where(F.col("kind").isin("branch", "loop", "handler")), "function").groupBy("file_id", F.col("holder_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    own = nodes.where("kind = 'function'").select("file_id", "node_id", "name", "start_line")
-    return own.join(made, ["file_id", "node_id"], "left").select("file_id", "name", "start_line", (1 + F.coalesce("n", F.lit(0))).alias("complexity"))
+    """(file_id, name, start_line, end_line, complexity): 1 and the branches, loops and handlers of a function, not those of functions in it."""
+    inner = nodes.where(F.col("kind").isin("branch", "loop", "handler") & F.col("function_id").isNotNull())
+    made = inner.groupBy("file_id", F.col("function_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    own = nodes.where("kind = 'function'").select("file_id", "node_id", "name", "start_line", "end_line")
+    return own.join(made, ["file_id", "node_id"], "left").select("file_id", "name", "start_line", "end_line", (1 + F.coalesce("n", F.lit(0))).alias("complexity"))
 
 
 def nested_loops(nodes: DataFrame) -> DataFrame:
-    """(file_id, start_line, depth): loops in loops, but for loops over a stated range."""
-    loops = nodes.where("kind = 'loop'")
-    return loop_depth(nodes, loops).join(loops.select("file_id", "node_id", "start_line"), ["file_id", "node_id"]).select("file_id", "start_line", "depth")
+    """(file_id, start_line, depth): loops in loops, but for loops over a range of stated numbers."""
+    return nodes.where("kind = 'loop' AND depth > 0 AND NOT bounded").select("file_id", "start_line", "depth")
 
 
 #: Methods that scan or sort a collection (fixed values).
@@ -46,8 +28,7 @@ SORTS = ("sort", "sorted")
 
 def calls_in_loops(nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(file_id, start_line, name): calls of these functions or methods that a loop holds."""
-    calls = nodes.where((F.col("kind") == "call") & F.substring_index("name", ".", -1).isin(*names))
-    return calls.join(loop_depth(nodes, calls).select("file_id", "node_id"), ["file_id", "node_id"], "left_semi").select("file_id", "start_line", "name")
+    return nodes.where((F.col("kind") == "call") & (F.col("depth") > 0) & F.substring_index("name", ".", -1).isin(*names)).select("file_id", "start_line", "name")
 
 
 def swallowed(nodes: DataFrame) -> DataFrame:
@@ -56,10 +37,9 @@ def swallowed(nodes: DataFrame) -> DataFrame:
 
 
 def large_literals(nodes: DataFrame, lines: int = 80, children: int = 50) -> DataFrame:
-    """(file_id, start_line, end_line): literals of many lines or parts that no other such literal holds."""
-    large = nodes.where((F.col("kind") == "literal") & ((F.col("end_line") - F.col("start_line") + 1 >= lines) | (F.col("size") >= children)))
-    inner = holders(large, large, "literal").select("file_id", "node_id").distinct()
-    return large.join(inner, ["file_id", "node_id"], "left_anti").select("file_id", "start_line", "end_line")
+    """(file_id, start_line, end_line): literals of many lines or parts that are no part of another."""
+    large = (F.col("end_line") - F.col("start_line") + 1 >= lines) | (F.col("size") >= children)
+    return nodes.where((F.col("kind") == "literal") & large & ~F.col("parent_kind").eqNullSafe("literal")).select("file_id", "start_line", "end_line")
 
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
@@ -141,17 +121,23 @@ DATABASE_MODULES = ("sqlite3", "psycopg2", "pymongo", "sqlalchemy", "mysql", "as
 NETWORK_MODULES = ("requests", "httpx", "urllib", "aiohttp")
 
 
-def provenance(imports: DataFrame, modules: tuple[str, ...], bindings: DataFrame, rounds: int = 4) -> DataFrame:
+def provenance(imports: DataFrame, modules: tuple[str, ...], bindings: DataFrame, rounds: int | None = None) -> DataFrame:
     """(file_id, name): names of a file that come from one of the modules: the imports, and what is assigned from such names.
 
-    bindings are (file_id, name, source) of assignments; a name is followed through at most so many of them.
+    bindings are (file_id, name, source) of assignments; names are followed until none is new, or through so many assignments at most.
     """
+    from itertools import count
+
     from graphloom.operators.trace import _cut
 
-    known = imports.where(F.substring_index("module", ".", 1).isin(*modules)).select("file_id", F.substring_index("module", ".", 1).alias("name")).distinct()
-    for _ in range(rounds):
-        more = bindings.join(known.withColumnRenamed("name", "source"), ["file_id", "source"]).select("file_id", "name")
-        known = _cut(known.unionByName(more).distinct())
+    first = F.substring_index("module", ".", 1)
+    known = front = _cut(imports.where(first.isin(*modules)).select("file_id", first.alias("name")).distinct())
+    bindings = _cut(bindings.select("file_id", "name", "source").distinct())
+    for _ in count() if rounds is None else range(rounds):
+        front = _cut(bindings.join(front.withColumnRenamed("name", "source"), ["file_id", "source"]).select("file_id", "name").distinct().join(known, ["file_id", "name"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        known = _cut(known.unionByName(front))
     return known
 
 
@@ -182,12 +168,14 @@ def unsafe_deserialization(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("kind") == "call") & (always | yaml)).select("file_id", "start_line", "name")
 
 
+#: Names that start all of a collection at once (fixed values).
+PARALLEL = ("gather", "wait", "as_completed", "join_all")
+
+
 def unbounded_parallel(nodes: DataFrame) -> DataFrame:
     """(file_id, start_line, name): everything of a collection started at once, without a bound."""
-    calls = nodes.where((F.col("kind") == "call") & F.substring_index("name", ".", -1).isin("gather", "wait", "as_completed", "join_all"))
-    loops = nodes.where("kind = 'loop'").select("file_id", F.col("pre").alias("_pre"), F.col("post").alias("_post"))
-    held = calls.join(loops, (calls["file_id"] == loops["file_id"]) & (loops["_pre"] > calls["pre"]) & (loops["_post"] < calls["post"]), "left_semi")
-    return held.select("file_id", "start_line", "name")
+    calls = nodes.where((F.col("kind") == "call") & F.substring_index("name", ".", -1).isin(*PARALLEL) & F.col("holds_loop"))
+    return calls.select("file_id", "start_line", "name")
 
 
 #: Words that say that a route checks who asks (fixed values).

@@ -6,6 +6,8 @@ changed lines, pages for outbound links. Row counts are Parquet metadata.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,15 @@ class Graph:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._counts: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def rows(self, name: str):
-        return F.lit(self.table(name).count()).cast("long")
+        if name not in self._counts:
+            self._counts[name] = self.table(name).count()
+        return F.lit(self._counts[name]).cast("long")
 
     @property
     def files(self) -> DataFrame:
@@ -146,3 +151,51 @@ def python_sources(graph: Graph):
     bodies = lines.groupBy("l_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "").alias("body"))
     head = F.concat(F.lit("def order_report_"), F.col("l_partkey").cast("string"), F.lit("(xs):\n    total = []\n"))
     return bodies.select(F.col("l_partkey").alias("file_id"), F.concat(head, F.col("body"), F.lit("    return total\n")).alias("text"))
+
+
+@dataclass(frozen=True)
+class Statement:
+    """Python code that a line item stands for, the rules that it breaks, the branches that it adds, and its lines."""
+
+    text: str
+    rules: tuple[str, ...] = ()
+    branches: int = 0
+
+
+#: DB and NET stand for rules 001 where the file imports what is called, and 002 where it does not.
+STATEMENTS = (
+    Statement("    ys = [db.execute(x) for x in xs.find()]\n", ("DB", "SEC-003"), 1),
+    Statement("    for x in range(3):\n        for y in range(2, 9):\n            total.append(y)\n", (), 2),
+    Statement("    for x in xs:\n        for y in x:\n            total.index(y)\n", ("ALG-001", "ALG-002"), 2),
+    Statement("    try:\n        def inner(a):\n            return load(a)\n    except ValueError:\n        pass\n", ("ERR-001",), 1),
+    Statement("    for x in xs.sort():\n        x.sort()\n", ("ALG-003",), 1),
+    Statement("    eval(xs)\n", ("SEC-003",)),
+    Statement("    exec(settings())\n", ("SEC-002",)),
+    Statement('    digest = hashlib.md5(b"x")\n', ("SEC-004",)),
+    Statement("    requests.get(url, verify=False)\n", ("SEC-004",)),
+    Statement("    doc = yaml.load(cfg)\n", ("SEC-005",)),
+    Statement("    doc = yaml.load(cfg, Loader=yaml.SafeLoader)\n"),
+    Statement('    rows = db.query("SELECT * FROM t")\n', ("DB-005",)),
+    Statement("    for x in xs:\n        requests.get(x)\n", ("NET", "SEC-003"), 1),
+    Statement("    done = asyncio.gather(*[work(x) for x in xs])\n", ("CON-001",), 1),
+    Statement("    page = Markup(xs)\n", ("SEC-006",)),
+    Statement("    text = open(secure_filename(xs))\n    more = open(xs)\n", ("SEC-007",)),
+    Statement("    if xs:\n        class Inner:\n            def method(self):\n                return self.other(xs)\n", (), 1),
+)
+STATEMENT_SQL = f"SELECT l_partkey AS file_id, (l_suppkey + 5 * l_linenumber + l_orderkey) % {len(STATEMENTS)} AS v FROM lineitem"
+
+
+def varied_sources(graph: Graph):
+    """(file_id, path, text): a Python file for each part, with a function of a statement for each of its line items in order.
+
+    Even files take db from a database, every third file imports a client, every 97th cannot be parsed.
+    """
+    v = F.pmod(F.col("l_suppkey") + 5 * F.col("l_linenumber") + F.col("l_orderkey"), F.lit(len(STATEMENTS))).cast("int")
+    text = F.get(F.array(*[F.lit(s.text) for s in STATEMENTS]), v)
+    lines = graph.table("lineitem").select(F.col("l_partkey").alias("file_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", text.alias("text")).alias("s"))
+    bodies = lines.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "").alias("body"))
+    k = F.col("file_id")
+    imports = F.concat(F.when(k % 3 == 0, "import requests\n").otherwise(""), F.when(k % 2 == 0, 'import sqlite3\ndb = sqlite3.connect("x")\n').otherwise(""))
+    head = F.concat(F.lit("def report_"), k.cast("string"), F.lit("(xs, cfg):\n    total = []\n"))
+    broken = F.when(k % 97 == 0, "    return (\n").otherwise("    return total\n")
+    return bodies.select("file_id", F.concat(F.lit("src/report_"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(imports, head, F.col("body"), broken).alias("text"))

@@ -12,53 +12,111 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-NODES = "file_id long, node_id long, parent_id long, kind string, name string, pre long, post long, start_line long, end_line long, size long, text string"
+NODES = (
+    "file_id long, node_id long, parent_id long, kind string, name string, pre long, post long, start_line long, end_line long, size long, text string, "
+    "depth long, function_id long, parent_kind string, bounded boolean, holds_loop boolean"
+)
 #: Kinds of nodes that are kept; what lies between them is left out.
 _KINDS = {
-    ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.comprehension: "loop", ast.If: "branch",
+    ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.If: "branch",
     ast.IfExp: "branch", ast.BoolOp: "branch", ast.ExceptHandler: "handler", ast.Call: "call", ast.List: "literal", ast.Dict: "literal", ast.Set: "literal", ast.Tuple: "literal", ast.Assign: "assign",
-    ast.Return: "return", ast.match_case: "branch",
+    ast.Return: "return", ast.match_case: "branch", ast.keyword: "keyword",
 }
-
-
-def _name(node: ast.AST) -> str:
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+class _Each:
+    """One `for` of a comprehension: it holds its conditions and the next `for`, or in the end the elements."""
+
+    def __init__(self, generators: list, elements: list, place: ast.AST) -> None:
+        self.iter, self.target, self.ifs = generators[0].iter, generators[0].target, generators[0].ifs
+        self.rest = [_Each(generators[1:], elements, place)] if generators[1:] else elements
+        self.lineno, self.end_lineno = place.lineno, place.end_lineno
+
+
+def _parts(node) -> tuple[list, list, list]:
+    """What is evaluated before a node's own part, within it, and after: a loop's iterable and else, a function's decorators and defaults are not within."""
+    if isinstance(node, _Each):
+        return [node.iter], [node.target, *node.ifs, *node.rest], []
+    if isinstance(node, _COMPREHENSIONS):
+        elements = [node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt]
+        return [], [_Each(node.generators, elements, node)], []
+    if isinstance(node, (ast.For, ast.AsyncFor)):
+        return [node.iter], [node.target, *node.body], node.orelse
+    if isinstance(node, ast.While):
+        return [], [node.test, *node.body], node.orelse
+    if isinstance(node, _FUNCTIONS):
+        return [*node.decorator_list, *node.args.defaults, *(d for d in node.args.kw_defaults if d)], node.body, []
+    if isinstance(node, ast.ClassDef):
+        return [*node.decorator_list, *node.bases, *node.keywords], node.body, []
+    return [], list(ast.iter_child_nodes(node)), []
+
+
+def _name(node) -> str:
+    if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
         return node.name
     if isinstance(node, ast.Call):
         return ast.unparse(node.func)
+    if isinstance(node, ast.keyword):
+        return node.arg or ""
     if isinstance(node, ast.ExceptHandler):
         empty = all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in node.body)
         return "empty" if empty else ""
     return ""
 
 
+def _bounded(node) -> bool:
+    """Whether a loop runs over a range of stated numbers."""
+    over = getattr(node, "iter", None)
+    return isinstance(over, ast.Call) and isinstance(over.func, ast.Name) and over.func.id == "range" and bool(over.args) and all(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in over.args)
+
+
 def node_rows(file_id: int, text: str) -> list[tuple]:
-    """Nodes of one source in the order of entering; a source that cannot be parsed is one node of kind error."""
+    """Nodes of one source in the order of entering; a source that cannot be parsed is one node of kind error.
+
+    depth is how many loops hold a node, function_id its innermost function, parent_kind the kind of the node that holds it.
+    """
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [(file_id, 0, None, "error", type(e).__name__, 0, 1, getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, 0, "")]
+    except _BROKEN as e:
+        line = getattr(e, "lineno", None) or 1
+        return [(file_id, 0, None, "error", type(e).__name__, 0, 1, line, line, 0, "", 0, None, None, False, False)]
     rows: list[list] = []
-    clock = 0
-    stack: list[tuple] = [(tree, None, False)]
+    clock, last_loop = 0, -1
+    # (node, its holder, loops around it, innermost function), or (None, the node that ends)
+    stack: list[tuple] = [(tree, None, 0, None)]
     while stack:
-        node, parent, leaving = stack.pop()
-        if leaving:
-            rows[parent][6] = clock
+        node, parent, depth, function = stack.pop()
+        if node is None:
+            rows[parent][6], rows[parent][15] = clock, last_loop > parent
             clock += 1
             continue
-        kind = _KINDS.get(type(node))
-        inner = parent
-        if kind:
-            inner = len(rows)
+        if isinstance(node, tuple):  # the own part of a node, after what is before it
+            node, within = node
+            kind = "loop" if isinstance(node, _Each) else _KINDS[type(node)]
+            at = len(rows)
             start = getattr(node, "lineno", None) or (rows[parent][7] if parent is not None else 1)
             end = getattr(node, "end_lineno", None) or start
-            size = len(list(ast.iter_child_nodes(node)))
-            code = ast.unparse(node) if kind in ("call", "assign", "return") else ""
-            rows.append([file_id, inner, parent, kind, _name(node), clock, 0, start, end, size, code])
+            code = ast.unparse(node) if kind in ("call", "assign", "return", "keyword") else ""
+            over = rows[parent][3] if parent is not None else None
+            rows.append([file_id, at, parent, kind, _name(node), clock, 0, start, end, len(within), code, depth, function, over, kind == "loop" and _bounded(node), False])
             clock += 1
-            stack.append((node, inner, True))
-        stack.extend((child, inner, False) for child in reversed(list(ast.iter_child_nodes(node))))
+            if kind == "loop":
+                last_loop, depth = at, depth + 1
+            if kind == "function":
+                function, depth = at, 0
+            stack.append((None, at, 0, None))
+            stack.extend((child, at, depth, function) for child in reversed(within))
+            continue
+        before, within, after = _parts(node)
+        stack.extend((child, parent, depth, function) for child in reversed(after))
+        if isinstance(node, _Each) or type(node) in _KINDS:
+            stack.append(((node, within), parent, depth, function))
+        else:
+            stack.extend((child, parent, depth, function) for child in reversed(within))
+        stack.extend((child, parent, depth, function) for child in reversed(before))
     return [tuple(r) for r in rows]
 
 
@@ -70,7 +128,8 @@ def nodes(sources: DataFrame) -> DataFrame:
         for batch in batches:
             made = [r for file_id, text in zip(batch["file_id"], batch["text"], strict=True) for r in node_rows(int(file_id), text or "")]
             frame = pd.DataFrame(made, columns=columns)
-            frame["parent_id"] = frame["parent_id"].astype("Int64")
+            for c in ("parent_id", "function_id"):
+                frame[c] = frame[c].astype("Int64")
             yield frame
 
     return sources.select("file_id", "text").mapInPandas(parse, NODES)
@@ -104,7 +163,7 @@ def functions(sources: DataFrame) -> DataFrame:
             for file_id, text in zip(batch["file_id"], batch["text"], strict=True):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                except _BROKEN:
                     continue
                 for f in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
                     calls = sorted({ast.unparse(c.func).rpartition(".")[2] for c in ast.walk(f) if isinstance(c, ast.Call)})
@@ -146,9 +205,25 @@ def _route(decorators: list[ast.expr]) -> tuple[str | None, str | None]:
     return None, None
 
 
+def _own(statements: list) -> list[ast.AST]:
+    """All nodes of statements but those of functions and classes defined in them, of which decorators and defaults count."""
+    found, stack = [], list(reversed(statements))
+    while stack:
+        node = stack.pop()
+        found.append(node)
+        if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
+            inner = _parts(node)[0]
+        elif isinstance(node, _COMPREHENSIONS):  # what it runs over comes before its elements
+            inner = [*node.generators, *([node.key, node.value] if isinstance(node, ast.DictComp) else [node.elt])]
+        else:
+            inner = list(ast.iter_child_nodes(node))
+        stack.extend(reversed(inner))
+    return found
+
+
 def _calls_of(body: ast.FunctionDef | ast.AsyncFunctionDef, container: str | None, types: set[str]) -> tuple[list[dict], list[dict]]:
-    """(calls, outbound links) of a function. A receiver is the own class, or the one type that a local name is made from."""
-    inside = [n for statement in body.body for n in ast.walk(statement)]  # not the decorators
+    """(calls, outbound links) of a function, without functions in it. A receiver is the own class, or the one type that a local name is made from."""
+    inside = _own(body.body)
     made: dict[str, set[str]] = {}
     for node in inside:
         if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
@@ -170,33 +245,56 @@ def _calls_of(body: ast.FunctionDef | ast.AsyncFunctionDef, container: str | Non
     return calls, links
 
 
+def _registered(tree: ast.AST) -> dict[str, tuple[str, str]]:
+    """Handlers that a call gives a route, by name: app.post("/x", handler), app.add_route("/x", handler), router.add_get("/x", handler)."""
+    found: dict[str, tuple[str, str]] = {}
+    for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.args):
+        verb, first = call.func.attr.lower().removeprefix("add_"), call.args[0]
+        if not (verb in (*_VERBS, "route", "url_rule", "api_route") and isinstance(first, ast.Constant) and isinstance(first.value, str) and first.value.startswith("/")):
+            continue
+        named = [a for a in (*call.args[1:], *(k.value for k in call.keywords if k.arg in ("view_func", "handler", "endpoint"))) if isinstance(a, (ast.Name, ast.Attribute))]
+        if named:
+            stated = [k.value for k in call.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple)) and k.value.elts]
+            method = verb if verb in _VERBS else getattr(stated[0].elts[0], "value", "GET") if stated else "GET"
+            found.setdefault(ast.unparse(named[-1]).rpartition(".")[2], (str(method).upper(), first.value))
+    return found
+
+
 def file_facts(text: str) -> tuple[list[str], list[str], list[dict]]:
-    """(imports, exports, symbols) of a source; nothing of one that cannot be parsed."""
+    """(imports, exports, symbols) of a source, at any depth; nothing of one that cannot be parsed."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except _BROKEN:
         return [], [], []
+    routes = _registered(tree)
     types = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
     imports = {a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names} | {n.module for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module}
     lines = text.splitlines()
     symbols: list[dict] = []
-    todo: list[tuple[ast.AST, str | None]] = [(n, None) for n in reversed(tree.body)]
+    todo: list[tuple[ast.AST, str | None, bool]] = [(n, None, True) for n in reversed(tree.body)]
+    top: set[str] = set()
     while todo:
-        node, container = todo.pop()
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            is_type = isinstance(node, ast.ClassDef)
-            verb, path = (None, None) if is_type else _route(node.decorator_list)
-            calls, links = ([], []) if is_type else _calls_of(node, container, types)
-            symbols.append(
-                {
-                    "name": node.name, "container": container, "qualified": f"{container}.{node.name}" if container else node.name,
-                    "kind": "type" if is_type else "route" if path else "method" if container else "function", "start_line": node.lineno, "end_line": node.end_lineno,
-                    "signature": lines[node.lineno - 1].strip()[:200], "exported": not node.name.startswith("_"), "route_method": verb, "route_path": path,
-                    "extends": [ast.unparse(b).rpartition(".")[2] for b in node.bases] if is_type else [], "calls": calls, "links": links,
-                }
-            )
-            todo += [(n, node.name if is_type else container) for n in reversed(node.body)]
-    return sorted(imports), sorted({s["name"] for s in symbols if s["exported"] and not s["container"]}), symbols
+        node, container, outer = todo.pop()
+        if not isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
+            todo += [(n, container, outer) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case))]
+            continue
+        is_type = isinstance(node, ast.ClassDef)
+        verb, path = (None, None) if is_type else _route(node.decorator_list)
+        if not is_type and path is None:
+            verb, path = routes.get(node.name, (None, None))
+        calls, links = ([], []) if is_type else _calls_of(node, container, types)
+        if outer and not node.name.startswith("_"):
+            top.add(node.name)
+        symbols.append(
+            {
+                "name": node.name, "container": container, "qualified": f"{container}.{node.name}" if container else node.name,
+                "kind": "type" if is_type else "route" if path else "method" if container else "function", "start_line": node.lineno, "end_line": node.end_lineno,
+                "signature": lines[node.lineno - 1].strip()[:200], "exported": not node.name.startswith("_"), "route_method": verb, "route_path": path,
+                "extends": [ast.unparse(b).rpartition(".")[2] for b in node.bases] if is_type else [], "calls": calls, "links": links,
+            }
+        )
+        todo += [(n, node.name if is_type else container, False) for n in reversed(node.body)]
+    return sorted(imports), sorted(top), symbols
 
 
 def facts(sources: DataFrame) -> DataFrame:
@@ -210,6 +308,79 @@ def facts(sources: DataFrame) -> DataFrame:
     return sources.select("file_id", "text").mapInPandas(extract, FACTS)
 
 
+STATEMENTS = "file_id long, function_id long, function string, seq long, line long, end_line long, kind string, target string, uses array<string>, calls array<string>, sink string, evidence string"
+
+
+def _taken(nodes: list[ast.AST]) -> tuple[list[str], list[str]]:
+    """(names and dotted names, called names) of expressions, once each in order."""
+    inside = [n for x in nodes for n in ast.walk(x)]
+    uses = [n.id for n in inside if isinstance(n, ast.Name)] + [ast.unparse(n) for n in inside if isinstance(n, ast.Attribute)]
+    return list(dict.fromkeys(uses)), list(dict.fromkeys(ast.unparse(n.func) for n in inside if isinstance(n, ast.Call)))
+
+
+def _names(target: ast.AST) -> list[str]:
+    return [n.id for n in ast.walk(target) if isinstance(n, ast.Name)]
+
+
+def statement_rows(file_id: int, text: str) -> list[tuple]:
+    """What functions and the module do with names, in order: parameters, assignments, additions to collections, calls and returns.
+
+    A call's uses are those of its first argument; function_id is the function's place among the functions of the source, -1 for the module.
+    """
+    try:
+        tree = ast.parse(text)
+    except _BROKEN:
+        return []
+    rows: list[tuple] = []
+    bodies = [(-1, "", [], tree.body)]
+    for k, f in enumerate(n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)):
+        a = f.args
+        bodies.append((k, f.name, [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))], f.body))
+    for k, name, parameters, body in bodies:
+
+        def add(node, kind: str, target: str | None, taken: list[ast.AST], sink: str | None = None, evidence: str = "", own: tuple = (k, name)) -> None:
+            uses, calls = _taken(taken)
+            line = getattr(node, "lineno", 1)
+            rows.append((file_id, *own, len(rows), line, getattr(node, "end_lineno", None) or line, kind, target, uses, calls, sink, evidence))
+
+        for p in parameters:
+            add(body[0], "parameter", p, [])
+        for node in _own(body):
+            if isinstance(node, ast.Call):
+                first = node.args[0] if node.args else node.keywords[0].value if node.keywords else None
+                if first is not None and not isinstance(first, ast.Constant):
+                    add(node, "call", None, [first], ast.unparse(node.func), ast.unparse(node))
+                if isinstance(node.func, ast.Attribute) and node.func.attr in ("append", "add", "insert", "extend", "update"):
+                    for t in _names(node.func.value)[:1]:
+                        add(node, "add", t, [*node.args])
+            elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)) and node.value is not None:
+                for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                    if isinstance(target, ast.Attribute):
+                        add(node, "call", None, [node.value], ast.unparse(target), ast.unparse(node))
+                    for t in _names(target)[:1] if isinstance(target, (ast.Attribute, ast.Subscript)) else _names(target):
+                        add(node, "add" if isinstance(target, (ast.Attribute, ast.Subscript)) or isinstance(node, ast.AugAssign) else "assign", t, [node.value])
+            elif isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension)):
+                for t in _names(node.target):
+                    add(node.iter, "assign", t, [node.iter])
+            elif isinstance(node, ast.withitem) and node.optional_vars is not None:
+                for t in _names(node.optional_vars):
+                    add(node.context_expr, "assign", t, [node.context_expr])
+            elif isinstance(node, ast.Return) and node.value is not None:
+                add(node, "return", None, [node.value])
+    return rows
+
+
+def statements(sources: DataFrame) -> DataFrame:
+    """STATEMENTS of all sources (file_id, text)."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for file_id, text in zip(batch["file_id"], batch["text"], strict=True) for r in statement_rows(int(file_id), text or "")]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATEMENTS.split(", ")])
+
+    return sources.select("file_id", "text").mapInPandas(extract, STATEMENTS)
+
+
 def tables(documents: DataFrame) -> dict[str, DataFrame]:
     """The graph tables of nested documents; a symbol's id is a hash of its file, name and line."""
     from pyspark.sql import functions as F
