@@ -260,15 +260,11 @@ def risk_levels(g: Graph) -> DataFrame:
     return impact.impact(g, g.changed_lines).groupBy("level").agg(F.count(F.lit(1)).alias("symbols"))
 
 
-@query("affected_files", "WITH c AS (SELECT DISTINCT path FROM changed_lines WHERE path LIKE '%1') SELECT DISTINCT a.path FROM files a JOIN imports i ON i.file_id = a.id JOIN files b ON b.stem = i.stem AND b.id <> a.id WHERE b.path IN (SELECT path FROM c) AND a.path NOT IN (SELECT path FROM c)", "files", "imports", "changed_lines")
+@query("affected_files", "WITH c AS (SELECT path FROM files WHERE size < 0) SELECT DISTINCT a.path FROM files a JOIN imports i ON i.file_id = a.id JOIN files b ON b.stem = i.stem AND b.id <> a.id WHERE b.path IN (SELECT path FROM c) AND a.path NOT IN (SELECT path FROM c)", "files", "imports")
 def affected_files(g: Graph) -> DataFrame:
-    return impact.affected_files(g, g.changed_lines.where(F.col("path").endswith("1")))
-
-
-@query("affected_files_all")
-def affected_files_all(g: Graph) -> DataFrame:
-    """affected_files of all changed paths."""
-    return impact.affected_files(g, g.changed_lines)
+    """Files that import a changed one; of all files, those with a debt count as changed."""
+    changed = g.files.where("size < 0").select("path", F.lit(1).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+    return impact.affected_files(g, changed)
 
 
 # --- findings -------------------------------------------------------------------------------------------------------
@@ -549,14 +545,11 @@ def behavioural_duplicates(g: Graph) -> DataFrame:
     return syntax.behavioural_duplicates(python_ast.functions(python_sources(g)))
 
 
-@query("call_closure", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#1'), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT name FROM r", "symbols", "calls")
-def call_closure(g: Graph) -> DataFrame:
-    return _call_closure(g, g.calls.where("receiver = 'Brand#1'"))
+_CLOSURE = "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) "
 
 
-@query("call_closure_all")
-def call_closure_all(g: Graph) -> DataFrame:
-    """call_closure over all calls."""
+@query("call_closure", f"{_CLOSURE} SELECT name FROM r", "symbols", "calls")
+def call_closure(g: Graph) -> DataFrame:
     return _call_closure(g, g.calls)
 
 
@@ -641,21 +634,22 @@ def operations_in_loops(g: Graph) -> DataFrame:
     return found.groupBy("file_id", "name", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("open_routes", "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.receiver = 'Brand#3' AND c.line = 1), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT id, qualified, 'POST' AS route_method FROM symbols WHERE route_path IS NOT NULL AND name NOT IN (SELECT name FROM r)", "symbols", "calls")
-def open_routes(g: Graph) -> DataFrame:
-    return _open_routes(g, g.calls.where("receiver = 'Brand#3' AND line = 1"))
+_FUNCTIONS = "f AS (SELECT p_partkey AS id, CASE WHEN p_size = 1 THEN 'auth_' ELSE 'f_' END || p_partkey AS name, p_type = 'LARGE' AS route FROM part)"
 
 
-@query("open_routes_all")
-def open_routes_all(g: Graph) -> DataFrame:
-    """open_routes over all calls."""
-    return _open_routes(g, g.calls)
-
-
-def _open_routes(g: Graph, calls: DataFrame) -> DataFrame:
-    auth = lambda c: F.when(F.col(c) == "small ring", F.lit("auth ring")).otherwise(F.col(c))
-    symbols = g.symbols.withColumn("route_method", F.when(F.col("route_path").isNotNull(), F.lit("POST"))).withColumn("name", auth("name"))
-    return syntax.open_routes(symbols, calls.withColumn("callee", auth("callee")))
+@query(
+    "open_routes",
+    f"WITH RECURSIVE {_FUNCTIONS}, c AS (SELECT a.name AS caller, b.name AS callee FROM f a JOIN f b ON b.id = a.id // 3 AND a.id > 0), "
+    "r AS (SELECT name FROM f WHERE name LIKE 'auth%' UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) SELECT id, name AS qualified, 'POST' AS route_method FROM f WHERE route AND name NOT IN (SELECT name FROM r)",
+)
+def open_routes(g: Graph) -> DataFrame:
+    """Parts as functions: each calls the one at a third of its key, those of size 1 check access, large ones are routes."""
+    name = F.concat(F.when(F.col("p_size") == 1, F.lit("auth_")).otherwise(F.lit("f_")), F.col("p_partkey").cast("string"))
+    route = F.col("p_type") == "LARGE"
+    made = g.table("part").select(F.col("p_partkey").alias("id"), name.alias("name"), name.alias("qualified"), F.when(route, name).alias("route_path"), F.when(route, F.lit("POST")).alias("route_method"))
+    callees = made.select(F.col("id").alias("to"), F.col("name").alias("callee"))
+    calls = made.where("id > 0").select(F.col("id").alias("symbol_id"), F.floor(F.col("id") / 3).cast("long").alias("to")).join(callees, "to").select("symbol_id", "callee")
+    return syntax.open_routes(made, calls)
 
 
 @query("task_states")

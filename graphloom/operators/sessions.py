@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def retry_budget(events: DataFrame, max_retries: int = 3, no_progress: int = 2) -> DataFrame:
@@ -23,12 +27,23 @@ def retry_budget(events: DataFrame, max_retries: int = 3, no_progress: int = 2)
 def replays(events: DataFrame, window_micros: int) -> DataFrame:
     """events (session, state, at in microseconds) with replayed: within the window of the first evaluation, which replays do not move.
 
-    The first evaluation is carried from event to event of a (session, state), so each group is one ordered fold of its times.
+    Events are dealt by session and state and streamed in order; a task carries one time along, however long a session is.
     """
-    order = Window.partitionBy("session", "state").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    times = F.collect_list("at").over(order)
-    anchor = F.aggregate(times, F.lit(None).cast("long"), lambda a, t: F.when(a.isNull() | (t - a >= window_micros), t).otherwise(a))
-    return events.withColumn("replayed", anchor != F.col("at"))
+    columns = events.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, anchor = None, 0
+        for batch in batches:
+            session, state, at = (batch.column(columns.index(c)) for c in ("session", "state", "at"))
+            replayed = []
+            for s, t, x in zip(session.to_pylist(), state.to_pylist(), at.cast(pa.int64()).to_pylist(), strict=True):
+                if (s, t) != group or x - anchor >= window_micros:
+                    group, anchor = (s, t), x
+                replayed.append(x != anchor)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replayed, pa.bool_())], [*columns, "replayed"])
+
+    dealt = events.repartition("session", "state").sortWithinPartitions("session", "state", "at", "event_id")
+    return dealt.mapInArrow(fold, T.StructType([*events.schema.fields, T.StructField("replayed", T.BooleanType())]))
 
 
 def cached(events: DataFrame, ttl_micros: int) -> DataFrame:

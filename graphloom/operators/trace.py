@@ -42,6 +42,26 @@ def _steps(calls: DataFrame, symbols: DataFrame, level: DataFrame, way: str) ->
     return met.groupBy("id").agg(F.min("k").alias("k"))
 
 
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place, gapless from 0 in an order: rows are sorted by ranges, each range counts on from those before it.
+
+    Within a range its number, the partition of a table that is written, is fixed; one row for each range moves.
+    """
+    spark = rows.sparkSession
+    columns = rows.columns
+    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    dealt = rows.select("*", *keys).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *[f"_o{i}" for i in range(len(order))])
+    held = _cut(dealt.withColumn("_range", F.spark_partition_id()))
+    here = Window.partitionBy("_range").orderBy(*[f"_o{i}" for i in range(len(order))])
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()  # as many as there are shuffle partitions
+    before, starts = 0, []
+    for r in sorted(sizes):
+        starts.append((r[0], before))
+        before += r[1]
+    first = spark.createDataFrame(starts, "_range int, _before long")
+    return held.withColumn("_n", F.row_number().over(here)).join(F.broadcast(first), "_range").select(*columns, (F.col("_n") - 1 + F.col("_before")).alias("place"))
+
+
 def trace(calls: DataFrame, symbol_rows: DataFrame, query: str, direction: str = "both", depth: int = 3) -> DataFrame:
     """(id, qualified, depth, direction, via): the symbols reached from the first one that the query finds.
 
@@ -59,9 +79,7 @@ def trace(calls: DataFrame, symbol_rows: DataFrame, query: str, direction: str =
         ways = [_steps(calls, symbol_rows, level.where(F.col("direction").isin("both", w)), w) for w in ("inbound", "outbound") if direction in ("both", w)]
         met = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1]).groupBy("id").agg(F.min("k").alias("k"))
         new = met.join(reached, "id", "left_anti").join(at, "id")
-        # places within a level: one row for each symbol newly reached
-        order = Window.orderBy("k.seq", "k.way", "path", "start_line", "id")
-        new = new.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+        new = _placed(new, ["k.seq", "k.way", "path", "start_line", "id"])
         new = _cut(new.select("id", "name", "container", "qualified", F.lit(step).cast("long").alias("depth"), F.col("k.way").alias("direction"), F.col("k.via").alias("via"), F.col("place").alias("seq")))
         found = new if found is None else found.unionByName(new)
         level = new.select("id", "name", "container", F.col("qualified").alias("via"), "direction", "seq")

