@@ -10,12 +10,13 @@ is one projection of built-in functions: no shuffle and no Python.
 Defined results: a null or empty text has no words, fails the base rules and is
 rejected; a null doc_id is carried along; repeated rows are judged one by one;
 other columns pass through ``clean`` unless their name is one of OUTPUT, which
-is then replaced (so are _lines, _good and _repeats); an empty table gives an
+then replaced (so are _lines, _good, _bars and _repeats); an empty table gives an
 empty result. Ties do not arise.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -45,6 +46,10 @@ BOILERPLATE = (
 ENDS = ".!?…:;,\"'”’»)]。！？"
 
 
+#: A word of one to three of these parts the entries of a bar.
+SEPARATORS = "|/\\•·›»~–—*+=<>-"
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the rules; shares are of the words of a line or of a text."""
@@ -71,21 +76,21 @@ class LineRules:
     max_lost_share: float = 0.5
 
 
-def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, rules: LineRules) -> Column:
+def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, bars: Column, rules: LineRules) -> Column:
     """Whether a line of n words fails a punctuation, navigation or boilerplate rule.
 
-    symbols and repeats are the whole text's counts: where they are 0 the rules on them need no look at the line.
+    symbols, repeats and bars (characters of SEPARATORS) are the whole text's counts: where they are 0 the rules on them need no look at the line.
     """
     symbol_words = F.regexp_count(line, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*"))
     marked = line.contains("!!") | line.contains("??") | line.contains("!?")
     doubled = F.regexp_count(line, F.lit(r"(?:!!|\?\?|!\?)(?=[\x20\x09-\x0D]|$)"))
     run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d,}" % (rules.max_run - 1)
-    separators = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])[|/\\•·›»~–—*+=<>-]{1,3}(?=[\x20\x09-\x0D]|$)"))
+    separators = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])[" + re.escape(SEPARATORS) + r"]{1,3}(?=[\x20\x09-\x0D]|$)"))
     phrases = r"^[^\p{L}\p{N}©(]{0,3}(?:(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])|(?:copyright\s+)?(?:©|\(c\))|copyright\s+\d{4})"
     return (
         ((symbols > 0) & (symbol_words > rules.max_symbol_share * n))
         | (marked & (doubled > rules.max_doubled_share * n))
-        | (separators > rules.max_separator_share * n)
+        | ((bars > 0) & (separators > rules.max_separator_share * n))
         | ((n >= rules.min_shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
         | ((repeats > 0) & (F.length(F.regexp_replace(line, run, "")) < (1 - rules.max_run_share) * F.length(line)))
         | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 80)).rlike(phrases))
@@ -135,6 +140,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     base = docs.drop(*OUTPUT).withColumns(
         {
             "_repeats": let(words_of(value), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))),
+            "_bars": F.length(value) - F.length(F.regexp_replace(value, "[" + re.escape(SEPARATORS) + "]+", "")),
             "_lines": F.filter(F.transform(F.split(value, "\n", -1), line), lambda x: x["n"] > 0),
             "n_symbols": (F.length(value) - F.length(F.regexp_replace(value, r"[#*$%&|<>]+", ""))).cast("long"),
         }
@@ -146,7 +152,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
             "word_chars": chars(F.col("_lines")),
             "n_dup_lines": let(F.transform("_lines", lambda x: x["line"]), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
             "n_repeat_words": F.col("_repeats.r"),
-            "_good": F.filter("_lines", lambda x, i: ~line_fails(x["line"], x["n"], F.col("n_symbols"), F.col("_repeats.r"), rules) & ~in_menu(F.col("_lines"), i, rules)),
+            "_good": F.filter("_lines", lambda x, i: ~line_fails(x["line"], x["n"], F.col("n_symbols"), F.col("_repeats.r"), F.col("_bars"), rules) & ~in_menu(F.col("_lines"), i, rules)),
         }
     ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     return judged.withColumns(
@@ -154,7 +160,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
             "lost_share": F.when(F.col("word_chars") == 0, F.lit(0.0)).otherwise(1.0 - chars(F.col("_good")) / F.col("word_chars")),
             "clean_text": F.array_join(F.transform("_good", lambda x: x["line"]), "\n"),
         }
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share)).drop("_lines", "_good", "_repeats")
+    ).withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share)).drop("_lines", "_good", "_repeats", "_bars")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
