@@ -44,8 +44,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN class c ON c.doc_id = d.doc_id LEFT
     # strings of 50 bytes by their digests, the first document of each, spans of those that go, and what lies between spans
     "op4_suffix_dedup": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT doc_id, 2000 * k AS at, substr(x, 4000 * k + 1, 4098) AS y FROM h, LATERAL (SELECT unnest(range(0, length(x) // 4000 + 1)) AS k)),
-w AS (SELECT doc_id, at + j AS i, md5_number(substr(y, 2 * j + 1, 100)) AS s FROM b, LATERAL (SELECT unnest(range(0, least(2000, greatest(0, length(y) // 2 - 49)))) AS j)),
+b AS (SELECT doc_id, 2000 * k AS since, substr(x, 4000 * k + 1, 4098) AS y FROM h, LATERAL (SELECT unnest(range(0, length(x) // 4000 + 1)) AS k)),
+w AS (SELECT doc_id, since + j AS i, md5_number(substr(y, 2 * j + 1, 100)) AS s FROM b, LATERAL (SELECT unnest(range(0, least(2000, greatest(0, length(y) // 2 - 49)))) AS j)),
 f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT DISTINCT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
 o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM g),
