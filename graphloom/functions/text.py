@@ -62,9 +62,14 @@ def route_segments(route: Column) -> Column:
     return F.split(F.regexp_replace(route, "^/+|/+$", ""), "/")
 
 
+def is_parameter(segment: Column) -> Column:
+    """Whether a route's segment is a parameter such as :id, {id}, <id> or *."""
+    return segment.rlike(r"^(?::.*|\{.*\}|<.*>|\*.*)$")
+
+
 def segments_match(route: Column, url: Column) -> Column:
     """Whether a route's segments are those of a URL: equal but for case, or parameters such as :id, {id}, <id> and *."""
-    fits = F.zip_with(route, url, lambda r, u: r.rlike(r"^(?::.*|\{.*\}|<.*>|\*.*)$") | (F.lower(r) == F.lower(u)))
+    fits = F.zip_with(route, url, lambda r, u: is_parameter(r) | (F.lower(r) == F.lower(u)))
     return (F.size(route) == F.size(url)) & F.forall(fits, lambda x: x)
 
 

@@ -103,18 +103,44 @@ def implementors(extends: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("id", "name").join(extends.withColumnRenamed("symbol_id", "implementor_id"), "name").select("id", "implementor_id")
 
 
+def containing(names: DataFrame, symbols: DataFrame, n: int = 3) -> DataFrame:
+    """(name, id, qualified, path, start_line): symbols (id, qualified, path, start_line) whose qualified name contains a name, but for case.
+
+    They meet by pieces of n letters: a name looks among the symbols that have its rarest piece. Names shorter than n meet
+    symbols by pieces of their own length.
+    """
+
+    def pieces(text, size: int):
+        text = F.lower(text)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+
+    found = None
+    for size in range(1, n + 1):
+        own = names.where(F.length("name") >= size) if size == n else names.where(F.length("name") == size)
+        if size < n and not own.limit(1).count():
+            continue
+        held = symbols.select("id", F.explode(pieces(F.col("qualified"), size)).alias("piece"))
+        counts = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+        rarest = own.select("name", F.explode(pieces(F.col("name"), size)).alias("piece")).join(counts, "piece", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
+        met = rarest.select("name", F.col("p.piece").alias("piece")).join(held, "piece").join(symbols, "id")
+        met = met.where(F.expr("instr(lower(qualified), lower(name)) > 0")).select("name", "id", "qualified", "path", "start_line")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def supertypes(extends: DataFrame, symbol_rows: DataFrame, most: int = 8) -> DataFrame:
     """(symbol_id, id): what a symbol extends: per name the first symbols of it, or else those that contain it."""
     names = extends.select("name").distinct()
     at = symbol_rows.select("id", F.col("name").alias("own"), "qualified", "path", "start_line")
     by_name = names.join(at, F.col("name") == F.col("own"))
     by_qualified = names.join(at, F.col("name") == F.col("qualified"))
-    exact = by_name.unionByName(by_qualified).distinct()
-    rest = names.join(exact.select("name").distinct(), "name", "left_anti")
-    # names that nothing bears exactly; their containment test has no equal key, so the few left are broadcast by Spark if small
-    part = rest.join(at, F.expr("instr(lower(qualified), lower(name)) > 0"))
+    exact = by_name.unionByName(by_qualified).drop("own").distinct()
+    rest = names.where("name <> ''").join(exact.select("name").distinct(), "name", "left_anti")
+    kept = exact
+    if rest.limit(1).count():
+        kept = exact.unionByName(containing(rest, at.drop("own")))
     first = Window.partitionBy("name").orderBy("path", "start_line", "id")
-    kept = exact.unionByName(part).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
+    kept = kept.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most)
     return extends.join(kept.select("name", "id"), "name").select("symbol_id", "id")
 
 
@@ -142,12 +168,17 @@ def unresolved_calls(calls: DataFrame, symbol_rows: DataFrame) -> DataFrame:
 def service_edges(links: DataFrame, routes: DataFrame) -> DataFrame:
     """(symbol_id, method, url, route): each outbound link with the first route that fits its method and segments, null without one.
 
-    Routes and links meet by number of segments. Routes are far fewer than links.
+    Routes and links meet by number of segments and by the first segment of the route that is no parameter.
     """
     link = links.distinct().withColumn("segments", tx.url_segments(F.col("url"))).withColumn("k", F.size("segments"))
     to = routes.select("qualified", "path", "route_method", "route_path", tx.route_segments(F.col("route_path")).alias("own")).withColumn("k", F.size("own"))
+    # a route's first segment that is no parameter, and its place; routes of parameters alone have none
+    at = F.array_position(F.transform("own", lambda r: ~tx.is_parameter(r)), True).cast("int") - 1
+    to = to.withColumn("at", at).withColumn("word", F.when(F.col("at") >= 0, F.lower(F.get("own", F.col("at")))))
     method = F.col("method").isNull() | F.col("route_method").isNull() | (F.lower("method") == F.lower("route_method"))
-    fits = link.join(to, "k").where(method & tx.segments_match(F.col("own"), F.col("segments")))
+    placed = link.select("*", F.posexplode("segments").alias("at", "word")).withColumn("word", F.lower("word")).join(to.where("at >= 0"), ["k", "at", "word"])
+    bare = link.join(to.where("at < 0").drop("at", "word"), "k")
+    fits = placed.select(bare.columns).unionByName(bare).where(method & tx.segments_match(F.col("own"), F.col("segments")))
     first = fits.groupBy("symbol_id", "method", "url").agg(F.min(F.struct("route_path", "path", "qualified")).alias("r"))
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("symbol_id", "method", "url")]
     return links.alias("l").join(first.alias("f"), keys, "left").select("l.symbol_id", "l.method", "l.url", F.col("f.r.qualified").alias("route"))

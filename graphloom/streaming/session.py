@@ -17,7 +17,8 @@ def decisions(events: DataFrame, window_micros: int, max_retries: int = 3, no_pr
     """A decision for each event (event_id, session, at in microseconds, state) of a stream or a table read as one.
 
     Attempts count while the state stays the same. An event replays the first evaluation of its state within the window,
-    and replays do not move the window. A session's state is its last event and one time for each state name.
+    and replays do not move the window. A session's state is its last event and one time for each state name of the last
+    window: older ones decide nothing and go.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,7 +34,8 @@ def decisions(events: DataFrame, window_micros: int, max_retries: int = 3, no_pr
                 anchors[r.state] = int(r.at)
             stalled = attempts - 1
             out.append((r.event_id, key[0], r.state, attempts, stalled, attempts > max(1, max_retries) or stalled >= max(1, no_progress), replayed))
-        kept.update((last, attempts, json.dumps(anchors)))
+        newest = int(rows["at"].max())
+        kept.update((last, attempts, json.dumps({k: v for k, v in anchors.items() if newest - v < window_micros})))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return events.groupBy("session").applyInPandasWithState(step, OUTPUT, "last string, attempts long, anchors string", "append", GroupStateTimeout.NoTimeout)

@@ -1,0 +1,145 @@
+"""Python sources: loops, functions and statements; taint; rules as findings."""
+
+import json
+
+import pytest
+from graphloom.operators import graph, rules, syntax, taint
+from graphloom.sources import python_ast
+from pyspark.sql import functions as F
+
+LOOPS = """
+def c(xs):
+    ys = [db.execute(q) for q in qs.find() if ok(q)]
+    for x in q.fetch():
+        for y in range(3):
+            z(y)
+        for y in x:
+            total.index(y)
+    else:
+        w()
+    try:
+        def inner(a=d()):
+            return load(a)
+    except ValueError:
+        pass
+    r = {k: v for k in a() for v in b(k)}
+    if xs:
+        class Deep:
+            def m(self):
+                self.n()
+app.add_url_rule("/x", "x", c, methods=["POST"])
+"""
+
+
+def sources(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_loops_hold_bodies_and_elements(spark):
+    nodes = python_ast.nodes(sources(spark, LOOPS)).cache()
+    depth = {r["name"]: r.depth for r in nodes.where("kind = 'call'").collect()}
+    assert {k: depth[k] for k in ("db.execute", "ok", "qs.find", "q.fetch", "z", "total.index", "w", "a", "b")} == {"db.execute": 1, "ok": 1, "qs.find": 0, "q.fetch": 0, "z": 2, "total.index": 2, "w": 0, "a": 0, "b": 1}
+    assert rows(syntax.nested_loops(nodes).select("start_line")) == [(7,), (16,)]  # the loop over range(3) has a stated bound
+    assert dict(rows(syntax.complexity(nodes).select("name", "complexity"))) == {"c": 9, "inner": 1, "m": 1}
+    assert nodes.where("post <= pre").count() == 0 and nodes.where("parent_id IS NULL AND kind <> 'function' AND kind <> 'call'").count() == 0
+
+
+def test_facts_at_any_depth(spark):
+    made = python_ast.tables(python_ast.facts(sources(spark, LOOPS)))
+    symbols = {r.qualified: r for r in made["symbols"].collect()}
+    assert {k: (r.kind, r.route_method, r.route_path) for k, r in symbols.items()} == {"c": ("route", "POST", "/x"), "inner": ("function", None, None), "Deep": ("type", None, None), "Deep.m": ("method", None, None)}
+    calls = {(r.symbol_id, r.callee): r.receiver for r in made["calls"].collect()}
+    assert (symbols["inner"].id, "load") in calls and (symbols["c"].id, "load") not in calls and (symbols["c"].id, "d") in calls
+    assert calls[symbols["Deep.m"].id, "n"] == "Deep"
+
+
+TAINT = """
+import sqlite3
+conn = sqlite3.connect("x")
+
+def asked():
+    return input()
+
+def relayed():
+    return asked()
+
+def run(cmd, name):
+    eval(cmd)
+    safe = shlex.quote(cmd)
+    os.system(safe)
+    os.system(name.strip())
+    exec("fixed")
+    value = relayed()
+    db.query(value)
+    parts = []
+    parts.append(request.args)
+    document.innerHTML = parts
+    open(secure_filename(name))
+    open(name)
+    name = "fixed"
+    open(name)
+    compile(settings())
+
+def saves(row):
+    conn.execute(row)
+
+def loop(rows):
+    for r in rows:
+        saves(r)
+        conn.execute(r)
+"""
+
+
+def test_taint_follows_values_and_functions(spark):
+    made = python_ast.statements(sources(spark, TAINT)).cache()
+    got = rows(taint.tainted(made).where("function = 'run'").select("sink", "class", "source", "evidence"))
+    assert got == sorted([
+        ("eval", taint.COMMAND, False, "eval(cmd)"), ("os.system", taint.COMMAND, False, "os.system(name.strip())"), ("db.query", taint.QUERY, True, "db.query(value)"),
+        ("document.innerHTML", taint.HTML, True, "document.innerHTML = parts"), ("open", taint.PATH, False, "open(name)"),
+    ])
+    found = rows(rules.taint_findings(made).where("line < 27").select("rule_id", "line"))
+    assert found == [("SEC-002", 14), ("SEC-002", 25), ("SEC-003", 12), ("SEC-003", 15), ("SEC-003", 18), ("SEC-006", 21), ("SEC-007", 23)]
+    assert rows(taint.sink_classes(python_ast.statements(sources(spark, "def a(x):\n    b(x)\ndef b(x):\n    c(x)\ndef c(x):\n    db.query(x)\n    requests.get(x)\ndef d(x):\n    e(x)")))) == [(0, "a", 6), (0, "b", 6), (0, "c", 6)]
+
+
+def test_calls_in_loops_are_sure_by_origin_or_by_function(spark):
+    held = sources(spark, TAINT)
+    statements = python_ast.statements(held)
+    origin = rules.origins(python_ast.facts(held).select("file_id", F.explode("imports").alias("module")), statements)
+    assert ("conn", taint.QUERY) in rows(origin.select("name", "classes"))
+    found = rules.node_findings(python_ast.nodes(held), origin, taint.sink_classes(statements)).where("rule_id LIKE 'DB%'")
+    assert rows(found.select("rule_id", "line")) == [("DB-001", 34)]
+    known = python_ast.statements(sources(spark, "def saves(x):\n    db.query(x)\ndef f(xs):\n    for x in xs:\n        saves(x)"))
+    nodes = python_ast.nodes(sources(spark, "def saves(x):\n    db.query(x)\ndef f(xs):\n    for x in xs:\n        saves(x)"))
+    assert rows(rules.node_findings(nodes, None, taint.sink_classes(known)).select("rule_id", "line")) == [("DB-001", 5)]
+
+
+def test_findings_are_whole_ordered_once_and_scoped(spark):
+    held = sources(spark, "x = [\n" + "1,\n" * 90 + "]\n", "def broken(:", "try:\n    a()\nexcept E:\n    pass\nhashlib.md5(b)\nr = requests.get(u, verify=False)\nyaml.load(s, Loader=SafeLoader)\npickle.loads(s)\n")
+    paths = spark.createDataFrame([(0, "a.py"), (1, "b.py"), (2, "c.py")], "file_id long, path string")
+    found = rules.node_findings(python_ast.nodes(held))
+    made = rules.deduplicated(rules.as_findings(found.unionByName(found), paths)).cache()
+    assert rows(made.select("rule_id", "path", "line")) == [("ARCH-001", "a.py", 1), ("ERR-001", "c.py", 3), ("PARSE-001", "b.py", 1), ("SEC-004", "c.py", 5), ("SEC-004", "c.py", 6), ("SEC-005", "c.py", 8)]
+    assert made.where("title IS NULL OR recommendation IS NULL OR blocking").count() == 0
+    changed = spark.createDataFrame([("a.py", 50, 51), ("c.py", 5, 5)], "path string, start long, end long")
+    assert rows(rules.in_scope(made, changed).select("rule_id", "line")) == [("ARCH-001", 1), ("SEC-004", 5)]
+    doc = {r.path: json.loads(r.json) for r in rules.sarif_documents(made).collect()}["c.py"]
+    run = doc["runs"][0]
+    assert doc["version"] == "2.1.0" and [r["ruleId"] for r in run["results"]] == ["ERR-001", "SEC-004", "SEC-004", "SEC-005"]
+    assert {r["id"] for r in run["tool"]["driver"]["rules"]} == {"ERR-001", "SEC-004", "SEC-005"} and run["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 3, "endLine": 4}
+
+
+def test_names_that_are_contained(spark):
+    symbols = spark.createDataFrame([(1, "app.UserStore", "a", 1), (2, "app.store", "b", 2), (3, "x", "c", 3)], "id long, qualified string, path string, start_line long")
+    names = spark.createDataFrame([("Store",), ("x",), ("pp",), ("nothing",), ("app.UserStoreLonger",)], "name string")
+    assert rows(graph.containing(names, symbols).select("name", "id")) == [("Store", 1), ("Store", 2), ("pp", 1), ("pp", 2), ("x", 3)]
+
+
+def test_routes_meet_links_by_their_first_word(spark):
+    routes = spark.createDataFrame([("a", "p", "GET", "/users/:id"), ("b", "p", None, "/:any/:id"), ("c", "p", "POST", "/{org}/users/*"), ("d", "p", "GET", "/")], "qualified string, path string, route_method string, route_path string")
+    links = spark.createDataFrame([(1, "get", "http://h/Users/7"), (2, "post", "/acme/users/3"), (3, "get", "/acme/users/3"), (4, None, "/x/y"), (5, "get", "http://h")], "symbol_id long, method string, url string")
+    assert rows(graph.service_edges(links, routes).select("symbol_id", "route")) == [(1, "b"), (2, "c"), (3, None), (4, "b"), (5, "d")] or pytest.fail(str(rows(graph.service_edges(links, routes))))
