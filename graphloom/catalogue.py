@@ -260,6 +260,73 @@ def risk_levels(g: Graph) -> DataFrame:
     return impact.impact(g, g.changed_lines).groupBy("level").agg(F.count(F.lit(1)).alias("symbols"))
 
 
+@query(
+    "impact_reasons",
+    _IMPACT + "SELECT o.id, o.score, list_filter([CASE WHEN o.callers >= 3 THEN o.callers || ' call sites' END, CASE WHEN s.route_path IS NOT NULL THEN 'handles ' || s.route_path END, CASE WHEN s.exported AND NOT s.is_test THEN 'exported' END, "
+    "CASE WHEN o.tests = 0 AND NOT s.is_test THEN 'no test calls it' END], lambda x: x IS NOT NULL) AS reasons FROM out o JOIN symbol_rows s ON s.id = o.id",
+    "symbol_rows",
+    "calls",
+    "changed_lines",
+)
+def impact_reasons(g: Graph) -> DataFrame:
+    return impact.reasons(impact.impact(g, g.changed_lines), g.symbol_rows)
+
+
+@query(
+    "blast_radius",
+    'WITH hit AS (SELECT s.* FROM symbol_rows s WHERE EXISTS (SELECT 1 FROM changed_lines c WHERE c.path = s.path AND s.start_line <= c."end" AND s.end_line >= c."start")), '
+    "near AS (SELECT b.* FROM symbol_rows b WHERE b.id IN (SELECT c.symbol_id FROM hit h JOIN calls c ON c.callee = h.name AND (c.receiver IS NULL OR c.receiver = h.container))) "
+    "SELECT DISTINCT 'symbol' AS kind, qualified AS name FROM hit UNION ALL SELECT DISTINCT 'caller', qualified FROM near UNION ALL SELECT DISTINCT 'test', path FROM near WHERE is_test "
+    "UNION ALL SELECT DISTINCT 'route', route_path FROM (SELECT route_path FROM hit UNION ALL SELECT route_path FROM near) WHERE route_path IS NOT NULL",
+    "symbol_rows",
+    "calls",
+    "changed_lines",
+)
+def blast_radius(g: Graph) -> DataFrame:
+    return impact.blast_radius(g, g.changed_lines)
+
+
+@query(
+    "ranked_callees",
+    "WITH n AS (SELECT s.kind, c.callee, count(*) AS uses FROM calls c JOIN symbols s ON s.id = c.symbol_id GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY uses DESC, callee) AS place, count(*) OVER (PARTITION BY kind) > 20 AS truncated FROM n) WHERE place <= 20",
+    "symbols",
+    "calls",
+)
+def ranked_callees(g: Graph) -> DataFrame:
+    """The functions that symbols of each kind call most, and whether there are more."""
+    held = g.calls.join(g.symbols.select(F.col("id").alias("symbol_id"), "kind"), "symbol_id").groupBy("kind", "callee").agg(F.count(F.lit(1)).alias("uses"))
+    return impact.ranked(held, "kind", "uses", "callee").withColumn("place", F.col("place").cast("long"))
+
+
+@query("card_details", "SELECT id, qualified, kind, path FROM symbol_rows", "symbol_rows")
+def card_details(g: Graph) -> DataFrame:
+    return impact.card_details(impact.cards(g), "metadata")
+
+
+@query("depends_on_pattern", "SELECT a.path AS a_path, b.path AS b_path FROM files a JOIN imports i ON i.file_id = a.id JOIN files b ON b.stem = i.stem AND b.id <> a.id WHERE lower(b.path) LIKE '%1'", "files", "imports")
+def depends_on_pattern(g: Graph) -> DataFrame:
+    return graph.match_edges(g, "File", "DEPENDS_ON", "File", ({}, {"path": "*1"}), ("a.path", "b.path"))
+
+
+@query(
+    "selected_files",
+    "SELECT path, size, language FROM (SELECT lower(s_name) || CASE s_suppkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.png' ELSE '/node_modules/a.js' END AS path, CAST(floor(s_acctbal * 200) AS BIGINT) AS size, CASE s_suppkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' END AS language FROM supplier) WHERE size <= 1000000 AND language IS NOT NULL",
+)
+def selected_files(g: Graph) -> DataFrame:
+    """Suppliers as a listing of files of four endings."""
+    end = F.element_at(F.array(F.lit(".py"), F.lit(".rs"), F.lit(".png"), F.lit("/node_modules/a.js")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    listing = g.table("supplier").select(F.concat(F.lower("s_name"), end).alias("path"), F.floor(F.col("s_acctbal") * 200).cast("long").alias("size"))
+    return index.selected(listing)
+
+
+@query("index_status", "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT max(size) FROM files) AS last_indexed, (SELECT count(*) FROM files WHERE is_test) AS stale, (SELECT count(*) FROM files WHERE is_test) = 0 AS fresh", "files", "symbols")
+def index_status(g: Graph) -> DataFrame:
+    """Files against a listing in which those of tests have changed; their sizes stand for times."""
+    now = g.files.select("path", F.lit(1).cast("long").alias("mtime"), "size", F.when(F.col("is_test"), F.lit("new")).otherwise(F.lit("old")).alias("content_hash"))
+    before = g.files.select("path", F.lit(0).cast("long").alias("mtime"), "size", F.lit("old").alias("content_hash"))
+    return index.status(g.files.withColumn("last_indexed", F.col("size")), g.symbols, index.classify(now, before))
+
+
 @query("affected_files", "WITH c AS (SELECT path FROM files WHERE size < 0) SELECT DISTINCT a.path FROM files a JOIN imports i ON i.file_id = a.id JOIN files b ON b.stem = i.stem AND b.id <> a.id WHERE b.path IN (SELECT path FROM c) AND a.path NOT IN (SELECT path FROM c)", "files", "imports")
 def affected_files(g: Graph) -> DataFrame:
     """Files that import a changed one; of all files, those with a debt count as changed."""

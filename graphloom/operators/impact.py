@@ -59,6 +59,50 @@ def impact(graph, changed: DataFrame) -> DataFrame:
     return held.select("id", "qualified", "path", "callers", "caller_files", "tests", score.cast("long").alias("score"), level.alias("level"))
 
 
+def reasons(impacts: DataFrame, symbol_rows: DataFrame) -> DataFrame:
+    """(id, score, reasons): why a changed symbol is a risk, in the order of the score's parts."""
+    own = symbol_rows.select("id", "route_path", "exported", "is_test")
+    held = impacts.join(own, "id")
+    parts = F.array(
+        F.when(F.col("callers") >= 3, F.format_string("%d call sites", "callers")),
+        F.when(F.col("route_path").isNotNull(), F.concat(F.lit("handles "), "route_path")),
+        F.when(F.col("exported") & ~F.col("is_test"), F.lit("exported")),
+        F.when((F.col("tests") == 0) & ~F.col("is_test"), F.lit("no test calls it")),
+    )
+    return held.select("id", "score", F.array_compact(parts).alias("reasons"))
+
+
+def blast_radius(graph, changed: DataFrame) -> DataFrame:
+    """(kind, name): changed symbols, their callers, the test files among the callers' files, and routes of changed symbols or callers."""
+    hit = touching(graph.symbol_rows, changed)
+    own = hit.select("id", "name", "container")
+    sites = g.callers(graph.calls, own).select(F.col("caller_id").alias("id")).distinct()
+    callers = graph.symbol_rows.join(sites, "id", "left_semi")
+    both = hit.select("qualified", "route_path").unionByName(callers.select("qualified", "route_path"))
+    of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col(rows.columns[0]).alias("name")).distinct()
+    made = of("symbol", hit.select("qualified")).unionByName(of("caller", callers.select("qualified")))
+    return made.unionByName(of("test", callers.where("is_test").select("path"))).unionByName(of("route", both.where("route_path IS NOT NULL").select("route_path")))
+
+
+def ranked(counts: DataFrame, group: str, count: str, name: str, most: int = 20) -> DataFrame:
+    """counts with place, from 1 within each group by count and then name: the first so many, and truncated where a group has more."""
+    order = Window.partitionBy(group).orderBy(F.col(count).desc(), name)
+    held = counts.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(group)) > most)
+    return held.where(F.col("place") <= most)
+
+
+#: What a card shows at each level of detail; a level has what those before it have.
+DETAILS = {"metadata": ("id", "qualified", "kind", "path"), "structure": ("start_line", "end_line", "fan_in", "fan_out", "callees"), "signature": ("signature",)}
+
+
+def card_details(cards: DataFrame, detail: str) -> DataFrame:
+    """The columns of cards() up to a level of detail."""
+    names = list(DETAILS)
+    if detail not in names:
+        raise ValueError(f"no such detail: {detail}; there are {', '.join(names)}")
+    return cards.select(*[c for n in names[: names.index(detail) + 1] for c in DETAILS[n]])
+
+
 def impact_summary(impacts: DataFrame) -> DataFrame:
     """One row: symbols, untested symbols, call sites, changed files, highest level."""
     return impacts.agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import files as fx
+
 
 def classify(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
     """(path, content_hash, action) for a listing (path, mtime, size, content_hash) against a snapshot of the same columns.
@@ -22,6 +24,31 @@ def classify(listing: DataFrame, snapshot: DataFrame) -> DataFrame:
     return held.select("path", "content_hash", action.alias("action"))
 
 
+def selected(listing: DataFrame, max_bytes: int = 1_000_000, excluded: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """listing (path, size, ...) with language: sources of at most max_bytes, without excluded folders and those a caller names.
+
+    With within, paths or folders, only what they name or hold.
+    """
+    below = lambda names: F.exists(F.array(*[F.lit(n.rstrip("/")) for n in names]), lambda n: (F.col("path") == n) | F.col("path").startswith(F.concat(n, F.lit("/"))))
+    held = listing.where(fx.is_source(F.col("path")) & ~fx.is_excluded(F.col("path")) & (F.col("size") <= max_bytes))
+    if excluded:
+        held = held.where(~below(excluded))
+    if within:
+        held = held.where(below(within))
+    return held.withColumn("language", fx.language(F.col("path")))
+
+
+def status(files: DataFrame, symbols: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: files, symbols, the time of the last indexing, files that are stale, and whether the index is fresh.
+
+    files has last_indexed; actions are those of classify().
+    """
+    a = files.agg(F.count(F.lit(1)).alias("files"), F.max("last_indexed").alias("last_indexed"))
+    b = symbols.agg(F.count(F.lit(1)).alias("symbols"))
+    c = actions.agg(F.count_if(F.col("action").isin("parsed", "renamed")).alias("stale"))
+    return a.crossJoin(b).crossJoin(c).withColumn("fresh", F.col("stale") == 0)
+
+
 def removed(listing: DataFrame, snapshot: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """(path) of files of the snapshot, or of a scope of paths, that the listing lacks."""
     owned = snapshot.select("path") if scope is None else snapshot.select("path").join(scope, "path", "left_semi")
@@ -42,10 +69,6 @@ def upserted(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    return table.join(gone.select(key), key, "left_anti")
-
-
 def nested_entries(files: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """One nested document for each file: its imports, and its symbols with the calls in them."""
     c = calls.groupBy(F.col("symbol_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("line", "character", "callee", "receiver"))).alias("calls"))

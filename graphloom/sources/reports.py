@@ -29,19 +29,25 @@ _ENTRY = "rule_id: string, path: string, evidence: string, severity: string, cou
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a baseline document; version 1 has no counts, each entry stands for one. Other versions and counts under one are errors."""
-    doc = spark.read.option("multiLine", True).schema(f"version int, findings array<struct<{_ENTRY}>>").json(path)
-    version = doc.select("version").first()
-    if version is None or version[0] not in (1, 2):
-        raise ValueError(f"unknown baseline version: {version and version[0]}")
+    doc = spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema(f"version int, findings array<struct<{_ENTRY}>>").json(path)
+    versions = [r[0] for r in doc.select("version").distinct().collect()]
+    if len(versions) != 1 or versions[0] not in (1, 2):
+        raise ValueError(f"unknown baseline version: {', '.join(map(str, versions)) or None}")
     rows = doc.select(F.explode("findings").alias("f")).select("f.*")
-    if version[0] == 1:
+    if versions[0] == 1:
         return rows.withColumn("count", F.lit(1).cast("long"))
     return rows.withColumn("count", F.when(F.col("count") >= 1, F.col("count")).otherwise(F.raise_error(F.lit("a baseline count must be 1 or more")).cast("long")))
 
 
-def write_baseline(known: DataFrame, path: str) -> None:
-    """A baseline as JSON lines, in one schema; read it back with spark.read.schema."""
-    known.select("rule_id", "path", "evidence", "severity", "count").write.mode("overwrite").json(path)
+def write_baseline(known: DataFrame, path: str, per_document: int = 10_000) -> None:
+    """A baseline as documents that read_baseline reads, one in each file, of about per_document entries."""
+    parts = max(1, -(-known.count() // per_document))
+    entry = F.struct("rule_id", "path", "evidence", "severity", "count")
+    dealt = known.groupBy(F.pmod(F.xxhash64("rule_id", "path", "evidence"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(entry)).alias("findings"))
+    if known.isEmpty():
+        dealt = known.sparkSession.range(1).select(F.col("id").alias("part"), F.array().cast(f"array<struct<{_ENTRY}>>").alias("findings"))
+    doc = F.to_json(F.struct(F.lit(2).alias("version"), "findings"))
+    dealt.select("part", doc.alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_sarif(found: DataFrame, path: str) -> None:

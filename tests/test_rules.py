@@ -143,3 +143,16 @@ def test_routes_meet_links_by_their_first_word(spark):
     routes = spark.createDataFrame([("a", "p", "GET", "/users/:id"), ("b", "p", None, "/:any/:id"), ("c", "p", "POST", "/{org}/users/*"), ("d", "p", "GET", "/")], "qualified string, path string, route_method string, route_path string")
     links = spark.createDataFrame([(1, "get", "http://h/Users/7"), (2, "post", "/acme/users/3"), (3, "get", "/acme/users/3"), (4, None, "/x/y"), (5, "get", "http://h")], "symbol_id long, method string, url string")
     assert rows(graph.service_edges(links, routes).select("symbol_id", "route")) == [(1, "b"), (2, "c"), (3, None), (4, "b"), (5, "d")] or pytest.fail(str(rows(graph.service_edges(links, routes))))
+
+
+def test_baseline_round_trip(spark, tmp_path):
+    from graphloom.operators import findings
+    from graphloom.sources import reports
+
+    made = spark.createDataFrame([(f"R-{i % 7}", "error", f"p{i % 50}", i, f"e{i % 11}") for i in range(500)], "rule_id string, severity string, path string, line long, evidence string")
+    known = findings.baseline(made)
+    reports.write_baseline(known, f"{tmp_path}/b", per_document=40)
+    back = reports.read_baseline(spark, f"{tmp_path}/b")
+    assert rows(back.select(known.columns)) == rows(known) and findings.beyond_baseline(made, back).count() == 0
+    reports.write_baseline(known.limit(0), f"{tmp_path}/none")
+    assert reports.read_baseline(spark, f"{tmp_path}/none").count() == 0
