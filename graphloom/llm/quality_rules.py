@@ -79,7 +79,7 @@ class LineRules:
 def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, bars: Column, rules: LineRules) -> Column:
     """Whether a line of n words fails a punctuation, navigation or boilerplate rule.
 
-    symbols, repeats and bars (characters of SEPARATORS) are the whole text's counts: where they are 0 the rules on them need no look at the line.
+    symbols and repeats are the whole text's counts, bars says whether it has a character of SEPARATORS: without any, the rules on them need no look at the line.
     """
     symbol_words = F.regexp_count(line, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*"))
     marked = line.contains("!!") | line.contains("??") | line.contains("!?")
@@ -90,7 +90,7 @@ def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, bars:
     return (
         ((symbols > 0) & (symbol_words > rules.max_symbol_share * n))
         | (marked & (doubled > rules.max_doubled_share * n))
-        | ((bars > 0) & (separators > rules.max_separator_share * n))
+        | (bars & (separators > rules.max_separator_share * n))
         | ((n >= rules.min_shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
         | ((repeats > 0) & (F.length(F.regexp_replace(line, run, "")) < (1 - rules.max_run_share) * F.length(line)))
         | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 80)).rlike(phrases))
@@ -108,12 +108,14 @@ def in_menu(lines: Column, i: Column, rules: LineRules) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words stand in a window of three words that is found twice or more (the first included)."""
     last = F.size(words) - 3
-    window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(window(i).alias("w"), i.alias("i")))
+    window = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
 
     def starts(s: Column) -> Column:
-        # in sorted order, equal windows are neighbours
-        same = lambda a, b: F.coalesce(F.get(s, a)["w"] == F.get(s, b)["w"], F.lit(False))
+        # in the order of their hashes, equal windows are neighbours; of equal hashes, words decide
+        def same(a: Column, b: Column) -> Column:
+            x, y = F.get(s, a), F.get(s, b)
+            return F.coalesce((x["h"] == y["h"]) & reduce(and_, [p == q for p, q in zip(window(x["i"]), window(y["i"]), strict=True)]), F.lit(False))
+
         at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
         return F.array_sort(F.transform(at, lambda j: F.get(s, j)["i"]))
 
@@ -122,10 +124,13 @@ def repeated_words(words: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - F.get(p, j), F.lit(3))))
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), lambda a, x: a + x))
 
-    # windows with different hashes differ, so a text without equal hashes has no repeats and needs no sort
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    suspect = let(hashes, lambda h: F.size(h) > F.size(F.array_distinct(h)))
-    return F.when(last < 0, F.lit(0)).when(suspect, let(let(F.array_sort(windows), starts), covered)).otherwise(F.lit(0))
+    def counted(h: Column) -> Column:
+        # windows with different hashes differ, so a text without equal hashes has no repeats and needs no sort
+        numbered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(h) > F.size(F.array_distinct(h)), let(let(numbered, starts), covered)).otherwise(F.lit(0))
+
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*window(i)))
+    return F.when(last < 0, F.lit(0)).otherwise(let(hashes, counted))
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
@@ -140,7 +145,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
     base = docs.drop(*OUTPUT).withColumns(
         {
             "_repeats": let(words_of(value), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))),
-            "_bars": F.length(value) - F.length(F.regexp_replace(value, "[" + re.escape(SEPARATORS) + "]+", "")),
+            "_bars": reduce(or_, [value.contains(mark) for mark in SEPARATORS]),
             "_lines": F.filter(F.transform(F.split(value, "\n", -1), line), lambda x: x["n"] > 0),
             "n_symbols": (F.length(value) - F.length(F.regexp_replace(value, r"[#*$%&|<>]+", ""))).cast("long"),
         }
