@@ -21,4 +21,3 @@ SERVICE_LINKS = _table(symbol_id=_L, method=_S, url=_S)
 FINDINGS = _table(rule_id=_S, title=_S, severity=_S, confidence=_S, blocking=_B, path=_S, line=_L, end_line=_L, evidence=_S, recommendation=_S)
 CHANGED_LINES = _table(path=_S, start=_L, end=_L)
 BASELINE = _table(rule_id=_S, severity=_S, path=_S, evidence=_S, count=_L)
-AST_NODES = _table(file_id=_L, node_id=_L, parent_id=_L, kind=_S, pre=_L, post=_L, start_line=_L, end_line=_L, text=_S)
