@@ -2,8 +2,8 @@
 
 Every element subtree of a page is hashed; Spark counts in how many different main
 texts of a host a hash stands, so copies of a page count once. Subtrees that recur
-in few_pages of them and in a small share of the host's, or in many_pages, are deleted
-wherever they stand on the host, unless they are prose: articles quote and copy each
+in few_pages of them and in a small share of the host's are deleted wherever they
+stand on the host, unless they are prose: articles quote and copy each
 other. Prose goes as well if it recurs in a large share. What recurrence can't tell,
 as on hosts of few pages, is left to kinds and names of elements and to blocks that
 are mostly links.
@@ -17,10 +17,9 @@ and table cells, text alone beside these, and blocks whose text is mostly in the
 outside of links. Inside an article (or main) element it is never a template, however
 many pages quote it.
 
-A host has at most nodes-per-page / few_share templates by share, so its row of the
-template table is bounded; the table is broadcast if it holds few hashes and joined
-by a shuffle with hot hosts apart if it doesn't. Templates by many_pages alone are at
-most one in many_pages of all subtrees, and are sent to the tasks once.
+A host has at most nodes-per-page / few_share templates, so its row of the template
+table is bounded. All are sent to the tasks at once if they are few; if not, pages are
+joined with them by a shuffle, with hot hosts apart.
 
 Defined results: a null or empty page has an empty text; a null or unreadable
 url is a host of its own; repeated pages count once; broken markup
@@ -322,8 +321,8 @@ def with_host(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.nullif(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), F.lit("")))
 
 
-def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5, few_share: float = 0.005, few_pages: int = 3, many_pages: int = 1000) -> DataFrame:
-    """(host, pages, everywhere, hashes, more): the subtrees that stand in min_share of a host's main texts, and in min_pages at least; in few_share and few_pages; in many_pages alone."""
+def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_pages: int = 5, few_share: float = 0.001, few_pages: int = 3) -> DataFrame:
+    """(host, pages, everywhere, hashes): the subtrees that stand in min_share of a host's main texts, and in min_pages at least; in few_share and few_pages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,9 +344,8 @@ def templates(pages: DataFrame, html: str = "html", min_share: float = 0.2, min_
     counts = written(counts.where((F.col("bodies") >= few_pages) | F.col("hash").isNull()), "html-subtrees")
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"), F.col("bodies").alias("_of"))
     most = (F.col("bodies") >= min_share * F.col("_of")) & (F.col("bodies") >= min_pages)
-    some = F.col("bodies") >= few_share * F.col("_of")
-    often = counts.where("hash is not null").join(hosts, "host").where((some | (F.col("bodies") >= many_pages)) & (F.col("bodies") > 1))
-    lists = [F.collect_list(F.when(c, F.col("hash"))).alias(name) for c, name in ((most, "everywhere"), (some, "hashes"), (~some, "more"))]
+    often = counts.where("hash is not null").join(hosts, "host").where((F.col("bodies") >= few_share * F.col("_of")) & (F.col("bodies") > 1))
+    lists = [F.collect_list(F.when(most, F.col("hash"))).alias("everywhere"), F.collect_list("hash").alias("hashes")]
     return often.groupBy("host").agg(F.any_value("pages").alias("pages"), *lists)
 
 
@@ -358,18 +356,18 @@ def extract(
     html: str = "html",
     min_share: float = 0.2,
     min_pages: int = 5,
-    few_share: float = 0.005,
+    few_share: float = 0.001,
     few_pages: int = 3,
-    many_pages: int = 1000,
     broadcast_hashes: int = 1_000_000,
 ) -> DataFrame:
     """(key, url, text): the main text of each page."""
     rows = with_host(pages.select(key, F.col(url).alias("url"), F.col(html).alias("html")))
-    found = written(templates(rows, "html", min_share, min_pages, few_share, few_pages, many_pages), "html-templates")
-    more = pages.sparkSession.sparkContext.broadcast({r.host: r.more for r in found.where(F.size("more") > 0).select("host", "more").collect()})
-    known = F.struct("everywhere", "hashes").alias("known")
+    found = written(templates(rows, "html", min_share, min_pages, few_share, few_pages), "html-templates")
+    known = F.struct("hashes", "everywhere").alias("known")
+    sent = pages.sparkSession.sparkContext.broadcast({})
     if (found.agg(F.sum(F.size("hashes") + F.size("everywhere") + F.lit(8))).first()[0] or 0) <= broadcast_hashes:
-        joined = rows.join(F.broadcast(found.select("host", known)), "host", "left")
+        sent = pages.sparkSession.sparkContext.broadcast({r.host: (frozenset(r.hashes), frozenset(r.everywhere)) for r in found.collect()})
+        joined = rows.withColumn("known", F.lit(None).cast("struct<hashes: array<long>, everywhere: array<long>>"))
     else:
         joined = join_hot(rows, found.select("host", "pages", known), "host", "pages", rows.count(), "left")
 
@@ -384,8 +382,8 @@ def extract(
                 hashed(root)
                 if known.is_valid and host not in sets:
                     of = known.as_py()
-                    sets[host] = frozenset(of["hashes"]).union(more.value.get(host, ())), frozenset(of["everywhere"])
-                out.append(main_text(root, *sets.get(host, ())))
+                    sets[host] = frozenset(of["hashes"]), frozenset(of["everywhere"])
+                out.append(main_text(root, *(sets.get(host) or sent.value.get(host, ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [key, "url", "text"])
 
     kind = pages.schema[key].dataType.simpleString()

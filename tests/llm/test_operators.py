@@ -146,7 +146,7 @@ def test_html_template_by_recurrence(spark):
 
 
 def test_html_copies_and_sections(spark):
-    """A page copied on a fifth of its host keeps its text; a template of many pages goes whatever its share."""
+    """A page copied on a fifth of its host keeps its text; a template of a section goes whatever its share."""
     from graphloom.llm.html_extraction import extract
 
     own = "<body><h1>Site</h1><article><div class=body><p>Own words of page {i}, long enough.</p></div></article>{x}</body>"
@@ -157,7 +157,7 @@ def test_html_copies_and_sections(spark):
     pages += [(100 + i, "http://q.example/", quoted.format(i=i)) for i in range(12)]
     section = "<body><div><p>Text of {i}</p></div>{x}</body>"
     pages += [(1000 + i, "http://s.example/", section.format(i=i, x="<div><span>From our section</span></div>" if i < 12 else "")) for i in range(100)]
-    by = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string"), many_pages=10).collect()}
+    by = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert by[3] == "Own words of page 3, long enough."
     assert by[16] == "Words that are copied.\nAnd more of them."
     assert by[25] == "Bare words that are copied."
@@ -196,7 +196,7 @@ def test_html_without_marks(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(?:nav|ul|li|article|h1|footer|div)\b[^>]*>", "<$1div>"))
     text = lambda made, **options: {r.page_id: " ".join(r.text.split()) for r in extract(made, **options).collect()}
-    want, got, off = text(pages), text(bare), text(bare, few_pages=10**9, min_pages=10**9, many_pages=10**9)
+    want, got, off = text(pages), text(bare), text(bare, few_pages=10**9, min_pages=10**9)
     assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
     assert sum(got[k] == want[k] for k in want) > sum(off[k] == want[k] for k in want)
 
