@@ -12,7 +12,8 @@ parts, nor a letter and a mark, so each different word is encoded once.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is
 carried along; repeated rows are packed each; an empty table gives an empty
-result; a text of any length is cut into as many pieces as it needs; other
+result; a text of any length is cut into as many pieces as it
+needs (and once more every _IDS ids); other
 columns are dropped, whatever their names. Ties do not arise.
 """
 
@@ -33,6 +34,8 @@ from graphloom.llm.common import read, written
 
 #: Bytes of text that are tokenised at once: the more, the fewer words are looked up twice.
 _PIECE = 2_000_000
+#: Token ids that one row holds at most.
+_IDS = 1 << 22
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: ASCII marks that the tokenizer always parts from ASCII letters. Left out: the apostrophe, which begins contractions, and < | >, which are in its special tokens.
@@ -41,7 +44,12 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>
 
 
 class WordEncoder:
-    """Token ids of batches of texts, by a table of the words met so far that is emptied when it grows large."""
+    """Token ids of batches of texts, by a table of the words met so far that is emptied when it grows large.
+
+    A word is found by its hash and must be that word by its bytes; texts in which it isn't are encoded without the table.
+    """
+
+    hashes = staticmethod(bytetext.words_hash)
 
     def __init__(self, tokenizer: str, most_words: int = 1_000_000) -> None:
         import os
@@ -56,8 +64,9 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.text, self.since, self.until = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the bytes of each word
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[list[int], list[int]]:
         ids: list[int] = []
         size = []
         for i in range(0, len(words), 5_000):
@@ -65,8 +74,16 @@ class WordEncoder:
                 one = e.ids
                 ids += one
                 size.append(len(one))
+        return ids, size
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        ids, size = self._ids([w.decode("utf-8", "replace") for w in words])
         n = np.array(size, np.int64)
+        long = np.array([len(w) for w in words], np.int64)
         at = np.searchsorted(self.keys, keys)  # both are sorted, so the table is when they are put in
+        since = len(self.text) + np.cumsum(long) - long
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
+        self.since, self.until = np.insert(self.since, at, since), np.insert(self.until, at, since + long)
         self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(n) - n)
         self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, n)
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
@@ -88,21 +105,29 @@ class WordEncoder:
             edge[cuts] = True  # where two texts meet at a cut, a word ends and a word begins there anyway
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
         first = np.searchsorted(starts, offsets)
-        h = bytetext.span_hash(bytetext.prefix_hash(data), starts, ends)
+        h = self.hashes(data, starts, ends)
         different, at, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._forget()
         new = np.flatnonzero(~np.isin(different, self.keys, assume_unique=True))
         if len(new):
-            self._learn(different[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            self._learn(different[new], [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
         row = np.searchsorted(self.keys, different)[which]
+        if not bytetext.same_bytes(data, starts, ends, self.text, self.since[row], self.until[row]).all():
+            return self._plain(raw, starts, ends, first)
         n = self.size[row]
         upto = np.concatenate([[0], np.cumsum(n)])
         out = self.flat[np.repeat(self.begin[row] - upto[:-1], n) + np.arange(upto[-1])]
         return out, np.diff(upto[first])
 
+    def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, without the table: for texts with words that share a hash."""
+        ids, size = self._ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        upto = np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
+        return np.array(ids, np.uint32), np.diff(upto[first])
+
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", most: int = _IDS) -> DataFrame:
     """(part, before, key, ids, n): ids as little-endian 32-bit numbers; before counts the ids before in the same part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,39 +141,47 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
                 own[last] = False
                 out[own] = ids
                 start = np.concatenate([[0], last + 1])
-                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((start * 4).astype(np.int32)), pa.py_buffer(out.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(j - i, part), pa.int32()), pa.array(start[:-1] + before), batch.column(0).slice(i, j - i), packed, pa.array(n + 1)],
-                    ["part", "before", "key", "ids", "n"],
-                )
+                # a row holds so many ids at most: a long document is several rows
+                rows = np.maximum(1, -(-(n + 1) // most))
+                of = np.repeat(np.arange(j - i), rows)
+                since = (np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)) * most
+                edges = np.append(start[of] + since, start[-1])
+                for a in range(0, len(of), len(of) if j - i > 1 else 1):
+                    b = len(of) if j - i > 1 else a + 1
+                    size = ((edges[a : b + 1] - edges[a]) * 4).astype(np.int32)
+                    packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(size), pa.py_buffer(out[edges[a] : edges[b]].astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(b - a, part), pa.int32()), pa.array(start[of[a:b]] + before), batch.column(0).take(pa.array(of[a:b] + i)), packed, pa.array(n[of[a:b]] + 1), pa.array(since[a:b])],
+                        ["part", "before", "key", "ids", "n", "start"],
+                    )
                 before += int(start[-1])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(encode, f"part int, before long, key {kind}, ids binary, n long")
+    return docs.select(key, text).mapInArrow(encode, f"part int, before long, key {kind}, ids binary, n long, start long")
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, key: str = "doc_id", text: str = "text", most: int = _IDS) -> DataFrame:
     """One row for each piece: key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
-    held = written(tokenised(docs, tokenizer, end_id, key, text), "tokens")
-    totals = held.groupBy("part").agg(F.sum("n").alias("total"))
+    held = written(tokenised(docs, tokenizer, end_id, key, text, most), "tokens")
+    totals = held.where("start = 0").groupBy("part").agg(F.sum("n").alias("total"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task of the first pass
     totals = totals.select("part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("shift"))
-    placed = held.join(F.broadcast(totals), "part").select("key", "ids", "n", (F.col("before") + F.col("shift")).alias("place"))
+    placed = held.join(F.broadcast(totals), "part").select("key", "ids", "n", (F.col("before") + F.col("shift")).alias("place"), "start")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
-            column, place = batch.column(0), batch.column(3).to_numpy()
+            column, total, place, since = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i, ids in enumerate(batch.column(1)):
                 view = memoryview(ids.as_buffer())
-                n, at, start = len(view) // 4, int(place[i]), 0
-                while start < n:
-                    offset = (at + start) % size
-                    length = min(size - offset, n - start)
-                    piece = view[4 * start : 4 * (start + length)]
-                    for held_, x in zip(rows, (i, start, length, bytes(piece), zlib.crc32(piece), n, (at + start) // size, offset), strict=True):
+                n, at, done = len(view) // 4, place[i] + since[i], 0
+                while done < n:
+                    offset = (at + done) % size
+                    length = min(size - offset, n - done)
+                    piece = view[4 * done : 4 * (done + length)]
+                    for held_, x in zip(rows, (i, since[i] + done, length, bytes(piece), zlib.crc32(piece), total[i], (at + done) // size, offset), strict=True):
                         held_.append(x)
-                    start += length
+                    done += length
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             made = [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([column.take(made[0]), *made[1:]], [key, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

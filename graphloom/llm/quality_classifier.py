@@ -42,13 +42,13 @@ FAMILIES = 4
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each family: the feature of each n-gram, and the first n-gram of each text and the end."""
     starts, ends, first = bytetext.words(data, offsets)
-    surface = bytetext.span_hash(bytetext.prefix_hash(data), starts, ends)
+    surface = bytetext.words_hash(data, starts, ends)
     shape = _SHAPE[data]
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
     keep[starts] = True
     at = np.concatenate([[0], np.cumsum(keep)])
-    shapes = bytetext.span_hash(bytetext.prefix_hash(shape[keep]), at[starts], at[ends])
+    shapes = bytetext.words_hash(shape[keep], at[starts], at[ends])
     same = np.zeros(len(surface), np.uint64)
     same[:-1] = surface[:-1] == surface[1:]
     inside = np.ones(max(0, len(surface) - 1), bool)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from graphloom.llm import bytetext
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +26,59 @@ def test_words_and_hashes(texts):
     assert len({(w, x) for w, x in zip(names, h.tolist(), strict=True)}) == len(set(names)) == len(set(h.tolist()))
 
 
+def counting(bits):
+    """The word that says of each number whether its bits are odd in number, and the opposite word: polynomials modulo 2 ** 64 can't tell them apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", range(3, 13))
+def test_words_that_count_bits_differ(bits):
+    data, offsets = bytetext.of_arrow(pa.array(counting(bits), pa.string()))
+    starts, ends = offsets[:-1], offsets[1:]
+    assert len(set(bytetext.words_hash(data, starts, ends).tolist())) == 2
+    assert len(set(bytetext.span_hash(bytetext.prefix_hash(data), starts, ends).tolist())) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=60))
+def test_span_hash_is_the_polynomial(raw):
+    base, prime = bytetext._BASE, bytetext._PRIME
+    data = np.frombuffer(raw, np.uint8)
+    prefix = bytetext.prefix_hash(data)
+    assert prefix.tolist() == [sum((c + 1) * pow(base, i, prime) for i, c in enumerate(raw[:k])) % prime for k in range(len(raw) + 1)]
+    twice = np.concatenate([data, data])
+    h = bytetext.span_hash(bytetext.prefix_hash(twice), np.array([0, len(data)]), np.array([len(data), len(twice)]))
+    assert h[0] == h[1]
+
+
+def test_long_runs_and_long_words():
+    data = np.random.default_rng(1).integers(0, 256, bytetext._RUN + 50).astype(np.uint8)
+    data[-40:] = data[:40]
+    h = bytetext.span_hash(bytetext.prefix_hash(data), np.array([0, len(data) - 40]), np.array([40, len(data)]))
+    assert h[0] == h[1]
+    a, b = np.array([0, 0, 5]), np.array([8, 300, 5])
+    assert bytetext.same_bytes(data, a, b, data, a, b).all()
+    other = data.copy()
+    other[[7, 299]] ^= 1
+    assert bytetext.same_bytes(data, a, b, other, a, b).tolist() == [False, False, True]
+    assert bytetext.same_bytes(data, a[:1], b[:1], data, a[:1], b[:1] - 1).tolist() == [False]
+
+
+def test_encoder_tells_words_of_one_hash_apart():
+    from graphloom.llm.packing import WordEncoder
+
+    class Clashing(WordEncoder):
+        hashes = staticmethod(lambda data, starts, ends: (ends - starts).astype(np.uint64))
+
+    texts = ["one two six", "two one ten and", " ".join(counting(10)), " ".join(counting(11))]
+    got, plain = Clashing("word_bpe_49k.json"), WordEncoder("word_bpe_49k.json")
+    for t in texts:
+        one = bytetext.of_arrow(pa.array([t], pa.string()))
+        ids, n = got.encode(*one)
+        assert ids.tolist() == plain.encode(*one)[0].tolist() == plain.tokenizer.encode(t, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(TEXTS)
 def test_encoder_is_the_tokenizer(texts):

@@ -579,6 +579,40 @@ def test_packing_round_trip(spark, docs):
     assert pack(corpus.empty(spark)).count() == 0
 
 
+def test_packing_in_small_rows(spark, docs):
+    from graphloom.llm.packing import pack
+
+    texts = {k: t for k, t in TEXTS if k is not None and k != 1006}
+    some = docs.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != 1006))
+    whole, cut = ({}, {})
+    for into, most in ((whole, 1 << 22), (cut, 700)):
+        for r in pack(some, most=most).collect():
+            into.setdefault(r.doc_id, []).append(r)
+    assert set(whole) == set(cut) == set(texts)
+    for k in texts:
+        one, two = (sorted(x[k], key=lambda r: r.start) for x in (whole, cut))
+        assert b"".join(r.ids for r in one) == b"".join(r.ids for r in two)
+        for rows in (one, two):
+            assert [r.start for r in rows] == [sum(x.length for x in rows[:i]) for i in range(len(rows))] and {r.doc_tokens for r in rows} == {sum(r.length for r in rows)}
+
+
+def test_words_that_count_bits(spark):
+    """Words that polynomials modulo 2 ** 64 can't tell apart are different for the join and for packing."""
+    from graphloom.llm.jaccard_join import near_duplicates
+    from graphloom.llm.packing import pack
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    words = [w for bits in (10, 11) for w in (s := "".join("ab"[i.bit_count() % 2] for i in range(1 << bits)), s.translate(str.maketrans("ab", "ba")))]
+    made = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(made).collect()) == [(i, i) for i in range(4)]
+    got = {}
+    for r in sorted(pack(made).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {i: [*tokenizer.encode(w, add_special_tokens=False).ids, 1] for i, w in enumerate(words)}
+
+
 # --- 10 mixing ----------------------------------------------------------------------------------------------------
 
 
