@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, html_extraction, jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from graphloom.llm import fingerprints, html_extraction, jaccard_join, lexical_search, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
-_WORDS = "list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 #: What SQL can express in whole; the others are tested against brute force, exact round trips or held-out accuracy.
 SQL: dict[str, str] = {
@@ -54,6 +56,18 @@ q AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM p GROUP BY doc_id, span)
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM q),
 m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM k JOIN h USING (doc_id) GROUP BY 1)
 SELECT h.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN m USING (doc_id)
+""",
+    # every document's terms against every item's, in 64-bit integers but for the weights
+    "op11_lexical_search": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: t <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: t <> '')) AS t FROM benchmark),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+c AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM c, s WHERE t IN (SELECT t FROM i) GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM i JOIN c USING (t) JOIN v USING (t) JOIN m USING (r) GROUP BY ALL HAVING score > 0),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x)
+SELECT * FROM k WHERE rank <= 50
 """,
     # the record with the largest id answers for all of one payload of 1000 bytes or more
     "op7_warc": """

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from . import corpus
+from .test_bytetext import counting
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -345,7 +346,7 @@ def test_suffix_dedup_compares_bytes(spark):
     """Two texts of one run each, with one gram, whose runs' hashes have their upper 32 bits in common; runs with equal hashes and other bytes."""
     from graphloom.llm.suffix_dedup import Runs, dedup, leads
 
-    texts = ["vcmvqwmefdnoyjgdpcmcgxomyhdhhbgawwdazjjdutkjcltukc", "ubxvgcldfzeanlaldxihvoinukdhvwnxnydazjjdutkjcltukc"]
+    texts = ["fnzhfpbciqcdsrfrrbfakvlyebntuwgldkkxtenkobamgzqaga", "izsuyqfymnufeasssbadfmmlhuoyfmqumykxtenkobamgzqaga"]
     runs = Runs(np.frombuffer("".join(texts).encode(), np.uint8), np.array([0, 50, 100]), 50, 16)
     assert runs.sample[0] == runs.sample[1] and runs.whole[0] != runs.whole[1] and runs.whole[0] >> np.uint64(32) == runs.whole[1] >> np.uint64(32)
     got = {r.doc_id: r.n_removed for r in dedup(spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[1])], "doc_id long, text string")).collect()}
@@ -604,7 +605,7 @@ def test_words_that_count_bits(spark):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    words = [w for bits in (10, 11) for w in (s := "".join("ab"[i.bit_count() % 2] for i in range(1 << bits)), s.translate(str.maketrans("ab", "ba")))]
+    words = [w for bits in (10, 11) for w in counting(bits)]
     made = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(made).collect()) == [(i, i) for i in range(4)]
     got = {}
