@@ -125,3 +125,23 @@ def numbered(rows: DataFrame, group: str, name: str, label: str) -> DataFrame:
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = held.groupBy("_part", group).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     return held.join(F.broadcast(totals), ["_part", group]).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def bitmap(df: DataFrame, column: str, bits: int):
+    """The values of a long column as a bitmap of 2 ** bits bits, at least 2 ** 15: its size is fixed, whatever df has."""
+    import numpy as np
+
+    slot = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    rows = df.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    for at, held in rows.collect():
+        out[(at - 1) * 4096 : at * 4096] = np.frombuffer(held, np.uint8)
+    return out
+
+
+def bits_set(marks, values, bits: int):
+    """Which 64-bit values a bitmap of 2 ** bits bits has; it may have more than were put in."""
+    import numpy as np
+
+    slot = values & np.uint64((1 << bits) - 1)
+    return (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import fingerprints, html_extraction, jaccard_join, lexical_search, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from graphloom.llm import collocations, fingerprints, html_extraction, jaccard_join, lexical_search, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,6 +57,23 @@ q AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM p GROUP BY doc_id, span)
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM q),
 m AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM k JOIN h USING (doc_id) GROUP BY 1)
 SELECT h.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN m USING (doc_id)
+""",
+    # all n-grams of a piece, cuts of the frequent ones, and phrases that longer ones explain
+    "op13_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_extract_all(piece, '[^\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.k, a, c.w, j, array_to_string(c.w[1:j], ' ') AS x, array_to_string(c.w[j + 1:], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < c.k),
+e AS (SELECT s.lang, s.phrase, s.k, a, j, u.f AS l, v.f AS r, CAST(2000000::HUGEINT * a // (u.f + v.f) AS BIGINT) AS score FROM s JOIN f u ON u.lang = s.lang AND u.phrase = x JOIN f v ON v.lang = s.lang AND v.phrase = y),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, a, array_to_string(w[o:o + m - 1], ' ') AS inner_phrase FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS o) WHERE m < k AND o + m - 1 <= k),
+q AS (SELECT lang, inner_phrase, max(a) AS most FROM i GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN q ON q.lang = b.lang AND q.inner_phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN t USING (lang))
+SELECT * FROM r WHERE rank <= 2000
 """,
     # every document's terms against every item's, in 64-bit integers but for the weights
     "op11_lexical_search": f"""
