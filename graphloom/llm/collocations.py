@@ -45,7 +45,7 @@ from graphloom.llm.common import bitmap, bits_set, partitions_for, read, written
 #: Words of a phrase at most.
 LONGEST = 4
 #: Words that a task counts at once.
-SHARD = 4_000_000
+SHARD = 1_500_000
 #: Bits of the bitmaps of frequent words and pairs.
 BITS = 27
 #: Transitions that are united at once.
@@ -176,7 +176,7 @@ class _Shards:
             if x not in self.languages:
                 self.languages[x] = len(self.languages)
                 self.salts.append(xxhash.xxh3_64_intdigest(x.encode(), self.seed))
-        code = np.array([self.languages[x] for x in names], np.int64)
+        code = np.array([self.languages[x] for x in names], np.int32)
         salts = np.array(self.salts, np.uint64)
         for i, j, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(0)), 2_000_000):
             data = bytetext.LOWER[data]
@@ -398,7 +398,7 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGE
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = dictionary.where(F.col("f") >= least).select("label", "f", F.col("one.lang").alias("lang"), F.col("one.word").alias("word"))
     # ranges: some for each task, more of them the more words there are
-    cut_bits = min(16, max(parts * 4, total // SHARD, 2).bit_length())
+    cut_bits = min(16, max(parts * 4, total // 4_000_000, 2).bit_length())
     share = max(1, total >> cut_bits)
     hot = frequent.where(F.col("f") > share).select("label", "f").collect()  # fewer than 2 ** cut_bits
     hot = sorted((r.label % (1 << 64), min(1 << 15, -(-r.f // share))) for r in hot)

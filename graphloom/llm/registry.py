@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import collocations, fingerprints, html_extraction, jaccard_join, lexical_search, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, warc
+from graphloom.llm import collocations, fingerprints, html_extraction, jaccard_join, lexical_search, mixing, packing, privacy, quality_classifier, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_mixing": mixing.op10_mixing,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_privacy": privacy.op12_privacy,
     "op13_collocations": collocations.op13_collocations,
 }
 
