@@ -45,7 +45,7 @@ from graphloom.llm.common import bitmap, bits_set, partitions_for, read, written
 #: Words of a phrase at most.
 LONGEST = 4
 #: Words that a task counts at once.
-SHARD = 1_500_000
+SHARD = 1_000_000
 #: Bits of the bitmaps of frequent words and pairs.
 BITS = 27
 #: Transitions that are united at once.
@@ -282,7 +282,7 @@ def transducers(docs: DataFrame, seed: int, shard: int, longest: int, marks, bit
             order = np.argsort(key, kind="stable")
             edges = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
             rows = []
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+            for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=False):
                 rows.append((int(key[order[a]]), cut(names, first, parents, labels, weights, order[a:b])))
                 if sum(len(x) for _, x in rows) > 16_000_000:
                     yield batch_of(rows)
@@ -389,14 +389,15 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGE
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit(UND)).alias("lang"))
     seed = 0
     while True:  # until each label of a frequent word is of one word
-        each = words(docs, seed, shard).groupBy("label").agg(F.sum("f").alias("f"), F.min(F.struct("lang", "word")).alias("one"), F.max(F.struct("lang", "word")).alias("other"))
-        dictionary = written(each.select("label", "f", "one", (F.col("one") != F.col("other")).alias("shared")), "phrases-words")
-        if not dictionary.where(F.col("shared") & (F.col("f") >= least)).limit(1).count():
+        each = words(docs, seed, shard).repartition(parts, "label").groupBy("label", "lang", "word").agg(F.sum("f").alias("f"))
+        dictionary = written(each, "phrases-words")
+        shared = dictionary.groupBy("label").agg(F.count(F.lit(1)).alias("words"), F.sum("f").alias("f")).where((F.col("words") > 1) & (F.col("f") >= least))
+        if not shared.limit(1).count():
             break
         seed += 1
-    totals = dictionary.groupBy(F.col("one.lang").alias("lang")).agg(F.sum("f").alias("n"))
+    totals = dictionary.groupBy("lang").agg(F.sum("f").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
-    frequent = dictionary.where(F.col("f") >= least).select("label", "f", F.col("one.lang").alias("lang"), F.col("one.word").alias("word"))
+    frequent = dictionary.where(F.col("f") >= least)
     # ranges: some for each task, more of them the more words there are
     cut_bits = min(16, max(parts * 4, total // 4_000_000, 2).bit_length())
     share = max(1, total >> cut_bits)
