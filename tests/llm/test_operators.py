@@ -190,6 +190,52 @@ def test_html_never_fails():
         assert isinstance(text_of("".join(rng.choice(parts, int(rng.integers(1, 12))))), str)
 
 
+def test_html_long_references():
+    assert text_of("<p>&#" + "5" * 5000 + ";a") == "\ufffda" and text_of("<p>&#" + "0" * 5000 + "65;") == "A" and text_of("&#x" + "f" * 9000 + ";&#x0000000041;") == "\ufffdA"
+    assert text_of("<p title='&#" + "9" * 6000 + "'>&amp;&#65 &lt;b&notin;&#128512;") == "&A <b∉😀"
+
+
+def test_html_takes_linear_time():
+    """Twice the page takes about twice the time, whatever it is made of."""
+    import time
+
+    makers = [
+        lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<a " * n, lambda n: "<div class=share-bar>" * n + "<article>x", lambda n: "<!--" * n, lambda n: "<a href='" * n,
+        lambda n: "<p " * n + ">", lambda n: "&#" * n, lambda n: "<li>" * n, lambda n: "<div>" * n + "<p>a" * n, lambda n: "</p>" * n, lambda n: "<div class='" + "menu " * n + "'>x", lambda n: "<table><tr><td>" * n, lambda n: "<" * n,
+    ]
+    for make in makers:
+        took = []
+        for n in (20_000, 40_000):
+            page, runs = make(n), []
+            for _ in range(2):
+                began = time.process_time()
+                text_of(page)
+                runs.append(time.process_time() - began)
+            took.append(min(runs))
+        assert took[1] < 3.2 * took[0] + 0.2 and took[1] < 10, (make(2), took)
+
+
+def test_html_names_are_judged_whole():
+    page = "<nav>Home</nav><article><h1>T</h1><section id='social-history'><p>How people lived.</p></section><div class='share-bar'>Tweet</div><section class='comment-list'><p>Nice!</p></section></article>"
+    assert text_of(page) == "T\nHow people lived."
+    report = "<body><div class='share-price-report'><h2>Shares</h2><p>They rose by a third in the year.</p></div><div class='cookie-notice'><p>We use cookies</p></div></body>"
+    assert text_of(report) == "Shares\nThey rose by a third in the year."
+    assert text_of("<body><div class='promo'><h2>All</h2><p>The page is in a block of this name.</p></div><div class='promo'><p>Buy</p></div></body>") == "All\nThe page is in a block of this name."
+
+
+def test_html_recurrence_decides_where_kinds_do_not(spark):
+    """On the pages themselves, with nothing but recurrence to go by, templates are what is taken away."""
+    from graphloom.llm.html_extraction import extract
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    text = lambda **options: {r.page_id: (r.text, r.n_templates) for r in extract(pages, **options).collect()}
+    none, some, both = text(kinds=False, few_pages=10**9, min_pages=10**9), text(kinds=False), text()
+    assert not any(n for _, n in none.values()) and sum(n > 0 for _, n in both.values()) > 0.2 * len(both)
+    moved = sum(some[k][0] != none[k][0] for k in none)
+    assert moved > 0
+    assert sum(len(some[k][0]) for k in some) < sum(len(none[k][0]) for k in none)
+
+
 def test_html_without_marks(spark):
     """Where divs stand for the elements that say what they are, nearly all pages have the same text, and recurrence decides some of them."""
     from graphloom.llm.html_extraction import extract
