@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphloom import catalogue_rules
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
-from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, syntax, trace
+from graphloom.operators import evaluation, extraction, findings, graph, impact, index, search, sessions, syntax, trace
+from graphloom.operators.trace import _cut
 from graphloom.sources import python_ast, store
 from graphloom.registering import oracle_sql, queries, query
 from graphloom.sources.adapter import Graph, python_sources
@@ -609,7 +610,7 @@ def swallowed_errors(g: Graph) -> DataFrame:
 
 @query("behavioural_duplicates", "WITH b AS (SELECT l_partkey AS id, string_agg(CASE WHEN l_returnflag = 'R' THEN 'h' WHEN l_returnflag = 'N' THEN 'b' WHEN l_linestatus = 'F' THEN 'n' ELSE 'l' END, '' ORDER BY l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'q' WHEN l_returnflag = 'N' THEN 'p' WHEN l_linestatus = 'F' THEN 'o2' ELSE 'o1' END) AS form FROM lineitem GROUP BY 1), k AS (SELECT id, form, array_to_string(list_sort(list_distinct(list_transform(string_split(form, ''), lambda c: CASE c WHEN 'h' THEN 'load_order' WHEN 'b' THEN 'sort' WHEN 'n' THEN 'index' ELSE 'append' END))), ',') AS calls, len(list_distinct(string_split(form, ''))) AS n FROM b), w AS (SELECT k.*, unnest(['order', 'report']) AS domain FROM k WHERE n >= 3), f AS (SELECT domain, calls, arg_min(form, id) AS form, min(id) AS first_file FROM w GROUP BY 1, 2 HAVING count(DISTINCT form) > 1) SELECT first_file, 'order_report_' || first_file AS first_name, w.id AS file_id, 'order_report_' || w.id AS name, domain FROM w JOIN f USING (domain, calls) WHERE w.form <> f.form")
 def behavioural_duplicates(g: Graph) -> DataFrame:
-    return syntax.behavioural_duplicates(python_ast.functions(python_sources(g)))
+    return syntax.behavioural_duplicates(extraction.functions(_cut(_nodes(g))))
 
 
 _CLOSURE = "WITH RECURSIVE c AS (SELECT DISTINCT s.name AS caller, c.callee FROM calls c JOIN symbols s ON s.id = c.symbol_id), r AS (SELECT 'small ring' AS name UNION SELECT c.caller FROM r JOIN c ON c.callee = r.name) "
@@ -636,12 +637,12 @@ def session_decisions(g: Graph) -> DataFrame:
 
 @query("extracted_symbols", "SELECT l_partkey AS file_id, 'order_report_' || l_partkey AS qualified, 'function' AS kind, 1 AS start_line, 3 + sum(CASE WHEN l_returnflag = 'R' THEN 4 WHEN l_returnflag = 'N' THEN 2 WHEN l_linestatus = 'F' THEN 3 ELSE 2 END) AS end_line, true AS exported FROM lineitem GROUP BY 1")
 def extracted_symbols(g: Graph) -> DataFrame:
-    return python_ast.tables(python_ast.facts(python_sources(g)))["symbols"].select("file_id", "qualified", "kind", "start_line", "end_line", "exported")
+    return extraction.tables(_cut(_nodes(g)))["symbols"].select("file_id", "qualified", "kind", "start_line", "end_line", "exported")
 
 
 @query("extracted_calls", f"SELECT file_id, CASE s WHEN 'handler' THEN 'load_order' WHEN 'branch' THEN 'sort' WHEN 'nested' THEN 'index' ELSE 'append' END AS callee, CASE s WHEN 'handler' THEN NULL WHEN 'branch' THEN 'xs' ELSE 'total' END AS qualifier, count(*) AS n FROM ({_STATEMENTS}) GROUP BY ALL")
 def extracted_calls(g: Graph) -> DataFrame:
-    made = python_ast.tables(python_ast.facts(python_sources(g)))
+    made = extraction.tables(_cut(_nodes(g)))
     held = made["calls"].join(made["symbols"].select(F.col("id").alias("symbol_id"), "file_id"), "symbol_id")
     return held.groupBy("file_id", "callee", "qualifier").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as tx
+from graphloom.operators.intervals import touching
 
 #: Patterns of secrets (fixed values): cloud keys, forge tokens, payment keys, private keys.
 SECRETS = r"(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk_(?:live|prod)_[A-Za-z0-9]{16,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----)"
@@ -71,8 +72,8 @@ def lcov_hits(rows: DataFrame) -> DataFrame:
 def changed_coverage(hits: DataFrame, changed: DataFrame) -> DataFrame:
     """One row (coverable, covered, percent): lines with hits among the changed ones that a report names, whole percent."""
     lines = hits.groupBy("path", "line").agg(F.sum("hits").alias("hits"))
-    c = changed.select("path", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    touched = lines.join(c, (lines["path"] == c["path"]) & lines["line"].between(c["_from"], c["_to"]), "left_semi")
+    spans = changed.select("path", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    touched = touching(lines, spans, ["path"], ("line", "line"), ("_from", "_to"))
     made = touched.agg(F.count(F.lit(1)).alias("coverable"), F.count_if(F.col("hits") > 0).alias("covered"))
     return made.withColumn("percent", F.when(F.col("coverable") > 0, F.floor(100 * F.col("covered") / F.col("coverable")).cast("long")))
 

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import findings, syntax, taint
+from graphloom.functions import files as fx
+from graphloom.operators import extraction, findings, intervals, summaries, syntax, taint
 from graphloom.operators.trace import _cut
+from graphloom.sources import python_ast
 
 #: Complexity above which a function is reported (fixed value).
 MAX_COMPLEXITY = 15
@@ -117,7 +119,7 @@ def complexity_findings(nodes: DataFrame, most: int = MAX_COMPLEXITY) -> DataFra
 
 def taint_findings(statements: DataFrame, sanitizers: tuple[str, ...] = ()) -> DataFrame:
     """FOUND for unchecked values at sinks; where code is run from a value that is none of them, that is reported instead."""
-    reached = taint.tainted(statements, sanitizers)
+    reached = _cut(summaries.Summaries(statements, sanitizers).tainted())
     rule = F.when(F.col("class") == taint.HTML, "SEC-006").when(F.col("class") == taint.PATH, "SEC-007").otherwise("SEC-003")
     bad = reached.select("file_id", rule.alias("rule_id"), "line", "end_line", "evidence")
     run = statements.where("kind = 'call'").where(taint.sink_class(F.col("sink")) == taint.COMMAND).select("file_id", F.lit("SEC-002").alias("rule_id"), "line", "end_line", "evidence")
@@ -148,11 +150,62 @@ def duplicate_findings(functions: DataFrame) -> DataFrame:
     return renamed.unionByName(alike).join(lines, ["file_id", "name"]).select(*FOUND)
 
 
+def line_findings(lines: DataFrame) -> DataFrame:
+    """(path, rule_id, line, end_line, evidence) for secrets, and for blocks of lines that an earlier file has, of lines (path, ln, line)."""
+    end = F.lit(None).cast("long").alias("end_line")
+    secrets = findings.secret_lines(lines).select("path", "rule_id", "line", end, "evidence")
+    pairs = findings.duplicate_pairs(findings.duplicate_blocks(lines))
+    block = F.format_string("block at %s:%d", "first_path", "first_line")
+    return secrets.unionByName(pairs.select("path", F.lit("DRY-001").alias("rule_id"), "line", end, block.alias("evidence")))
+
+
+def coverage_findings(hits: DataFrame | None, changed: DataFrame, least: int = 80, report: str = "coverage") -> DataFrame:
+    """(path, rule_id, line, end_line, evidence): a row if too few of the changed lines that can be covered are, or if there is no report (hits is None).
+
+    Only changes of files that can be covered count: without one, there is no row. Percent are whole, rounded down.
+    """
+    coverable = changed.where(F.coalesce(fx.is_coverable(F.col("path")), F.lit(False)))
+    none = F.lit(None).cast("long")
+    row = [F.lit(report).alias("path"), F.lit("COV-001").alias("rule_id"), none.alias("line"), none.alias("end_line")]
+    if hits is None:
+        return coverable.limit(1).select(*row, F.lit("no coverage report").alias("evidence"))
+    made = findings.changed_coverage(hits, coverable).where((F.col("coverable") > 0) & (F.col("percent") < least))
+    return made.select(*row, F.format_string("%d%% of changed lines, below %d%%", "percent", F.lit(least)).alias("evidence"))
+
+
+def syntax_findings(parsed: DataFrame, sanitizers: tuple[str, ...] = ()) -> DataFrame:
+    """FOUND by all rules on syntax and dataflow, for parsed(): what was parsed is written once and read by each of them."""
+    held = _cut(parsed)
+    nodes, statements = _cut(python_ast.nodes(held)), _cut(python_ast.statements(held))
+    imports = nodes.where("kind = 'import'").select("file_id", F.col("name").alias("module")).distinct()
+    graph = extraction.tables(nodes)
+    made = node_findings(nodes, origins(imports, statements), summaries.sink_classes(statements))
+    for more in (complexity_findings(nodes), taint_findings(statements, sanitizers), route_findings(_cut(graph["symbols"]), graph["calls"]), duplicate_findings(_cut(extraction.functions(nodes)))):
+        made = made.unionByName(more)
+    return made
+
+
+def all_findings(sources: DataFrame, changed: DataFrame | None = None, hits: DataFrame | None = None, sanitizers: tuple[str, ...] = (), mode: str = "standard") -> DataFrame:
+    """FINDINGS of all rules for sources (file_id, path, text), each parsed once; with changed lines, of their coverage as well. One of each rule, path and line."""
+    paths = sources.select("file_id", "path")
+    lines = sources.select("path", F.posexplode(F.split("text", "\n")).alias("_n", "line")).select("path", (F.col("_n") + 1).cast("long").alias("ln"), "line")
+    by_path = line_findings(lines)
+    if changed is not None:
+        by_path = by_path.unionByName(coverage_findings(hits, changed))
+    by_file = syntax_findings(python_ast.parsed(sources), sanitizers).join(paths, "file_id").select("path", "rule_id", "line", "end_line", "evidence")
+    return deduplicated(with_rules(by_file.unionByName(by_path), mode))
+
+
 def as_findings(found: DataFrame, paths: DataFrame, mode: str = "standard") -> DataFrame:
-    """FINDINGS of FOUND, with the paths of files (file_id, path); the table of rules is short."""
+    """FINDINGS of FOUND, with the paths of files (file_id, path)."""
+    return with_rules(found.join(paths.select("file_id", "path"), "file_id"), mode)
+
+
+def with_rules(found: DataFrame, mode: str = "standard") -> DataFrame:
+    """FINDINGS of (path, rule_id, line, end_line, evidence); the table of rules is short."""
     rows = [(k, r.title, r.severity, r.confidence, r.advice) for k, r in RULES.items()]
     rules = found.sparkSession.createDataFrame(rows, "rule_id string, title string, severity string, confidence string, recommendation string")
-    held = found.join(F.broadcast(rules), "rule_id").join(paths.select("file_id", "path"), "file_id")
+    held = found.join(F.broadcast(rules), "rule_id")
     return held.select(
         "rule_id", "title", "severity", "confidence", findings.blocks(F.col("severity"), mode).alias("blocking"), "path", F.col("line").cast("long").alias("line"),
         F.col("end_line").cast("long").alias("end_line"), "evidence", "recommendation",
@@ -167,9 +220,9 @@ def deduplicated(found: DataFrame) -> DataFrame:
 
 def in_scope(found: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings that touch changed lines (path, start, end); one without an end is of its line alone."""
-    c = changed.select(F.col("path").alias("_path"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-    touches = (F.col("path") == F.col("_path")) & (F.col("line") <= F.col("_to")) & (F.coalesce("end_line", "line") >= F.col("_from"))
-    return found.join(c, touches, "left_semi")
+    held = found.withColumn("_end", F.coalesce("end_line", "line"))
+    spans = changed.select("path", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    return intervals.touching(held, spans, ["path"], ("line", "_end"), ("_from", "_to")).select(*found.columns)
 
 
 def sarif_documents(found: DataFrame, tool: str = "graphloom") -> DataFrame:

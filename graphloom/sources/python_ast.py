@@ -1,30 +1,68 @@
-"""Syntax nodes and facts of Python sources, by the standard library's parser inside tasks.
+"""Syntax nodes and statements of Python sources, by the standard library's parser inside tasks.
 
-Other languages enter as a table of nodes of the same schema that a user brings;
-there is no other parser here.
+A task says what stands in one file and nothing more: who calls what, which routes
+and receivers there are and which functions are alike is settled by joins, in
+``operators.extraction`` and ``operators.summaries``. A file that can't be parsed,
+whatever the reason, is one node of kind error and has no statements. Other
+languages enter as tables of the same schemas that a user brings.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NODES = (
     "file_id long, node_id long, parent_id long, kind string, name string, pre long, post long, start_line long, end_line long, size long, text string, "
-    "depth long, function_id long, parent_kind string, bounded boolean, holds_loop boolean"
+    "depth long, function_id long, parent_kind string, bounded boolean, holds_loop boolean, "
+    # calls: what stands before the name, the first argument and the first address if they are stated, named arguments, the first of methods=, the function that it decorates;
+    # assignments: the one name that is given the value of a call; classes: bases; functions: parameters, and their code as tokens, of which names begin with a mark
+    "qualifier string, literal string, url string, named array<string>, verb string, owner_id long, target string, value string, character long, form array<string>"
 )
+_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 #: Kinds of nodes that are kept; what lies between them is left out.
 _KINDS = {
     ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.For: "loop", ast.AsyncFor: "loop", ast.While: "loop", ast.If: "branch",
     ast.IfExp: "branch", ast.BoolOp: "branch", ast.ExceptHandler: "handler", ast.Call: "call", ast.List: "literal", ast.Dict: "literal", ast.Set: "literal", ast.Tuple: "literal", ast.Assign: "assign",
-    ast.Return: "return", ast.match_case: "branch", ast.keyword: "keyword",
+    ast.Return: "return", ast.match_case: "branch", ast.keyword: "keyword", ast.Import: "import", ast.ImportFrom: "import",
 }
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
+#: What marks a name in the form of a function.
+NAME_MARK = "\x01"
+
+
+class _Text:
+    """The source of each node."""
+
+    def __init__(self, text: str) -> None:
+        self.raw = text.encode()
+        self.lines = [0, *(m.end() for m in re.finditer(rb"\r\n|\n|\r", self.raw))]
+
+    def of(self, node: ast.AST) -> str:
+        if getattr(node, "end_lineno", None) is None or not hasattr(node, "col_offset"):
+            return ""
+        a, b = self.lines[node.lineno - 1] + node.col_offset, self.lines[node.end_lineno - 1] + node.end_col_offset
+        return " ".join(self.raw[a:b].decode("utf-8", "replace").split())
+
+    def line(self, number: int) -> str:
+        a = self.lines[number - 1]
+        b = self.lines[number] if number < len(self.lines) else len(self.raw)
+        return self.raw[a:b].decode("utf-8", "replace").strip()
+
+    def dotted(self, node: ast.AST) -> str:
+        """The name of what is called: names with points between, on whatever they begin with."""
+        parts = []
+        while isinstance(node, ast.Attribute):
+            parts.append(node.attr)
+            node = node.value
+        parts.append(node.id if isinstance(node, ast.Name) else self.of(node))
+        return ".".join(reversed(parts))
 
 
 class _Each:
@@ -54,11 +92,11 @@ def _parts(node) -> tuple[list, list, list]:
     return [], list(ast.iter_child_nodes(node)), []
 
 
-def _name(node) -> str:
+def _name(node, text: _Text) -> str:
     if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
         return node.name
     if isinstance(node, ast.Call):
-        return ast.unparse(node.func)
+        return text.dotted(node.func)
     if isinstance(node, ast.keyword):
         return node.arg or ""
     if isinstance(node, ast.ExceptHandler):
@@ -67,23 +105,84 @@ def _name(node) -> str:
     return ""
 
 
+def _stated(node) -> str | None:
+    return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
+
+
+def _details(node, text: _Text) -> dict:
+    """The columns that only some kinds have."""
+    if isinstance(node, ast.Call):
+        given = [*node.args[1:], *(k.value for k in node.keywords if k.arg in ("view_func", "handler", "endpoint"))]
+        methods = [e for k in node.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple, ast.Set)) for e in k.value.elts]
+        urls = [u for u in map(_stated, node.args) if u and ("://" in u or u.startswith("/"))]
+        return {
+            "qualifier": text.dotted(node.func.value) if isinstance(node.func, ast.Attribute) else None, "literal": _stated(node.args[0]) if node.args else None, "url": urls[0] if urls else None,
+            "named": [text.dotted(x) for x in given if isinstance(x, (ast.Name, ast.Attribute))], "verb": next((v for v in map(_stated, methods) if v), None),
+        }
+    if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+        return {"target": node.targets[0].id, "value": text.dotted(node.value.func) if isinstance(node.value, ast.Call) else None}
+    if isinstance(node, ast.ClassDef):
+        return {"named": [text.dotted(b) for b in node.bases]}
+    if isinstance(node, _FUNCTIONS):
+        return {"named": _parameters(node), "form": _form(node)}
+    return {}
+
+
+def _parameters(f) -> list[str]:
+    a = f.args
+    return [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))]
+
+
+def _form(f) -> list[str]:
+    """A function's parameters and body as tokens in order: kinds of nodes, numbers of children, literals, and names with a mark."""
+    out: list[str] = []
+    stack: list = [*reversed(f.body), f.args]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, ast.Name):
+            out.append(NAME_MARK + x.id)
+        elif isinstance(x, ast.arg):
+            out.append(NAME_MARK + x.arg)
+        elif isinstance(x, ast.AST):
+            out.append(type(x).__name__)
+            stack.extend(v for k, v in reversed(list(ast.iter_fields(x))) if k not in ("ctx", "type_comment", "kind"))
+        elif isinstance(x, list):
+            out.append(f"[{len(x)}")
+            stack.extend(reversed(x))
+        else:
+            out.append(repr(x))
+    return out
+
+
 def _bounded(node) -> bool:
     """Whether a loop runs over a range of stated numbers."""
     over = getattr(node, "iter", None)
     return isinstance(over, ast.Call) and isinstance(over.func, ast.Name) and over.func.id == "range" and bool(over.args) and all(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in over.args)
 
 
-def node_rows(file_id: int, text: str) -> list[tuple]:
-    """Nodes of one source in the order of entering; a source that cannot be parsed is one node of kind error.
+def _error(file_id: int, e: BaseException) -> dict:
+    line = getattr(e, "lineno", None) or 1
+    plain = {"file_id": file_id, "node_id": 0, "kind": "error", "name": type(e).__name__, "pre": 0, "post": 1, "start_line": line, "end_line": line, "size": 0, "text": "", "depth": 0}
+    return plain | {"bounded": False, "holds_loop": False}
+
+
+def read(file_id: int, source: str) -> tuple[list[dict], list[dict]]:
+    """(nodes, statements) of one source; one that can't be read for any reason is one node of kind error."""
+    try:
+        tree, text = ast.parse(source), _Text(source)
+        return node_rows(file_id, tree, text), statement_rows(file_id, tree, text)
+    except (Exception, RecursionError, MemoryError) as e:  # whatever one file does, the others are read
+        return [_error(file_id, e)], []
+
+
+def node_rows(file_id: int, tree: ast.Module, text: _Text) -> list[dict]:
+    """Nodes of one source in the order of entering.
 
     depth is how many loops hold a node, function_id its innermost function, parent_kind the kind of the node that holds it.
     """
-    try:
-        tree = ast.parse(text)
-    except _BROKEN as e:
-        line = getattr(e, "lineno", None) or 1
-        return [(file_id, 0, None, "error", type(e).__name__, 0, 1, line, line, 0, "", 0, None, None, False, False)]
     rows: list[list] = []
+    details: dict[int, dict] = {}
+    placed: dict[int, int] = {}
     clock, last_loop = 0, -1
     # (node, its holder, loops around it, innermost function), or (None, the node that ends)
     stack: list[tuple] = [(tree, None, 0, None)]
@@ -99,9 +198,16 @@ def node_rows(file_id: int, text: str) -> list[tuple]:
             at = len(rows)
             start = getattr(node, "lineno", None) or (rows[parent][7] if parent is not None else 1)
             end = getattr(node, "end_lineno", None) or start
-            code = ast.unparse(node) if kind in ("call", "assign", "return", "keyword") else ""
+            code = text.of(node) if kind in ("call", "assign", "return", "keyword") else text.line(start)[:200] if kind in ("function", "class") else ""
             over = rows[parent][3] if parent is not None else None
-            rows.append([file_id, at, parent, kind, _name(node), clock, 0, start, end, len(within), code, depth, function, over, kind == "loop" and _bounded(node), False])
+            rows.append([file_id, at, parent, kind, _name(node, text), clock, 0, start, end, len(within), code, depth, function, over, kind == "loop" and _bounded(node), False])
+            details[at] = _details(node, text) | {"character": getattr(node, "col_offset", None)}
+            if isinstance(node, ast.Call):
+                placed[id(node)] = at
+            elif kind == "function":
+                for d in node.decorator_list:
+                    if id(d) in placed:
+                        details[placed[id(d)]]["owner_id"] = at
             clock += 1
             if kind == "loop":
                 last_loop, depth = at, depth + 1
@@ -112,97 +218,17 @@ def node_rows(file_id: int, text: str) -> list[tuple]:
             continue
         before, within, after = _parts(node)
         stack.extend((child, parent, depth, function) for child in reversed(after))
-        if isinstance(node, _Each) or type(node) in _KINDS:
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            names = [node.module] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names]
+            for name in filter(None, names):
+                rows.append([file_id, len(rows), parent, "import", name, clock, clock + 1, node.lineno, node.end_lineno, 0, "", depth, function, rows[parent][3] if parent is not None else None, False, False])
+                clock += 2
+        elif isinstance(node, _Each) or type(node) in _KINDS:
             stack.append(((node, within), parent, depth, function))
         else:
             stack.extend((child, parent, depth, function) for child in reversed(within))
         stack.extend((child, parent, depth, function) for child in reversed(before))
-    return [tuple(r) for r in rows]
-
-
-def nodes(sources: DataFrame) -> DataFrame:
-    """Nodes of all sources (file_id, text)."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODES.split(", ")]
-        for batch in batches:
-            made = [r for file_id, text in zip(batch["file_id"], batch["text"], strict=True) for r in node_rows(int(file_id), text or "")]
-            frame = pd.DataFrame(made, columns=columns)
-            for c in ("parent_id", "function_id"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
-
-    return sources.select("file_id", "text").mapInPandas(parse, NODES)
-
-
-class _Canonical(ast.NodeTransformer):
-    """Names are numbered by their first use, so that renamed functions have one form; literals stay."""
-
-    def __init__(self) -> None:
-        self.names: dict[str, str] = {}
-
-    def _of(self, name: str) -> str:
-        return self.names.setdefault(name, f"v{len(self.names)}")
-
-    def visit_Name(self, node: ast.Name) -> ast.AST:
-        return ast.Name(self._of(node.id), node.ctx)
-
-    def visit_arg(self, node: ast.arg) -> ast.AST:
-        return ast.arg(self._of(node.arg), None)
-
-
-FUNCTIONS = "file_id long, name string, start_line long, end_line long, canonical string, original string, calls array<string>"
-
-
-def functions(sources: DataFrame) -> DataFrame:
-    """Functions of all sources with their canonical and original form and the functions they call."""
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file_id, text in zip(batch["file_id"], batch["text"], strict=True):
-                try:
-                    tree = ast.parse(text or "")
-                except _BROKEN:
-                    continue
-                for f in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
-                    calls = sorted({ast.unparse(c.func).rpartition(".")[2] for c in ast.walk(f) if isinstance(c, ast.Call)})
-                    original = ast.dump(ast.Module(f.body, []))
-                    form = _Canonical()
-                    form.visit(f.args)
-                    canonical = ast.dump(ast.Module([form.visit(s) for s in f.body], []))
-                    rows.append((int(file_id), f.name, f.lineno, f.end_lineno, canonical, original, calls))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
-
-    return sources.select("file_id", "text").mapInPandas(extract, FUNCTIONS)
-
-
-FACTS = (
-    "file_id long, imports array<string>, exports array<string>, symbols array<struct<name: string, container: string, qualified: string, kind: string, start_line: long, end_line: long, signature: string, "
-    "exported: boolean, route_method: string, route_path: string, extends array<string>, calls array<struct<callee: string, receiver: string, qualifier: string, line: long, character: long>>, "
-    "links array<struct<method: string, url: string>>>>"
-).replace("extends array", "extends: array").replace("calls array", "calls: array").replace("links array", "links: array")
-_VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
-
-
-def _called(node: ast.Call) -> tuple[str, str | None]:
-    """(name, what stands before it)."""
-    if isinstance(node.func, ast.Attribute):
-        return node.func.attr, ast.unparse(node.func.value)
-    return ast.unparse(node.func), None
-
-
-def _route(decorators: list[ast.expr]) -> tuple[str | None, str | None]:
-    """Verb and path of a decorator such as @app.get("/x") or @app.route("/x", methods=["POST"])."""
-    for d in decorators:
-        if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
-            verb = d.func.attr.lower()
-            if verb in _VERBS:
-                return verb.upper(), d.args[0].value
-            if verb == "route":
-                stated = [ast.literal_eval(k.value) for k in d.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple))]
-                return (str(stated[0][0]).upper() if stated and stated[0] else "GET"), d.args[0].value
-    return None, None
+    return [dict(zip(_COLUMNS, r)) | details.get(r[1], {}) for r in rows]
 
 
 def _own(statements: list) -> list[ast.AST]:
@@ -221,142 +247,77 @@ def _own(statements: list) -> list[ast.AST]:
     return found
 
 
-def _calls_of(body: ast.FunctionDef | ast.AsyncFunctionDef, container: str | None, types: set[str]) -> tuple[list[dict], list[dict]]:
-    """(calls, outbound links) of a function, without functions in it. A receiver is the own class, or the one type that a local name is made from."""
-    inside = _own(body.body)
-    made: dict[str, set[str]] = {}
-    for node in inside:
-        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
-            made.setdefault(node.targets[0].id, set()).add(_called(node.value)[0])
-    calls, links = [], []
-    for node in (n for n in inside if isinstance(n, ast.Call)):
-        name, before = _called(node)
-        receiver = None
-        if before in ("self", "cls"):
-            receiver = container
-        elif before in made and len(made[before]) == 1 and (only := next(iter(made[before]))) and (only in types or only[:1].isupper()):
-            receiver = only
-        elif before is not None and (before in types or before[:1].isupper() and before.isidentifier()):
-            receiver = before
-        calls.append({"callee": name, "receiver": receiver, "qualifier": before, "line": node.lineno, "character": node.col_offset})
-        if name.lower() in (*_VERBS, "request") and node.args:
-            urls = [a.value for a in node.args if isinstance(a, ast.Constant) and isinstance(a.value, str) and ("://" in a.value or a.value.startswith("/"))]
-            links += [{"method": None if name.lower() == "request" else name.upper(), "url": u} for u in urls[:1]]
-    return calls, links
-
-
-def _registered(tree: ast.AST) -> dict[str, tuple[str, str]]:
-    """Handlers that a call gives a route, by name: app.post("/x", handler), app.add_route("/x", handler), router.add_get("/x", handler)."""
-    found: dict[str, tuple[str, str]] = {}
-    for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.args):
-        verb, first = call.func.attr.lower().removeprefix("add_"), call.args[0]
-        if not (verb in (*_VERBS, "route", "url_rule", "api_route") and isinstance(first, ast.Constant) and isinstance(first.value, str) and first.value.startswith("/")):
-            continue
-        named = [a for a in (*call.args[1:], *(k.value for k in call.keywords if k.arg in ("view_func", "handler", "endpoint"))) if isinstance(a, (ast.Name, ast.Attribute))]
-        if named:
-            stated = [k.value for k in call.keywords if k.arg == "methods" and isinstance(k.value, (ast.List, ast.Tuple)) and k.value.elts]
-            method = verb if verb in _VERBS else getattr(stated[0].elts[0], "value", "GET") if stated else "GET"
-            found.setdefault(ast.unparse(named[-1]).rpartition(".")[2], (str(method).upper(), first.value))
-    return found
-
-
-def file_facts(text: str) -> tuple[list[str], list[str], list[dict]]:
-    """(imports, exports, symbols) of a source, at any depth; nothing of one that cannot be parsed."""
-    try:
-        tree = ast.parse(text)
-    except _BROKEN:
-        return [], [], []
-    routes = _registered(tree)
-    types = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
-    imports = {a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names} | {n.module for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and n.module}
-    lines = text.splitlines()
-    symbols: list[dict] = []
-    todo: list[tuple[ast.AST, str | None, bool]] = [(n, None, True) for n in reversed(tree.body)]
-    top: set[str] = set()
-    while todo:
-        node, container, outer = todo.pop()
-        if not isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
-            todo += [(n, container, outer) for n in reversed(list(ast.iter_child_nodes(node))) if isinstance(n, (ast.stmt, ast.ExceptHandler, ast.match_case))]
-            continue
-        is_type = isinstance(node, ast.ClassDef)
-        verb, path = (None, None) if is_type else _route(node.decorator_list)
-        if not is_type and path is None:
-            verb, path = routes.get(node.name, (None, None))
-        calls, links = ([], []) if is_type else _calls_of(node, container, types)
-        if outer and not node.name.startswith("_"):
-            top.add(node.name)
-        symbols.append(
-            {
-                "name": node.name, "container": container, "qualified": f"{container}.{node.name}" if container else node.name,
-                "kind": "type" if is_type else "route" if path else "method" if container else "function", "start_line": node.lineno, "end_line": node.end_lineno,
-                "signature": lines[node.lineno - 1].strip()[:200], "exported": not node.name.startswith("_"), "route_method": verb, "route_path": path,
-                "extends": [ast.unparse(b).rpartition(".")[2] for b in node.bases] if is_type else [], "calls": calls, "links": links,
-            }
-        )
-        todo += [(n, node.name if is_type else container, False) for n in reversed(node.body)]
-    return sorted(imports), sorted(top), symbols
-
-
-def facts(sources: DataFrame) -> DataFrame:
-    """A nested document for each source (file_id, text): imports, exports and symbols with their calls, bases, routes and links."""
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(int(file_id), *file_facts(text or "")) for file_id, text in zip(batch["file_id"], batch["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["file_id", "imports", "exports", "symbols"])
-
-    return sources.select("file_id", "text").mapInPandas(extract, FACTS)
-
-
-STATEMENTS = "file_id long, function_id long, function string, seq long, line long, end_line long, kind string, target string, uses array<string>, calls array<string>, sink string, evidence string"
+STATEMENTS = (
+    "file_id long, function_id long, function string, seq long, line long, end_line long, kind string, target string, uses array<string>, calls array<string>, sink string, evidence string, "
+    "place int, call long, direct array<string>, outer array<long>"
+)
 
 
-def _taken(nodes: list[ast.AST]) -> tuple[list[str], list[str]]:
-    """(names and dotted names, called names) of expressions, once each in order."""
+def _taken(nodes: list[ast.AST], text: _Text) -> tuple[list[str], list[str], list[str], list[ast.AST]]:
+    """(names and dotted names, called names) of expressions, once each in order; (those outside of any call, the calls that no other call holds)."""
     inside = [n for x in nodes for n in ast.walk(x)]
-    uses = [n.id for n in inside if isinstance(n, ast.Name)] + [ast.unparse(n) for n in inside if isinstance(n, ast.Attribute)]
-    return list(dict.fromkeys(uses)), list(dict.fromkeys(ast.unparse(n.func) for n in inside if isinstance(n, ast.Call)))
+    named = lambda found: [n.id for n in found if isinstance(n, ast.Name)] + [text.dotted(n) for n in found if isinstance(n, ast.Attribute)]
+    calls = [n for n in inside if isinstance(n, ast.Call)]
+    plain, outer, stack = [], [], list(reversed(nodes))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, ast.Call):
+            outer.append(n)
+        else:
+            plain.append(n)
+            stack.extend(ast.iter_child_nodes(n))
+    return list(dict.fromkeys(named(inside))), list(dict.fromkeys(text.dotted(n.func) for n in calls)), list(dict.fromkeys(named(plain))), outer
 
 
 def _names(target: ast.AST) -> list[str]:
     return [n.id for n in ast.walk(target) if isinstance(n, ast.Name)]
 
 
-def statement_rows(file_id: int, text: str) -> list[tuple]:
-    """What functions and the module do with names, in order: parameters, assignments, additions to collections, calls and returns.
+def statement_rows(file_id: int, tree: ast.Module, text: _Text) -> list[dict]:
+    """What functions and the module do with names, in order: their parameters, assignments, additions to collections, calls and returns.
 
-    A call's uses are those of its first argument; function_id is the function's place among the functions of the source, -1 for the module.
+    uses and calls are all of an expression's, direct those outside of its calls, and outer numbers the calls that give it values. A call is a row of kind site;
+    its arguments are rows with their places (what it is a method of: -1, what is given by name: the name as target); one of kind call, if it is given more than a
+    literal, has the uses of its first argument. function_id is the function's place among the functions of the source, -1 for the module; a function is a row of kind define.
     """
-    try:
-        tree = ast.parse(text)
-    except _BROKEN:
-        return []
-    rows: list[tuple] = []
+    rows: list[dict] = []
     bodies = [(-1, "", [], tree.body)]
     for k, f in enumerate(n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)):
-        a = f.args
-        bodies.append((k, f.name, [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg)))], f.body))
+        bodies.append((k, f.name, _parameters(f), f.body))
+    numbers: dict[int, int] = {}
     for k, name, parameters, body in bodies:
 
-        def add(node, kind: str, target: str | None, taken: list[ast.AST], sink: str | None = None, evidence: str = "", own: tuple = (k, name)) -> None:
-            uses, calls = _taken(taken)
+        def add(node, kind: str, target: str | None, taken: list[ast.AST], sink: str | None = None, evidence: str = "", place: int | None = None, call: int | None = None, own: tuple = (k, name)) -> None:
+            uses, calls, direct, outer = _taken(taken, text)
             line = getattr(node, "lineno", 1)
-            rows.append((file_id, *own, len(rows), line, getattr(node, "end_lineno", None) or line, kind, target, uses, calls, sink, evidence))
+            values = (file_id, *own, len(rows), line, getattr(node, "end_lineno", None) or line, kind, target, uses, calls, sink, evidence, place, call, direct, [numbers.setdefault(id(n), len(numbers)) for n in outer])
+            rows.append(dict(zip((c.split()[0] for c in STATEMENTS.split(", ")), values)))
 
-        for p in parameters:
-            add(body[0], "parameter", p, [])
+        if k >= 0:
+            add(body[0], "define", None, [])
+        for i, p in enumerate(parameters):
+            add(body[0], "parameter", p, [], place=i)
         for node in _own(body):
             if isinstance(node, ast.Call):
+                number = numbers.setdefault(id(node), len(numbers))
+                called = text.dotted(node.func)
+                add(node, "site", None, [], called, call=number)
+                if isinstance(node.func, ast.Attribute):
+                    add(node, "argument", None, [node.func.value], called, place=-1, call=number)
+                for i, x in enumerate(node.args):
+                    add(node, "argument", None, [x], called, place=i, call=number)
+                for x in node.keywords:
+                    add(node, "argument", x.arg, [x.value], called, call=number)
                 first = node.args[0] if node.args else node.keywords[0].value if node.keywords else None
                 if first is not None and not isinstance(first, ast.Constant):
-                    add(node, "call", None, [first], ast.unparse(node.func), ast.unparse(node))
+                    add(node, "call", None, [first], called, text.of(node), call=number)
                 if isinstance(node.func, ast.Attribute) and node.func.attr in ("append", "add", "insert", "extend", "update"):
                     for t in _names(node.func.value)[:1]:
                         add(node, "add", t, [*node.args])
             elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)) and node.value is not None:
                 for target in node.targets if isinstance(node, ast.Assign) else [node.target]:
                     if isinstance(target, ast.Attribute):
-                        add(node, "call", None, [node.value], ast.unparse(target), ast.unparse(node))
+                        add(node, "call", None, [node.value], text.dotted(target), text.of(node))
                     for t in _names(target)[:1] if isinstance(target, (ast.Attribute, ast.Subscript)) else _names(target):
                         add(node, "add" if isinstance(target, (ast.Attribute, ast.Subscript)) or isinstance(node, ast.AugAssign) else "assign", t, [node.value])
             elif isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension)):
@@ -370,31 +331,34 @@ def statement_rows(file_id: int, text: str) -> list[tuple]:
     return rows
 
 
-def statements(sources: DataFrame) -> DataFrame:
-    """STATEMENTS of all sources (file_id, text)."""
+def _struct(columns: str) -> str:
+    return ", ".join(f"{n}: {t}" for n, t in (c.split(" ", 1) for c in columns.split(", ")))
+
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(sources: DataFrame) -> DataFrame:
+    """(file_id, nodes, statements): all of each source (file_id, text), each read once. Write it if both are used."""
+    schema = f"file_id long, nodes array<struct<{_struct(NODES)}>>, statements array<struct<{_struct(STATEMENTS)}>>"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    of = lambda columns: pa.list_(pa.struct([(n, kinds[t]) for n, t in (c.split(" ", 1) for c in columns.split(", "))]))
+    node_kind, statement_kind = of(NODES), of(STATEMENTS)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for file_id, text in zip(batch["file_id"], batch["text"], strict=True) for r in statement_rows(int(file_id), text or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATEMENTS.split(", ")])
+            for a in range(0, batch.num_rows, 200):
+                ids = batch.column(0).slice(a, 200)
+                made = [read(i, t or "") for i, t in zip(ids.to_pylist(), batch.column(1).slice(a, 200).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in made], node_kind), pa.array([s for _, s in made], statement_kind)], ["file_id", "nodes", "statements"])
 
-    return sources.select("file_id", "text").mapInPandas(extract, STATEMENTS)
+    return sources.select(F.col("file_id").cast("long"), "text").mapInArrow(parse, schema)
 
 
-def tables(documents: DataFrame) -> dict[str, DataFrame]:
-    """The graph tables of nested documents; a symbol's id is a hash of its file, name and line."""
-    from pyspark.sql import functions as F
+def nodes(sources: DataFrame) -> DataFrame:
+    """Nodes of all sources (file_id, text), or of what parsed() made of them."""
+    held = sources if "nodes" in sources.columns else parsed(sources)
+    return held.select(F.inline("nodes"))
 
-    from graphloom.functions.text import module_stem
 
-    one = documents.select("file_id", F.explode("symbols").alias("s")).withColumn("id", F.xxhash64("file_id", "s.qualified", "s.start_line"))
-    plain = [c for c in ("name", "container", "qualified", "kind", "start_line", "end_line", "signature", "exported", "route_method", "route_path")]
-    of = lambda c: one.select(F.col("id").alias("symbol_id"), F.explode(f"s.{c}").alias("x"))
-    return {
-        "symbols": one.select("id", "file_id", *[F.col(f"s.{c}").alias(c) for c in plain]),
-        "calls": of("calls").select("symbol_id", "x.*"),
-        "extends": of("extends").select("symbol_id", F.col("x").alias("name")),
-        "service_links": of("links").select("symbol_id", "x.*"),
-        "imports": documents.select("file_id", F.explode("imports").alias("module")).withColumn("stem", module_stem(F.col("module"))),
-        "exports": documents.select("file_id", F.explode("exports").alias("name")),
-    }
+def statements(sources: DataFrame) -> DataFrame:
+    """STATEMENTS of all sources (file_id, text), or of what parsed() made of them."""
+    held = sources if "statements" in sources.columns else parsed(sources)
+    return held.select(F.inline("statements"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import evaluation, findings, graph, impact, index, search, sessions, syntax, trace
+from graphloom.operators import evaluation, extraction, findings, graph, impact, index, search, sessions, syntax, trace
 from graphloom.sources import python_ast, reports, store
 from graphloom.streaming import session as session_stream
 from graphloom.streaming import watch
@@ -192,7 +192,7 @@ def test_syntax_rules(spark):
 
 def test_renamed_functions(spark):
     made = [(1, "def a(x):\n    y = x + 1\n    return y\n"), (2, "def b(p):\n    q = p + 1\n    return q\n"), (3, "def c(p):\n    q = p + 2\n    return q\n")]
-    f = python_ast.functions(spark.createDataFrame(made, "file_id long, text string"))
+    f = extraction.functions(python_ast.nodes(spark.createDataFrame(made, "file_id long, text string")))
     assert rows(syntax.renamed_duplicates(f)) == [(1, "a", 2, "b")]
 
 
@@ -249,7 +249,7 @@ def test_evaluation(spark):
 
 def test_extraction(spark):
     text = 'import os\nfrom a.b import c\nclass Base:\n    pass\nclass Api(Base):\n    @app.post("/users/<id>")\n    def create(self):\n        self.save()\n        x = Store()\n        x.put(1)\n        requests.get("https://h/users/7")\n    def _hide(self):\n        os.getcwd()\n'
-    made = python_ast.tables(python_ast.facts(spark.createDataFrame([(1, text), (2, "def ("), (3, None)], "file_id long, text string")))
+    made = extraction.tables(python_ast.nodes(spark.createDataFrame([(1, text), (2, "def ("), (3, None)], "file_id long, text string")).cache())
     assert rows(made["symbols"].select("qualified", "kind", "exported", "route_method", "route_path")) == [
         ("Api", "type", True, None, None), ("Api._hide", "method", False, None, None), ("Api.create", "route", True, "POST", "/users/<id>"), ("Base", "type", True, None, None)
     ]

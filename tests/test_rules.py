@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from graphloom.operators import graph, rules, syntax, taint
+from graphloom.operators import extraction, graph, rules, summaries, syntax, taint
 from graphloom.sources import python_ast
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def test_loops_hold_bodies_and_elements(spark):
 
 
 def test_facts_at_any_depth(spark):
-    made = python_ast.tables(python_ast.facts(sources(spark, LOOPS)))
+    made = extraction.tables(python_ast.nodes(sources(spark, LOOPS)).cache())
     symbols = {r.qualified: r for r in made["symbols"].collect()}
     assert {k: (r.kind, r.route_method, r.route_path) for k, r in symbols.items()} == {"c": ("route", "POST", "/x"), "inner": ("function", None, None), "Deep": ("type", None, None), "Deep.m": ("method", None, None)}
     calls = {(r.symbol_id, r.callee): r.receiver for r in made["calls"].collect()}
@@ -96,26 +96,26 @@ def loop(rows):
 
 def test_taint_follows_values_and_functions(spark):
     made = python_ast.statements(sources(spark, TAINT)).cache()
-    got = rows(taint.tainted(made).where("function = 'run'").select("sink", "class", "source", "evidence"))
+    got = rows(summaries.Summaries(made).tainted().where("function_id = 2").select("sink", "class", "source", "evidence"))
     assert got == sorted([
         ("eval", taint.COMMAND, False, "eval(cmd)"), ("os.system", taint.COMMAND, False, "os.system(name.strip())"), ("db.query", taint.QUERY, True, "db.query(value)"),
         ("document.innerHTML", taint.HTML, True, "document.innerHTML = parts"), ("open", taint.PATH, False, "open(name)"),
     ])
     found = rows(rules.taint_findings(made).where("line < 27").select("rule_id", "line"))
     assert found == [("SEC-002", 14), ("SEC-002", 26), ("SEC-003", 12), ("SEC-003", 15), ("SEC-003", 18), ("SEC-006", 21), ("SEC-007", 23)]
-    assert rows(taint.sink_classes(python_ast.statements(sources(spark, "def a(x):\n    b(x)\ndef b(x):\n    c(x)\ndef c(x):\n    db.query(x)\n    requests.get(x)\ndef d(x):\n    e(x)")))) == [(0, "a", 6), (0, "b", 6), (0, "c", 6)]
+    assert rows(summaries.sink_classes(python_ast.statements(sources(spark, "def a(x):\n    b(x)\ndef b(x):\n    c(x)\ndef c(x):\n    db.query(x)\n    requests.get(x)\ndef d(x):\n    e(x)")))) == [(0, "a", 6), (0, "b", 6), (0, "c", 6)]
 
 
 def test_calls_in_loops_are_sure_by_origin_or_by_function(spark):
     held = sources(spark, TAINT)
     statements = python_ast.statements(held)
-    origin = rules.origins(python_ast.facts(held).select("file_id", F.explode("imports").alias("module")), statements)
+    origin = rules.origins(python_ast.nodes(held).where("kind = 'import'").select("file_id", F.col("name").alias("module")), statements)
     assert ("conn", taint.QUERY) in rows(origin.select("name", "classes"))
-    found = rules.node_findings(python_ast.nodes(held), origin, taint.sink_classes(statements)).where("rule_id LIKE 'DB%'")
+    found = rules.node_findings(python_ast.nodes(held), origin, summaries.sink_classes(statements)).where("rule_id LIKE 'DB%'")
     assert rows(found.select("rule_id", "line")) == [("DB-001", 34)]
     known = python_ast.statements(sources(spark, "def saves(x):\n    db.query(x)\ndef f(xs):\n    for x in xs:\n        saves(x)"))
     nodes = python_ast.nodes(sources(spark, "def saves(x):\n    db.query(x)\ndef f(xs):\n    for x in xs:\n        saves(x)"))
-    assert rows(rules.node_findings(nodes, None, taint.sink_classes(known)).select("rule_id", "line")) == [("DB-001", 5)]
+    assert rows(rules.node_findings(nodes, None, summaries.sink_classes(known)).select("rule_id", "line")) == [("DB-001", 5)]
 
 
 def test_findings_are_whole_ordered_once_and_scoped(spark):
