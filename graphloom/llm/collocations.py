@@ -49,7 +49,7 @@ SHARD = 1_000_000
 #: Bits of the bitmaps of frequent words and pairs.
 BITS = 27
 #: Transitions that are united at once.
-UNITED = 2_000_000
+UNITED = 300_000
 UND = "und"
 
 _BREAK = np.zeros(256, bool)
@@ -284,7 +284,7 @@ def transducers(docs: DataFrame, seed: int, shard: int, longest: int, marks, bit
             rows = []
             for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=False):
                 rows.append((int(key[order[a]]), cut(names, first, parents, labels, weights, order[a:b])))
-                if sum(len(x) for _, x in rows) > 16_000_000:
+                if sum(len(x) for _, x in rows) > 4_000_000:
                     yield batch_of(rows)
                     rows = []
             if rows:
