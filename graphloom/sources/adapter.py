@@ -199,3 +199,33 @@ def varied_sources(graph: Graph):
     head = F.concat(F.lit("def report_"), k.cast("string"), F.lit("(xs, cfg):\n    total = []\n"))
     broken = F.when(k % 97 == 0, "    return (\n").otherwise("    return total\n")
     return bodies.select("file_id", F.concat(F.lit("src/report_"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(imports, head, F.col("body"), broken).alias("text"))
+
+
+#: What the function of a part does with its parameter x, by the part's number modulo 6; {q} is the part whose function it calls.
+LINKED = (
+    "    db.query(x)\n",
+    "    return step_{q}(x)\n",
+    "    return step_{q}(shlex.quote(x))\n",
+    "    os.system(x)\n",
+    "    y = step_{q}(other=1, x=x)\n    open(y)\n",
+    "    return x\n",
+)
+
+
+def linked_sources(graph: Graph):
+    """(file_id, path, text): a Python file for each part p, with a function step_p that calls that of part (7 p + 3) modulo their number, as LINKED says.
+
+    Every fourth file gives an outer value to its own function, every 50th has a function of a name that others have, too.
+    """
+    n = graph.table("part").count()
+    p = F.col("p_partkey")
+    q = ((p * 7 + 3) % n).cast("string")
+    body = F.replace(F.get(F.array(*[F.lit(x) for x in LINKED]), (p % len(LINKED)).cast("int")), F.lit("{q}"), q)
+    name = F.when(p % 50 == 49, F.lit("step_shared")).otherwise(F.concat(F.lit("step_"), p.cast("string")))
+    head = F.concat(F.lit("def "), name, F.lit("(x, other=None):\n"), body)
+    main = F.when(p % 4 == 0, F.concat(F.lit("def main_"), p.cast("string"), F.lit("(request):\n    step_"), p.cast("string"), F.lit("(request.args)\n"))).otherwise(F.lit(""))
+    return graph.table("part").select(p.alias("file_id"), F.concat(F.lit("flow/step_"), p.cast("string"), F.lit(".py")).alias("path"), F.concat(head, main).alias("text"))
+
+
+#: Parts with their kind k, the part q that they call, whether their function's name is its own, and whether q's is.
+LINKED_SQL = "SELECT p_partkey AS p, p_partkey % 6 AS k, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS q, p_partkey % 50 <> 49 AS own, ((p_partkey * 7 + 3) % (SELECT count(*) FROM part)) % 50 <> 49 AS known FROM part"
