@@ -135,6 +135,16 @@ def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes=words_hash) -> tuple[np.ndarray, np.ndarray]:
+    """(a key of each span, the places of those of more than seven bytes): shorter ones are their bytes and length, so their keys tell them apart; others are hashed."""
+    size = ends - starts
+    lane = _lanes(data)[starts]
+    keys = (lane & _FIRST[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(size > 7)
+    keys[long] = hashes(data, starts[long], ends[long]) | np.uint64(1 << 63)
+    return keys, long
+
+
 def same_bytes(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, others: np.ndarray, others_end: np.ndarray) -> np.ndarray:
     """Whether each span of one holds the bytes of the span beside it of other."""
     size = ends - starts

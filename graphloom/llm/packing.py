@@ -46,7 +46,8 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>
 class WordEncoder:
     """Token ids of batches of texts, by a table of the words met so far that is emptied when it grows large.
 
-    A word is found by its hash and must be that word by its bytes; texts in which it isn't are encoded without the table.
+    A word of up to seven bytes is its own key. A longer one is found by its hash and must be that word by its bytes; texts in
+    which it isn't are encoded without the table.
     """
 
     hashes = staticmethod(bytetext.words_hash)
@@ -105,7 +106,7 @@ class WordEncoder:
             edge[cuts] = True  # where two texts meet at a cut, a word ends and a word begins there anyway
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
         first = np.searchsorted(starts, offsets)
-        h = self.hashes(data, starts, ends)
+        h, long = bytetext.word_keys(data, starts, ends, self.hashes)
         different, at, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._forget()
@@ -113,7 +114,8 @@ class WordEncoder:
         if len(new):
             self._learn(different[new], [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
         row = np.searchsorted(self.keys, different)[which]
-        if not bytetext.same_bytes(data, starts, ends, self.text, self.since[row], self.until[row]).all():
+        there = row[long]
+        if not bytetext.same_bytes(data, starts[long], ends[long], self.text, self.since[there], self.until[there]).all():
             return self._plain(raw, starts, ends, first)
         n = self.size[row]
         upto = np.concatenate([[0], np.cumsum(n)])

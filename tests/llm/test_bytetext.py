@@ -71,7 +71,7 @@ def test_encoder_tells_words_of_one_hash_apart():
     class Clashing(WordEncoder):
         hashes = staticmethod(lambda data, starts, ends: (ends - starts).astype(np.uint64))
 
-    texts = ["one two six", "two one ten and", " ".join(counting(10)), " ".join(counting(11))]
+    texts = ["one two six understanding", "two one ten and international waters", "understanding international", "eight888 seven77 eight889", " ".join(counting(10)), " ".join(counting(11))]
     got, plain = Clashing("word_bpe_49k.json"), WordEncoder("word_bpe_49k.json")
     for t in texts:
         one = bytetext.of_arrow(pa.array([t], pa.string()))
