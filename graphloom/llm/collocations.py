@@ -116,31 +116,26 @@ class Automaton:
         return sum(len(level[1]) for level in self.levels)
 
     def to_bytes(self) -> bytes:
-        head = [len(self.names), len(self.levels)]
-        body = [self.names.astype("<u8").tobytes()]
-        for first, label, weight, target in self.levels:
-            head += [len(first), len(label)]
-            body += [first.astype("<u4").tobytes(), label.astype("<u4").tobytes(), weight.astype("<u8").tobytes(), target.astype("<u4").tobytes()]
+        """The arrays in as few bytes a number as each needs, after a header of their widths and lengths."""
+        arrays = [self.names, *(x for level in self.levels for x in level)]
+        head = [len(self.levels)]
+        body = []
+        for x in arrays:
+            most = int(x.max(initial=0))
+            width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+            head += [width, len(x)]
+            body.append(x.astype(f"<u{width}").tobytes())
         return np.array(head, "<u8").tobytes() + b"".join(body)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Automaton:
-        n, depth = np.frombuffer(raw, "<u8", 2).tolist()
-        sizes = np.frombuffer(raw, "<u8", 2 * depth, 16).tolist()
-        at = 16 + 16 * depth
-
-        def take(kind: str, many: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, many, at)
-            at += out.nbytes
-            return out.astype(np.uint64 if kind == "<u8" else np.int64)
-
-        names = take("<u8", n)
-        levels = []
-        for k in range(depth):
-            states, many = sizes[2 * k : 2 * k + 2]
-            levels.append((take("<u4", states), take("<u4", many), take("<u8", many).astype(np.int64), take("<u4", many)))
-        return cls(names, levels)
+        depth = int(np.frombuffer(raw, "<u8", 1)[0])
+        head = np.frombuffer(raw, "<u8", 2 * (1 + 4 * depth), 8).tolist()
+        at, arrays = 8 * (1 + len(head)), []
+        for width, many in zip(head[::2], head[1::2], strict=True):
+            arrays.append(np.frombuffer(raw, f"<u{width}", many, at).astype(np.int64 if arrays else np.uint64))
+            at += width * many
+        return cls(arrays[0], [tuple(arrays[1 + 4 * k : 5 + 4 * k]) for k in range(depth)])
 
 
 def union(parts: list[Automaton]) -> Automaton:
@@ -372,7 +367,7 @@ def summed(parts: DataFrame, longest: int, least: int, partitions: int) -> DataF
         if held:
             yield from rows_of(now, union(held))
 
-    dealt = parts.repartition(partitions, "lang", "range").sortWithinPartitions("lang", "range")
+    dealt = parts.repartition(2 * partitions, "lang", "range").sortWithinPartitions("lang", "range")
     return dealt.mapInArrow(unite, "lang string, size int, a long, b long, c long, d long, f long, ab long, abc long")
 
 
