@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import find_symbols
@@ -12,13 +13,21 @@ from graphloom.operators.graph import find_symbols
 MAX_DEPTH = 5
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept in the folder that all executors share; cached where no such folder is named."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, in that which the driver and all executors share: spark.checkpoint.dir, or for local runs without one a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/graphloom/trace-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, written to the folder that all executors share."""
+    spark = df.sparkSession
+    path = new_folder(spark, "trace")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import module_stem
@@ -212,15 +212,16 @@ LINKED = (
 )
 
 
-def linked_sources(graph: Graph):
+def linked_sources(graph: Graph, kind: Column | None = None):
     """(file_id, path, text): a Python file for each part p, with a function step_p that calls that of part (7 p + 3) modulo their number, as LINKED says.
 
-    Every fourth file gives an outer value to its own function, every 50th has a function of a name that others have, too.
+    Every fourth file gives an outer value to its own function, every 50th has a function of a name that others have, too. kind says which of LINKED
+    a part has, if not its number modulo 6.
     """
     n = graph.table("part").count()
     p = F.col("p_partkey")
     q = ((p * 7 + 3) % n).cast("string")
-    body = F.replace(F.get(F.array(*[F.lit(x) for x in LINKED]), (p % len(LINKED)).cast("int")), F.lit("{q}"), q)
+    body = F.replace(F.get(F.array(*[F.lit(x) for x in LINKED]), (p % len(LINKED) if kind is None else kind).cast("int")), F.lit("{q}"), q)
     name = F.when(p % 50 == 49, F.lit("step_shared")).otherwise(F.concat(F.lit("step_"), p.cast("string")))
     head = F.concat(F.lit("def "), name, F.lit("(x, other=None):\n"), body)
     main = F.when(p % 4 == 0, F.concat(F.lit("def main_"), p.cast("string"), F.lit("(request):\n    step_"), p.cast("string"), F.lit("(request.args)\n"))).otherwise(F.lit(""))

@@ -148,17 +148,45 @@ def test_index_lifecycle(spark):
     assert rows(index.removed(new, old, spark.createDataFrame([("a",)], "path string"))) == []
 
 
-def test_store(spark, tmp_path, small):
-    s = store.Store(spark, f"{tmp_path}/store")
-    assert s.table("files").count() == 0
-    files = small.files.select("id", "path", "language", F.lit("h").alias("content_hash"), F.lit("h").alias("symbols_hash"), F.lit(1).alias("mtime"), F.lit(1).alias("size"), "is_test", F.lit(0).alias("last_indexed"))
-    s.upsert(files=files, symbols=small.symbols, calls=small.calls)
-    assert (s.table("symbols").count(), s.table("calls").count()) == (5, 3)
+def listing_of(spark, texts, mtimes=None):
+    import hashlib
+
+    made = [(path, (mtimes or {}).get(path, 1), len(t), hashlib.md5(t.encode()).hexdigest(), t) for path, t in texts.items()]
+    return spark.createDataFrame(made, "path string, mtime long, size long, content_hash string, text string")
+
+
+def contents(held):
+    return {name: rows(held.table(name).drop("last_indexed")) for name in [*store.TABLES, "edges"]}
+
+
+def test_index_refreshed_by_a_diff_equals_a_full_one(spark, tmp_path):
+    import pathlib
+
+    before = {f"m{i}.py": f"def f{i}(x):\n    return f{i + 1}(x)\n" for i in range(12)}
+    before["a.py"] = "class A:\n    def run(self):\n        self.go()\n    def go(self):\n        f3(1)\n"
+    after = {k: v for k, v in before.items() if k not in ("m5.py", "m9.py")}
+    after["m2.py"] = "def g2(x):\n    return f8(x)\n"
+    after["moved.py"] = before["m5.py"]
+    after["new.py"] = "def f9(y):\n    f0(y)\n    requests.get('/u')\n"
+    s = store.Index(spark, f"{tmp_path}/kept", buckets=16)
+    assert s.table("files").count() == 0 and s.table("edges").count() == 0
+    assert rows(s.refresh(listing_of(spark, before), store.parsed_files)) == [(13, 13, 0, 0, 0)]
+    parts = lambda: {str(p.relative_to(tmp_path)) for p in pathlib.Path(tmp_path, "kept").rglob("bucket=*/*.parquet")}
+    first = parts()
+    assert rows(s.refresh(listing_of(spark, before), store.parsed_files)) == [(13, 0, 13, 0, 0)] and parts() == first
+    assert rows(s.refresh(listing_of(spark, after, {"m1.py": 7, "m2.py": 2}), store.parsed_files)) == [(13, 2, 10, 1, 2)]
+    whole = store.Index(spark, f"{tmp_path}/whole", buckets=16)
+    whole.refresh(listing_of(spark, after, {"m1.py": 7, "m2.py": 2}), store.parsed_files)
+    assert contents(s) == contents(whole) and len(contents(s)["edges"]) > 8
+    kept = first & parts()
+    assert len(kept) > len(first) / 3  # the files of untouched buckets are those that were written first
     s.export(f"{tmp_path}/snapshot")
-    s.remove(spark.createDataFrame([("src/login.rs",)], "path string"))
-    assert rows(s.table("calls").select("callee")) == [("handle_login",)] and s.table("symbols").count() == 1
-    other = store.Store(spark, f"{tmp_path}/other")
-    assert other.seed(f"{tmp_path}/snapshot") and not other.seed(f"{tmp_path}/snapshot") and other.table("symbols").count() == 5
+    other = store.Index(spark, f"{tmp_path}/other", buckets=4)
+    assert other.seed(f"{tmp_path}/snapshot") and not other.seed(f"{tmp_path}/snapshot") and contents(other) == contents(s)
+    nothing = spark.createDataFrame([], "path string, mtime long, size long, content_hash string, text string")
+    assert rows(s.refresh(nothing, store.parsed_files, spark.createDataFrame([("m0.py",), ("a.py",)], "path string"))) == [(0, 0, 0, 0, 2)] and s.table("files").count() == 11
+    s.refresh(nothing, store.parsed_files)
+    assert all(not x for x in contents(s).values())
 
 
 SOURCE = """
