@@ -14,9 +14,10 @@ document, and removed where PMI >= REMOVE * IC. Equal texts count once, so that
 copies don't make their words look telling.
 
 1. Entities and the terms beside them are read from the texts, as hashes.
-2. Pairs with support are candidates; a second pass counts the texts that hold
+2. Pairs with support are candidates; a further pass counts the texts that hold
    their terms. Candidates are sent to the tasks as a bitmap of fixed size; what
-   it lets through is counted by shuffles and met with the candidates there.
+   it lets through is counted by term where the text is read, but for texts that
+   stand more than once (a bitmap too), whose terms are counted by text.
 3. A last pass finds the entities and telling terms of each document. The telling
    terms are sent to the tasks if they are few (counted), otherwise the texts that
    hold some are joined with them by the texts' hashes.
@@ -154,40 +155,67 @@ def met(docs: DataFrame, text: str, window: int) -> DataFrame:
     return docs.select(text).mapInArrow(find, "doc long, entity long, term long")
 
 
-def holding(docs: DataFrame, text: str, marks, bits: int) -> DataFrame:
-    """(doc, term): each text with no term, and once more for each term that marks, a bitmap in a broadcast, lets through."""
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    raw = data.tobytes()
+    return np.array([_hashed(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def texts_of(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, n): the hash of each different text, and how often it is there."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(0)), 2_000_000):
-                raw = data.tobytes()
-                doc = np.array([_hashed(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
-                _, _, first, h = _terms(data, offsets)
-                of = np.repeat(doc, np.diff(first))
-                here = np.flatnonzero(bits_set(marks.value, h, bits))
-                pair = np.unique(np.stack([of[here], h[here].view(np.int64)], 1), axis=0)
-                term = np.ma.concatenate([np.ma.masked_all(len(doc), np.int64), np.ma.array(pair[:, 1])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([doc, pair[:, 0]])), pa.array(term)], ["doc", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(*bytetext.of_arrow(batch.column(0))))], ["doc"])
+
+    return docs.select(text).mapInArrow(hashed, "doc long").groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
 
-    return docs.select(text).mapInArrow(find, "doc long, term long")
 
+def holding(docs: DataFrame, text: str, marks, bits: int, copied=None) -> DataFrame:
+    """(doc, term, n): the terms that marks, a bitmap in a broadcast, lets through, of each text.
 
-def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """((term, remove) of the terms that disclose an entity, (doc, term) of the texts that may hold one)."""
+    With copied, a bitmap of texts, only these have rows of their own; all others are counted by term, without their hashes.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in bytetext.pieces(*bytetext.of_arrow(batch.column(0)), 8_000_000):
+                doc = _hashes(data, offsets)
+                _, _, first, h = _terms(data, offsets)
+                own = np.ones(len(doc), bool) if copied is None else bits_set(copied.value, doc.view(np.uint64), bits)
+                here = np.flatnonzero(bits_set(marks.value, h, bits))
+                names, which = np.unique(h[here], return_inverse=True)
+                of = np.repeat(np.arange(len(doc)), np.diff(first))[here]
+                pair = np.unique((of << 32) | which)
+                of, which = pair >> 32, pair & 0xFFFFFFFF
+                alone = own[of]
+                n = np.bincount(which[~alone], minlength=len(names))
+                some = np.flatnonzero(n)
+                terms = np.concatenate([names[which[alone]], names[some]]).view(np.int64)
+                docs_ = pa.concat_arrays([pa.array(doc[of[alone]]), pa.nulls(len(some), pa.int64())])
+                yield pa.RecordBatch.from_arrays([docs_, pa.array(terms), pa.array(np.concatenate([np.ones(int(alone.sum()), np.int64), n[some]]))], ["doc", "term", "n"])
+
+    return docs.select(text).mapInArrow(find, "doc long, term long, n long")
+
+
+def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(term, remove) of the terms that disclose an entity."""
     spark = docs.sparkSession
     seen = written(met(docs, text, window).distinct(), "privacy-met")
     of_entity = seen.where("term = 0").groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     joint = written(seen.where("term <> 0").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "privacy-joint")
     marks = spark.sparkContext.broadcast(bitmap(joint, "term", BITS))
-    held = written(holding(docs, text, marks, BITS).distinct(), "privacy-held")
-    n = held.where("term is null").count()
-    of_term = held.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    texts = written(texts_of(docs, text), "privacy-texts")
+    n = texts.count()
+    copied = spark.sparkContext.broadcast(bitmap(texts.where("n > 1"), "doc", BITS))
+    held = written(holding(docs, text, marks, BITS, copied), "privacy-held")
+    alone = held.where("doc IS NOT NULL").select("doc", "term").distinct().select("term", F.lit(1).cast("long").alias("n"))
+    of_term = held.where("doc IS NULL").select("term", "n").unionByName(alone).groupBy("term").agg(F.sum("n").alias("df_t"))
     pmi = F.log(F.col("both") * F.lit(float(max(n, 1))) / (F.col("df_e") * F.col("df_t")))
     ic = F.log(F.lit(float(max(n, 1))) / F.col("df_e"))
     judged = joint.join(of_entity, "entity").join(of_term, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     eps = 1e-9
     found = judged.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise - eps).select("term", (F.col("share") >= remove - eps).alias("remove"))
-    return written(found, "privacy-terms"), held.where("term is not null")
+    return written(found, "privacy-terms")
 
 
 def _general(word: str) -> str:
@@ -230,7 +258,7 @@ _OUT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, sent: int = SENT) -> DataFrame:
     """One row for each row: key, what was found, the spans (code points, end exclusive) and the sanitised text."""
     spark = docs.sparkSession
-    telling, held = disclosing(docs, text, window, support, generalise, remove)
+    telling = disclosing(docs, text, window, support, generalise, remove)
     few = telling.count() <= sent
     kind = docs.schema[key].dataType.simpleString()
 
@@ -260,6 +288,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
         return docs.select(key, text).mapInArrow(plain, f"{key} {kind}, {_OUT}")
 
     # each text that holds telling terms with these: no more of them than it has words
+    marks = spark.sparkContext.broadcast(bitmap(telling, "term", BITS))
+    held = holding(docs, text, marks, BITS).select("doc", "term").distinct()
     own = held.join(telling, "term").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("term", "remove"))).alias("told"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
