@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import catalogue_rules
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
-from graphloom.operators import evaluation, extraction, findings, graph, impact, index, search, sessions, syntax, trace
+from graphloom.operators import evaluation, extraction, findings, graph, impact, index, payloads, search, sessions, syntax, trace, trees
 from graphloom.operators.trace import _cut
 from graphloom.sources import python_ast, store
 from graphloom.registering import oracle_sql, queries, query
@@ -652,6 +652,61 @@ def symbol_hashes(g: Graph) -> DataFrame:
     return findings.fingerprints(g.symbols)
 
 
+_PAYLOADS = "SELECT l_orderkey * 8 + l_linenumber AS event_id, l_linenumber AS n, l_suppkey AS s, l_partkey AS p FROM lineitem"
+
+
+def _payloads(g: Graph) -> DataFrame:
+    """A tool's payload for each line item, whose table and files stand at a depth of twice its number."""
+    n = F.col("l_linenumber")
+    inner = F.format_string('{"table": " t%d ", "files": ["f%d.py", "g.py"], "n": 1}', "l_suppkey", "l_partkey")
+    deep = F.concat(F.repeat(F.lit('{"deep": ['), n), inner, F.repeat(F.lit("]}"), n))
+    return g.table("lineitem").select((F.col("l_orderkey") * 8 + n).alias("event_id"), F.concat(F.lit('{"tool_name": "mcp__srv__x", "tool_input": '), deep, F.lit("}")).alias("payload"))
+
+
+@query("tool_resources", f"SELECT event_id, 'mcp:srv/x' AS resource FROM ({_PAYLOADS}) UNION SELECT event_id, 'table:t' || s FROM ({_PAYLOADS})")
+def tool_resources(g: Graph) -> DataFrame:
+    return payloads.resources(_payloads(g))
+
+
+@query("tool_paths", f"SELECT event_id, 'f' || p || '.py' AS path FROM ({_PAYLOADS}) UNION SELECT event_id, 'g.py' FROM ({_PAYLOADS})")
+def tool_paths(g: Graph) -> DataFrame:
+    return payloads.paths(_payloads(g))
+
+
+@query("payload_leaves", f"SELECT event_id, '$.tool_input' || repeat('.deep[0]', n) || '.table' AS path, ' t' || s || ' ' AS value FROM ({_PAYLOADS})")
+def payload_leaves(g: Graph) -> DataFrame:
+    """Where the table stands in each payload."""
+    return payloads.leaves(_payloads(g)).where("name = 'table'").select("event_id", "path", "value")
+
+
+_IGNORE = (("", 0, "node_modules/"), ("", 1, "*.rs"), ("", 2, "!/*/src/file1*.rs"), ("automobile", 0, "docs"), ("building", 0, "tests/*.ts"), ("building/src", 0, "!*.rs"))
+
+
+@query(
+    "ignored_files",
+    f"SELECT path, path LIKE '%/node_modules/%' OR path LIKE 'automobile/docs/%' OR path LIKE 'building/tests/%.ts' OR path LIKE '%.rs' AND NOT path LIKE 'building/src/%' AND NOT path LIKE '%/src/file1%' AS ignored FROM ({_PATHS})",
+)
+def ignored_files(g: Graph) -> DataFrame:
+    """Which of all paths the ignore files of some folders leave out."""
+    return trees.ignored(_paths(g), g.spark.createDataFrame(_IGNORE, "folder string, n int, line string"))
+
+
+_LINE = "regexp_replace(path, '^.*/', '') || chr(9) || kind || chr(9) || digest"
+_LEVELS = (
+    f"WITH a AS (SELECT path, md5(path) AS digest, 'f' AS kind FROM ({_PATHS})), "
+    + ", ".join(
+        f"{b} AS (SELECT {up} AS path, md5(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS digest, 'd' AS kind FROM {x} GROUP BY 1)"
+        for x, b, up in (("a", "b", "regexp_replace(path, '/[^/]*$', '')"), ("b", "c", "regexp_replace(path, '/[^/]*$', '')"), ("c", "d", "''"))
+    )
+)
+
+
+@query("folder_digests", f"{_LEVELS} SELECT path, digest, kind = 'd' AS is_folder FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)")
+def folder_digests(g: Graph) -> DataFrame:
+    """Digests of all files and folders, from the files up."""
+    return trees.digests(_paths(g).select("path", F.md5(F.col("path").cast("binary")).alias("content_hash")))
+
+
 @query("session_keys", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS session FROM events")
 def session_keys(g: Graph) -> DataFrame:
     return findings.session_keys(g.table("events").select("event_id", F.col("props").alias("payload")))
