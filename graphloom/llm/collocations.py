@@ -16,7 +16,7 @@ Phrases are counted exactly, in three passes over the texts:
    range cut by the second label.
 
 A longer n-gram is followed only where its words (second pass) or pairs (third)
-are frequent. What is frequent is sent to the tasks as a bitmap of fixed size:
+are frequent. What is frequent is sent to the tasks as a bitmap of bounded size:
 a wrong mark adds work, and a count is of all occurrences in any case.
 
 Parts are looked up by composing phrases with the sums: first parts stand on a
@@ -46,8 +46,8 @@ from graphloom.llm.common import bitmap, bits_set, partitions_for, read, written
 LONGEST = 4
 #: Words that a task counts at once.
 SHARD = 1_000_000
-#: Bits of the bitmaps of frequent words and pairs.
-BITS = 27
+#: Bits of a bitmap for each word or pair that it marks, and how large it can be: 2 ** MOST_BITS bits are 128 MB.
+BITS_EACH, MOST_BITS = 32, 30
 #: Transitions that are united at once.
 UNITED = 300_000
 UND = "und"
@@ -89,11 +89,11 @@ class Automaton:
             differs = (labels[k] != labels[k][twin]) | (weights[k] != weights[k][twin]) | (state != state[twin])
             owner = np.repeat(np.arange(above), size)
             same[owner[differs]] = False
-            keep = np.unique(np.concatenate([one, np.flatnonzero(~same)]))
-            number = np.zeros(above, np.int64)
-            number[keep] = np.arange(len(keep))
+            keep = ~same
+            keep[one] = True
+            number = np.cumsum(keep) - 1
             into = np.where(same, number[one[which]], number)
-            kept = np.isin(owner, keep)
+            kept = keep[owner]
             levels[k] = (np.concatenate([[0], np.cumsum(size[keep])]), labels[k][kept], weights[k][kept], state[kept])
             state = into
         return cls(names, levels)
@@ -276,12 +276,13 @@ def transducers(docs: DataFrame, seed: int, shard: int, longest: int, marks, bit
             key = (lang_of[first] << 40) | own
             order = np.argsort(key, kind="stable")
             edges = np.flatnonzero(np.diff(key[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-            rows = []
+            rows, held_bytes = [], 0
             for a, b in zip(edges.tolist(), [*edges.tolist()[1:], len(order)], strict=False):
                 rows.append((int(key[order[a]]), cut(names, first, parents, labels, weights, order[a:b])))
-                if sum(len(x) for _, x in rows) > 4_000_000:
+                held_bytes += len(rows[-1][1])
+                if held_bytes > 4_000_000:
                     yield batch_of(rows)
-                    rows = []
+                    rows, held_bytes = [], 0
             if rows:
                 yield batch_of(rows)
 
@@ -367,7 +368,7 @@ def summed(parts: DataFrame, longest: int, least: int, partitions: int) -> DataF
         if held:
             yield from rows_of(now, union(held))
 
-    dealt = parts.repartition(2 * partitions, "lang", "range").sortWithinPartitions("lang", "range")
+    dealt = parts.repartition(partitions, "lang", "range").sortWithinPartitions("lang", "range")
     return dealt.mapInArrow(unite, "lang string, size int, a long, b long, c long, d long, f long, ab long, abc long")
 
 
@@ -375,7 +376,11 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bytetext.mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGEST, text: str = "text", lang: str = "lang", shard: int = SHARD, bits: int = BITS) -> DataFrame:
+def _bits_for(n: int) -> int:
+    return min(MOST_BITS, max(20, (BITS_EACH * n).bit_length()))
+
+
+def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGEST, text: str = "text", lang: str = "lang", shard: int = SHARD, bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of 2 to ``longest`` words."""
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"longest must be from 2 to {LONGEST}")
@@ -394,14 +399,15 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGE
     total = totals.agg(F.sum("n")).first()[0] or 0
     frequent = dictionary.where(F.col("f") >= least)
     # ranges: some for each task, more of them the more words there are
-    cut_bits = min(16, max(parts * 4, total // 4_000_000, 2).bit_length())
+    cut_bits = min(16, max(parts, total // 4_000_000, 2).bit_length())
     share = max(1, total >> cut_bits)
     hot = frequent.where(F.col("f") > share).select("label", "f").collect()  # fewer than 2 ** cut_bits
     hot = sorted((r.label % (1 << 64), min(1 << 15, -(-r.f // share))) for r in hot)
     labels, cuts = np.array([x for x, _ in hot], np.uint64), np.array([x for _, x in hot], np.int64)
 
-    marked = spark.sparkContext.broadcast(bitmap(frequent.select("label"), "label", bits))
-    both = lambda a, b: bits_set(marked.value, a, bits) & bits_set(marked.value, b, bits)
+    n = bits or _bits_for(frequent.count())
+    marked = spark.sparkContext.broadcast(bitmap(frequent.select("label"), "label", n))
+    both = lambda a, b: bits_set(marked.value, a, n) & bits_set(marked.value, b, n)
     pairs = summed(transducers(docs, seed, shard, 2, both, cut_bits, labels, cuts), 2, least, parts)
     if longest > 2:
 
@@ -411,11 +417,15 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = LONGE
                 yield pa.RecordBatch.from_arrays([pa.array(_pair_key(a, b).view(np.int64))], ["key"])
 
         found = written(pairs.select("a", "b").mapInArrow(keyed, "key long"), "phrases-pairs")
-        linked = spark.sparkContext.broadcast(bitmap(found, "key", bits))
-        follow = lambda a, b: bits_set(linked.value, _pair_key(a, b), bits)
+        marked.destroy()
+        m = bits or _bits_for(found.count())
+        linked = spark.sparkContext.broadcast(bitmap(found, "key", m))
+        follow = lambda a, b: bits_set(linked.value, _pair_key(a, b), m)
         counts = written(summed(transducers(docs, seed, shard, longest, follow, cut_bits, labels, cuts), longest, least, parts), "phrases-counts")
+        linked.destroy()
     else:
         counts = written(pairs, "phrases-counts")
+        marked.destroy()
     return _ranked(counts, frequent, totals, least, top)
 
 
