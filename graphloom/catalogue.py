@@ -775,6 +775,32 @@ def open_routes(g: Graph) -> DataFrame:
     return syntax.open_routes(made, calls)
 
 
+@query(
+    "open_routes_of_calls",
+    "WITH r AS (SELECT 'small ring' AS name UNION SELECT s.name FROM calls c JOIN symbols s ON s.id = c.symbol_id WHERE c.callee = 'small ring') "
+    "SELECT id, qualified, 'POST' AS route_method FROM symbols WHERE route_path IS NOT NULL AND name NOT IN (SELECT name FROM r)",
+    "symbols",
+    "calls",
+)
+def open_routes_of_calls(g: Graph) -> DataFrame:
+    """Routes of the whole graph that call no check themselves, where what is named small ring checks access."""
+    named = lambda c: F.when(F.col(c) == "small ring", "auth ring").otherwise(F.col(c))
+    symbols = g.symbols.withColumn("name", named("name")).withColumn("route_method", F.when(F.col("route_path").isNotNull(), "POST"))
+    return syntax.open_routes(symbols, g.calls.withColumn("callee", named("callee")), rounds=1)
+
+
+@query(
+    "affected_by_changes",
+    "WITH c AS (SELECT DISTINCT path FROM changed_lines) SELECT DISTINCT a.path FROM files a JOIN imports i ON i.file_id = a.id JOIN files b ON b.stem = i.stem AND b.id <> a.id WHERE b.path IN (SELECT path FROM c) AND a.path NOT IN (SELECT path FROM c)",
+    "files",
+    "imports",
+    "changed_lines",
+)
+def affected_by_changes(g: Graph) -> DataFrame:
+    """Files that import one of which lines have changed."""
+    return impact.affected_files(g, g.changed_lines)
+
+
 @query("task_states")
 def task_states(g: Graph) -> DataFrame:
     """Sessions of events as tasks: sign-ups start them, clicks finish todos, views report them ready, purchases pass the gate, errors urge them on."""

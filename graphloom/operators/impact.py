@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from graphloom.functions import files as fx
 from graphloom.functions import text as tx
 from graphloom.operators import graph as g
+from graphloom.operators import intervals
 
 
 def touching(spans: DataFrame, changed: DataFrame) -> DataFrame:
     """Rows of spans (path, start_line, end_line, ...) that a changed interval of their path overlaps, once each."""
-    c = changed.select("path", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    return spans.join(c, (spans["path"] == c["path"]) & (spans["start_line"] <= c["_to"]) & (spans["end_line"] >= c["_from"]), "left_semi")
+    ranges = changed.select("path", F.col("start").alias("_from"), F.col("end").alias("_to"))
+    return intervals.touching(spans, ranges, ["path"], ("start_line", "end_line"), ("_from", "_to"))
 
 
 def risk(callers: Column, has_route: Column, exported: Column, is_test: Column, tests: Column) -> tuple[Column, Column]:
