@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytetext
-from graphloom.llm.common import bitmap, bits_set, partitions_for, read, written
+from graphloom.llm.common import bitmap, bits_set, partitions_for, read, release, written
 
 #: Words of a phrase at most.
 LONGEST = 4
 #: Words that a task counts at once.
-SHARD = 1_000_000
+SHARD = 700_000
 #: Bits of a bitmap for each word or pair that it marks, and how large it can be: 2 ** MOST_BITS bits are 128 MB.
 BITS_EACH, MOST_BITS = 32, 30
 #: Transitions that are united at once.
@@ -232,6 +232,7 @@ def words(docs: DataFrame, seed: int, shard: int) -> DataFrame:
                 if held >= shard:
                     yield from flush()
         yield from flush()
+        release()
 
     return docs.mapInArrow(count, "lang string, label long, word string, f long")
 
@@ -317,8 +318,10 @@ def transducers(docs: DataFrame, seed: int, shard: int, longest: int, marks, bit
                 if size >= shard:
                     yield from flush()
                     size = 0
+                    release()
         if size:
             yield from flush()
+        release()
 
     return docs.mapInArrow(build, "lang string, range long, automaton binary")
 
@@ -367,6 +370,7 @@ def summed(parts: DataFrame, longest: int, least: int, partitions: int) -> DataF
                     size = 0
         if held:
             yield from rows_of(now, union(held))
+        release()
 
     dealt = parts.repartition(partitions, "lang", "range").sortWithinPartitions("lang", "range")
     return dealt.mapInArrow(unite, "lang string, size int, a long, b long, c long, d long, f long, ab long, abc long")
