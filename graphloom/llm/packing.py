@@ -34,6 +34,8 @@ from graphloom.llm.common import read, written
 
 #: Bytes of text that are tokenised at once: the more, the fewer words are looked up twice.
 _PIECE = 2_000_000
+#: Bits of the number of slots of the encoder's table.
+_SLOTS = 20
 #: Token ids that one row holds at most.
 _IDS = 1 << 22
 _LETTER = np.zeros(256, bool)
@@ -65,6 +67,8 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[int, int] = {}  # the row of each key
+        self.slots = np.full(1 << _SLOTS, -1, np.int32)  # and of the key that was last met in each slot: most words are found there
         self.text, self.since, self.until = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the bytes of each word
 
     def _ids(self, words: list[str]) -> tuple[list[int], list[int]]:
@@ -81,13 +85,13 @@ class WordEncoder:
         ids, size = self._ids([w.decode("utf-8", "replace") for w in words])
         n = np.array(size, np.int64)
         long = np.array([len(w) for w in words], np.int64)
-        at = np.searchsorted(self.keys, keys)  # both are sorted, so the table is when they are put in
         since = len(self.text) + np.cumsum(long) - long
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
+        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, n])
+        self.since, self.until = np.concatenate([self.since, since]), np.concatenate([self.until, since + long])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
-        self.since, self.until = np.insert(self.since, at, since), np.insert(self.until, at, since + long)
-        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(n) - n)
-        self.keys, self.size = np.insert(self.keys, at, keys), np.insert(self.size, at, n)
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.known.update(zip(keys.tolist(), range(len(self.keys) - len(keys), len(self.keys))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -107,13 +111,21 @@ class WordEncoder:
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
         first = np.searchsorted(starts, offsets)
         h, long = bytetext.word_keys(data, starts, ends, self.hashes)
-        different, at, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._forget()
-        new = np.flatnonzero(~np.isin(different, self.keys, assume_unique=True))
-        if len(new):
-            self._learn(different[new], [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-        row = np.searchsorted(self.keys, different)[which]
+        slot = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        row = self.slots[slot].astype(np.int64)
+        missed = np.flatnonzero(self.keys[row] != h) if len(self.keys) else np.arange(len(h))
+        if len(missed):
+            different, at, which = np.unique(h[missed], return_index=True, return_inverse=True)
+            found = np.array([self.known.get(k, -1) for k in different.tolist()], np.int64)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                found[new] = len(self.keys) + np.arange(len(new))
+                first_met = missed[at[new]]
+                self._learn(different[new], [raw[a:b] for a, b in zip(starts[first_met].tolist(), ends[first_met].tolist(), strict=True)])
+            self.slots[slot[missed[at]]] = found
+            row[missed] = found[which]
         there = row[long]
         if not bytetext.same_bytes(data, starts[long], ends[long], self.text, self.since[there], self.until[there]).all():
             return self._plain(raw, starts, ends, first)
