@@ -8,7 +8,9 @@ and the second pass cuts it where windows end. Nothing is shuffled: one total
 for each task moves. Only the very last window can need padding.
 
 A text is tokenised word by word: the tokenizer never joins what white space
-parts, nor a letter and a mark, so each different word is encoded once.
+parts, nor a letter and a mark, so each different word is encoded once. Words of plain
+letters, nearly all, go to the tokenizer's model many at once: it would only make
+them small and leave them whole before.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is
 carried along; repeated rows are packed each; an empty table gives an empty
@@ -19,6 +21,7 @@ columns are dropped, whatever their names. Ties do not arise.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +46,19 @@ _LETTER[65:91] = _LETTER[97:123] = True
 #: ASCII marks that the tokenizer always parts from ASCII letters. Left out: the apostrophe, which begins contractions, and < | >, which are in its special tokens.
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = True
+#: Words of letters that nothing composes and that the tokenizer leaves whole, after making them small.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: How byte-level tokenizers write each byte: printable Latin-1 characters stand for themselves, the others follow U+00FF; here a space parts words.
+_SHOWN = np.arange(256, dtype="<u2")
+_HIDDEN = [b for b in range(256) if not (33 <= b < 127 or b >= 161 and b != 173)]
+_SHOWN[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
+_SHOWN[32] = 32
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all words in a row, how many each text has): n ids from begin on are a word's, first is the first word of each text and the end."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[first])
 
 
 class WordEncoder:
@@ -59,9 +75,18 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
+        # plain words need the tokenizer's model alone, whose marks of ends of words tell them apart
+        self.model, mark = Tokenizer(self.tokenizer.model), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ids = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(ids.values(), default=0) + 1, bool)
+        self.last[[i for token, i in ids.items() if mark and token.endswith(mark)]] = True
+        letters = [chr(c) for c in range(256) if _PLAIN(chr(c))]
+        (flat, ends), (same, size) = (of([*letters, "".join(letters)]) for of in (self._of_model, self._of_all))
+        self.simple = np.array_equal(flat, same) and np.array_equal(ends, np.cumsum(size))  # else it is a tokenizer of another kind
         self.most = most_words
         self._forget()
 
@@ -71,7 +96,17 @@ class WordEncoder:
         self.slots = np.full(1 << _SLOTS, -1, np.int32)  # and of the key that was last met in each slot: most words are found there
         self.text, self.since, self.until = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the bytes of each word
 
-    def _ids(self, words: list[str]) -> tuple[list[int], list[int]]:
+    def _of_model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all plain words in a row, where each word's end)."""
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(words), 500):
+            letters = _SHOWN[np.frombuffer(" ".join(words[i : i + 500]).lower().encode(), np.uint8)].tobytes().decode("utf-16-le")
+            parts.append(np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(parts)
+        return flat, np.flatnonzero(self.last[flat]) + 1
+
+    def _of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has)."""
         ids: list[int] = []
         size = []
         for i in range(0, len(words), 5_000):
@@ -79,18 +114,29 @@ class WordEncoder:
                 one = e.ids
                 ids += one
                 size.append(len(one))
-        return ids, size
+        return np.array(ids, np.uint32), np.array(size, np.int64)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, the first of each word, how many it has)."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.array([self.simple and _PLAIN(t) is not None for t in texts], bool)
+        flat, ends = self._of_model([texts[i] for i in np.flatnonzero(plain).tolist()])
+        others, n = self._of_all([texts[i] for i in np.flatnonzero(~plain).tolist()])
+        size = np.zeros(len(texts), np.int64)
+        size[plain], size[~plain] = np.diff(ends, prepend=0), n
+        begin = np.zeros(len(texts), np.int64)
+        begin[plain], begin[~plain] = ends - size[plain], len(flat) + np.cumsum(n) - n
+        return np.concatenate([flat, others]), begin, size
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        ids, size = self._ids([w.decode("utf-8", "replace") for w in words])
-        n = np.array(size, np.int64)
+        ids, begin, size = self._ids(words)
         long = np.array([len(w) for w in words], np.int64)
         since = len(self.text) + np.cumsum(long) - long
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
-        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, n])
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
+        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, size])
         self.since, self.until = np.concatenate([self.since, since]), np.concatenate([self.until, since + long])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(words), np.uint8)])
-        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
         self.known.update(zip(keys.tolist(), range(len(self.keys) - len(keys), len(self.keys))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,16 +175,11 @@ class WordEncoder:
         there = row[long]
         if not bytetext.same_bytes(data, starts[long], ends[long], self.text, self.since[there], self.until[there]).all():
             return self._plain(raw, starts, ends, first)
-        n = self.size[row]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        out = self.flat[np.repeat(self.begin[row] - upto[:-1], n) + np.arange(upto[-1])]
-        return out, np.diff(upto[first])
+        return _runs(self.flat, self.begin[row], self.size[row], first)
 
     def _plain(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As encode, without the table: for texts with words that share a hash."""
-        ids, size = self._ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        upto = np.concatenate([[0], np.cumsum(np.array(size, np.int64))])
-        return np.array(ids, np.uint32), np.diff(upto[first])
+        return _runs(*self._ids([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), first)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", most: int = _IDS) -> DataFrame:

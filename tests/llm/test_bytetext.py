@@ -1,5 +1,6 @@
 """The vectorised readers against plain ones, on texts of any characters."""
 
+import functools
 import re
 
 import numpy as np
@@ -108,3 +109,38 @@ def test_runs_hold_every_window(texts, length):
             text = texts[t][s + w : s + w + length]
             assert len(text) == length and seen.setdefault(text, (p - w, a)) == (p - w, a)  # equal windows, equal sample and place
     assert sum(runs.windows) == sum(max(0, len(t) - length + 1) for t in texts)
+
+
+def test_encoder_gives_plain_words_to_the_model_alone():
+    """Only words with other characters than plain letters go through the whole tokenizer, and all words have its ids."""
+    from graphloom.llm.packing import WordEncoder
+
+    class Watched:
+        def encode_batch_fast(self, words, **options):
+            seen.extend(words)
+            return whole.encode_batch_fast(words, **options)
+
+    encoder, seen = WordEncoder("word_bpe_49k.json"), []
+    whole, encoder.tokenizer = encoder.tokenizer, Watched()
+    odd = ["ª", "×", "naïve÷", "a1", "it's", "ǆ", "ﬁn", "née", "<|endoftext|>", "日本", "a­b", "Σ"]
+    plain = ["the", "Größe", "NACIÓN", "ÀÖØÞßàöøÿ", "international", "É", "y", "ÿ", "zzzqqqxxx"]
+    texts = [" ".join(plain), " ".join(odd), " ".join(plain[::-1] + odd[::-1]), "", *plain, *odd]
+    ids, n = encoder.encode(*bytetext.of_arrow(pa.array(texts, pa.string())))
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    assert sorted(seen) == sorted(odd)
+
+
+@functools.cache
+def encoder_of_latin():
+    from graphloom.llm.packing import WordEncoder
+
+    return WordEncoder("word_bpe_49k.json")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]) | st.sampled_from("̸̧́ "), max_size=40), max_size=6))
+def test_encoder_on_latin_letters(texts):
+    ids, n = encoder_of_latin().encode(*bytetext.of_arrow(pa.array(texts, pa.string())))
+    want = [encoder_of_latin().tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
