@@ -84,7 +84,8 @@ def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, bars:
     symbol_words = F.regexp_count(line, F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*"))
     marked = line.contains("!!") | line.contains("??") | line.contains("!?")
     doubled = F.regexp_count(line, F.lit(r"(?:!!|\?\?|!\?)(?=[\x20\x09-\x0D]|$)"))
-    run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d,}" % (rules.max_run - 1)
+    # of a fixed number of words: a pattern for runs of any length takes a frame of the stack for each word, and long runs end the executor
+    run = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++\1(?=[\x20\x09-\x0D]|$)){%d}" % (rules.max_run - 1)
     separators = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])[" + re.escape(SEPARATORS) + r"]{1,3}(?=[\x20\x09-\x0D]|$)"))
     phrases = r"^[^\p{L}\p{N}©(]{0,3}(?:(?:" + "|".join(BOILERPLATE) + r")(?![\p{L}\p{N}])|(?:copyright\s+)?(?:©|\(c\))|copyright\s+\d{4})"
     return (
@@ -92,11 +93,28 @@ def line_fails(line: Column, n: Column, symbols: Column, repeats: Column, bars:
         | (marked & (doubled > rules.max_doubled_share * n))
         | (bars & (separators > rules.max_separator_share * n))
         | ((n >= rules.min_shout_words) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}"))
-        | ((repeats > 0) & (F.length(F.regexp_replace(line, run, "")) < (1 - rules.max_run_share) * F.length(line)))
+        | ((repeats > 0) & line.rlike(run) & (F.length(line) - run_length(line, rules.max_run) < (1 - rules.max_run_share) * F.length(line)))
         | ((n <= rules.max_boilerplate_words) & F.lower(F.substring(line, 1, 80)).rlike(phrases))
     )
 
 
+def run_length(line: Column, least: int) -> Column:
+    """How many characters of a line lie in runs of so many equal words or more, with the space between them and one character before each run."""
+    parts = F.regexp_extract_all(line, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    worded = F.transform(parts, lambda x: F.struct(F.regexp_replace(x, r"^[\x20\x09-\x0D]+", "").alias("word"), F.length(x).alias("all")))
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("held"))
+    over = lambda s: s["held"] + F.when(s["n"] >= least, s["chars"]).otherwise(F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        same, own = s["word"] == x["word"], F.length(x["word"])
+        return F.struct(
+            x["word"].alias("word"), F.when(same, s["n"] + 1).otherwise(F.lit(1)).alias("n"),
+            F.when(same, s["chars"] + x["all"]).otherwise(F.least(x["all"], own + 1)).alias("chars"), F.when(same, s["held"]).otherwise(over(s)).alias("held"),
+        )
+
+    return F.aggregate(worded, start, step, over)
+
+
 def in_menu(lines: Column, i: Column, rules: LineRules) -> Column:
     """Whether line i stands in a run of short lines that end no sentence."""
     fragment = lambda j: F.coalesce(F.get(lines, j)["fragment"], F.lit(False))
