@@ -100,13 +100,16 @@ def block_keys(f0: Column, f1: Column, radius: int, blocks: int) -> Column:
 
 
 def _near(queries: DataFrame, index: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(q0, q1, f0, f1, distance): each fingerprint of index within the radius of one of queries, once."""
+    """(q0, q1, f0, f1, distance): each fingerprint of index within the radius of one of queries, once.
+
+    Spark sizes a side as if it had not been exploded into its tables, so it could broadcast the whole index: both sides are shuffled, whatever it thinks.
+    """
     once = index.select("f0", "f1").distinct()
     asked = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
     left = asked.withColumn("b", F.explode(block_keys(F.col("q0"), F.col("q1"), radius, blocks)))
     right = once.withColumn("b", F.explode(block_keys(F.col("f0"), F.col("f1"), radius, blocks)))
     apart = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    return left.join(right, "b").where(apart <= radius).select("q0", "q1", "f0", "f1", apart.alias("distance")).distinct()
+    return left.hint("shuffle_merge").join(right.hint("shuffle_merge"), "b").where(apart <= radius).select("q0", "q1", "f0", "f1", apart.alias("distance")).distinct()
 
 
 def search(queries: DataFrame, index: DataFrame, key: str = "doc_id", radius: int = 6, blocks: int = 8) -> DataFrame:

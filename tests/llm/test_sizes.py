@@ -20,3 +20,15 @@ def test_long_runs_of_one_word_are_judged(spark):
     got = {x.i: x.n for x in made.select("i", run_length(F.col("line"), 5).alias("n")).collect()}
     want = {i: len(x) - len(run.sub("", x)) for i, x in enumerate(lines)}
     assert got == want and sum(n > 0 for n in want.values()) > 50
+
+
+def test_the_block_tables_are_not_broadcast(spark):
+    """Spark takes the exploded tables for as small as the fingerprints and would send the whole index to the driver."""
+    from graphloom.llm.fingerprints import counted
+
+    index = spark.range(3000).select(F.xxhash64("id").alias("f0"), F.xxhash64("id", F.lit(1)).alias("f1"))
+    made = counted(index.limit(30), index)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x and "b#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins), plan
+    assert made.count() == 30
