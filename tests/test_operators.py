@@ -318,3 +318,16 @@ def test_task_life_cycle():
         (False, None, None), (True, "active", 0), (False, "active", 0), (True, "active", 0), (False, "active", 0), (True, "active", 1), (True, "active", 1), (False, "active", 1), (True, "ready", 1),
         (True, "active", 1), (True, "active", 2), (True, "blocked", 2), (True, "active", 0), (True, "ready", 0), (True, "completed", 0), (True, "active", 0),
     ]
+
+
+def test_pairs_of_names_are_made_once(spark):
+    """Calls and symbols of one name are many pairs: none is shuffled after names have met, and ids that stand in several rows still count once."""
+    symbols = spark.createDataFrame([(1, "f", "A"), (2, "f", "B"), (3, "f", None), (4, "g", "A"), (4, "f", "A"), (2, "f", "B")], "id long, name string, container string")
+    calls = spark.createDataFrame([(9, "f", None), (9, "f", "A"), (8, "f", "A"), (8, "f", "A"), (8, "g", "A"), (7, "g", "B"), (6, None, None)], "symbol_id long, callee string, receiver string")
+    made, back = graph.callees(calls, symbols), graph.callers(calls, symbols)
+    assert rows(made) == [(8, 1), (8, 4), (9, 1), (9, 2), (9, 3), (9, 4)]
+    assert rows(back) == [(1, 8, 2), (1, 9, 2), (2, 9, 2), (3, 8, 2), (3, 9, 2), (4, 8, 3), (4, 9, 2)]
+    for df in (made, back):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        first = plan[: plan.index("_n#")] if "_n#" in plan else plan
+        assert "Aggregate" not in first.split("Join")[0], plan
