@@ -1,7 +1,8 @@
 """JSON payloads of any depth: what stands at which path, the resources and files that a tool names, level by level with VARIANT.
 
-A round opens the containers of one level and keeps their scalars; it ends when no
-container is left, so depth is not bounded and no document is walked in Python.
+A pass opens the containers of several levels in the place of each row, without writing or
+shuffling; only what is deeper is written for the next. It ends when no container is left, so
+depth is not bounded and no document is walked in Python.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.trace import _cut
 
+#: Levels that are opened in one pass; what is deeper is written and opened in the next.
+LEVELS = 20
 #: Kinds of resources by the keys that name them (fixed values).
 RESOURCE_KEYS = {
     "url": "url", "uri": "url", "endpoint": "url", "database": "database", "database_name": "database", "db": "database", "table": "table", "table_name": "table", "schema": "schema",
@@ -25,31 +28,40 @@ def leaves(payloads: DataFrame, key: str = "event_id", payload: str = "payload")
 
     Elements of arrays have the key of their array. Text that is no JSON has no leaves; nor has an empty container. A JSON null is of kind void, its value null.
     """
-    opened = payloads.select(F.col(key), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.expr(f"try_parse_json(`{payload}`)").alias("v")).where("v IS NOT NULL")
-    found = []
-    level = _cut(opened)
-    while level.limit(1).count():
-        kind = F.schema_of_variant("v")
-        held = level.withColumn("kind", kind)
-        container = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        found.append(held.where(~container).select(key, "path", "name", F.expr("try_variant_get(v, '$', 'string')").alias("value"), F.lower("kind").alias("kind")))
-        inner = held.where(container).selectExpr(f"`{key}`", "path", "name", "v").lateralJoin(_exploded(level.sparkSession)).select(
-            key,
-            F.when(F.col("key").isNull(), F.format_string("%s[%d]", "path", "pos")).otherwise(F.concat_ws(".", "path", "key")).alias("path"),
-            F.coalesce("key", "name").alias("name"),
-            F.col("value").alias("v"),
-        )
-        level = _cut(inner)
-    if not found:
-        return opened.select(key, "path", "name", F.lit(None).cast("string").alias("value"), F.lit("").alias("kind"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    level = payloads.select(F.col(key), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.expr(f"try_parse_json(`{payload}`)").alias("v")).where("v IS NOT NULL")
+    # a payload is no deeper than it has opening brackets: if these are few, nothing is left after the first pass
+    brackets = F.length(payload) - F.length(F.translate(payload, "[{", ""))
+    most = payloads.agg(F.coalesce(F.max(brackets), F.lit(0))).first()[0]
+    out = None
+    while True:
+        for _ in range(min(most, LEVELS)):
+            level = _opened(level, key)
+        made = level.where(~_contains()).select(key, "path", "name", F.expr("try_variant_get(v, '$', 'string')").alias("value"), F.lower(F.schema_of_variant("v")).alias("kind"))
+        out = made if out is None else out.unionByName(made)
+        deeper = level.where(_contains())
+        if most <= LEVELS or not deeper.limit(1).count():
+            return out
+        level = _cut(deeper)
+
+
+def _contains() -> Column:
+    """Whether v is an object or an array."""
+    kind = F.schema_of_variant("v")
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def _opened(level: DataFrame, key: str) -> DataFrame:
+    """level with what its containers hold in their place; scalars stay as they are, an empty container goes."""
+    opened = F.col("pos").isNotNull()
+    held = level.lateralJoin(_exploded(level.sparkSession)).where(opened | ~_contains())  # the kind of a container is found by reading all of it
+    inner = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
+    return held.select(
+        F.col(key), F.when(opened, inner).otherwise(F.col("path")).alias("path"), F.when(opened, F.coalesce("key", "name")).otherwise(F.col("name")).alias("name"), F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v")
+    )
 
 
 def _exploded(spark):
-    return spark.tvf.variant_explode(F.col("v").outer())  # outer: of the row beside it
+    return spark.tvf.variant_explode_outer(F.col("v").outer())  # outer: of the row beside it
 
 
 def _normal(kind: Column, value: Column) -> Column:

@@ -138,3 +138,16 @@ def test_payloads_at_any_depth(spark):
     tools = spark.createDataFrame([(1, '{"tool_name":"mcp__a__b","tool_input":{"x":[{"URL":" h "},{"files":["a.py","b.py"]}],"db":"d\\nd","n":1,"table":""}}'), (2, '{"toolCall":{"name":"Edit","args":{"er":[[["q",{"path":"p"}]]]}}}')], "event_id long, payload string")
     assert rows(payloads.resources(tools)) == [(1, "mcp:a/b"), (1, "url:h"), (2, "tool:Edit")]
     assert rows(payloads.paths(tools)) == [(1, "a.py"), (1, "b.py"), (2, "p")]
+
+
+def test_levels_are_opened_without_writing(spark, monkeypatch):
+    """Payloads of a few levels are written nowhere on the way; deeper ones only as what is left below."""
+    from graphloom.operators import payloads
+
+    cut, writes = payloads._cut, []
+    monkeypatch.setattr(payloads, "_cut", lambda df: writes.append(1) or cut(df))
+    frame = lambda text: spark.createDataFrame([(1, text), (2, None), (3, "[[], {}, [null]]"), (4, "no {")], "event_id long, payload string")
+    got = lambda text: sorted((r.event_id, r.path, r.name, r.value, r.kind) for r in payloads.leaves(frame(text)).collect())
+    assert got('{"a": [1, {"b": "x"}], "c": {}}') == [(1, "$.a[0]", "a", "1", "bigint"), (1, "$.a[1].b", "b", "x", "string"), (3, "$[2][0]", None, None, "void")] and not writes
+    deep = '{"a":' * (payloads.LEVELS + 3) + "true" + "}" * (payloads.LEVELS + 3)
+    assert got(deep)[0] == (1, "$" + ".a" * (payloads.LEVELS + 3), "a", "true", "boolean") and len(writes) == 1
