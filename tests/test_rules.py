@@ -248,3 +248,19 @@ def test_calls_of_no_function_are_followed_where_they_stand(spark):
         assert rows(rules.taint_findings(python_ast.statements(of))) == rows(rules.taint_findings(sources=of))
         assert sorted(map(repr, summaries.flows(python_ast.statements(of), frozenset()).collect())) == sorted(map(repr, summaries.flows(sources=of, known=frozenset()).collect()))
     assert not summaries.Summaries(sources=held.limit(1)).flows.where("kind = 'argument'").count()
+
+
+def test_small_tables_of_names_leave_nodes_where_they_are(spark):
+    """Nodes, with their texts, are not shuffled to learn which names come from databases, if these are few."""
+    held = sources(spark, "import sqlite3\ndb = sqlite3.connect('x')\ndef f(xs):\n    for x in xs:\n        db.execute(x)\n")
+    statements, nodes = python_ast.statements(held), python_ast.nodes(held)
+    origin = rules.origins(nodes.where("kind = 'import'").select("file_id", F.col("name").alias("module")), statements)
+    made = rules.node_findings(nodes, origin)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows(made.select("rule_id", "line")) == [("DB-001", 5)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in rules.node_findings(nodes, origin)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
